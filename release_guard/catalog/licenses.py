@@ -165,6 +165,29 @@ def _say(text: str, count: str) -> str:
     return f"concat('{before}', {count}, '{after}')"
 
 
+def recommendations_sql(width: int) -> str:
+    """CTE ``r``: the sentences of the compliance check."""
+    return f"""n as (
+ select project_id, 3 as rec_no, seq, name from p
+ where not compatible and len(list_filter(issues, lambda x: contains(x, 'blocked'))) > 0
+ union all select project_id, 4, seq, name from p where not compatible and license in ('UNKNOWN', 'undefined')),
+ r as (select project_id, 1 as rec_no, cast(0 as bigint) as page, concat('🚨 ', incompatible, '{_L["incompatible"]}') as text
+ from s where incompatible > 0
+ union all select project_id, 2, 0, concat('⚠️ ', unknown, '{_L["unknown"]}') from s where unknown > 0
+ union all select project_id, rec_no, cast(floor(seq / {width}) as bigint),
+ concat(case rec_no when 3 then '{_L["blocked"]}' else '{_L["investigate"]}' end, string_agg(name, ', ' order by seq, name))
+ from n group by project_id, rec_no, floor(seq / {width})
+ union all select project_id, 5, 0, '{_L["clean"]}' from s where compatible = total)"""
+
+
+AUDIT_RECOMMENDATIONS = f"""ra as (select project_id,
+ count(*) filter (not compatible) as bad, count(*) filter (license = 'unknown') as unk from p group by project_id),
+ r as (select project_id, 1 as rec_no, {_say(_A["incompatible"], "bad")} as text from ra where bad > 0
+ union all select project_id, 2, '{_A["review"]}' from ra where bad > 0
+ union all select project_id, 3, {_say(_A["unknown"], "unk")} from ra where unk > 0
+ union all select project_id, 4, '{_A["verify"]}' from ra where unk > 0
+ union all select project_id, 5, '{_A["clean"]}' from ra where bad = 0 and unk = 0)"""
+
 ORACLES = {
     "production_only": f"{with_views('fx_manifest')} select * from fx_manifest where dep_scope = 'prod'",
     "merge_deps": f"{with_views('fx_manifest')}, {MERGED} select * from merged",
@@ -179,28 +202,13 @@ ORACLES = {
     "unknown_license_packages": f"{PACKAGES} select * exclude (issues) from p where license in ('UNKNOWN', 'undefined')",
     "check_package_license": f"""{PACKAGES} select {TEXT} from (select * from p where name = '{TARGET}'
  qualify row_number() over (partition by project_id order by seq, version) = 1)""",
-    "license_recommendations": f"""{PACKAGES}, {SUMMARY}, n as (
- select project_id, 3 as rec_no, seq, name from p where not compatible and len(list_filter(issues, lambda x: contains(x, 'blocked'))) > 0
- union all select project_id, 4, seq, name from p where not compatible and license in ('UNKNOWN', 'undefined'))
- select project_id, 1 as rec_no, cast(0 as bigint) as page, concat('🚨 ', incompatible, '{_L["incompatible"]}') as text
- from s where incompatible > 0
- union all select project_id, 2, 0, concat('⚠️ ', unknown, '{_L["unknown"]}') from s where unknown > 0
- union all select project_id, rec_no, cast(floor(seq / 50) as bigint),
- concat(case rec_no when 3 then '{_L["blocked"]}' else '{_L["investigate"]}' end, string_agg(name, ', ' order by seq, name))
- from n group by project_id, rec_no, floor(seq / 50)
- union all select project_id, 5, 0, '{_L["clean"]}' from s where compatible = total""",
+    "license_recommendations": f"{PACKAGES}, {SUMMARY}, {recommendations_sql(50)} select * from r",
     "license_compliance": f"""{BASE}, {PROD}, {packages_sql('prod', "'GPL-3.0'")}, {SUMMARY} select * from s""",
     "audit_licenses": f"{audit_sql(False)} select {TEXT} from p",
     "audit_licenses_normalized": f"{audit_sql(True)} select {TEXT} from p",
     "license_audit_summary": f"""{audit_sql(True)}, {AUDIT_TOTALS}
  select *, {risk_sql('incompatible', 'unknown')} as risk_level from t""",
-    "license_audit_recommendations": f"""{audit_sql(True)}, s as (select project_id,
- count(*) filter (not compatible) as bad, count(*) filter (license = 'unknown') as unk from p group by project_id)
- select project_id, 1 as rec_no, {_say(_A["incompatible"], "bad")} as text from s where bad > 0
- union all select project_id, 2, '{_A["review"]}' from s where bad > 0
- union all select project_id, 3, {_say(_A["unknown"], "unk")} from s where unk > 0
- union all select project_id, 4, '{_A["verify"]}' from s where unk > 0
- union all select project_id, 5, '{_A["clean"]}' from s where bad = 0 and unk = 0""",
+    "license_audit_recommendations": f"{audit_sql(True)}, {AUDIT_RECOMMENDATIONS} select * from r",
     "license_risk_level": f"""{audit_sql(False)}, {AUDIT_TOTALS}
  select project_id, {risk_sql('unknown', 'compatible')} as risk from t""",
 }

@@ -28,7 +28,7 @@ def _as_text(pages):
 def _versions(sp, sf):
     """Version texts of every odd shape, from the repositories."""
     shape = F.col("version")
-    odd = F.when(F.crc32("repo") % 3 == 0, F.concat(shape, F.lit("+build.5"))).otherwise(shape)
+    odd = F.when(F.length("repo") % 3 == 0, F.concat(shape, F.lit("+build.5"))).otherwise(shape)
     return frame(sp, sf, "fx_repos").select("repo", odd.alias("version"))
 
 
@@ -122,6 +122,9 @@ ORACLES = {
  {next_sql(BUMP_OF_REPO)} as new_version from fx_repos""",
     "bump_confidence": f"""{SMALL}, {BUMPS} select repo, {next_sql('recommended_bump')} as new_version,
  cast({CONFIDENCE} as int) as confidence from (select *, '1.2.3' as version from bumps)""",
+    "valid_version": f"""{with_views('fx_repos')} select *, regexp_matches(version,
+ '^\\d+\\.\\d+\\.\\d+(-[a-zA-Z0-9.-]+)?(\\+[a-zA-Z0-9.-]+)?$') as valid from (select repo,
+ case when length(repo) % 3 = 0 then version || '+build.5' else version end as version from fx_repos)""",
     "sort_versions": f"""{with_views('fx_repos')} select repo, {part(1)} as major, {part(2)} as minor,
  {part(3)} as patch from fx_repos order by 2, 3, 4, version, repo""",
     "version_analysis": f"""{SMALL}, {BUMPS}, joined as (select r.repo, r.version,

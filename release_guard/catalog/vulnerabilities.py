@@ -97,10 +97,11 @@ def recommendations_sql(projects_sql: str | None) -> str:
 
 GROUPED = """select project_id, package, coalesce(arg_min(version, (seq, version)), 'unknown') as version,
  min(seq) as first_seq, count(*) as vulnerabilities from v group by project_id, package"""
-AUDIT = f"""{with_views('fx_audit_json')}, a as (
- select project_id, cast(0 as bigint) as seq, package, json_extract(audit_json, concat('$.vulnerabilities."', package, '"')) as j
- from fx_audit_json union all
- select project_id, cast(1 as bigint) as seq, 'shared-lib', json_extract(audit_json, '$.vulnerabilities."shared-lib"') from fx_audit_json),
+AUDIT_DOCS = f"""{with_views('fx_audit_json')}, docs as (select *, row_number() over () as rid from fx_audit_json), a as (
+ select rid, project_id, cast(0 as bigint) as seq, package,
+ json_extract(audit_json, concat('$.vulnerabilities."', package, '"')) as j from docs
+ union all select rid, project_id, 1, 'shared-lib', json_extract(audit_json, '$.vulnerabilities."shared-lib"') from docs)"""
+AUDIT = f"""{AUDIT_DOCS},
  b as (select project_id, seq, package, json_extract_string(j, '$.severity') as severity,
  coalesce(json_extract_string(j, '$.version'), 'unknown') as version, json_extract_string(j, '$.fixedIn') as fixed_in
  from a where j is not null), v as (select * replace ({MAP} as severity) from b)"""

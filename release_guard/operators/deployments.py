@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.scoring import duration_ms
+from ..session import small_table
 from .ordering import newest_first, top_per_group
 
 
 def environment_table(spark) -> DataFrame:
-    return spark.createDataFrame(
-        rules.ENVIRONMENTS,
-        "name string, type string, deployment_strategy string, auto_approve boolean,"
-        " required_approvers array<string>",
-    )
+    columns = {
+        "name": pa.string(),
+        "type": pa.string(),
+        "deployment_strategy": pa.string(),
+        "auto_approve": pa.bool_(),
+        "required_approvers": pa.list_(pa.string()),
+    }
+    return small_table(spark, columns, rules.ENVIRONMENTS)
 
 
 def strategy_table(spark) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in rules.STRATEGIES], "name string")
+    return small_table(spark, {"name": pa.string()}, [(s,) for s in rules.STRATEGIES])
 
 
 def upsert_environments(current: DataFrame, updates: DataFrame) -> DataFrame:

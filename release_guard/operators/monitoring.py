@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.scoring import alert_message, alert_severity, health_status
+from ..session import small_table
 from .ordering import last_n
 
 
 def threshold_table(spark, thresholds: dict[str, float] | None = None) -> DataFrame:
     rows = list((rules.ALERT_THRESHOLDS if thresholds is None else thresholds).items())
-    return spark.createDataFrame(rows, "type string, threshold double")
+    return small_table(spark, {"type": pa.string(), "threshold": pa.float64()}, rows)
 
 
 def threshold_join(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from .. import rules
 from ..functions.scoring import diff_risk, severity_rank
 from ..functions.text import located_matches, matches_any_glob, shannon_entropy
 from ..rules import SecretPattern
+from ..session import small_table
 
 HIT_FIELDS = ["column", "value", "pattern_name", "severity", "pattern_entropy"]
 DIFF_KEY = ["file", "line", "column", "pattern_name"]
@@ -18,10 +20,9 @@ DIFF_KEY = ["file", "line", "column", "pattern_name"]
 
 def pattern_table(spark, patterns: Sequence[SecretPattern]) -> DataFrame:
     """Patterns as a table."""
-    rows = [(p.name, p.regex, p.description, p.severity, p.entropy) for p in patterns]
-    return spark.createDataFrame(
-        rows, "name string, regex string, description string, severity string, entropy double"
-    )
+    text = ["name", "regex", "description", "severity"]
+    columns = {name: pa.string() for name in text} | {"entropy": pa.float64()}
+    return small_table(spark, columns, [tuple(getattr(p, c) for c in columns) for p in patterns])
 
 
 def all_patterns(

@@ -7,11 +7,14 @@ row number over a whole project is needed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.scoring import score_band
+from ..functions.text import label_map
 from ..operators.analytics import event_report
 from ..operators.licenses import (
     incompatible_packages,
@@ -28,25 +31,31 @@ from ..operators.vulnerabilities import (
     vuln_summary,
 )
 
-COLUMNS = ["section_no", "section", "item", "line_no", "text"]
-
-
-def _rows(df: DataFrame, key: str, no: int, section: str, item: Column, lines: list[Column]) -> DataFrame:
-    """One report row per non-null line of every input row."""
-    numbered = F.array(
-        *[F.struct(F.lit(i).alias("line_no"), text.alias("text")) for i, text in enumerate(lines)]
-    )
-    return (
-        df.select(
-            key,
-            F.lit(no).alias("section_no"),
-            F.lit(section).alias("section"),
-            item.cast("bigint").alias("item"),
-            F.explode(numbered).alias("l"),
+@dataclass(frozen=True)
+class Section:
+    """The lines one input row adds to one section."""
+
+    no: int
+    title: str
+    lines: list[Column]
+    item: Column = field(default_factory=lambda: F.lit(0))
+
+
+def _rows(df: DataFrame, key: str, *sections: Section) -> DataFrame:
+    """One report row per non-null line of every input row, all sections in one pass."""
+    lines = [
+        F.struct(
+            F.lit(s.no).alias("section_no"),
+            F.lit(s.title).alias("section"),
+            s.item.cast("bigint").alias("item"),
+            F.lit(i).alias("line_no"),
+            text.alias("text"),
         )
-        .select(key, "section_no", "section", "item", "l.line_no", "l.text")
-        .filter(F.col("text").isNotNull())
-    )
+        for s in sections
+        for i, text in enumerate(s.lines)
+    ]
+    kept = F.filter(F.array(*lines), lambda line: line["text"].isNotNull())
+    return df.select(key, F.explode(kept).alias("line")).select(key, "line.*")
 
 
 def _bullets(pairs: list[tuple[str, str]]) -> list[Column]:
@@ -56,125 +65,137 @@ def _bullets(pairs: list[tuple[str, str]]) -> list[Column]:
 
 
 def _recommendations(recs: DataFrame, no: int) -> DataFrame:
-    order = F.col("rec_no") * 1_000_000 + (F.col("page") if "page" in recs.columns else F.lit(0))
+    order = F.col("rec_no") * 1_000_000 + F.col("page")
     return _rows(
-        recs, "project_id", no, "Recommendations", order, [F.concat(F.lit("- "), F.col("text"))]
+        recs, "project_id",
+        Section(no, "Recommendations", [F.concat(F.lit("- "), F.col("text"))], order),
     )
 
 
 def vulnerability_report(vulns: DataFrame, report_time: str) -> DataFrame:
     """Heading, summary, score, recommendations and vulnerabilities by package."""
     scores = security_scores(vuln_summary(vulns))
-    heading = _rows(
-        scores, "project_id", 0, "Dependency Security Audit Report", F.lit(0),
-        [F.lit(f"**Generated:** {report_time}")],
+    score = F.concat(
+        F.lit("**"), F.col("score").cast("string"), F.lit("/100** "), score_band(F.col("score"))
     )
-    summary = _rows(
-        scores, "project_id", 1, "Summary", F.lit(0),
-        _bullets([
+    totals = _rows(
+        scores, "project_id",
+        Section(0, "Dependency Security Audit Report", [F.lit(f"**Generated:** {report_time}")]),
+        Section(1, "Summary", _bullets([
             ("Total Vulnerabilities", "total"), ("Critical", "critical"), ("High", "high"),
             ("Moderate", "moderate"), ("Low", "low"),
-        ]),
-    )
-    score = _rows(
-        scores, "project_id", 2, "Security Score", F.lit(0),
-        [F.concat(F.lit("**"), F.col("score").cast("string"), F.lit("/100** "), score_band(F.col("score")))],
+        ])),
+        Section(2, "Security Score", [score]),
     )
     packages = _rows(
-        group_by_package(vulns), "project_id", 4, "Vulnerabilities by Package", F.col("first_seq"),
-        [F.concat(F.lit("### "), F.col("package"), F.lit("@"), F.col("version"))],
+        group_by_package(vulns), "project_id",
+        Section(
+            4, "Vulnerabilities by Package",
+            [F.concat(F.lit("### "), F.col("package"), F.lit("@"), F.col("version"))],
+            F.col("first_seq"),
+        ),
+    )
+    found = F.concat(
+        F.lit("- **"), F.upper("severity"), F.lit(":** Vulnerability in "), F.col("package")
     )
     detail = _rows(
-        vulns, "project_id", 5, "Vulnerabilities", F.col("seq"),
-        [
-            F.concat(F.lit("- **"), F.upper("severity"), F.lit(":** Vulnerability in "), F.col("package")),
-            F.lit(f"  - {rules.NO_DESCRIPTION}"),
-            F.concat(F.lit("  - **Fixed in:** "), F.col("fixed_in")),
-        ],
+        vulns, "project_id",
+        Section(
+            5, "Vulnerabilities",
+            [
+                found,
+                F.lit(f"  - {rules.NO_DESCRIPTION}"),
+                F.concat(F.lit("  - **Fixed in:** "), F.col("fixed_in")),
+            ],
+            F.col("seq"),
+        ),
     )
-    parts = [heading, summary, score, _recommendations(vuln_recommendations(vulns), 3), packages, detail]
-    return _union(parts)
+    return _union([totals, _recommendations(vuln_recommendations(vulns), 3), packages, detail])
 
 
 def license_report(licenses: DataFrame, project_license: str, report_time: str) -> DataFrame:
     """Heading, summary, recommendations and incompatible packages."""
-    totals = license_summary(licenses)
-    heading = _rows(
-        totals, "project_id", 0, "License Compliance Report", F.lit(0),
-        [F.lit(f"**Generated:** {report_time}"), F.lit(f"**Project License:** {project_license}")],
-    )
-    summary = _rows(
-        totals, "project_id", 1, "Summary", F.lit(0),
-        _bullets([
+    totals = _rows(
+        license_summary(licenses), "project_id",
+        Section(0, "License Compliance Report", [
+            F.lit(f"**Generated:** {report_time}"),
+            F.lit(f"**Project License:** {project_license}"),
+        ]),
+        Section(1, "Summary", _bullets([
             ("Total Packages", "total"), ("Compatible", "compatible"),
             ("Incompatible", "incompatible"), ("Unknown", "unknown"), ("Total Issues", "issues"),
-        ]),
+        ])),
     )
     spdx = F.coalesce(F.nullif(F.col("spdx_id"), F.lit("")), F.lit("Unknown"))
+    lines = [
+        F.concat(F.lit("### "), F.col("name"), F.lit("@"), F.col("version")),
+        F.concat(F.lit("- **License:** "), F.col("license")),
+        F.concat(F.lit("- **SPDX ID:** "), spdx),
+        F.lit("- **Issues:**"),
+    ]
+    # a package has at most four issues
+    lines += [F.concat(F.lit("  - "), F.get("issues", F.lit(i))) for i in range(4)]
     packages = _rows(
-        incompatible_packages(licenses), "project_id", 3, "Incompatible Packages", F.col("seq"),
-        [
-            F.concat(F.lit("### "), F.col("name"), F.lit("@"), F.col("version")),
-            F.concat(F.lit("- **License:** "), F.col("license")),
-            F.concat(F.lit("- **SPDX ID:** "), spdx),
-            F.lit("- **Issues:**"),
-            *[
-                F.concat(F.lit("  - "), F.get("issues", F.lit(i)))
-                for i in range(4)  # a package has at most four issues
-            ],
-        ],
+        incompatible_packages(licenses), "project_id",
+        Section(3, "Incompatible Packages", lines, F.col("seq")),
     )
-    return _union([heading, summary, _recommendations(license_recommendations(licenses), 2), packages])
+    return _union([totals, _recommendations(license_recommendations(licenses), 2), packages])
 
 
 def license_audit_report(licenses: DataFrame) -> DataFrame:
     """Summary, incompatible and unknown packages, recommendations of the registry audit."""
-    totals = license_audit_summary(licenses)
+    summary = license_audit_summary(licenses)
 
     def point(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"  • {label}: "), value.cast("string"))
 
-    summary = _rows(
-        totals, "project_id", 1, "Summary", F.lit(0),
-        [
+    totals = _rows(
+        summary, "project_id",
+        Section(1, "Summary", [
             point("Total packages", F.col("total")), point("Compatible", F.col("compatible")),
             point("Incompatible", F.col("incompatible")), point("Unknown", F.col("unknown")),
             point("Risk Level", F.upper("risk_level")),
-        ],
+        ]),
     )
     place = F.concat(F.lit("  • "), F.col("name"), F.lit("@"), F.col("version"))
-    bad_projects = totals.filter(F.col("incompatible") > 0).select("project_id")
-    bad = _rows(
-        incompatible_packages(licenses).join(bad_projects, "project_id", "left_semi"),
-        "project_id", 2, "Incompatible Licenses", F.col("seq"),
-        [
-            F.concat(place, F.lit(" - "), F.col("license")),
-            *[F.concat(F.lit("    - "), F.get("issues", F.lit(i))) for i in range(2)],
-        ],
-    )
-    missing_projects = totals.filter(F.col("unknown") > 0).select("project_id")
-    unknown = _rows(
-        licenses.filter(F.col("license") == "unknown").join(missing_projects, "project_id", "left_semi"),
-        "project_id", 3, "Unknown Licenses", F.col("seq"), [place],
+    marked = licenses.join(
+        summary.select(
+            "project_id",
+            (F.col("incompatible") > 0).alias("has_bad"),
+            (F.col("unknown") > 0).alias("has_unknown"),
+        ),
+        "project_id",
+    )
+    is_bad = F.col("has_bad") & ~F.col("compatible")
+    is_unknown = F.col("has_unknown") & (F.col("license") == "unknown")
+    issues = [F.concat(F.lit("    - "), F.get("issues", F.lit(i))) for i in range(2)]
+    detail = _rows(
+        marked, "project_id",
+        Section(
+            2, "Incompatible Licenses",
+            [F.when(is_bad, x) for x in [F.concat(place, F.lit(" - "), F.col("license")), *issues]],
+            F.col("seq"),
+        ),
+        Section(3, "Unknown Licenses", [F.when(is_unknown, place)], F.col("seq")),
     )
     advice = _rows(
-        license_audit_recommendations(licenses), "project_id", 4, "Recommendations", F.col("rec_no"),
-        [F.concat(F.lit("  • "), F.col("text"))],
+        license_audit_recommendations(licenses), "project_id",
+        Section(4, "Recommendations", [F.concat(F.lit("  • "), F.col("text"))], F.col("rec_no")),
     )
-    return _union([summary, bad, unknown, advice])
+    return _union([totals, detail, advice])
 
 
 def changelog_report(commits: DataFrame) -> DataFrame:
-    """The entries of a changelog below their section titles, per repository."""
-    entries = changelog_entries(commits)
-    parts = []
-    for no, section in enumerate(rules.CHANGELOG_SECTIONS, start=1):
-        chosen = entries.filter(F.col("section") == section).drop("section")
-        parts.append(
-            _rows(chosen, "repo", no, rules.CHANGELOG_TITLES[section], F.col("seq"),
-                  [F.concat(F.lit("- "), F.col("entry"))])
-        )
-    return _union(parts)
+    """The entries of a changelog below their section titles, per repository; one pass."""
+    order = {name: no for no, name in enumerate(rules.CHANGELOG_SECTIONS, start=1)}
+    return changelog_entries(commits).select(
+        "repo",
+        label_map(order, F.col("section")).alias("section_no"),
+        label_map(rules.CHANGELOG_TITLES, F.col("section")).alias("section"),
+        F.col("seq").cast("bigint").alias("item"),
+        F.lit(0).alias("line_no"),
+        F.concat(F.lit("- "), F.col("entry")).alias("text"),
+    )
 
 
 def analytics_report(events: DataFrame, tool: str = rules.TOOL_NAME) -> DataFrame:

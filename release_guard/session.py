@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on; all are plain Spark options.
 SETTINGS = {
@@ -51,3 +52,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="release-guard-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, columns: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
+    """A configuration table as a local relation, whose exact size Spark knows."""
+    schema = pa.schema(list(columns.items()))
+    arrays = [pa.array([row[i] for row in rows], type=t) for i, t in enumerate(columns.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))

@@ -8,6 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Spark's own default writes milliseconds only.
+TIME_FORMATS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
 EVENT_SCHEMA = "seq bigint, type string, ts timestamp_ntz, actor string, value double, details string"
 FINDING_SCHEMA = (
     "file string, line int, column int, value string, pattern_name string, severity string,"
@@ -48,13 +53,13 @@ def write_baseline(findings: DataFrame, path: str) -> None:
 
 
 def export_table(df: DataFrame, path: str, format: str) -> None:
-    """Write a table as ``json`` or ``csv``."""
-    if format == "json":
-        df.write.mode("overwrite").json(path)
-    elif format == "csv":
-        df.write.mode("overwrite").option("header", "true").csv(path)
-    else:
+    """Write a table as ``json`` or ``csv``, times with all their digits."""
+    if format not in ("json", "csv"):
         raise ValueError(f"unknown format {format!r}")
+    writer = df.write.mode("overwrite").options(**TIME_FORMATS)
+    if format == "csv":
+        writer = writer.option("header", "true")
+    writer.format(format).save(path)
 
 
 def export_test_report(suites: DataFrame, path: str, format: str) -> None:

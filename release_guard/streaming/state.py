@@ -1,151 +1,98 @@
 """Alert and deployment state kept per key in a stream.
 
-Both jobs emit the new state of every key an update touched. A key without an
-update for the time limit is forgotten, so state does not grow for ever. Before
-the shuffle each Arrow batch is cut to the rows that can still matter, so a key
-that holds much of the input sends few rows.
-
-Times are carried as microseconds and are made timestamps on the way out.
+Each state is a few minima and maxima over the actions of a key, so it is an
+ordinary streaming aggregation: Spark combines the actions of a key in each
+task before the shuffle, and the store holds one short row per key. Run both in
+output mode ``update``; every micro-batch then emits the keys it changed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-IDLE_MS = 30 * 24 * 3600 * 1000
+from .. import rules
 
-ACTION_SCHEMA = "{} bigint, action string, actor string, at bigint, seq bigint"
-ALERT_STATE = "ack_by string, ack_at bigint, ack_seq bigint, res_at bigint, res_seq bigint"
-ALERT_OUT = "alert_id bigint, acknowledged_by string, ack_at bigint, res_at bigint"
-DEPLOYMENT_STATE = (
-    "reject_at bigint, reject_seq bigint,"
-    " approvers array<string>, approve_at array<bigint>, approve_seq array<bigint>"
-)
-DEPLOYMENT_OUT = "deployment_id bigint, status string, open_approvals bigint"
 
+def alert_state_stream(actions: DataFrame) -> DataFrame:
+    """State of every alert an action touched.
 
-def _actions(stream: DataFrame, key: str) -> DataFrame:
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return stream.select(key, "action", "actor", micros.alias("at"), "seq")
+    ``actions(alert_id, action, actor, ts, seq)``; acknowledging and resolving
+    are independent and the last action of each kind wins.
+    """
 
+    def last(kind: str) -> Column:
+        return F.max(F.when(F.col("action") == kind, F.struct("ts", "seq", "actor")))
 
-def _keep_one(columns: list[str], keep: str):
-    """Cut each Arrow batch to the first or last action per key columns."""
+    folded = actions.groupBy("alert_id").agg(
+        last("acknowledge").alias("ack"), last("resolve").alias("res")
+    )
+    return folded.select(
+        "alert_id",
+        F.col("ack").isNotNull().alias("acknowledged"),
+        F.col("ack.actor").alias("acknowledged_by"),
+        F.col("ack.ts").alias("acknowledged_at"),
+        F.col("res").isNotNull().alias("resolved"),
+        F.col("res.ts").alias("resolved_at"),
+    )
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.sort_values(["at", "seq"]).drop_duplicates(columns, keep=keep)
 
-    return cut
+def default_approvers() -> list[str]:
+    """Everybody some default environment asks for approval."""
+    return sorted({name for env in rules.ENVIRONMENTS for name in env[-1]})
 
 
-def _fold_alert(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    ack_by, ack_at, ack_seq, res_at, res_seq = state.get if state.exists else (None,) * 5
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.action == "acknowledge" and (ack_at is None or (row.at, row.seq) > (ack_at, ack_seq)):
-                ack_by, ack_at, ack_seq = row.actor, int(row.at), int(row.seq)
-            if row.action == "resolve" and (res_at is None or (row.at, row.seq) > (res_at, res_seq)):
-                res_at, res_seq = int(row.at), int(row.seq)
-    state.update((ack_by, ack_at, ack_seq, res_at, res_seq))
-    state.setTimeoutDuration(IDLE_MS)
-    out = pd.DataFrame({"alert_id": [key[0]], "acknowledged_by": [ack_by]})
-    out["ack_at"] = pd.array([ack_at], dtype="Int64")
-    out["res_at"] = pd.array([res_at], dtype="Int64")
-    yield out
+def deployment_state_stream(
+    actions: DataFrame, requests: DataFrame, environments: DataFrame,
+    approvers: Sequence[str] | None = None,
+) -> DataFrame:
+    """State of every deployment an action touched.
 
+    ``actions(deployment_id, approver, action, ts, seq)`` is a stream, the
+    requests and environments are tables. ``approvers`` names everybody the
+    environments may require; others have no say. ``open_approvals`` counts the
+    required approvals that did not come before the first rejection.
+    """
+    names = default_approvers() if approvers is None else list(approvers)
 
-def alert_state_stream(actions: DataFrame) -> DataFrame:
-    """State of every alert an action touched, for output mode ``update``.
+    def first(condition: Column) -> Column:
+        return F.min(F.when(condition, F.struct("ts", "seq")))
 
-    ``actions(alert_id, action, actor, ts, seq)``; acknowledging and resolving
-    are independent and the last action of each kind wins.
-    """
-    plain = _actions(actions, "alert_id")
-    cut = plain.mapInPandas(_keep_one(["alert_id", "action"], "last"), ACTION_SCHEMA.format("alert_id"))
-    states = cut.groupBy("alert_id").applyInPandasWithState(
-        _fold_alert, ALERT_OUT, ALERT_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+    approved = F.col("action") == "approve"
+    folded = actions.groupBy("deployment_id").agg(
+        first(F.col("action") == "reject").alias("rejected"),
+        *[first(approved & (F.col("approver") == n)).alias(f"by_{i}") for i, n in enumerate(names)],
     )
-    return states.select(
-        "alert_id",
-        F.col("ack_at").isNotNull().alias("acknowledged"),
-        "acknowledged_by",
-        F.timestamp_micros("ack_at").alias("acknowledged_at"),
-        F.col("res_at").isNotNull().alias("resolved"),
-        F.timestamp_micros("res_at").alias("resolved_at"),
+
+    def in_time(i: int) -> Column:
+        return F.col(f"by_{i}").isNotNull() & (
+            F.col("rejected").isNull() | (F.col(f"by_{i}") < F.col("rejected"))
+        )
+
+    given = F.array_compact(
+        F.array(*[F.when(in_time(i), n) for i, n in enumerate(names)]).cast("array<string>")
+    )
+    still_open = F.size(F.array_except(F.col("required"), given)).cast("bigint")
+    status = (
+        F.when(F.col("rejected").isNotNull(), "cancelled")
+        .when(still_open == 0, "approved")
+        .otherwise("pending")
+    )
+    return folded.join(_required(requests, environments), "deployment_id").select(
+        "deployment_id", status.alias("status"), still_open.alias("open_approvals")
     )
 
 
-def _fold_deployment(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rejected, approved, required = None, {}, None
-    if state.exists:
-        reject_at, reject_seq, approvers, times, seqs = state.get
-        rejected = None if reject_at is None else (reject_at, reject_seq)
-        required = list(approvers)
-        approved = {a: (t, s) for a, t, s in zip(approvers, times, seqs) if t is not None}
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            if required is None:
-                required = list(row.required)
-            at = (int(row.at), int(row.seq))
-            if row.action == "reject":
-                rejected = at if rejected is None else min(rejected, at)
-            elif row.action == "approve" and row.actor in required:
-                approved[row.actor] = min(approved.get(row.actor, at), at)
-    in_time = [a for a in required if a in approved and (rejected is None or approved[a] < rejected)]
-    still_open = len(required) - len(in_time)
-    status = "cancelled" if rejected else "pending" if still_open else "approved"
-    nothing = (None, None)
-    state.update((
-        *(rejected or nothing),
-        required,
-        [approved.get(a, nothing)[0] for a in required],
-        [approved.get(a, nothing)[1] for a in required],
-    ))
-    state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame({"deployment_id": [key[0]], "status": [status], "open_approvals": [still_open]})
-
-
-def deployment_state_stream(actions: DataFrame, requests: DataFrame, environments: DataFrame) -> DataFrame:
-    """State of every deployment an action touched, for output mode ``update``.
-
-    ``actions(deployment_id, actor, action, ts, seq)`` is a stream, the requests
-    and environments are tables. ``open_approvals`` counts the required
-    approvals that did not come before the first rejection.
-    """
+def _required(requests: DataFrame, environments: DataFrame) -> DataFrame:
+    """Who has to approve each deployment; nobody where approval is automatic."""
     nobody = F.array().cast("array<string>")
     env = environments.select(
         F.col("name").alias("environment"), F.col("auto_approve").alias("env_auto"), "required_approvers"
     )
     automatic = F.coalesce("env_auto", F.lit(False)) | F.coalesce("auto_approve", F.lit(False))
-    needed = requests.join(env, "environment", "left").select(
+    return requests.join(env, "environment", "left").select(
         "deployment_id",
         F.when(automatic, nobody).otherwise(F.coalesce("required_approvers", nobody)).alias("required"),
     )
-    plain = _actions(actions, "deployment_id")
-    cut = plain.mapInPandas(
-        _keep_one(["deployment_id", "actor", "action"], "first"), ACTION_SCHEMA.format("deployment_id")
-    )
-    return (
-        cut.join(needed, "deployment_id")
-        .groupBy("deployment_id")
-        .applyInPandasWithState(
-            _fold_deployment, DEPLOYMENT_OUT, DEPLOYMENT_STATE, "update",
-            GroupStateTimeout.ProcessingTimeTimeout,
-        )
-    )
