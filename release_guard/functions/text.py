@@ -82,3 +82,13 @@ def label_map(mapping: dict, key: Column) -> Column:
     """Look a key up in a short fixed mapping; null when absent."""
     pairs = [F.lit(part) for pair in mapping.items() for part in pair]
     return F.try_element_at(F.create_map(*pairs), key)
+
+
+def explode_once(array: Column) -> Column:
+    """``explode`` for an array that is costly to make.
+
+    For a plain ``explode`` Spark first filters on the size of the array, which
+    makes the array twice and may move that work in front of cheaper filters.
+    The outer form is left alone; drop its null rows afterwards.
+    """
+    return F.explode_outer(array)

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.prefilter import may_match, portable
 from ..functions.scoring import diff_risk, severity_rank
-from ..functions.text import located_matches, matches_any_glob, shannon_entropy
+from ..functions.text import explode_once, located_matches, matches_any_glob, shannon_entropy
 from ..rules import SecretPattern
 from ..session import small_table
 
@@ -70,10 +71,21 @@ def split_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def any_pattern(patterns: Sequence[SecretPattern], tokens: bool = False) -> str:
-    """One regex that matches wherever one of the patterns does."""
-    parts = [f"(?:{p.regex})" for p in patterns]
-    return "|".join(parts + [rules.TOKEN_REGEX] if tokens else parts)
+def regexes(patterns: Sequence[SecretPattern], tokens: bool = False) -> list[str]:
+    """What a scan looks for: the patterns and, if wanted, long tokens."""
+    return [p.regex for p in patterns] + ([rules.TOKEN_REGEX] if tokens else [])
+
+
+def suspect_files(files: DataFrame, patterns: Sequence[SecretPattern]) -> DataFrame:
+    """Files that may hold a finding.
+
+    A pattern that depends on the ends of a line or on its surroundings cannot
+    be tested on a whole file; then all files are kept.
+    """
+    wanted = regexes(patterns, tokens=True)
+    if not all(portable(r) for r in wanted):
+        return files
+    return files.filter(may_match(F.col("content"), wanted))
 
 
 def _pattern_hits(text: Column, patterns: Sequence[SecretPattern]) -> Column:
@@ -120,7 +132,9 @@ def _token_hits(text: Column, named: Column) -> Column:
 
 def _as_findings(lines: DataFrame, hits: str) -> DataFrame:
     rest = [c for c in lines.columns if c not in ("text", "named", hits)]
-    exploded = lines.select(*rest, "text", F.explode(hits).alias("hit"))
+    exploded = lines.select(*rest, "text", explode_once(F.col(hits)).alias("hit")).filter(
+        F.col("hit").isNotNull()
+    )
     return exploded.select(
         *rest,
         *[F.col(f"hit.{name}").alias(name) for name in HIT_FIELDS],
@@ -132,8 +146,8 @@ def _as_findings(lines: DataFrame, hits: str) -> DataFrame:
 def match_patterns(
     lines: DataFrame, patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS)
 ) -> DataFrame:
-    """Findings of the named patterns; most lines fail the one combined regex."""
-    gated = lines.filter(F.col("text").rlike(any_pattern(patterns)))
+    """Findings of the named patterns; most lines fail the first test."""
+    gated = lines.filter(may_match(F.col("text"), regexes(patterns)))
     return _as_findings(gated.withColumn("hits", _pattern_hits(F.col("text"), patterns)), "hits")
 
 
@@ -143,7 +157,7 @@ def high_entropy_tokens(
     patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS),
 ) -> DataFrame:
     """Long random-looking tokens that no named pattern explains."""
-    gated = lines.filter(F.col("text").rlike(rules.TOKEN_REGEX))
+    gated = lines.filter(may_match(F.col("text"), [rules.TOKEN_REGEX]))
     located = gated.withColumn("named", _pattern_hits(F.col("text"), patterns)).withColumn(
         "hits", _token_hits(F.col("text"), F.col("named"))
     )
@@ -152,7 +166,7 @@ def high_entropy_tokens(
 
 def all_hits(lines: DataFrame, patterns: Sequence[SecretPattern]) -> DataFrame:
     """Hits of named patterns and long tokens in one pass over the lines."""
-    gated = lines.filter(F.col("text").rlike(any_pattern(patterns, tokens=True)))
+    gated = lines.filter(may_match(F.col("text"), regexes(patterns, tokens=True)))
     located = gated.withColumn("named", _pattern_hits(F.col("text"), patterns)).withColumn(
         "hits", F.concat("named", _token_hits(F.col("text"), F.col("named")))
     )

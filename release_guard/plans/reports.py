@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.scoring import score_band
-from ..functions.text import label_map
+from ..functions.text import explode_once, label_map
 from ..operators.analytics import event_report
 from ..operators.licenses import (
     incompatible_packages,
@@ -55,7 +55,8 @@ def _rows(df: DataFrame, key: str, *sections: Section) -> DataFrame:
         for i, text in enumerate(s.lines)
     ]
     kept = F.filter(F.array(*lines), lambda line: line["text"].isNotNull())
-    return df.select(key, F.explode(kept).alias("line")).select(key, "line.*")
+    rows = df.select(key, explode_once(kept).alias("line")).filter(F.col("line").isNotNull())
+    return rows.select(key, "line.*")
 
 
 def _bullets(pairs: list[tuple[str, str]]) -> list[Column]:

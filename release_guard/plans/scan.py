@@ -24,14 +24,14 @@ def secret_scan(
 ) -> DataFrame:
     """Findings of a scan over ``files(file, content, ...)``.
 
-    Files that match nothing are dropped before they are cut into lines. All
+    Files that can match nothing are dropped before they are cut into lines. All
     steps are narrow; only a large allow list can bring a shuffle, and then of
     findings, not of files.
     """
     if pre_scan is not None:
         files = files.transform(pre_scan)
-    suspects = files.filter(F.col("content").rlike(s.any_pattern(patterns, tokens=True)))
-    findings = s.entropy_filter(s.all_hits(s.split_lines(suspects), patterns), threshold)
+    lines = s.split_lines(s.suspect_files(files, patterns))
+    findings = s.entropy_filter(s.all_hits(lines, patterns), threshold)
     findings = findings.drop("pattern_entropy")
     if allowed is not None:
         findings = s.apply_allowlist(findings, allowed)

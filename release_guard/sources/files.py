@@ -40,7 +40,7 @@ def read_files(
     if max_size is not None:
         listed = listed.filter(F.col("_metadata.file_size") <= max_size)
     return listed.select(
-        name.alias("file"), F.col("content").cast("string").alias("content"), F.col("length").alias("size")
+        name.alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("size")
     )
 
 

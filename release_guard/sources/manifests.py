@@ -17,7 +17,10 @@ AUDIT_SCHEMA = (
 
 
 def explode_manifest(df: DataFrame, include_dev: bool = False, column: str = "manifest_json") -> DataFrame:
-    """One row per dependency of a manifest; a dev entry replaces a prod entry of its name."""
+    """One row per dependency of a manifest; a dev entry replaces a prod entry of its name.
+
+    The outer form of ``posexplode`` keeps Spark from reading the JSON twice.
+    """
     rest = [c for c in df.columns if c != column]
     empty = F.create_map().cast("map<string,string>")
     parsed = df.select(*rest, F.from_json(column, MANIFEST_SCHEMA).alias("m"))
@@ -34,7 +37,8 @@ def explode_manifest(df: DataFrame, include_dev: bool = False, column: str = "ma
 
     prod_only = F.map_filter(prod, lambda k, _: ~F.map_contains_key(dev, k))
     entries = F.concat(listed(prod_only, "prod"), listed(dev, "dev"))
-    return parsed.select(*rest, F.posexplode(entries).alias("seq", "d")).select(
+    rows = parsed.select(*rest, F.posexplode_outer(entries).alias("seq", "d"))
+    return rows.filter(F.col("d").isNotNull()).select(
         *rest, F.col("seq").cast("bigint").alias("seq"), "d.*"
     )
 
@@ -47,8 +51,8 @@ def parse_audit_json(df: DataFrame, audit_time: str, column: str = "audit_json")
     """
     rest = [c for c in df.columns if c != column]
     exploded = df.select(*rest, F.from_json(column, AUDIT_SCHEMA).alias("doc")).select(
-        *rest, F.posexplode(F.map_entries("doc.vulnerabilities")).alias("seq", "e")
-    )
+        *rest, F.posexplode_outer(F.map_entries("doc.vulnerabilities")).alias("seq", "e")
+    ).filter(F.col("e").isNotNull())
 
     def given(name: str):
         return F.nullif(F.col(f"e.value.{name}"), F.lit(""))
