@@ -34,11 +34,13 @@ def audited(sp, sf, mode="reference"):
 
 
 def merged(sp, sf):
+    return lic.merge_scopes(manifest(sp, sf))
+
+
+def _merged_tables(sp, sf):
     both = manifest(sp, sf)
-    return lic.merge_deps(
-        lic.production_only(both).drop("dep_scope"),
-        both.filter(F.col("dep_scope") == "dev").drop("dep_scope"),
-    )
+    dev = both.filter(F.col("dep_scope") == "dev")
+    return lic.merge_deps(lic.production_only(both).drop("dep_scope"), dev.drop("dep_scope"))
 
 
 def _text(df):
@@ -56,7 +58,7 @@ def _allow_free(sp, sf):
 
 QUERIES = {
     "production_only": lambda sp, sf: lic.production_only(manifest(sp, sf)),
-    "merge_deps": merged,
+    "merge_deps": _merged_tables,
     "resolve_licenses": lambda sp, sf: lic.resolve_licenses(manifest(sp, sf), installed(sp, sf)),
     "normalize_license": lambda sp, sf: installed(sp, sf).select(
         "seq", normalize_license(F.col("license")).alias("spdx"), squash_license(F.col("license")).alias("squashed")

@@ -88,7 +88,7 @@ ORACLES = {
     "alert_state": f"{STATES} select * from states",
     "alerts_query": f"{STATES} select * from states where not resolved order by alert_id desc limit 100",
     "retain_recent": f"{METRICS} select * from fx_metrics where ts > timestamp '{NOW}' - interval 30 day",
-    "cap_rows": f"{METRICS} select * from fx_metrics order by seq desc limit 500",
+    "cap_rows": f"{METRICS} select * from fx_metrics order by ts desc, seq desc limit 500",
     "monitor_stats": f"""{STATES} select (select count(*) from fx_metrics) as total_metrics,
  (select count(*) from states) as total_alerts, (select count(*) from states where not resolved) as active_alerts""",
     "performance_state": f"""{with_views('fx_perf_updates')} select source, seq, ts,

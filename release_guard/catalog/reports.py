@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import rules
 from ..fixtures import frame, with_views
 from ..plans import reports as r
+from ..session import stored
 from . import licenses as lic
 from . import versions as ver
 from . import vulnerabilities as vul
@@ -13,8 +14,12 @@ REPORT_TIME = "2024-01-31T00:00:00Z"
 
 QUERIES = {
     "report_rows": lambda sp, sf: r.vulnerability_report(vul.vulns(sp, sf), REPORT_TIME),
-    "license_report": lambda sp, sf: r.license_report(lic.packages(sp, sf), lic.PROJECT, REPORT_TIME),
-    "license_audit_report": lambda sp, sf: r.license_audit_report(lic.audited(sp, sf, "normalized")),
+    "license_report": lambda sp, sf: r.license_report(
+        stored(lic.packages(sp, sf), "packages"), lic.PROJECT, REPORT_TIME
+    ),
+    "license_audit_report": lambda sp, sf: r.license_audit_report(
+        stored(lic.audited(sp, sf, "normalized"), "licenses")
+    ),
     "changelog_report": lambda sp, sf: r.changelog_report(frame(sp, sf, "fx_commits")),
     "analytics_report": lambda sp, sf: r.analytics_report(frame(sp, sf, "fx_events")),
 }

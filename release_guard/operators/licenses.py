@@ -22,12 +22,20 @@ def production_only(deps: DataFrame) -> DataFrame:
     return deps.filter(F.col("dep_scope") == "prod")
 
 
+def merge_scopes(manifest: DataFrame) -> DataFrame:
+    """One row per dependency of both scopes; the dev entry wins where a name is in both."""
+    newest = F.max_by("version_range", F.struct(F.col("dep_scope") == "dev", "version_range"))
+    return manifest.groupBy("project_id", "name").agg(
+        newest.alias("version_range"), F.min("seq").alias("seq")
+    )
+
+
 def merge_deps(prod: DataFrame, dev: DataFrame) -> DataFrame:
-    """Dependencies of both scopes; the dev entry wins where a name is in both."""
-    both = prod.withColumn("prio", F.lit(0)).unionByName(dev.withColumn("prio", F.lit(1)))
-    version = F.max_by("version_range", F.struct("prio", "version_range"))
-    return both.groupBy("project_id", "name").agg(
-        version.alias("version_range"), F.min("seq").alias("seq")
+    """The same for two tables, one per scope."""
+    return merge_scopes(
+        prod.withColumn("dep_scope", F.lit("prod")).unionByName(
+            dev.withColumn("dep_scope", F.lit("dev"))
+        )
     )
 
 
@@ -35,12 +43,7 @@ def resolve_licenses(
     manifest: DataFrame, installed: DataFrame, include_dev: bool = False
 ) -> DataFrame:
     """Licence of every installed dependency; dependencies not installed are left out."""
-    prod = production_only(manifest).drop("dep_scope")
-    if include_dev:
-        dev = manifest.filter(F.col("dep_scope") == "dev").drop("dep_scope")
-        deps = merge_deps(prod, dev)
-    else:
-        deps = prod
+    deps = merge_scopes(manifest) if include_dev else production_only(manifest)
     license_name = F.coalesce(F.nullif(F.col("license"), F.lit("")), F.lit("UNKNOWN"))
     return deps.join(
         installed.select("name", license_name.alias("license")), "name", "inner"

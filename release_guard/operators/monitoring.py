@@ -53,9 +53,25 @@ def retain_recent(
     return metrics.filter(F.col("ts") > now - F.make_dt_interval(days=F.lit(days)))
 
 
-def cap_rows(metrics: DataFrame, max_points: int = rules.METRIC_CAPACITY, order: str = "seq") -> DataFrame:
-    """The newest rows up to the capacity of the store."""
-    return metrics.orderBy(F.desc(order)).limit(max_points)
+def cap_rows(
+    metrics: DataFrame, max_points: int = rules.METRIC_CAPACITY, bucket: str = "minute"
+) -> DataFrame:
+    """The newest rows up to the capacity of the store.
+
+    A count per time bucket tells how far back the newest rows reach. Only rows
+    from there on enter the top-k, so its last task does not get the capacity
+    times the number of tasks.
+    """
+    from_newest = Window.orderBy(F.desc("bucket"))
+    counts = metrics.groupBy(F.date_trunc(bucket, F.col("ts")).alias("bucket")).agg(
+        F.count("*").alias("n")
+    )
+    reached = counts.select("bucket", F.sum("n").over(from_newest).alias("total")).filter(
+        F.col("total") >= max_points
+    )
+    start = reached.agg(F.max("bucket")).scalar()
+    recent = metrics.filter((F.date_trunc(bucket, F.col("ts")) >= start) | start.isNull())
+    return recent.orderBy(F.desc("ts"), F.desc("seq")).limit(max_points)
 
 
 def monitor_stats(metrics: DataFrame, alerts: DataFrame) -> DataFrame:

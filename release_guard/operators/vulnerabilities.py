@@ -100,19 +100,22 @@ def vuln_recommendations(
     vulnerability gets its sentence too. A sentence that names packages is
     repeated per page of names, see ``ordered_pages``.
     """
-    counts = vuln_summary(vulns, by)
+    say = rules.VULN_SENTENCES
+    rows = vulns.select(*by, "severity")
+    if projects is not None:
+        rows = rows.unionByName(projects.select(*by, F.lit(None).cast("string").alias("severity")))
+    levels = ["critical", "high", "moderate"]
+    counts = rows.groupBy(*by).agg(
+        F.count("severity").alias("total"),
+        *[F.count_if(F.col("severity") == level).alias(level) for level in levels],
+    )
+    texts = [
+        (no, F.when(F.col(level) > 0, say[level])) for no, level in enumerate(levels, start=1)
+    ] + [(6, F.when(F.col("total") == 0, say["clean"]))]
     sentences = counts.select(
         *by,
         F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("rec_no"),
-                        F.when(F.col(level) > 0, rules.VULN_SENTENCES[level]).alias("text"),
-                    )
-                    for n, level in enumerate(["critical", "high", "moderate"], start=1)
-                ]
-            )
+            F.array(*[F.struct(F.lit(no).alias("rec_no"), text.alias("text")) for no, text in texts])
         ).alias("s"),
     ).select(*by, "s.rec_no", F.lit(0).cast("bigint").alias("page"), "s.text")
 
@@ -124,24 +127,10 @@ def vuln_recommendations(
         F.when(fixable, 4).otherwise(5).alias("rec_no"),
         "page",
         F.concat(
-            F.when(fixable, rules.VULN_SENTENCES["fixable"]).otherwise(
-                rules.VULN_SENTENCES["unfixable"]
-            ),
-            F.array_join("items", ", "),
+            F.when(fixable, say["fixable"]).otherwise(say["unfixable"]), F.array_join("items", ", ")
         ).alias("text"),
     )
-    parts = sentences.filter(F.col("text").isNotNull()).unionByName(names)
-    if projects is not None:
-        clean = projects.select(*by).distinct().join(counts.select(*by), list(by), "left_anti")
-        parts = parts.unionByName(
-            clean.select(
-                *by,
-                F.lit(6).alias("rec_no"),
-                F.lit(0).cast("bigint").alias("page"),
-                F.lit(rules.VULN_SENTENCES["clean"]).alias("text"),
-            )
-        )
-    return parts
+    return sentences.filter(F.col("text").isNotNull()).unionByName(names)
 
 
 def latest_within_ttl(

@@ -2,7 +2,8 @@
 
 A report row has ``section_no``, ``item`` (order inside the section) and
 ``line_no`` (order inside the item). Sorting by the three gives the text; no
-row number over a whole project is needed.
+row number over a whole project is needed. A report reads its input several
+times; hand it a stored table where the input is costly to make.
 """
 
 from __future__ import annotations

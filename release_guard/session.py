@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"release-guard-{application}-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the shared checkpoint folder of the session.
 
@@ -49,8 +55,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="release-guard-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -59,3 +64,14 @@ def small_table(spark: SparkSession, columns: dict[str, pa.DataType], rows: list
     schema = pa.schema(list(columns.items()))
     arrays = [pa.array([row[i] for row in rows], type=t) for i, t in enumerate(columns.values())]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    For a table that several jobs read: it is computed once, and what follows
+    does not depend on the executors that made it.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
