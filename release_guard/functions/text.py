@@ -21,30 +21,34 @@ def shannon_entropy(value: Column) -> Column:
     return F.when(length > 0, total).when(length == 0, F.lit(0.0))
 
 
-def located_matches(text: Column, regex: str) -> Column:
-    """All matches of a regex with their 1-based column, in order.
+def sql_string(text: str) -> str:
+    """A text as a Spark SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def located_matches(column: str, regex: str) -> Column:
+    """All matches of a regex in a column with their 1-based position, in order.
 
     ``split`` with a limit of -1 returns the text between the very matches that
     ``regexp_extract_all`` returns, so summing the lengths of both gives exact
-    columns for any pattern, look-around and word boundaries included.
+    positions for any pattern, look-around and word boundaries included.
     """
-    values = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(values))
-    steps = F.zip_with(
-        gaps, values, lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("value"))
+    pattern = sql_string(regex)
+    return F.expr(
+        f"""
+        aggregate(
+          zip_with(
+            slice(split({column}, {pattern}, -1), 1, size(regexp_extract_all({column}, {pattern}, 0))),
+            regexp_extract_all({column}, {pattern}, 0),
+            (gap, value) -> struct(length(gap) as gap, value)),
+          struct(1 as next, cast(array() as {HIT_TYPE}) as hits),
+          (found, step) -> struct(
+            found.next + step.gap + length(step.value) as next,
+            array_append(found.hits, struct(found.next + step.gap as column, step.value as value)) as hits),
+          found -> found.hits)
+        """
     )
 
-    def advance(state: Column, step: Column) -> Column:
-        start = state["next"] + step["gap"]
-        hit = F.struct(start.alias("column"), step["value"].alias("value"))
-        return F.struct(
-            (start + F.length(step["value"])).alias("next"),
-            F.array_append(state["hits"], hit).alias("hits"),
-        )
-
-    start = F.struct(F.lit(1).alias("next"), F.array().cast(HIT_TYPE).alias("hits"))
-    return F.aggregate(steps, start, advance, lambda state: state["hits"])
-
 
 def number_text(value: Column) -> Column:
     """A number without a trailing ``.0`` and without an exponent."""

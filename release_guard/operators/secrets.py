@@ -15,7 +15,6 @@ from ..functions.text import explode_once, located_matches, matches_any_glob, sh
 from ..rules import SecretPattern
 from ..session import small_table
 
-HIT_FIELDS = ["column", "value", "pattern_name", "severity", "pattern_entropy"]
 DIFF_KEY = ["file", "line", "column", "pattern_name"]
 
 
@@ -88,56 +87,46 @@ def suspect_files(files: DataFrame, patterns: Sequence[SecretPattern]) -> DataFr
     return files.filter(may_match(F.col("content"), wanted))
 
 
-def _pattern_hits(text: Column, patterns: Sequence[SecretPattern]) -> Column:
-    """All hits of all patterns in one line as one array."""
+def _named_hits(patterns: Sequence[SecretPattern]) -> Column:
+    """The hits in one line, an array per pattern in the order of the patterns."""
+    return F.array(*[located_matches("text", p.regex) for p in patterns])
 
-    def tagged(p: SecretPattern) -> Column:
-        return F.transform(
-            located_matches(text, p.regex),
-            lambda h: F.struct(
-                h["column"].alias("column"),
-                h["value"].alias("value"),
-                F.lit(p.name).alias("pattern_name"),
-                F.lit(p.severity).alias("severity"),
-                F.lit(p.entropy).cast("double").alias("pattern_entropy"),
-            ),
-        )
-
-    return F.flatten(F.array(*[tagged(p) for p in patterns]))
 
-
-def _token_hits(text: Column, named: Column) -> Column:
+def _token_hits() -> Column:
     """Long tokens of a line that do not overlap a hit of a named pattern."""
 
     def overlaps(token: Column) -> Column:
         end = token["column"] + F.length(token["value"])
         return F.exists(
-            named,
+            F.flatten("named"),
             lambda n: (n["column"] < end)
             & (token["column"] < n["column"] + F.length(n["value"])),
         )
 
-    kept = F.filter(located_matches(text, rules.TOKEN_REGEX), lambda t: ~overlaps(t))
-    return F.transform(
-        kept,
-        lambda h: F.struct(
-            h["column"].alias("column"),
-            h["value"].alias("value"),
-            F.lit(rules.TOKEN_PATTERN_NAME).alias("pattern_name"),
-            F.lit(rules.TOKEN_SEVERITY).alias("severity"),
-            F.lit(None).cast("double").alias("pattern_entropy"),
-        ),
-    )
+    return F.filter(located_matches("text", rules.TOKEN_REGEX), lambda t: ~overlaps(t))
 
 
-def _as_findings(lines: DataFrame, hits: str) -> DataFrame:
+TOKENS = SecretPattern(rules.TOKEN_PATTERN_NAME, rules.TOKEN_REGEX, rules.TOKEN_SEVERITY)
+
+
+def _as_findings(lines: DataFrame, hits: str, patterns: Sequence[SecretPattern]) -> DataFrame:
+    """One row per hit; ``hits`` holds an array per pattern."""
     rest = [c for c in lines.columns if c not in ("text", "named", hits)]
-    exploded = lines.select(*rest, "text", explode_once(F.col(hits)).alias("hit")).filter(
-        F.col("hit").isNotNull()
+    per_pattern = lines.select(*rest, "text", F.posexplode_outer(hits).alias("no", "found")).filter(
+        F.size("found") > 0
     )
-    return exploded.select(
+    per_hit = per_pattern.select(*rest, "text", "no", explode_once(F.col("found")).alias("hit"))
+
+    def of_pattern(values: list, kind: str) -> Column:
+        return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("no"))
+
+    return per_hit.select(
         *rest,
-        *[F.col(f"hit.{name}").alias(name) for name in HIT_FIELDS],
+        F.col("hit.column").alias("column"),
+        F.col("hit.value").alias("value"),
+        of_pattern([p.name for p in patterns], "string").alias("pattern_name"),
+        of_pattern([p.severity for p in patterns], "string").alias("severity"),
+        of_pattern([p.entropy for p in patterns], "double").alias("pattern_entropy"),
         F.round(shannon_entropy(F.col("hit.value")), 6).alias("entropy"),
         F.col("text").alias("context"),
     )
@@ -148,7 +137,7 @@ def match_patterns(
 ) -> DataFrame:
     """Findings of the named patterns; most lines fail the first test."""
     gated = lines.filter(may_match(F.col("text"), regexes(patterns)))
-    return _as_findings(gated.withColumn("hits", _pattern_hits(F.col("text"), patterns)), "hits")
+    return _as_findings(gated.withColumn("hits", _named_hits(patterns)), "hits", patterns)
 
 
 def high_entropy_tokens(
@@ -158,19 +147,19 @@ def high_entropy_tokens(
 ) -> DataFrame:
     """Long random-looking tokens that no named pattern explains."""
     gated = lines.filter(may_match(F.col("text"), [rules.TOKEN_REGEX]))
-    located = gated.withColumn("named", _pattern_hits(F.col("text"), patterns)).withColumn(
-        "hits", _token_hits(F.col("text"), F.col("named"))
+    located = gated.withColumn("named", _named_hits(patterns)).withColumn(
+        "hits", F.array(_token_hits())
     )
-    return entropy_filter(_as_findings(located, "hits"), threshold)
+    return entropy_filter(_as_findings(located, "hits", [TOKENS]), threshold)
 
 
 def all_hits(lines: DataFrame, patterns: Sequence[SecretPattern]) -> DataFrame:
     """Hits of named patterns and long tokens in one pass over the lines."""
     gated = lines.filter(may_match(F.col("text"), regexes(patterns, tokens=True)))
-    located = gated.withColumn("named", _pattern_hits(F.col("text"), patterns)).withColumn(
-        "hits", F.concat("named", _token_hits(F.col("text"), F.col("named")))
+    located = gated.withColumn("named", _named_hits(patterns)).withColumn(
+        "hits", F.concat("named", F.array(_token_hits()))
     )
-    return _as_findings(located, "hits")
+    return _as_findings(located, "hits", [*patterns, TOKENS])
 
 
 def entropy_filter(findings: DataFrame, threshold: float = rules.ENTROPY_THRESHOLD) -> DataFrame:
