@@ -131,8 +131,9 @@ VIEWS: dict[str, View] = {
         "fixed_in": f"case when l_returnflag = 'R' then concat({_text('l_linenumber + 1')}, '.0.0') end",
         "advisory_id": "l_orderkey",
     }),
+    # one audit document per project
     "fx_audit_json": View("fx_vulns", {
-        "project_id": "project_id",
+        "project_id": "advisory_id * 8 + seq % 8",
         "package": "package",
         "audit_json": """case when severity is null then '{"metadata":{}}' else
  concat('{"vulnerabilities":{"', package, '":{"severity":"', severity, '","version":"', version,

@@ -30,7 +30,11 @@ def version_analysis(commits: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def dependency_audit(docs: DataFrame, audit_time: str) -> dict[str, DataFrame]:
-    """All tables of a dependency audit from ``docs(project_id, audit_json)``."""
+    """All tables of a dependency audit from ``docs(project_id, audit_json)``.
+
+    There is one document per project; ``latest_within_ttl`` picks it where
+    several are stored.
+    """
     vulns = parse_audit_json(docs, audit_time)
     summary = vul.security_scores(vul.vuln_summary(vulns))
     return {
