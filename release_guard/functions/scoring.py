@@ -129,8 +129,20 @@ def health_status(heap_bytes: Column) -> Column:
 
 
 def cvss_or_null(cvss: Column) -> Column:
-    """Keep a CVSS struct only when both its typed parts could be read."""
-    return F.when(cvss["score"].isNotNull() & cvss["vector"].isNotNull(), cvss)
+    """Score and vector of a CVSS struct of variants.
+
+    Null unless the score is a JSON number and the vector a JSON string.
+    """
+    score, vector = cvss["score"], cvss["vector"]
+    is_number = F.schema_of_variant(score).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    is_text = F.schema_of_variant(vector) == "STRING"
+    return F.when(
+        is_number & is_text,
+        F.struct(
+            F.try_variant_get(score, "$", "double").alias("score"),
+            F.try_variant_get(vector, "$", "string").alias("vector"),
+        ),
+    )
 
 
 def metric_labels(name: Column, labels: Column) -> Column:

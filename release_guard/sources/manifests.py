@@ -9,10 +9,11 @@ from .. import rules
 from ..functions.scoring import cvss_or_null, map_severity
 
 MANIFEST_SCHEMA = "dependencies map<string,string>, devDependencies map<string,string>"
+# The parts of cvss are variants: their JSON types decide whether they count.
 AUDIT_SCHEMA = (
     "vulnerabilities map<string, struct<id string, title string, description string,"
     " severity string, version string, fixedIn string, cwe array<string>,"
-    " cvss struct<score double, vector string>, references array<string>, advisory string>>"
+    " cvss struct<score variant, vector variant>, references array<string>, advisory string>>"
 )
 
 

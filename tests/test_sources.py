@@ -57,12 +57,17 @@ def test_audit_documents(rows):
         "a": {"severity": None, "cvss": {"score": "high", "vector": "v"}},
         "b": {"id": "X", "severity": "CRITICAL", "version": "1", "cvss": {"score": 9, "vector": "v"}, "cwe": ["C"]},
     }
+    vulns["c"] = {"severity": "low", "cvss": {"score": "7.5", "vector": "v"}}
+    vulns["d"] = {"severity": "low", "cvss": {"score": 7.5, "vector": 5}}
+    vulns["e"] = {"severity": "low", "cvss": "none"}
     docs = rows("project_id bigint, audit_json string", (1, json.dumps({"vulnerabilities": vulns})),
                 (2, "{}"), (3, '{"vulnerabilities":{}}'), (4, None))
     found = manifests.parse_audit_json(docs, "T").orderBy("seq").collect()
-    assert [(r["project_id"], r["seq"], r["id"], r["severity"], r["version"]) for r in found] == [
+    assert [(r["project_id"], r["seq"], r["id"], r["severity"], r["version"]) for r in found[:2]] == [
         (1, 0, "npm-a-T", "moderate", "unknown"), (1, 1, "X", "critical", "1")]
-    assert found[0]["cvss"] is None and found[1]["cvss"]["score"] == 9.0
+    assert [r["package"] for r in found] == list("abcde")
+    assert [r["cvss"] is None for r in found] == [True, False, True, True, True]
+    assert found[1]["cvss"]["score"] == 9.0
     assert found[0]["title"] == "Vulnerability in a" and found[0]["cwe"] == [] and found[1]["refs"] == []
 
 
