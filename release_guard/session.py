@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,23 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"release-guard-{application}-")
 
 
+@functools.cache
+def _shipped(application: str) -> str:
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="release-guard-")) / "release_guard"
+    return shutil.make_archive(str(archive), "zip", package.parent, package.name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to the Python workers, once per application.
+
+    Jobs with Python functions need it wherever the package is not installed on the executors.
+    """
+    archive = _shipped(spark.sparkContext.applicationId)
+    if not any(path.endswith(archive) for path in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(archive)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the shared checkpoint folder of the session.
 
