@@ -2,10 +2,11 @@
 
 A text is split at safe boundaries: before a space that follows a character
 other than white space. No token of the tokenizers used here reaches over such a
-place, as their patterns allow a space only at the start of a token or drop it.
-Distinct pieces are encoded in batches that are balanced by size; a bounded
-table of short pieces serves the repeats. Only lengths or id bytes leave the
-encoder.
+place, as their patterns allow a space only at the start of a token or drop it. Pieces
+that are plain words are split once more, between letters and a full stop or the like and around a
+single line end. Distinct parts are encoded in batches that are balanced by size;
+bounded tables of short pieces and parts serve the repeats. Only lengths or id bytes
+leave the encoder.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text are
 read as the tokenizer does by default; no special tokens are added.
@@ -16,79 +17,111 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_groups, text_or_empty
 
-# Characters a call of the tokenizer gets at most, except for one longer piece.
+# Characters of pieces a call of the tokenizer gets, and of texts that are taken apart together.
 BATCH_CHARS = 1 << 20
-# Short pieces remembered by a Python worker, and the longest of them.
-REMEMBERED = 300_000
+GROUP_CHARS = 8 << 20
+# Pieces a Python worker remembers, and the longest of them.
+REMEMBERED = 400_000
 SHORT = 48
 
 _UNSAFE = re.compile(r"\s ")
-_SAFE = re.compile(r"(?<=\S)(?= )")
+_SAFE = re.compile(r"(?<=\S) ")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_PLAIN = re.compile(rf" {_LETTERS}[.,;:!?]?(?:\n{_LETTERS}[.,;:!?]?)*")
+_PARTS = re.compile(rf" ?{_LETTERS}|[.,;:!?\n]")
+
+
+class Remembered(dict):
+    """Known pieces; what is missing is looked up among the ones just encoded."""
+
+    fresh: dict[str, object]
+
+    def __missing__(self, piece: str):
+        return self.fresh[piece]
 
 
 class PieceEncoder:
-    """Encodes texts with one tokenizer file; `read` turns a piece's ids into what is kept of it."""
+    """Encodes texts with one tokenizer file; `read` and `join` tell what is kept of a part and of several."""
 
-    def __init__(self, path: str, read):
+    def __init__(self, path: str, read: Callable, join: Callable):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.read = read
-        self.known: dict[str, object] = {}
-
-    def _learn(self, words: set[str]) -> dict[str, object]:
-        """What is kept of each piece; the short ones are remembered."""
-        missing = sorted(words.difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
-            missing, self.known = sorted(words), {}
-        found = self.known
-        long = {}
-        for group in byte_groups(missing, BATCH_CHARS):
-            encoded = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
-            for piece, tokens in zip(group, encoded, strict=True):
-                (found if len(piece) <= SHORT else long)[piece] = self.read(tokens.ids)
-        return {**found, **long} if long else found
+        self.read, self.join = read, join
+        # Of pieces behind the first one of a text, without the space in front.
+        self.known = Remembered()
+        self.once: set[str] = set()
+        # Of parts of pieces, with their space.
+        self.parts = Remembered()
+
+    def _encode(self, pieces: list[str]) -> list:
+        found: list = []
+        for group in byte_groups(pieces, BATCH_CHARS):
+            found += map(self.read, self.tokenizer.encode_batch_fast(group, add_special_tokens=False))
+        return found
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode the pieces not known yet; those met in an earlier call too are remembered."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        missing = words.difference(self.known)
+        order = list(missing)
+        split = [_PARTS.findall(w) if _PLAIN.fullmatch(w) else [w] for w in (" " + w for w in order)]
+        wanted = list(set().union(*split).difference(self.parts))
+        self.parts.fresh = dict(zip(wanted, self._encode(wanted), strict=True))
+        look = self.parts.__getitem__
+        kept = [look(own[0]) if len(own) == 1 else self.join(map(look, own)) for own in split]
+        self.known.fresh = dict(zip(order, kept, strict=True))
+        again = [w for w in self.once.intersection(missing) if len(w) <= SHORT]
+        self.known.update(zip(again, map(self.known.fresh.__getitem__, again), strict=True))
+        self.parts.update((w, self.parts.fresh[w]) for w in wanted if len(w) < 8)
+        self.once = missing if len(self.once) > REMEMBERED else self.once | missing
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces of a text; a piece behind the first one starts with its space."""
-        if _UNSAFE.search(text):
-            return _SAFE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + word for word in rest]]
+        """The pieces of a text; the space in front of each but the first is left out."""
+        return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> Iterator[list]:
         """For each text what is kept of its pieces, in order."""
-        for group in byte_groups(texts, 4 * BATCH_CHARS):
+        for group in byte_groups(texts, GROUP_CHARS):
             split = [self.pieces(text) for text in group]
-            known = self._learn(set().union(*split))
-            for pieces in split:
-                yield list(map(known.__getitem__, pieces))
+            heads = self._encode([pieces.pop(0) for pieces in split])
+            self._learn(set().union(*split))
+            for head, pieces in zip(heads, split, strict=True):
+                yield [head, *map(self.known.__getitem__, pieces)]
 
 
-def id_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def id_bytes(encoding) -> bytes:
+    """The ids as little-endian unsigned 32-bit numbers."""
+    ids = array("I", encoding.ids)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
 
 
 @functools.lru_cache(maxsize=4)
 def counter(path: str) -> PieceEncoder:
-    return PieceEncoder(path, len)
+    return PieceEncoder(path, len, sum)
 
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path, id_bytes)
+    return PieceEncoder(path, id_bytes, b"".join)
 
 
 def text_ids(path: str, texts: list[str]) -> Iterator[bytes]:
