@@ -56,3 +56,11 @@ def row_groups(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if rows > start:
         yield start, rows
+
+
+def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """Mark a written table for broadcast if it has few rows; a larger one is joined by shuffle.
+
+    For tables of two or three numbers a row, so that the bound is one of some ten MB.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -16,7 +16,8 @@ Candidates come in steps, so that no group is turned into all of its pairs: firs
 of a lane with the lane's smallest class; then, in lanes that several components still share,
 pairs between components; for hot lanes this is done in blocks, comparing bit
 sketches inside a task. Every candidate pair must pass the Hamming bound of its
-512-bit parity sketch and is then verified on the whole shingle sets.
+parity sketches, which have a bit or more for each shingle, and is then verified on
+the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import text_key, text_or_empty
+from .common import row_groups, small_side, text_key, text_or_empty
 from .components import components
 
-BITS = 512
+LEAST_BITS = 512
 HOT = 24
 STAR_ROUNDS = 3
 BLOCK = 1024
-REMEMBERED = 500_000
+# Characters of text whose words are hashed together.
+GROUP_CHARS = 4 << 20
 # Odd multipliers of the hash functions, from the digits of the golden ratio and pi.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x243F6A8885A308D3)]
 
@@ -50,21 +52,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all of them once there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-WORDS = WordHashes()
-
-
 def shingles(text: str, width: int) -> np.ndarray:
     """The distinct shingles of a text as sorted hashes.
 
@@ -74,12 +61,44 @@ def shingles(text: str, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
+    return np.unique(_windows(_hashes(words), min(width, len(words))))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One hash for every `width` words in a row."""
+    n = max(0, len(hashes) - width + 1)
+    total = np.full(n, width, np.uint64)
     for i in range(width):
-        total = mixed(total * MIX[0] + hashes[i : len(hashes) - width + 1 + i])
-    return np.unique(total)
+        total = (total ^ (total >> np.uint64(29))) * MIX[i % 4] + hashes[i : n + i]
+    return mixed(total)
+
+
+def shingle_sets(texts: list[str], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For groups of texts: the number of the first, all shingles by text and size, and how many each text has."""
+    for start, end in row_groups(map(len, texts), GROUP_CHARS):
+        words: list[bytes] = []
+        counts = np.zeros(end - start, np.int64)
+        for i in range(start, end):
+            own = texts[i].encode("utf-8", "surrogatepass").lower().split()
+            counts[i - start] = len(own)
+            words += own
+        hashes = _hashes(words)
+        windows = _windows(hashes, width)
+        firsts = np.cumsum(counts) - counts
+        sets, sizes = [], np.zeros(len(counts), np.int64)
+        for i, (first, n) in enumerate(zip(firsts.tolist(), counts.tolist(), strict=True)):
+            if not n:
+                continue
+            own = windows[first : first + n - width + 1] if n >= width else _windows(hashes[first : first + n], n)
+            own = np.sort(own)
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            sets.append(own)
+            sizes[i] = len(own)
+        yield start, np.concatenate(sets) if sets else np.zeros(0, np.uint64), sizes
 
 
 def set_id(own: np.ndarray) -> int:
@@ -88,11 +107,26 @@ def set_id(own: np.ndarray) -> int:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Bit b is the parity of the number of shingles hashed to b."""
-    bits = np.bincount((own * MIX[3] >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1
+    """Bit b is the parity of the number of shingles hashed to b; there is one bit a shingle at least."""
+    size = max(LEAST_BITS, 1 << max(0, len(own) - 1).bit_length())
+    bits = np.bincount((own * MIX[3] >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes, length: int) -> bytes:
+    """The sketch of the same set with fewer bits, `length` bytes."""
+    while len(bits) > length:
+        own = np.unpackbits(np.frombuffer(bits, np.uint8))
+        bits = np.packbits(own[::2] ^ own[1::2]).tobytes()
+    return bits
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ; at most in as many as the sets in shingles."""
+    length = min(len(a), len(b))
+    return (int.from_bytes(folded(a, length)) ^ int.from_bytes(folded(b, length))).bit_count()
+
+
 def most_apart(a: int, percent: int) -> int:
     """The largest symmetric difference of two sets that link, the smaller of which has at most a shingles."""
     return (100 - percent) * (a + a * 100 // percent) // (100 + percent)
@@ -107,7 +141,7 @@ def schemes(percent: int) -> list[tuple[int, int, int, int, int]]:
     """
     bands, first = [], 1
     while first < 1 << 45:
-        last = max(first, first * 130 // 100)
+        last = max(first, first * max(130, 10_500 // percent) // 100)
         most = most_apart(last, percent)
         lanes = most + 1 + (most + 1) // 5 + 1
         hot = lanes * 8 // 100
@@ -121,19 +155,30 @@ def own_schemes(n: int, percent: int) -> list[int]:
     return [k for k, (first, last, *_) in enumerate(schemes(percent)) if first <= n and 100 * last >= percent * n]
 
 
-def lane_keys(own: np.ndarray, scheme: int, percent: int, strong: int = 3) -> np.ndarray:
-    """The join keys of a set in one scheme."""
-    _, _, lanes, weak_reserve, _ = schemes(percent)[scheme]
-    lane = ((own * MIX[0] >> np.uint64(32)) * np.uint64(lanes) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(lane, kind="stable")
-    filled, starts, counts = np.unique(lane[order], return_index=True, return_counts=True)
-    parity = np.zeros(lanes, np.uint64)
-    parity[filled] = np.bitwise_xor.reduceat(own[order], starts)
-    size = np.zeros(lanes, np.int64)
-    size[filled] = counts
-    weak = size < strong
-    at = np.arange(lanes) if weak.sum() > weak_reserve else np.flatnonzero(~weak)
-    return mixed(mixed(parity[at] + MIX[1]) ^ mixed(at.astype(np.uint64) + np.uint64(scheme << 48) + MIX[2]))
+def lane_keys(own: np.ndarray, sizes: np.ndarray, scheme: np.ndarray, percent: int, strong: int = 3) -> tuple:
+    """The join keys of sorted sets, one after the other, each in its scheme (-1: none), and how many each has."""
+    table = np.array([s[2:4] for s in schemes(percent)], np.int64)
+    lanes, reserve = np.where(scheme >= 0, table[scheme, 0], 0), table[scheme, 1]
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    # The lanes of a set are ranges of its hashes, so that they lie in order.
+    lane = ((own >> np.uint64(32)) * lanes[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    base = np.cumsum(lanes) - lanes
+    place = base[of] + lane
+    used = lanes[of] > 0
+    own, place = own[used], place[used]
+    total = int(lanes.sum())
+    parity, count = np.zeros(total, np.uint64), np.zeros(total, np.int64)
+    if len(own):
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        parity[place[starts]] = np.bitwise_xor.reduceat(own, starts)
+        count[place[starts]] = np.diff(np.append(starts, len(own)))
+    holder = np.repeat(np.arange(len(sizes)), lanes)
+    weak = count < strong
+    too_weak = np.bincount(holder, weak, len(sizes)) > reserve
+    kept = np.flatnonzero(~weak | too_weak[holder])
+    holder = holder[kept]
+    salt = mixed((kept - base[holder]).astype(np.uint64) + (scheme[holder].astype(np.uint64) << np.uint64(48)) + MIX[2])
+    return mixed(mixed(parity[kept] + MIX[1]) ^ salt), np.bincount(holder, minlength=len(sizes))
 
 
 def digests(docs: DataFrame, width: int) -> DataFrame:
@@ -144,11 +189,11 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text, width) for text in batch.column(2).to_pylist()]
-            columns = [*batch.columns[:2], [len(s) for s in sets], [set_id(s) for s in sets], [sketch(s) for s in sets]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema
-            )
+            for start, own, sizes in shingle_sets(batch.column(2).to_pylist(), width):
+                sets = np.split(own, np.cumsum(sizes)[:-1])
+                columns = [c.slice(start, len(sizes)) for c in batch.columns[:2]]
+                columns += [pa.array(sizes), pa.array(map(set_id, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(
         digest, "doc_id long, text_key long, n long, set_id long, sketch binary"
@@ -156,108 +201,66 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
 
 
 def keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, set_id and scheme for every lane a text joins on."""
-    schema = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("scheme", pa.int16())])
-
+    """key and set_id for every lane a text joins on."""
     # Sets so small that only equal ones link are one class already.
-    needed = [k for k, (_, last, *_) in enumerate(schemes(percent)) if most_apart(last, percent) > 0]
+    needed = next(k for k, (_, last, *_) in enumerate(schemes(percent)) if most_apart(last, percent) > 0)
+    firsts = np.array([s[0] for s in schemes(percent)])
+    lasts = np.array([s[1] for s in schemes(percent)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
-            for text in batch.column(0).to_pylist():
-                own = shingles(text, width)
-                if not len(own):
-                    continue
-                me = set_id(own)
-                for scheme in own_schemes(len(own), percent):
-                    if scheme < needed[0]:
-                        continue
-                    found = lane_keys(own, scheme, percent).view(np.int64)
-                    held.append((found, me, scheme))
-                    size += len(found)
-                if size > 200_000:
-                    yield joined(held)
-                    held, size = [], 0
-            if held:
-                yield joined(held)
-
-    def joined(held: list[tuple]) -> pa.RecordBatch:
-        lengths = [len(found) for found, _, _ in held]
-        columns = [
-            np.concatenate([found for found, _, _ in held]),
-            np.repeat(np.array([me for _, me, _ in held], np.int64), lengths),
-            np.repeat(np.array([scheme for *_, scheme in held], np.int16), lengths),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
-
-    return docs.select("text").mapInArrow(emit, "key long, set_id long, scheme short")
+            for _, own, sizes in shingle_sets(batch.column(0).to_pylist(), width):
+                ids = np.array([set_id(s) for s in np.split(own, np.cumsum(sizes)[:-1])], np.int64)
+                scheme = np.searchsorted(firsts, sizes, side="right") - 1
+                # The scheme below serves the pairs in which this set is the larger one.
+                below = np.where((scheme > 0) & (100 * lasts[scheme - 1] >= percent * sizes), scheme - 1, -1)
+                for part in (scheme, below):
+                    found, counts = lane_keys(own, sizes, np.where(part >= needed, part, -1), percent)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.view(np.int64)), pa.array(np.repeat(ids, counts))], names=["key", "set_id"]
+                    )
+
+    return docs.select("text").mapInArrow(emit, "key long, set_id long")
 
 
 def shared_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The keys that several classes have: key, set_id, scheme, the smallest class, whether it is hot."""
+    """The keys that several rows have: key and set_id."""
     every = keys(docs, width, percent)
-    several = (
-        every.groupBy("key")
-        .agg(F.min("set_id").alias("center"), F.max("set_id").alias("last"), F.count("*").alias("rows"))
-        .where("center <> last")
-        .select("key", "center", "rows")
-    )
+    several = every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     return every.join(several, "key").distinct()
 
 
 def close_enough(pairs: DataFrame, digest: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose sizes and sketches do not rule a link out."""
-    facts = digest.select("set_id", "n", "sketch").dropDuplicates(["set_id"])
+    facts = digest.select("set_id", "n", "sketch")
     for side in "ab":
-        named = facts.select(
-            F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")
-        )
-        pairs = pairs.join(named, side)
-    pairs = pairs.where(
-        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    )
+        pairs = pairs.join(facts.toDF(side, f"n_{side}", f"s_{side}"), side)
+    pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-                for name in ("s_a", "s_b")
-            )
-            total = (batch.column(name).to_numpy() for name in ("n_a", "n_b"))
-            most = (100 - percent) * sum(total) // (100 + percent)
-            kept = np.bitwise_count(a ^ b).sum(axis=1) <= most
-            yield batch.select(["a", "b"]).filter(pa.array(kept))
+            sizes = (batch.column(name).to_numpy() for name in ("n_a", "n_b"))
+            most = (100 - percent) * sum(sizes) // (100 + percent)
+            sketches = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)
+            kept = [hamming(a, b) <= d for a, b, d in sketches]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, digest: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs a, b that link, by the exact sizes of intersection and union of their sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    texts = (
-        digest.join(wanted, "set_id")
-        .groupBy("set_id")
-        .agg(first)
-        .select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
-    )
-    rows = docs.alias("d").join(
-        texts.alias("t"),
-        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.text_key") == F.col("t.text_key")),
-    )
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs a, b that link, by the exact sizes of intersection and union of their sets.
+
+    `texts` has set_id and text of all classes in `pairs`, each once.
+    """
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(text, width).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["set_id", "own"])
 
-    whole = stored(
-        rows.select("t.set_id", "d.text").mapInArrow(sets, "set_id long, own binary").dropDuplicates(["set_id"]), "sets"
-    )
+    whole = texts.join(small_side(wanted), "set_id").mapInArrow(sets, "set_id long, own binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,9 +271,7 @@ def verified(pairs: DataFrame, docs: DataFrame, digest: DataFrame, width: int, p
                 kept.append(100 * common >= percent * (len(one) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("own").alias("own_a")), "a").join(
-        whole.select(F.col("set_id").alias("b"), F.col("own").alias("own_b")), "b"
-    )
+    both = pairs.join(whole.toDF("a", "own_a"), "a").join(whole.toDF("b", "own_b"), "b")
     return both.select("a", "b", "own_a", "own_b").mapInArrow(link, "a long, b long")
 
 
@@ -294,20 +295,26 @@ def _unresolved(members: DataFrame) -> DataFrame:
     return members.join(several, "key")
 
 
-def _hot_members(shared: DataFrame, hot: int, percent: int) -> DataFrame:
-    """The rows of hot keys, of the sets that have more hot keys than their reserve."""
-    reserve = F.element_at(F.array(*[F.lit(s[4]) for s in schemes(percent)]), F.col("scheme") + 1)
+def _hot_members(shared: DataFrame, digest: DataFrame, hot: int, percent: int) -> DataFrame:
+    """The rows of hot keys, of the sets that may have more hot keys in a scheme than its reserve.
+
+    Keys of both schemes of a set are counted together, which takes some sets more than needed.
+    """
     rows = shared.where(F.col("members") > hot)
-    many = rows.groupBy("set_id", "scheme").agg(F.count("*").alias("n_hot")).where(F.col("n_hot") > reserve)
-    return rows.join(many.select("set_id", "scheme"), ["set_id", "scheme"])
+    bands = F.array(*[F.lit(s[0]) for s in schemes(percent)])
+    scheme = F.size(F.filter(bands, lambda first: first <= F.col("n")))
+    below = F.greatest(scheme - 1, F.lit(1))
+    reserve = F.element_at(F.array(*[F.lit(s[4]) for s in schemes(percent)]), below)
+    many = rows.groupBy("set_id").agg(F.count("*").alias("n_hot")).join(digest.select("set_id", "n"), "set_id")
+    return rows.join(many.where(F.col("n_hot") > reserve).select("set_id"), "set_id")
 
 
-def _cold_pairs(members: DataFrame, hot: int) -> DataFrame:
-    """All pairs between components inside the keys of at most `hot` members."""
-    rows = members.where(F.col("members") <= hot)
-    lists = rows.groupBy("key").agg(F.collect_list(F.struct("set_id", "component")).alias("all"))
+def _cold_pairs(members: DataFrame) -> DataFrame:
+    """All pairs between components inside keys of few members."""
+    lists = members.groupBy("key").agg(F.collect_list(F.struct("set_id", "component")).alias("all"))
     one = lists.select("all", F.explode("all").alias("x"))
-    two = one.select("x", F.explode(F.filter("all", lambda y: (y["set_id"] > F.col("x.set_id")) & (y["component"] != F.col("x.component")))).alias("y"))
+    later = F.filter("all", lambda y: (y["set_id"] > F.col("x.set_id")) & (y["component"] != F.col("x.component")))
+    two = one.select("x", F.explode(later).alias("y"))
     return two.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
 
 
@@ -319,8 +326,7 @@ def _block_pairs(members: DataFrame, digest: DataFrame, percent: int) -> DataFra
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    facts = digest.select("set_id", "n", "sketch").dropDuplicates(["set_id"])
-    rows = members.join(main, "key").join(facts, "set_id")
+    rows = members.join(main, "key").join(digest.select("set_id", "n", "sketch"), "set_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -336,12 +342,15 @@ def _block_pairs(members: DataFrame, digest: DataFrame, percent: int) -> DataFra
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        length = min((len(x) for block in (one, other) for x in block.column("sketch").to_pylist()), default=0)
+
         def read(block: pa.Table) -> tuple:
-            bits = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            return *(block.column(c).to_numpy() for c in ("set_id", "component", "n")), bits
+            bits = b"".join(folded(x, length) for x in block.column("sketch").to_pylist())
+            return *(block.column(c).to_numpy() for c in ("set_id", "component", "n")), np.frombuffer(bits, np.uint64)
 
         found: list[tuple] = []
         (ids, comps, ns, bits), (ids2, comps2, ns2, bits2) = read(one), read(other)
+        bits, bits2 = bits.reshape(len(ids), -1), bits2.reshape(len(ids2), -1)
         for k in range(len(ids)):
             differ = np.bitwise_count(bits2 ^ bits[k]).sum(axis=1)
             near = differ <= (100 - percent) * (ns2 + ns[k]) // (100 + percent)
@@ -357,24 +366,34 @@ def _block_pairs(members: DataFrame, digest: DataFrame, percent: int) -> DataFra
 def jaccard_links(docs: DataFrame, digest: DataFrame, width: int, percent: int, hot: int = HOT) -> DataFrame:
     """a, b: links between set ids that connect all sets any link connects.
 
-    `docs` has doc_id, text and text_key; `digest` is `digests(docs)`, written down.
+    `docs` has doc_id, text and text_key; `digest` is `digests(docs)` with shingles, written down.
     """
     shared = stored(shared_keys(docs, width, percent), "lanes")
-    counted = shared.groupBy("key").agg(F.count("*").alias("members"))
-    shared = shared.select("key", "set_id", "scheme", "center").join(counted, "key")
-    hot_rows = stored(_hot_members(shared, hot, percent), "hot-lanes")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
+    counted = shared.groupBy("key").agg(F.count("*").alias("members"), F.min("set_id").alias("center")).where("members > 1")
+    shared = stored(shared.join(counted, "key"), "shared-lanes")
+    # The classes that share a key: one row of each, and its text.
+    some = shared.select("set_id").distinct()
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    firsts = digest.select("set_id", "doc_id", "text_key").join(some, "set_id").groupBy("set_id").agg(first)
+    firsts = small_side(stored(firsts.select("set_id", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("t")), "firsts"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
+    classes = digest.join(firsts, "set_id").where(is_first).drop("d", "t").dropDuplicates(["set_id"])
+    digest = stored(classes, "classes")
+    rows = small_side(digest.select("set_id", F.col("doc_id").alias("class_doc"), F.col("text_key").alias("class_key")))
+    same = (F.col("text_key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_doc"))
+    texts = stored(docs.join(rows, same).dropDuplicates(["set_id"]).select("set_id", "text"), "class-texts")
+    hot_rows = stored(_hot_members(shared, digest, hot, percent).drop("members", "center"), "hot-lanes")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
 
     def add(candidates: DataFrame) -> DataFrame:
         near = stored(close_enough(candidates, digest, percent), "near-pairs")
-        return stored(links.unionByName(verified(near, docs, digest, width, percent)).distinct(), "links")
+        return stored(links.unionByName(verified(near, texts, width, percent)).distinct(), "links")
 
     links = add(shared.where("set_id <> center").select(*_ordered("set_id", "center")).distinct())
     labels = components(links)
     for turn in range(STAR_ROUNDS):
         # Other centers for the members of hot keys that still belong to several components.
-        members = _unresolved(_with_component(hot_rows.drop("members"), labels))
+        members = _unresolved(_with_component(hot_rows, labels))
         order = F.xxhash64("set_id", F.lit(turn))
         centers = members.groupBy("key").agg(F.min_by(F.struct("set_id", "component"), order).alias("c"))
         stars = members.join(centers, "key").where("component <> c.component")
@@ -383,12 +402,12 @@ def jaccard_links(docs: DataFrame, digest: DataFrame, width: int, percent: int,
             break
         links = add(stars)
         labels = components(links)
-    rest = stored(_unresolved(_with_component(hot_rows.drop("members"), labels)), "hot-rest")
-    cold = _unresolved(_with_component(shared.drop("members"), labels))
-    cold = _cold_pairs(cold.withColumnRenamed("members", "n").join(counted, "key"), hot)
-    if rest.isEmpty():
-        return add(cold)
-    return add(cold.unionByName(_block_pairs(rest, digest, percent)).distinct())
+    cold = _unresolved(_with_component(shared.where(F.col("members") <= hot).drop("members", "center"), labels))
+    rest = stored(_unresolved(_with_component(hot_rows, labels)), "hot-rest")
+    pairs = _cold_pairs(cold)
+    if not rest.isEmpty():
+        pairs = pairs.unionByName(_block_pairs(rest, digest, percent)).distinct()
+    return add(pairs)
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ import pytest
 
 from release_guard.llm import jaccard
 from release_guard.llm.components import components
-from release_guard.llm.jaccard import jaccard_components, lane_keys, own_schemes, schemes, shingles, sketch
+from release_guard.llm.jaccard import hamming, jaccard_components, lane_keys, own_schemes, schemes, shingles, sketch
 
 
 def word_sets(rows, width):
@@ -112,10 +112,10 @@ def test_linked_sets_share_more_keys_than_the_reserve(percent):
             continue
         scheme = own_schemes(min(len(a), len(b)), percent)[-1]
         assert scheme in own_schemes(max(len(a), len(b)), percent)
-        shared = np.intersect1d(lane_keys(a, scheme, percent), lane_keys(b, scheme, percent))
+        found, counts = lane_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), np.array([scheme] * 2), percent)
+        shared = np.intersect1d(found[: counts[0]], found[counts[0] :])
         assert len(shared) > schemes(percent)[scheme][4]
-        differ = np.unpackbits(np.frombuffer(sketch(a), np.uint8) ^ np.frombuffer(sketch(b), np.uint8)).sum()
-        assert differ <= len(a) + len(b) - 2 * common
+        assert hamming(sketch(a), sketch(b)) <= len(a) + len(b) - 2 * common
 
 
 def test_shingles_are_the_words_sets():
