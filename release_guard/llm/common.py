@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 
+# Bytes of an Arrow batch: texts are long, and every task holds several batches at once.
+ARROW_BYTES = 16 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the jobs of this subpackage need of a session: the package on the workers, small Arrow batches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

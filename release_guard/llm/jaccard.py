@@ -265,8 +265,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, other = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                one, other = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 kept.append(100 * common >= percent * (len(one) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))

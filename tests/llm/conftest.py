@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import pytest
 
-from release_guard.session import ship_package
+from release_guard.llm.common import prepare
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(autouse=True)
 def shipped(spark):
-    ship_package(spark)
+    prepare(spark)
 
 
 @pytest.fixture(scope="session")
