@@ -89,12 +89,22 @@ def small_table(spark: SparkSession, columns: dict[str, pa.DataType], rows: list
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
+# Spark's own clean-up of a job's shuffle files once the job has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 
     For a table that several jobs read: it is computed once, and what follows
-    does not depend on the executors that made it.
+    does not depend on the executors that made it. Its shuffle files go when it is written.
     """
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
