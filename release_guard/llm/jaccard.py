@@ -325,20 +325,27 @@ def _block_pairs(members: DataFrame, digest: DataFrame, percent: int) -> DataFra
     holds two blocks and emits the pairs that pass.
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    main = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("in_main")
+    )
     rows = members.join(main, "key").join(digest.select("set_id", "n", "sketch"), "set_id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    others = F.col("members") - F.col("in_main")
+    few, many = (F.ceil(n / BLOCK).cast("int") for n in (others, F.col("members")))
     columns = ["key", "set_id", "component", "n", "sketch"]
 
+    def block(n):
+        return F.pmod(F.xxhash64("set_id"), n).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
     def side(block: DataFrame, i, j) -> DataFrame:
         # New names for all columns, as both sides stem from one table.
         block = block.select(*columns, i.alias("i"), j.alias("j"))
         return block.select(*[F.col(c).alias(c) for c in block.columns])
 
-    left = side(rows.where("component <> main"), own, every)
-    right = side(rows, every, own)
+    left = side(rows.where("component <> main"), block(few), every(many))
+    right = side(rows, every(few), block(many))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(one: pa.Table, other: pa.Table) -> pa.Table:

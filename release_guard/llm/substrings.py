@@ -10,11 +10,14 @@ only goes on where a bucket holds more than one position:
    windows pick the same place, so the picked positions, a few for a hundred bytes, stand for all. Their
    buckets are formed; a bucket of one position is final, no window through it repeats.
 2. Consecutive windows with the same pick are a run. Buckets are refined by the pointers at both ends
-   of the run; runs that are equal as a whole repeat in all their windows.
-3. For runs that stay alone in their bucket, and for one of each group of equal ones beside them, every single
-   window is refined to the full length, and windows whose bucket holds several positions repeat.
-
-Groups of equal runs or windows are counted with combination before the shuffle and are
+   of the run; runs that are equal as a whole repeat in all their windows. Open are the runs that stay alone
+   in a bucket with others, and one of each group of equal ones beside them.
+3. Open runs are cut into chunks at fixed distances from the pick, and refined by the bytes all windows of a chunk
+   share: their core, two pointers of half depth. The same rule settles equal chunks and leaves others open.
+4. In open chunks every single window is refined to the full length by the few bytes around the core, and windows
+   whose bucket holds several positions repeat.
+
+Groups of equal runs, chunks or windows are counted with combination before the shuffle and are
 never collected, so a passage in a third of all texts costs as much as any other bytes.
 Pointers have 64 bits; a window must agree in the pointers of two depths to count as equal.
 """
@@ -27,6 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +71,7 @@ class Windows:
         depth = q
         self.gram = None
         while depth < length:
+            self.half, self.half_depth = pointer, depth
             if depth >= gram and self.gram is None:
                 self.gram, self.gram_depth = pointer, depth
             step = min(depth, length - depth)
@@ -88,14 +93,18 @@ class Windows:
         return place
 
     def runs(self) -> tuple[np.ndarray, ...]:
-        """Bucket, run pointer, first window and number of windows of each run."""
+        """Bucket, run pointer, first window, number of windows and distance of the pick of each run."""
         place = self.picks()
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         last = np.concatenate([first[1:], [len(place)]]) - 1
         pick = place[first]
         shape = (pick - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
         run = mixed(mixed(self.full[first] ^ mixed(shape)) * np.uint64(3) ^ self.full[last])
-        return self.gram[pick], run, first, last - first + 1
+        return self.gram[pick], run, first, last - first + 1, pick - first
+
+    def core(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """Pointers of a depth between the half and the whole one."""
+        return mixed(self.half[at] * np.uint64(5) ^ self.half[at + depth - self.half_depth])
 
 
 def parts(data: bytes, length: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -106,8 +115,8 @@ def parts(data: bytes, length: int, size: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _runs(docs: DataFrame, length: int, gram: int, part_size: int) -> DataFrame:
-    """bucket, run, doc, first window and number of windows of every run."""
-    names = ["bucket", "run", "doc", "first", "windows"]
+    """bucket, run, doc, first window, number of windows and distance of the pick of every run."""
+    names = ["bucket", "run", "doc", "first", "windows", "lead"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +125,9 @@ def _runs(docs: DataFrame, length: int, gram: int, part_size: int) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_buffer().to_pybytes()
                 for start, part in parts(data, length, part_size):
-                    bucket, run, first, windows = Windows(part, length, gram).runs()
-                    held.append((bucket.view(np.int64), run.view(np.int64), np.full(len(run), doc), first + start, windows))
+                    bucket, run, first, windows, lead = Windows(part, length, gram).runs()
+                    where = np.full(len(run), doc), first + start, windows, lead
+                    held.append((bucket.view(np.int64), run.view(np.int64), *where))
                     size += len(run)
                 if size > 100_000:
                     yield _batch(names, held)
@@ -125,7 +135,7 @@ def _runs(docs: DataFrame, length: int, gram: int, part_size: int) -> DataFrame:
             if held:
                 yield _batch(names, held)
 
-    return docs.select("doc", "text").mapInArrow(emit, "bucket long, run long, doc long, first long, windows long")
+    return docs.select("doc", "text").mapInArrow(emit, "bucket long, run long, doc long, first long, windows long, lead long")
 
 
 def _batch(names: list[str], held: list[tuple]) -> pa.RecordBatch:
@@ -133,17 +143,22 @@ def _batch(names: list[str], held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _window_hits(flagged: DataFrame, length: int, gram: int, part_size: int) -> DataFrame:
-    """doc and first byte of the windows of open runs that occur more than once.
+CHUNK = pa.schema(
+    [*((n, pa.int64()) for n in ("bucket", "core", "doc", "first", "windows", "whole")), ("left", pa.binary()), ("right", pa.binary())]
+)
+
+
+def _chunks(flagged: DataFrame, length: int, gram: int, part_size: int) -> DataFrame:
+    """The chunks of open runs: bucket, core, doc, first window, windows, the bytes beside the core, a hash of these.
 
-    `flagged` has doc, text and open, the runs to look at as (bucket, first, windows).
+    `flagged` has doc, text and open, the runs to look at as (bucket, first, windows, lead).
     """
-    names = ["bucket", "window", "doc", "first"]
+    step = max(1, length // 12)
+    depth = length - step + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
+            rows: list[tuple] = []
             for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
                 by_part: dict[int, list] = {}
@@ -152,21 +167,66 @@ def _window_hits(flagged: DataFrame, length: int, gram: int, part_size: int) ->
                 for start, part in parts(data, length, part_size):
                     if start not in by_part:
                         continue
-                    full = Windows(part, length, gram).full.view(np.int64)
+                    pointers = Windows(part, length, gram)
+                    own = []
                     for r in by_part[start]:
-                        first = r["first"] - start
-                        n = r["windows"]
-                        held.append((np.full(n, r["bucket"]), full[first : first + n], np.full(n, doc), np.arange(n) + r["first"]))
-                        size += n
-                if size > 100_000:
-                    yield _batch(names, held)
-                    held, size = [], 0
-            if held:
-                yield _batch(names, held)
+                        pick, far, near = r["first"] + r["lead"], r["lead"], r["lead"] - r["windows"] + 1
+                        for k in range(near // step, far // step + 1):
+                            first, last = pick - min(far, step * k + step - 1), pick - max(near, step * k)
+                            own.append((r["bucket"], pick - step * k, first, last))
+                    cores = pointers.core(np.array([c[1] for c in own]) - start, depth).view(np.int64).tolist()
+                    for (bucket, at, first, last), core in zip(own, cores, strict=True):
+                        left, right = data[first:at], data[at + depth : last + length]
+                        whole = xxhash.xxh3_64_intdigest(left + right, seed=step * len(left) + last - first) - (1 << 63)
+                        rows.append((bucket, core, doc, first, last - first + 1, whole, left, right))
+                if len(rows) > 50_000:
+                    yield _rows(rows, CHUNK)
+                    rows = []
+            if rows:
+                yield _rows(rows, CHUNK)
+
+    ddl = "bucket long, core long, doc long, first long, windows long, whole long, left binary, right binary"
+    return flagged.select("doc", "text", "open").mapInArrow(emit, ddl)
+
 
-    windows = flagged.select("doc", "text", "open").mapInArrow(emit, "bucket long, window long, doc long, first long")
-    several = windows.groupBy("bucket", "window").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "window")
-    return windows.join(several, ["bucket", "window"]).select("doc", "first")
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _window_hits(chunks: DataFrame) -> DataFrame:
+    """doc and first byte of the windows of open chunks that occur more than once."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, pa.int64()) for n in ("bucket", "core", "window", "doc", "first")])
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in batch.to_pylist():
+                left, right, n = r["left"], r["right"], r["windows"]
+                for j in range(n):
+                    sides = left[j:] + right[: len(right) - (n - 1 - j)]
+                    window = xxhash.xxh3_64_intdigest(sides, seed=len(left) - j) - (1 << 63)
+                    rows.append((r["bucket"], r["core"], window, r["doc"], r["first"] + j))
+            if rows:
+                yield _rows(rows, schema)
+
+    names = ["bucket", "core", "doc", "first", "windows", "left", "right"]
+    windows = chunks.select(*names).mapInArrow(emit, "bucket long, core long, window long, doc long, first long")
+    place = ["bucket", "core", "window"]
+    several = windows.groupBy(place).agg(F.count("*").alias("n")).where("n > 1").select(place)
+    return windows.join(several, place).select("doc", "first")
+
+
+def _refined(rows: DataFrame, group: list[str], whole: str) -> tuple[DataFrame, DataFrame]:
+    """The rows equal to another one as a whole; and the open ones, which share only their group with others.
+
+    Of equal rows beside open ones, one is open too, as a partner. All rows share their group.
+    """
+    equal = rows.groupBy(*group, whole).agg(F.count("*").alias("n"), F.min(F.struct("doc", "first")).alias("one"))
+    lonely = equal.where("n = 1").select(group).distinct()
+    opened = equal.join(lonely, group).select(*group, F.col("one.doc").alias("doc"), F.col("one.first").alias("first"))
+    settled = rows.join(equal.where("n > 1").select(*group, whole), [*group, whole])
+    return settled, rows.join(opened, [*group, "doc", "first"]).dropDuplicates([*group, "doc", "first"])
 
 
 def without_repeats(
@@ -188,22 +248,14 @@ def without_repeats(
 
     several = runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     runs = stored(runs.join(several, "bucket"), "runs")
-    equal = runs.groupBy("bucket", "run").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "first")).alias("one")
-    )
-    lonely = equal.where("n = 1").select("bucket").distinct()
-    beside = equal.join(lonely, "bucket").select(
-        "bucket", F.col("one.doc").alias("doc"), F.col("one.first").alias("first")
-    )
-    settled = runs.join(equal.where("n > 1").select("bucket", "run"), ["bucket", "run"]).select(
-        "doc", F.lit(True).alias("settled"), "bucket", "first", "windows"
+    settled, opened = _refined(runs, ["bucket"], "run")
+    columns = ["doc", "bucket", "first", "windows", "lead"]
+    marked = settled.select(*columns, F.lit(True).alias("settled")).unionByName(
+        opened.select(*columns, F.lit(False).alias("settled"))
     )
-    opened = runs.join(beside, ["bucket", "doc", "first"]).select(
-        "doc", F.lit(False).alias("settled"), "bucket", "first", "windows"
-    ).distinct()
     # The runs of one text; their number is bounded by its length.
-    run = F.struct("bucket", "first", "windows")
-    lists = settled.unionByName(opened).groupBy("doc").agg(
+    run = F.struct("bucket", "first", "windows", "lead")
+    lists = marked.groupBy("doc").agg(
         F.collect_set(F.when(F.col("settled"), F.struct("first", "windows"))).alias("spans"),
         F.collect_set(F.when(~F.col("settled"), run)).alias("open"),
     )
@@ -219,8 +271,15 @@ def without_repeats(
         "texts",
     )
     flagged = whole.where("spans is not null")
-    hits = _window_hits(flagged.where(F.size("open") > 0).dropDuplicates(["doc"]), length, gram, part_size)
-    starts = hits.groupBy("doc").agg(F.collect_set("first").alias("hits"))
+    # Repeated rows have open runs only as partners; that their chunks come twice settles nothing else.
+    chunks = stored(_chunks(flagged.where(F.size("open") > 0), length, gram, part_size), "chunks")
+    place = ["bucket", "core"]
+    several = chunks.groupBy(place).agg(F.count("*").alias("n")).where("n > 1").select(place)
+    chunks = stored(chunks.join(several, place), "shared-chunks")
+    settled, opened = _refined(chunks, place, "whole")
+    one = F.lit(1).cast("long").alias("windows")
+    hits = settled.select("doc", "first", "windows").unionByName(_window_hits(opened).select("doc", "first", one))
+    starts = hits.groupBy("doc").agg(F.collect_set(F.struct("first", "windows")).alias("hits"))
     marked = flagged.join(starts, "doc", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +289,9 @@ def without_repeats(
             for doc_id, text, own, more in zip(ids.to_pylist(), texts, spans.to_pylist(), hits.to_pylist(), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 edge = np.zeros(len(data) + 1, np.int64)
-                for s in own:
+                for s in own + (more or []):
                     edge[s["first"]] += 1
                     edge[s["first"] + s["windows"] - 1 + length] -= 1
-                more = np.array(more or [], np.int64)
-                np.add.at(edge, more, 1)
-                np.add.at(edge, more + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = data[~gone].tobytes()
                 n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]) if len(gone) else 0
