@@ -4,9 +4,9 @@ A text is split at safe boundaries: before a space that follows a character
 other than white space. No token of the tokenizers used here reaches over such a
 place, as their patterns allow a space only at the start of a token or drop it. Pieces
 that are plain words are split once more, between letters and a full stop or the like and around a
-single line end. Distinct parts are encoded in batches that are balanced by size;
-bounded tables of short pieces and parts serve the repeats. Only lengths or id bytes
-leave the encoder.
+single line end. Distinct parts are encoded in batches that are balanced by size, words of letters,
+which are one token of the pattern, by the tokenizer's model alone; bounded tables of short pieces and parts
+serve the repeats. Only lengths or id bytes leave the encoder.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text are
 read as the tokenizer does by default; no special tokens are added.
@@ -37,6 +37,7 @@ SHORT = 48
 _UNSAFE = re.compile(r"\s ")
 _SAFE = re.compile(r"(?<=\S) ")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_WORD = re.compile(f" ?{_LETTERS}")
 _PLAIN = re.compile(rf" {_LETTERS}[.,;:!?]?(?:\n{_LETTERS}[.,;:!?]?)*")
 _PARTS = re.compile(rf" ?{_LETTERS}|[.,;:!?\n]")
 
@@ -66,11 +67,23 @@ class PieceEncoder:
         self.once: set[str] = set()
         # Of parts of pieces, with their space.
         self.parts = Remembered()
+        # How the tokenizer hands letters, and the space in front of them, to its model.
+        letters = [chr(c) for c in range(0x100) if re.fullmatch(_LETTERS, chr(c))]
+        self.table = {ord(c): self._handed(c) for c in letters} | {ord(" "): self._handed(" a").removesuffix(self._handed("a"))}
+
+    def _handed(self, text: str) -> str:
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return "".join(own for own, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
     def _encode(self, pieces: list[str]) -> list:
-        found: list = []
-        for group in byte_groups(pieces, BATCH_CHARS):
-            found += map(self.read, self.tokenizer.encode_batch_fast(group, add_special_tokens=False))
+        model, table, read, is_word = self.tokenizer.model, self.table, self.read, _WORD.fullmatch
+        found = [read([t.id for t in model.tokenize(p.translate(table))]) if is_word(p) else None for p in pieces]
+        others = [i for i, kept in enumerate(found) if kept is None]
+        at = iter(others)
+        for group in byte_groups([pieces[i] for i in others], BATCH_CHARS):
+            for encoding in self.tokenizer.encode_batch_fast(group, add_special_tokens=False):
+                found[next(at)] = read(encoding.ids)
         return found
 
     def _learn(self, words: set[str]) -> None:
@@ -106,9 +119,9 @@ class PieceEncoder:
                 yield [head, *map(self.known.__getitem__, pieces)]
 
 
-def id_bytes(encoding) -> bytes:
+def id_bytes(ids: list[int]) -> bytes:
     """The ids as little-endian unsigned 32-bit numbers."""
-    ids = array("I", encoding.ids)
+    ids = array("I", ids)
     if sys.byteorder == "big":
         ids.byteswap()
     return ids.tobytes()
