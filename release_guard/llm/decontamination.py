@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import text_key, text_or_empty
+from .common import row_groups, text_key, text_or_empty
 from .jaccard import MIX, mixed
 
 BITMAP_BITS = 22
 REMEMBERED = 300_000
+# Characters of text read together.
+GROUP_CHARS = 4 << 20
 PUNCTUATION = string.punctuation.replace("%", "").replace("$", "") + "«»„“”‘’…–—·¿¡¡"
 # Words that make a number a quantity.
 UNITS = frozenset(
@@ -39,7 +41,6 @@ UNITS = frozenset(
     "kwh v volt volts a amp amps j joule joules cal kcal k c f degree degrees kb mb gb tb bit bits byte bytes $ usd eur "
     "gbp dollar dollars cent cents euro euros mph kmh people persons times".split()
 )
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 QUANTITY = re.compile(r"[+-]?([$€£]?)(\d[\d.,:/]*)([A-Za-z%]*)")
 WORD, NUM, UNIT, QTY, CAPITAL, NOTHING = range(6)
 CODES = {NUM: 0x1B873593CC9E2D51, QTY: 0x52DCE729DA3ED7A1, CAPITAL: 0x38B34AE5A1E38B93}
@@ -53,15 +54,12 @@ class TemplateWords:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.kinds: list[int] = []
-        self.codes: list[int] = []
-        self.ends: list[bool] = []
         self.plain: list[str] = []
+        self.kinds, self.codes, self.ends = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
 
-    def number(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is not None:
-            return at
+    def _read(self, word: str) -> tuple[int, str, bool]:
+        if word.isalpha() and word.islower():
+            return (UNIT if word in UNITS else WORD), word, False
         bare = word.strip(PUNCTUATION)
         low = bare.lower()
         kind = WORD
@@ -75,73 +73,66 @@ class TemplateWords:
             kind = UNIT
         elif kind == WORD and len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
             kind = CAPITAL
-        self.kinds.append(kind)
-        self.codes.append(xxhash.xxh3_64_intdigest(low))
-        self.ends.append(word.rstrip("\"')]}»”’").endswith((".", "!", "?", ":")))
-        self.plain.append(low)
-        self.known[word] = len(self.kinds) - 1
-        return self.known[word]
-
-    def ids(self, words: list[str]) -> list[int]:
+        return kind, low, word.rstrip("\"')]}»”’").endswith((".", "!", "?", ":"))
+
+    def ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.forget()
-        return [self.number(w) if (at := self.known.get(w)) is None else at for w in words]
-
-
-def readings(texts: list[str], words: TemplateWords) -> Iterator[list[tuple[np.ndarray, list[tuple[int, str]] | None]]]:
-    """For each text its readings with and without names: codes, and (position, value) of the slots."""
-    for text in texts:
-        split = text.split()
-        ids = np.array(words.ids(split), np.int64)
-        kinds = np.array([words.kinds[i] for i in ids], np.int8) if len(ids) < 64 else np.array(words.kinds, np.int8)[ids]
+        missing = list(set(words).difference(self.known))
+        read = [self._read(w) for w in missing]
+        self.known.update(zip(missing, range(len(self.plain), len(self.plain) + len(missing)), strict=True))
+        self.plain += [low for _, low, _ in read]
+        self.kinds = np.concatenate([self.kinds, np.array([k for k, _, _ in read], np.int8)])
+        self.codes = np.concatenate([self.codes, np.array([xxhash.xxh3_64_intdigest(low) for _, low, _ in read], np.uint64)])
+        self.ends = np.concatenate([self.ends, np.array([end for *_, end in read], bool)])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
+class Reading:
+    """The template words of several texts one after the other: their codes, texts, and which are slots."""
+
+    def __init__(self, ids: np.ndarray, of: np.ndarray, words: TemplateWords, names: bool):
+        self.ids, self.words = ids, words
+        kind = words.kinds[ids]
+        same = np.zeros(len(ids), bool)
+        same[1:] = of[1:] == of[:-1]
+        unit = np.zeros(len(ids), bool)
+        unit[1:] = same[1:] & (kind[1:] == UNIT) & (kind[:-1] == NUM)
+        kind[np.flatnonzero(unit) - 1] = QTY
+        inside = same.copy()
+        inside[1:] &= ~words.ends[ids[:-1]]
+        name = (kind == CAPITAL) & inside & names
+        again = np.zeros(len(ids), bool)
+        again[1:] = name[1:] & name[:-1]
+        kind[(kind == CAPITAL) & ~name] = WORD
+        self.more = unit | again
+        self.at = np.flatnonzero((kind != NOTHING) & ~self.more)
+        kind = kind[self.at]
+        self.of = of[self.at]
+        self.slot = np.isin(kind, (NUM, QTY, CAPITAL))
+        self.codes = words.codes[ids[self.at]]
+        for k, code in CODES.items():
+            self.codes[kind == k] = code
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows, and which lie in one text and have enough plain words."""
+        n = max(0, len(self.codes) - width + 1)
+        total = np.full(n, width, np.uint64)
+        for i in range(width):
+            total = mixed(total * MIX[0] + self.codes[i : n + i])
+        plain = np.concatenate([[0], np.cumsum(~self.slot)])
+        good = (self.of[:n] == self.of[width - 1 :][:n]) & (2 * (plain[width:][:n] - plain[:n]) >= width)
+        return total, good
+
+    def values(self, place: int, width: int) -> list[str]:
+        """What stands at the slots of a window."""
         found = []
-        starts = np.ones(len(ids), bool)
-        if len(ids):
-            starts[1:] = [words.ends[i] for i in ids[:-1]]
-        for with_names in (True, False):
-            kind = kinds.copy()
-            after_number = np.zeros(len(ids), bool)
-            after_number[1:] = (kind[1:] == UNIT) & (kind[:-1] == NUM)
-            joined = np.flatnonzero(after_number)
-            kind[joined - 1] = QTY
-            keep = (kind != NOTHING) & ~after_number
-            name = (kind == CAPITAL) & ~starts if with_names else np.zeros(len(ids), bool)
-            kind[(kind == CAPITAL) & ~name] = WORD
-            again = np.zeros(len(ids), bool)
-            again[1:] = name[1:] & name[:-1]
-            keep &= ~again
-            at = np.flatnonzero(keep)
-            slot = np.flatnonzero(np.isin(kind[at], (NUM, QTY, CAPITAL)))
-            codes = np.array([words.codes[i] for i in ids[at]], np.uint64)
-            for k, code in CODES.items():
-                codes[kind[at] == k] = code
-            values = []
-            for s in slot.tolist():
-                first = at[s]
-                last = first + 1
-                while last < len(ids) and (again[last] or after_number[last]):
-                    last += 1
-                values.append((s, " ".join(words.plain[i] for i in ids[first:last])))
-            found.append((codes, values))
-            if not (kinds == CAPITAL).any():  # then both readings are the same
-                found *= 2
-                break
-        yield found
-
-
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    total = np.full(max(0, len(codes) - width + 1), width, np.uint64)
-    for i in range(width):
-        total = mixed(total * MIX[0] + codes[i : len(codes) - width + 1 + i])
-    return total
-
-
-def literal(n: int, slots: list[tuple[int, str]], width: int) -> np.ndarray:
-    """The number of plain words in each window."""
-    plain = np.ones(n, np.int64)
-    plain[[s for s, _ in slots]] = 0
-    sums = np.concatenate([[0], np.cumsum(plain)])
-    return sums[width:] - sums[:-width]
+        for i in np.flatnonzero(self.slot[place : place + width]) + place:
+            first = last = int(self.at[i])
+            while last + 1 < len(self.more) and self.more[last + 1]:
+                last += 1
+            found.append(" ".join(self.words.plain[j] for j in self.ids[first : last + 1]))
+        return found
 
 
 FIELDS = [
@@ -158,38 +149,37 @@ def template_windows(df: DataFrame, width: int, widths: list[int] | None = None,
     windows whose bit is set are returned. At least half of a window's words must be plain.
     """
     schema = pa.schema(FIELDS)
-    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool) if bitmap else None
-    packed = None if bits is None else np.packbits(bits).tobytes()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = TemplateWords()
-        wanted = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        wanted = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
         for batch in batches:
-            rows = []
-            for doc, key, found in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), readings(batch.column(2).to_pylist(), words),
-                strict=True,
-            ):
-                for reading, (codes, slots) in enumerate(found):
-                    for w in widths or [min(width, len(codes))]:
-                        if w < 3 or len(codes) < w:
-                            continue
-                        hashes = window_hashes(codes, w)
-                        hit = np.flatnonzero(
-                            np.ones(len(hashes), bool) if wanted is None else wanted[hashes >> np.uint64(64 - BITMAP_BITS)]
-                        )
-                        if not len(hit):
+            docs, keys, texts = (column.to_pylist() for column in batch.columns)
+            for start, end in row_groups(map(len, texts), GROUP_CHARS):
+                split = [text.split() for text in texts[start:end]]
+                counts = np.fromiter(map(len, split), np.int64, len(split))
+                ids = words.ids([w for own in split for w in own])
+                of = np.repeat(np.arange(start, end), counts)
+                rows = []
+                for reading in (0, 1):
+                    found = Reading(ids, of, words, names=reading == 0)
+                    first = np.searchsorted(found.of, np.arange(start, end))
+                    size = np.diff(np.append(first, len(found.of)))
+                    for w in widths or sorted(set(np.minimum(size, width).tolist())):
+                        if w < 3:
                             continue
-                        enough = 2 * literal(len(codes), slots, w) >= w
-                        n = int(enough.sum())
-                        places = np.array([s for s, _ in slots], np.int64)
-                        for place in hit[enough[hit]].tolist():
-                            a, b = np.searchsorted(places, [place, place + w])
-                            own = [v for _, v in slots[a:b]]
-                            rows.append((doc, key, reading, int(hashes[place].astype(np.int64)), place, n, w, own))
-            if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                        hashes, good = found.windows(w)
+                        n = np.bincount(found.of[: len(good)][good], minlength=end)
+                        if wanted is not None:
+                            good &= wanted[hashes >> np.uint64(64 - BITMAP_BITS)]
+                        for at in np.flatnonzero(good).tolist():
+                            doc = int(found.of[at])
+                            if widths or min(size[doc - start], width) == w:
+                                place, value = at - int(first[doc - start]), int(hashes[at].astype(np.int64))
+                                rows.append((docs[doc], keys[doc], reading, value, place, int(n[doc]), w, found.values(at, w)))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return df.select("id", "text_key", "text").mapInArrow(windows, DDL)
 
