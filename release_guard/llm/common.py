@@ -41,20 +41,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def byte_groups(texts: Iterable[str], most: int) -> Iterator[list[str]]:
-    """Lists of texts of about `most` characters each; one longer text stands alone."""
-    group: list[str] = []
-    size = 0
-    for text in texts:
-        if group and size + len(text) > most:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
 def row_groups(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose sizes add up to about `most`."""
     start = total = rows = 0

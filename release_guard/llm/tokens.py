@@ -4,9 +4,9 @@ A text is split at safe boundaries: before a space that follows a character
 other than white space. No token of the tokenizers used here reaches over such a
 place, as their patterns allow a space only at the start of a token or drop it. Pieces
 that are plain words are split once more, between letters and a full stop or the like and around a
-single line end. Distinct parts are encoded in batches that are balanced by size, words of letters,
-which are one token of the pattern, by the tokenizer's model alone; bounded tables of short pieces and parts
-serve the repeats. Only lengths or id bytes leave the encoder.
+single line end. Words of letters, which the tokenizers never split before they merge, go to the tokenizer's
+model alone, other pieces through the whole tokenizer; bounded tables of short pieces serve the
+repeats. Texts come in Arrow batches that are balanced by bytes, and only lengths or id bytes leave the encoder.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text are
 read as the tokenizer does by default; no special tokens are added.
@@ -17,21 +17,17 @@ from __future__ import annotations
 import functools
 import os
 import re
-import sys
-from array import array
+import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_groups, text_or_empty
+from .common import text_or_empty
 
-# Characters of pieces a call of the tokenizer gets, and of texts that are taken apart together.
-BATCH_CHARS = 1 << 20
-GROUP_CHARS = 8 << 20
 # Pieces a Python worker remembers, and the longest of them.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 SHORT = 48
 
 _UNSAFE = re.compile(r"\s ")
@@ -43,12 +39,16 @@ _PARTS = re.compile(rf" ?{_LETTERS}|[.,;:!?\n]")
 
 
 class Remembered(dict):
-    """Known pieces; what is missing is looked up among the ones just encoded."""
+    """What is kept of pieces; encodes the missing ones and remembers the short ones."""
 
-    fresh: dict[str, object]
+    def __init__(self, encode: Callable):
+        self.encode = encode
 
     def __missing__(self, piece: str):
-        return self.fresh[piece]
+        kept = self.encode(piece)
+        if len(piece) <= SHORT:
+            self[piece] = kept
+        return kept
 
 
 class PieceEncoder:
@@ -61,49 +61,37 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.read, self.join = read, join
-        # Of pieces behind the first one of a text, without the space in front.
-        self.known = Remembered()
-        self.once: set[str] = set()
-        # Of parts of pieces, with their space.
-        self.parts = Remembered()
+        # Of pieces behind the first one of a text, without the space in front; and of parts as they stand.
+        self.known = Remembered(self._piece)
+        self.parts = Remembered(self._part)
         # How the tokenizer hands letters, and the space in front of them, to its model.
         letters = [chr(c) for c in range(0x100) if re.fullmatch(_LETTERS, chr(c))]
-        self.table = {ord(c): self._handed(c) for c in letters} | {ord(" "): self._handed(" a").removesuffix(self._handed("a"))}
+        space = self._handed(" a").removesuffix(self._handed("a"))
+        self.table = {ord(c): self._handed(c) for c in letters} | {ord(" "): space}
+        self.space, self.lowers = space, self._handed("A") == "a"
 
     def _handed(self, text: str) -> str:
         if self.tokenizer.normalizer:
             text = self.tokenizer.normalizer.normalize_str(text)
         return "".join(own for own, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
-    def _encode(self, pieces: list[str]) -> list:
-        model, table, read, is_word = self.tokenizer.model, self.table, self.read, _WORD.fullmatch
-        found = [read([t.id for t in model.tokenize(p.translate(table))]) if is_word(p) else None for p in pieces]
-        others = [i for i, kept in enumerate(found) if kept is None]
-        at = iter(others)
-        for group in byte_groups([pieces[i] for i in others], BATCH_CHARS):
-            for encoding in self.tokenizer.encode_batch_fast(group, add_special_tokens=False):
-                found[next(at)] = read(encoding.ids)
-        return found
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode the pieces not known yet; those met in an earlier call too are remembered."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        missing = words.difference(self.known)
-        order = list(missing)
-        split = [_PARTS.findall(w) if _PLAIN.fullmatch(w) else [w] for w in (" " + w for w in order)]
-        wanted = list(set().union(*split).difference(self.parts))
-        self.parts.fresh = dict(zip(wanted, self._encode(wanted), strict=True))
-        look = self.parts.__getitem__
-        kept = [look(own[0]) if len(own) == 1 else self.join(map(look, own)) for own in split]
-        self.known.fresh = dict(zip(order, kept, strict=True))
-        again = [w for w in self.once.intersection(missing) if len(w) <= SHORT]
-        self.known.update(zip(again, map(self.known.fresh.__getitem__, again), strict=True))
-        self.parts.update((w, self.parts.fresh[w]) for w in wanted if len(w) < 8)
-        self.once = missing if len(self.once) > REMEMBERED else self.once | missing
+    def _word(self, handed: str):
+        return self.read([t.id for t in self.model.tokenize(handed)])
+
+    def _piece(self, piece: str):
+        if piece.isascii() and piece.isalpha():
+            return self._word(self.space + (piece.lower() if self.lowers else piece))
+        text = " " + piece
+        if _PLAIN.fullmatch(text):
+            return self.join([self.parts[part] for part in _PARTS.findall(text)])
+        return self._part(text)
+
+    def _part(self, text: str):
+        if _WORD.fullmatch(text):
+            return self._word(text.translate(self.table))
+        return self.read(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text; the space in front of each but the first is left out."""
@@ -111,20 +99,17 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[list]:
         """For each text what is kept of its pieces, in order."""
-        for group in byte_groups(texts, GROUP_CHARS):
-            split = [self.pieces(text) for text in group]
-            heads = self._encode([pieces.pop(0) for pieces in split])
-            self._learn(set().union(*split))
-            for head, pieces in zip(heads, split, strict=True):
-                yield [head, *map(self.known.__getitem__, pieces)]
+        for text in texts:
+            for table in (self.known, self.parts):
+                if len(table) > REMEMBERED:
+                    table.clear()
+            head, *rest = self.pieces(text)
+            yield [self.parts[head], *map(self.known.__getitem__, rest)]
 
 
 def id_bytes(ids: list[int]) -> bytes:
     """The ids as little-endian unsigned 32-bit numbers."""
-    ids = array("I", ids)
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.lru_cache(maxsize=4)
