@@ -46,8 +46,8 @@ QUERIES = {
     "deployment_duration_ms": lambda sp, sf: d.deployment_durations(_deployments(sp, sf)).select("seq", "duration_ms"),
     "deployment_by_id": lambda sp, sf: d.deployment_by_id(_deployments(sp, sf), _wanted(sp, sf)),
     "upsert_environments": _environments,
-    "first_errors": lambda sp, sf: d.first_errors(frame(sp, sf, "fx_deploy_logs")),
-    "last_logs": lambda sp, sf: d.last_logs(frame(sp, sf, "fx_deploy_logs")),
+    "first_errors": lambda sp, sf: d.first_errors(frame(sp, sf, "fx_deploy_logs"), 3),
+    "last_logs": lambda sp, sf: d.last_logs(frame(sp, sf, "fx_deploy_logs"), 3),
 }
 
 DEPLOYMENTS = with_views("fx_deployments")
@@ -66,6 +66,8 @@ APPROVALS = f"""{PENDING},
  when first_approve is not null and (first_reject is null or first_approve < first_reject) then 'approved'
  else 'pending' end as status from pending p left join votes v on v.deployment_id = p.deployment_id
  and v.approver = p.approver left join rejects x on x.deployment_id = p.deployment_id)"""
+VALID = """valid as (select deployment_id, case when environment = 'qa' then 'Environment ''qa'' not found'
+ when strategy = 'big-bang' then 'Deployment strategy ''big-bang'' not found' end as error from fx_requests)"""
 LOGS = with_views("fx_deploy_logs")
 
 ORACLES = {
@@ -81,12 +83,14 @@ ORACLES = {
  from fx_requests r left join envs e on e.environment = r.environment)""",
     "pending_approvals": f"{PENDING} select *, 'pending' as status from pending",
     "approval_state": f"{APPROVALS} select * from approvals",
-    "deployment_state": f"""{APPROVALS} select r.deployment_id, r.environment,
- coalesce(open_approvals, 0) as open_approvals, case when x.deployment_id is not null then 'cancelled'
- when coalesce(open_approvals, 0) = 0 then 'approved' else 'pending' end as status
+    "deployment_state": f"""{APPROVALS}, {VALID} select r.deployment_id, r.environment,
+ case when error is null then coalesce(open_approvals, 0) else 0 end as open_approvals,
+ case when error is not null then 'invalid' when x.deployment_id is not null then 'cancelled'
+ when coalesce(open_approvals, 0) = 0 then 'approved' else 'pending' end as status, error
  from fx_requests r left join (select deployment_id, count(*) filter (status = 'pending') as open_approvals
  from approvals group by deployment_id) o on o.deployment_id = r.deployment_id
- left join rejects x on x.deployment_id = r.deployment_id""",
+ left join rejects x on x.deployment_id = r.deployment_id and x.first_reject is not null
+ left join valid v on v.deployment_id = r.deployment_id""",
     "rollback_target": f"""{DEPLOYMENTS} select * from fx_deployments where status = 'success'
  qualify row_number() over (partition by environment order by completed_at desc, seq desc) = 2""",
     "success_rate": f"""{DEPLOYMENTS} select environment, count(*) as finished,

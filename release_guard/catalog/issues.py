@@ -21,7 +21,7 @@ def _labels(df):
 
 def _search(sp, sf):
     issues = frame(sp, sf, "fx_issues").withColumn("labels", F.array("label"))
-    return i.search_issues(issues, "security").drop("labels")
+    return i.search_issues(issues, "security", 50).drop("labels")
 
 
 def _security(sp, sf):

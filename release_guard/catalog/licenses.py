@@ -78,7 +78,7 @@ QUERIES = {
     "license_audit_summary": lambda sp, sf: lic.license_audit_summary(audited(sp, sf, "normalized")),
     "license_audit_recommendations": lambda sp, sf: lic.license_audit_recommendations(audited(sp, sf, "normalized")),
     "license_risk_level": lambda sp, sf: lic.license_audit_summary(audited(sp, sf)).select(
-        "project_id", license_risk_level(F.col("unknown"), F.col("compatible")).alias("risk")
+        "project_id", license_risk_level(F.col("incompatible"), F.col("unknown")).alias("risk")
     ),
 }
 
@@ -212,5 +212,5 @@ ORACLES = {
  select *, {risk_sql('incompatible', 'unknown')} as risk_level from t""",
     "license_audit_recommendations": f"{audit_sql(True)}, {AUDIT_RECOMMENDATIONS} select * from r",
     "license_risk_level": f"""{audit_sql(False)}, {AUDIT_TOTALS}
- select project_id, {risk_sql('unknown', 'compatible')} as risk from t""",
+ select project_id, {risk_sql('incompatible', 'unknown')} as risk from t""",
 }

@@ -41,9 +41,11 @@ QUERIES = {
     "alert_severity": lambda sp, sf: alerts(sp, sf).groupBy("source", "type", "severity").agg(
         F.count("*").alias("alerts"), F.max("value").alias("worst")
     ),
-    "metrics_query": lambda sp, sf: m.metrics_query(metrics(sp, sf), "cpu"),
+    "metrics_query": lambda sp, sf: m.metrics_query(metrics(sp, sf), "cpu", 100),
+    "metrics_query_all": lambda sp, sf: m.metrics_query(metrics(sp, sf), "cpu"),
     "alert_state": states,
-    "alerts_query": lambda sp, sf: m.alerts_query(states(sp, sf)),
+    "alerts_query": lambda sp, sf: m.alerts_query(states(sp, sf), limit=100),
+    "alerts_query_all": lambda sp, sf: m.alerts_query(states(sp, sf)),
     "retain_recent": lambda sp, sf: m.retain_recent(metrics(sp, sf), F.lit(NOW).cast("timestamp_ntz")),
     "cap_rows": lambda sp, sf: m.cap_rows(metrics(sp, sf), 500),
     "monitor_stats": lambda sp, sf: m.monitor_stats(metrics(sp, sf), states(sp, sf)),
@@ -85,6 +87,8 @@ ORACLES = {
     "alert_severity": f"""{ALERTS} select source, type, severity, count(*) as alerts, max(value) as worst
  from alerts group by source, type, severity""",
     "metrics_query": f"{METRICS} select * from fx_metrics where type = 'cpu' order by seq desc limit 100",
+    "metrics_query_all": f"{METRICS} select * from fx_metrics where type = 'cpu'",
+    "alerts_query_all": f"{STATES} select * from states where not resolved",
     "alert_state": f"{STATES} select * from states",
     "alerts_query": f"{STATES} select * from states where not resolved order by alert_id desc limit 100",
     "retain_recent": f"{METRICS} select * from fx_metrics where ts > timestamp '{NOW}' - interval 30 day",

@@ -109,15 +109,16 @@ ORACLES = {
  unnest([{', '.join("'" + u + "'" for u in URLS)}]) as url from alerts""",
     "alert_state_stream": f"""{mon.STATES} select alert_id, acknowledged, acknowledged_by, acknowledged_at, resolved,
  resolved_at from states where alert_id in (select alert_id from fx_alert_actions)""",
-    "deployment_state_stream": f"""{dep.APPROVALS}, o as (select deployment_id,
+    "deployment_state_stream": f"""{dep.APPROVALS}, {dep.VALID}, o as (select deployment_id,
  count(*) filter (status <> 'approved') as open_approvals from (
  select p.deployment_id, case when first_approve is not null and (first_reject is null or first_approve < first_reject)
  then 'approved' else 'pending' end as status from pending p
  left join votes v on v.deployment_id = p.deployment_id and v.approver = p.approver
  left join rejects x on x.deployment_id = p.deployment_id) group by deployment_id)
- select r.deployment_id, coalesce(open_approvals, 0) as open_approvals,
- case when x.deployment_id is not null then 'cancelled' when coalesce(open_approvals, 0) = 0 then 'approved'
- else 'pending' end as status from fx_requests r left join o on o.deployment_id = r.deployment_id
- left join rejects x on x.deployment_id = r.deployment_id
+ select r.deployment_id, case when error is null then coalesce(open_approvals, 0) else 0 end as open_approvals,
+ case when error is not null then 'invalid' when x.deployment_id is not null then 'cancelled'
+ when coalesce(open_approvals, 0) = 0 then 'approved' else 'pending' end as status, error
+ from fx_requests r left join o on o.deployment_id = r.deployment_id
+ left join rejects x on x.deployment_id = r.deployment_id left join valid v on v.deployment_id = r.deployment_id
  where r.deployment_id in (select deployment_id from fx_approval_actions)""",
 }

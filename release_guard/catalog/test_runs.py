@@ -25,7 +25,7 @@ QUERIES = {
     "suite_matrix": _planned,
     "suite_summary": lambda sp, sf: t.suite_summary(results(sp, sf)),
     "report_summary": lambda sp, sf: t.report_summary(results(sp, sf)),
-    "latest_reports": lambda sp, sf: t.latest_reports(t.report_summary(results(sp, sf))),
+    "latest_reports": lambda sp, sf: t.latest_reports(t.report_summary(results(sp, sf)), 10),
     "suites_of_report": lambda sp, sf: t.suites_of_report(results(sp, sf), RUN),
 }
 

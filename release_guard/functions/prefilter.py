@@ -16,19 +16,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What the two regex dialects treat differently, or what looks around a match.
-_DIALECT = re.compile(
-    r"\(\?[=!<>]"  # look-around, atomic and named groups
-    r"|\\[1-9AZzGRhHvVXkpPQEbB]"  # back references, anchors, classes of one dialect
-    r"|[*+?}]\+"  # possessive repetition
-    r"|&&|\$|(?<!\[)\^"  # class intersection, line anchors
-)
+# The syntax both dialects read alike, so that Arrow's engine finds whatever Java's finds. All else, such as
+# look-around, anchors, flags but a leading (?i), classes inside classes and possessive repetition, stays in the JVM.
+_ESCAPE = r"\\[dDwWsSnrt.\-+*?()\[\]{}|/^$\"'=:@,;!#%&<>~_ ]"
+_LITERAL = r"[A-Za-z0-9_ \"'<>=:;,@#%&~!/`-]"
+_CLASS = rf"\[\^?(?:[A-Za-z0-9_ \"'<>=:;,@#%~!/`.+*?(){{}}|$-]|{_ESCAPE})+\]"
+_ATOM = rf"(?:{_ESCAPE}|{_LITERAL}|{_CLASS}|\.)"
+_REPEAT = r"(?:(?:[*+?]|\{\d{1,3}(?:,\d{0,3})?\})\??(?![*+?{]))?"
+_PORTABLE = re.compile(rf"(?:\(\?i\))?(?:{_ATOM}{_REPEAT}|\((?:\?:)?(?!\?)|\){_REPEAT}|\|)*")
+# Without regard to case Arrow's engine also folds letters outside ASCII, so a negated class may lose some.
+_NEGATED_LETTERS = re.compile(r"\[\^[^\]]*?(?<!\\)[A-Za-z]|\[\^[^\]]*\\[wWD]")
 VERTICAL_TAB = "\x0b"
 
 
 def portable(regex: str) -> bool:
     """Whether both dialects read the regex alike and a match needs no context."""
-    if _DIALECT.search(regex):
+    if not _PORTABLE.fullmatch(regex) or regex.startswith("(?i)") and _NEGATED_LETTERS.search(regex):
         return False
     try:
         pc.match_substring_regex(pa.array([""]), regex)

@@ -51,10 +51,20 @@ def located_matches(column: str, regex: str) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A number without a trailing ``.0`` and without an exponent."""
-    whole = value.cast("decimal(38,0)").cast("string")
-    digits = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), "0+$", "")
-    return F.when(value == F.floor(value), whole).otherwise(digits)
+    """A number as scripts print it: all its digits, no trailing ``.0``, an exponent from 1e21 on and below 1e-6."""
+    text = value.cast("double").cast("string")
+    size = F.abs(value.cast("double"))
+    wide = F.when(size < 1, text.try_cast("decimal(38,30)").cast("string")).otherwise(
+        text.try_cast("decimal(38,16)").cast("string")
+    )
+    plain = F.regexp_replace(F.regexp_replace(wide, "0+$", ""), r"\.$", "")
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
+    exponent = F.regexp_replace(F.regexp_extract(text, "E(.*)$", 1), "^([0-9])", "+$1")
+    return (
+        F.when(~text.contains("E"), F.regexp_replace(text, r"\.0$", ""))
+        .when((size >= 1e-6) & (size < 1e21), plain)
+        .otherwise(F.concat(mantissa, F.lit("e"), exponent))
+    )
 
 
 def glob_regex(glob: str) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -112,28 +112,61 @@ def approval_state(pending: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def deployment_state(requests: DataFrame, environments: DataFrame, actions: DataFrame) -> DataFrame:
-    """Where each deployment stands: cancelled, approved or pending.
+def deployment_state(
+    requests: DataFrame, environments: DataFrame, actions: DataFrame, strategies: DataFrame | None = None
+) -> DataFrame:
+    """Where each deployment stands: invalid, cancelled, approved or pending.
 
-    Any rejection cancels. Without one, a deployment is approved once no
-    required approval is pending; one that needs no approval is approved.
+    A request for an unknown environment or strategy is invalid and gets the error
+    text. Any rejection cancels. Without one, a deployment is approved once no required approval
+    is pending; one that needs no approval is approved. The actions are combined
+    once per deployment and approver; of approvers nobody asks for only rejections count.
     """
-    pending = pending_approvals(requests, environments)
-    open_count = (
-        approval_state(pending, actions)
-        .groupBy("deployment_id")
-        .agg(F.count_if(F.col("status") == "pending").alias("open_approvals"))
-    )
-    rejected = (
-        actions.filter(F.col("action") == "reject").groupBy("deployment_id").agg(F.lit(True).alias("rejected"))
+    strategies = strategy_table(requests.sparkSession) if strategies is None else strategies
+    order = F.struct("ts", "seq")
+    votes = actions.groupBy("deployment_id", "approver").agg(
+        F.min(F.when(F.col("action") == "approve", order)).alias("approved"),
+        F.min(F.when(F.col("action") == "reject", order)).alias("rejected"),
+    )
+    asked = environments.select(F.explode("required_approvers").alias("approver")).distinct()
+    votes = votes.join(asked.withColumn("asked", F.lit(True)), "approver", "left")
+    # The votes of those some environment asks, a few for each deployment.
+    folded = votes.groupBy("deployment_id").agg(
+        F.min("rejected").alias("first_reject"),
+        F.collect_list(F.when(F.col("asked"), F.struct("approver", "approved", "rejected"))).alias("votes"),
+    )
+    valid = validate_requests(requests, environments, strategies).drop("strategy")
+    required = valid.join(required_approvals(requests, environments), "deployment_id")
+    joined = required.join(folded, "deployment_id", "left")
+
+    def settled(vote: Column) -> Column:
+        first = F.col("first_reject")
+        in_time = vote["approved"].isNotNull() & (first.isNull() | (vote["approved"] < first))
+        return vote["rejected"].isNotNull() | in_time
+
+    done = F.transform(F.filter("votes", settled), lambda v: v["approver"])
+    nobody = F.array().cast("array<string>")
+    still_open = F.size(F.array_except("required", F.coalesce(done, nobody)))
+    open_now = F.when(F.col("error").isNull(), still_open).otherwise(0).cast("bigint")
+    status = (
+        F.when(F.col("error").isNotNull(), "invalid")
+        .when(F.col("first_reject").isNotNull(), "cancelled")
+        .when(open_now == 0, "approved")
+        .otherwise("pending")
+    )
+    return joined.select("deployment_id", "environment", open_now.alias("open_approvals"), status.alias("status"), "error")
+
+
+def required_approvals(requests: DataFrame, environments: DataFrame) -> DataFrame:
+    """Who has to approve each deployment; nobody where approval is automatic."""
+    nobody = F.array().cast("array<string>")
+    env = environments.select(
+        F.col("name").alias("environment"), F.col("auto_approve").alias("env_auto"), "required_approvers"
     )
-    open_now = F.coalesce("open_approvals", F.lit(0))
-    status = F.when(F.col("rejected"), "cancelled").when(open_now == 0, "approved").otherwise("pending")
-    return (
-        requests.select("deployment_id", "environment")
-        .join(open_count, "deployment_id", "left")
-        .join(rejected, "deployment_id", "left")
-        .select("deployment_id", "environment", open_now.alias("open_approvals"), status.alias("status"))
+    automatic = F.coalesce("env_auto", F.lit(False)) | F.coalesce("auto_approve", F.lit(False))
+    return requests.join(env, "environment", "left").select(
+        "deployment_id",
+        F.when(automatic, nobody).otherwise(F.coalesce("required_approvers", nobody)).alias("required"),
     )
 
 
@@ -179,7 +212,7 @@ def deployment_durations(deployments: DataFrame) -> DataFrame:
     )
 
 
-def first_errors(logs: DataFrame, n: int = 3) -> DataFrame:
+def first_errors(logs: DataFrame, n: int) -> DataFrame:
     """Per deployment its first n errors as one text, with a mark if there are more."""
     errors = top_per_group(
         logs.filter(F.col("level") == "error"), ["deployment_id"], [F.asc("ts"), F.asc("seq")], n + 1
@@ -193,7 +226,7 @@ def first_errors(logs: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def last_logs(logs: DataFrame, n: int = 3) -> DataFrame:
+def last_logs(logs: DataFrame, n: int) -> DataFrame:
     """Per deployment its last n log lines in order."""
     latest = top_per_group(logs, ["deployment_id"], [F.desc("ts"), F.desc("seq")], n)
     lines = F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("at"), "message")))

@@ -17,14 +17,13 @@ from .licenses import incompatible_packages, license_summary
 BODY_END = "\n---\n*Issue created by "
 
 
-def search_issues(issues: DataFrame, label: str, limit: int = 50) -> DataFrame:
-    """Issues with a label, highest priority first, newest first."""
+def search_issues(issues: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """Issues with a label, highest priority first, newest first; with a limit the first ones."""
     rank = F.coalesce(label_map(rules.PRIORITY_RANK, F.col("priority")), F.lit(0))
-    return (
-        issues.filter(F.array_contains("labels", label))
-        .orderBy(rank.desc(), F.desc("created_at"), F.desc("issue_id"))
-        .limit(limit)
+    found = issues.filter(F.array_contains("labels", label)).orderBy(
+        rank.desc(), F.desc("created_at"), F.desc("issue_id")
     )
+    return found if limit is None else found.limit(limit)
 
 
 def match_labels(requested: DataFrame, labels: DataFrame) -> DataFrame:

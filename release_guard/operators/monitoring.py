@@ -20,11 +20,14 @@ def threshold_table(spark, thresholds: dict[str, float] | None = None) -> DataFr
 def threshold_join(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """One alert per metric above the threshold of its type.
 
-    A threshold of 0 raises nothing. The join is on the type alone; Spark
+    A threshold of 0 raises nothing, nor does a value that is no number, which Spark
+    ranks above all others. The join is on the type alone; Spark
     broadcasts the threshold table as long as it measures small.
     """
     limits = thresholds.filter(F.col("threshold") != 0)
-    breaches = metrics.join(limits, "type").filter(F.col("value") > F.col("threshold"))
+    breaches = metrics.join(limits, "type").filter(
+        (F.col("value") > F.col("threshold")) & ~F.isnan("value")
+    )
     return breaches.select(
         F.col("seq").alias("alert_id"),
         "ts",
@@ -37,13 +40,16 @@ def threshold_join(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
-def metrics_query(metrics: DataFrame, type: str | None = None, limit: int = 100) -> DataFrame:
+def metrics_query(metrics: DataFrame, type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Metrics, of one type if given; with a limit the last ones in order of arrival."""
     chosen = metrics if type is None else metrics.filter(F.col("type") == type)
-    return last_n(chosen, "seq", limit)
+    return chosen if limit is None else last_n(chosen, "seq", limit)
 
 
-def alerts_query(alerts: DataFrame, resolved: bool = False, limit: int = 100) -> DataFrame:
-    return last_n(alerts.filter(F.col("resolved") == resolved), "alert_id", limit)
+def alerts_query(alerts: DataFrame, resolved: bool = False, limit: int | None = None) -> DataFrame:
+    """Open or resolved alerts; with a limit the last ones."""
+    chosen = alerts.filter(F.col("resolved") == resolved)
+    return chosen if limit is None else last_n(chosen, "alert_id", limit)
 
 
 def retain_recent(
@@ -54,7 +60,7 @@ def retain_recent(
 
 
 def cap_rows(
-    metrics: DataFrame, max_points: int = rules.METRIC_CAPACITY, bucket: str = "minute"
+    metrics: DataFrame, max_points: int, bucket: str = "minute"
 ) -> DataFrame:
     """The newest rows up to the capacity of the store.
 

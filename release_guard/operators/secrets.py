@@ -196,22 +196,24 @@ def severity_members(findings: DataFrame) -> DataFrame:
 
 
 def secret_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """What changed between two scans, one row per position and pattern.
+    """What changed between two scans, one row per position and pattern, with today's severity if there is one.
 
     Both scans are reduced to one row per key before they meet, in one shuffle.
     """
 
-    def side(df: DataFrame, value: str, other: str) -> DataFrame:
+    def side(df: DataFrame, prefix: str, other: str) -> DataFrame:
+        missing = F.lit(None).cast("string")
         return df.select(
             *DIFF_KEY,
-            "severity",
-            F.col("value").alias(value),
-            F.lit(None).cast("string").alias(other),
+            F.col("severity").alias(f"{prefix}severity"),
+            F.col("value").alias(f"{prefix}value"),
+            missing.alias(f"{other}severity"),
+            missing.alias(f"{other}value"),
         )
 
-    both = side(current, "value", "old_value").unionByName(side(baseline, "old_value", "value"))
+    both = side(current, "", "old_").unionByName(side(baseline, "old_", ""))
     merged = both.groupBy(*DIFF_KEY).agg(
-        F.max("severity").alias("severity"),
+        F.coalesce(F.max("severity"), F.max("old_severity")).alias("severity"),
         F.max("value").alias("value"),
         F.max("old_value").alias("old_value"),
     )

@@ -76,7 +76,7 @@ def report_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def latest_reports(reports: DataFrame, limit: int = 10) -> DataFrame:
+def latest_reports(reports: DataFrame, limit: int) -> DataFrame:
     """The last reports in order of run."""
     return reports.orderBy(F.desc("run_id")).limit(limit).orderBy("run_id")
 

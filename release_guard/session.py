@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import shutil
 import tempfile
@@ -48,7 +49,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 @functools.cache
 def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"release-guard-{application}-")
+    folder = tempfile.mkdtemp(prefix=f"release-guard-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 @functools.cache

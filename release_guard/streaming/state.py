@@ -8,12 +8,10 @@ output mode ``update``; every micro-batch then emits the keys it changed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import rules
+from ..operators.deployments import required_approvals, strategy_table, validate_requests
 
 
 def alert_state_stream(actions: DataFrame) -> DataFrame:
@@ -39,23 +37,20 @@ def alert_state_stream(actions: DataFrame) -> DataFrame:
     )
 
 
-def default_approvers() -> list[str]:
-    """Everybody some default environment asks for approval."""
-    return sorted({name for env in rules.ENVIRONMENTS for name in env[-1]})
-
-
 def deployment_state_stream(
-    actions: DataFrame, requests: DataFrame, environments: DataFrame,
-    approvers: Sequence[str] | None = None,
+    actions: DataFrame, requests: DataFrame, environments: DataFrame, strategies: DataFrame | None = None
 ) -> DataFrame:
     """State of every deployment an action touched.
 
     ``actions(deployment_id, approver, action, ts, seq)`` is a stream, the
-    requests and environments are tables. ``approvers`` names everybody the
-    environments may require; others have no say. ``open_approvals`` counts the
-    required approvals that did not come before the first rejection.
+    requests, environments and strategies are tables. Others than the approvers the environments
+    name have no say but to reject. ``open_approvals`` counts the required approvals that did
+    not come before the first rejection. An invalid request keeps that status and its error.
     """
-    names = default_approvers() if approvers is None else list(approvers)
+    strategies = strategy_table(requests.sparkSession) if strategies is None else strategies
+    # One name for each approver of the configuration, which becomes a column of the state.
+    asked = environments.select(F.explode("required_approvers").alias("name")).distinct().collect()
+    names = sorted(row["name"] for row in asked)
 
     def first(condition: Column) -> Column:
         return F.min(F.when(condition, F.struct("ts", "seq")))
@@ -75,24 +70,15 @@ def deployment_state_stream(
         F.array(*[F.when(in_time(i), n) for i, n in enumerate(names)]).cast("array<string>")
     )
     still_open = F.size(F.array_except(F.col("required"), given)).cast("bigint")
+    open_now = F.when(F.col("error").isNull(), still_open).otherwise(F.lit(0).cast("bigint"))
     status = (
-        F.when(F.col("rejected").isNotNull(), "cancelled")
+        F.when(F.col("error").isNotNull(), "invalid")
+        .when(F.col("rejected").isNotNull(), "cancelled")
         .when(still_open == 0, "approved")
         .otherwise("pending")
     )
-    return folded.join(_required(requests, environments), "deployment_id").select(
-        "deployment_id", status.alias("status"), still_open.alias("open_approvals")
-    )
-
-
-def _required(requests: DataFrame, environments: DataFrame) -> DataFrame:
-    """Who has to approve each deployment; nobody where approval is automatic."""
-    nobody = F.array().cast("array<string>")
-    env = environments.select(
-        F.col("name").alias("environment"), F.col("auto_approve").alias("env_auto"), "required_approvers"
-    )
-    automatic = F.coalesce("env_auto", F.lit(False)) | F.coalesce("auto_approve", F.lit(False))
-    return requests.join(env, "environment", "left").select(
-        "deployment_id",
-        F.when(automatic, nobody).otherwise(F.coalesce("required_approvers", nobody)).alias("required"),
+    valid = validate_requests(requests, environments, strategies).select("deployment_id", "error")
+    known = valid.join(required_approvals(requests, environments), "deployment_id")
+    return folded.join(known, "deployment_id").select(
+        "deployment_id", status.alias("status"), open_now.alias("open_approvals"), "error"
     )

@@ -49,8 +49,9 @@ def test_positions(rows, line, regex):
 
 
 def test_number_text(rows):
-    df = rows("v double", (85.0,), (12.31,), (123456789.5,), (0.0001,), (1e12,))
-    assert one(df, text.number_text(F.col("v"))) == ["85", "12.31", "123456789.5", "0.0001", "1000000000000"]
+    df = rows("v double", (85.0,), (12.31,), (123456789.5,), (0.0001,), (1e12,), (1e27,), (80.1234567890123,), (-2.5e-7,), (1e20,), (0.0,), (1.5e21,))
+    assert one(df, text.number_text(F.col("v"))) == ["85", "12.31", "123456789.5", "0.0001", "1000000000000",
+        "1e+27", "80.1234567890123", "-2.5e-7", "100000000000000000000", "0", "1.5e+21"]
 
 
 @pytest.mark.parametrize(
@@ -200,6 +201,9 @@ def test_license_names(rows):
     [
         (r"AKIA[0-9A-Z]{16}", True), (rules.TOKEN_REGEX, True), (r"[^a]b", True), (r"^a", False), (r"a$", False),
         (r"\bab\b", False), (r"(?=a)b", False), (r"a++", False), (r"(a)\1", False), (r"(?i)abc\s", True),
+        (r"id [a-z[0-9]]{8}", False), (r"(?U)pw=\w{4}", False), (r"[[:alpha:]]{4}", False), (r"[]a]b", False), (r"a{2}+", False),
+        (r"(?i)[^a]b", False), (r"[a&&b]", False), (r"(?s).", False), (r"(?<n>a)", False), (r"\x41", False), (r"a{,3}", False),
+        (r"(?:ab|c[d-f]+?){2,5}\.x", True),
     ],
 )
 def test_portable(regex, expected):
@@ -220,6 +224,21 @@ def test_prefilter_never_loses_a_match(rows):
     assert lost.count() == 0
 
 
+def test_prefilter_never_loses_a_match_of_many_regexes(rows):
+    """Regexes put together at random from the syntax of both dialects."""
+    import random
+
+    draw = random.Random(5)
+    pieces = ["a", "b", "é", "K", ".", "\\w", "\\s", "\\d", "\\S", "[a-c]", "[^a]", "[a-z[0-9]]", "[[:alpha:]]", "(?i)", "(?U)", "(a|b)", "(?:b1)", " ", "\\.", "1"]
+    ends = ["", "", "+", "*", "?", "{2}", "{1,2}", "+?", "*+"]
+    regexes = ["".join(draw.choice(pieces) + draw.choice(ends) for _ in range(draw.randint(1, 4))) for _ in range(120)]
+    regexes = [r for r in regexes if not re.search(r"\)[+*?{]|\A\(\?.\)[+*?{]|(?<!^)\(\?[iU]", r)] + [r"(?U)pw=\w{4}", r"id [a-z[0-9]]{8}"]
+    texts = ["".join(draw.choices(["a", "b", "c", "é", "K", "k", "1", " ", ".", "\x0b", "A", "\n", "ſ"], k=draw.randint(0, 8))) for _ in range(150)]
+    df = rows("t string", *[(t,) for t in [*texts, "pw=éééé", "id abc12345 x"]]).cache()
+    for regex in regexes:
+        assert df.filter(F.col("t").rlike(regex) & ~prefilter.may_match(F.col("t"), [regex])).count() == 0, regex
+
+
 def test_entropy_matches_brute_force(rows):
     words = ["".join("abcdefghij"[(i * k) % 10] for k in range(1 + i % 30)) for i in range(1, 200)]
 

@@ -246,18 +246,51 @@ def test_rollback_needs_two_successes(rows):
     assert tuples(deployments.rollback_target(df), "environment", "version") == [("two", "1")]
 
 
-REQUEST = "deployment_id bigint, environment string, auto_approve boolean"
+REQUEST = "deployment_id bigint, environment string, auto_approve boolean, strategy string"
 ACTION = "deployment_id bigint, approver string, action string, ts timestamp_ntz, seq bigint"
 
 
 def test_approvals(spark, rows):
-    requests = rows(REQUEST, (1, "production", False), (2, "production", False), (3, "staging", False),
-                    (4, "development", False), (5, "production", True), (6, "staging", False))
+    requests = rows(REQUEST, (1, "production", False, None), (2, "production", False, ""), (3, "staging", False, "canary"),
+                    (4, "development", False, None), (5, "production", True, None), (6, "staging", False, None),
+                    (7, "qa", True, None), (8, "staging", True, "big-bang"), (9, "qa", False, None), (10, "staging", False, None))
     actions = rows(ACTION, (1, "dev-lead", "approve", at(1), 1), (1, "ops-lead", "approve", at(2), 2), (2, "dev-lead", "approve", at(1), 3),
-                   (3, "dev-lead", "reject", at(1), 4), (3, "dev-lead", "approve", at(2), 5), (6, "visitor", "approve", at(1), 6))
+                   (3, "dev-lead", "reject", at(1), 4), (3, "dev-lead", "approve", at(2), 5), (6, "visitor", "approve", at(1), 6),
+                   (9, "dev-lead", "reject", at(1), 7), (10, "visitor", "reject", at(1), 8), (10, "dev-lead", "approve", at(0), 9))
     state = deployments.deployment_state(requests, deployments.environment_table(spark), actions)
     assert tuples(state, "deployment_id", "status") == [
-        (1, "approved"), (2, "pending"), (3, "cancelled"), (4, "approved"), (5, "approved"), (6, "pending")]
+        (1, "approved"), (2, "pending"), (3, "cancelled"), (4, "approved"), (5, "approved"), (6, "pending"),
+        (7, "invalid"), (8, "invalid"), (9, "invalid"), (10, "cancelled")]
+    errors = dict(tuples(state, "deployment_id", "error"))
+    assert errors[7] == "Environment 'qa' not found" and errors[8] == "Deployment strategy 'big-bang' not found"
+    assert errors[1] is None and dict(tuples(state, "deployment_id", "open_approvals")) == {
+        1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0, 8: 0, 9: 0, 10: 0}
+
+
+def test_state_needs_all_approvers_of_the_given_environments(spark, rows):
+    own = rows("name string, auto_approve boolean, deployment_strategy string, required_approvers array<string>",
+               ("lab", False, "rolling", ["ann", "bob"]), ("free", False, "rolling", None))
+    requests = rows(REQUEST, (1, "lab", False, None), (2, "lab", False, None), (3, "free", False, None))
+    actions = rows(ACTION, (1, "ann", "approve", at(1), 1), (1, "bob", "approve", at(2), 2), (2, "ann", "approve", at(1), 3))
+    state = deployments.deployment_state(requests, own, actions)
+    assert tuples(state, "deployment_id", "status") == [(1, "approved"), (2, "pending"), (3, "approved")]
+
+
+def test_diff_takes_todays_severity(rows):
+    now, before = rows(FINDING, ("a", 1, 1, "p", "critical", "v")), rows(FINDING, ("a", 1, 1, "p", "medium", "w"), ("b", 1, 1, "p", "low", "w"))
+    assert tuples(secrets.secret_diff(now, before), "file", "severity") == [("a", "critical"), ("b", "low")]
+
+
+def test_no_number_raises_no_alert(spark, rows):
+    metrics = rows("seq bigint, ts timestamp_ntz, source string, type string, value double, unit string",
+                   (1, at(1), "h", "cpu", float("nan"), "%"), (2, at(1), "h", "cpu", 1e27, "%"), (3, at(1), "h", "cpu", 80.1234567890123, "%"))
+    alerts = monitoring.threshold_join(metrics, monitoring.threshold_table(spark))
+    assert tuples(alerts, "alert_id", "message") == [(2, "CPU usage is high: 1e+27%"), (3, "CPU usage is high: 80.1234567890123%")]
+
+
+def test_queries_without_a_limit_lose_nothing(rows):
+    metrics = rows("seq bigint, type string", *[(i, "cpu") for i in range(150)])
+    assert monitoring.metrics_query(metrics, "cpu").count() == 150 and monitoring.metrics_query(metrics, "cpu", 100).count() == 100
 
 
 def test_unknown_names_are_errors(spark, rows):
@@ -270,8 +303,8 @@ def test_unknown_names_are_errors(spark, rows):
 def test_first_errors_and_last_logs(rows):
     logs = rows("deployment_id bigint, seq bigint, ts timestamp_ntz, level string, message string",
                 *[(1, i, at(i), "error", f"e{i}") for i in range(5)], (2, 9, at(0), "error", "only"), (3, 1, at(0), "info", "i"))
-    assert tuples(deployments.first_errors(logs), "deployment_id", "errors") == [(1, "e0\ne1\ne2\n..."), (2, "only")]
-    assert tuples(deployments.last_logs(logs), "deployment_id", "recent") == [(1, "e2\ne3\ne4"), (2, "only"), (3, "i")]
+    assert tuples(deployments.first_errors(logs, 3), "deployment_id", "errors") == [(1, "e0\ne1\ne2\n..."), (2, "only")]
+    assert tuples(deployments.last_logs(logs, 3), "deployment_id", "recent") == [(1, "e2\ne3\ne4"), (2, "only"), (3, "i")]
 
 
 def test_silent_lets_nothing_through(rows):

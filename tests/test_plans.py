@@ -57,7 +57,7 @@ def test_summaries_read_two_columns(stored):
 
 def test_top_per_group_is_cut_before_the_shuffle(stored):
     logs = stored("deployment_id bigint, seq bigint, ts timestamp_ntz, level string, message string", (1, 1, DAY, "error", "m"))
-    for frame in (deployments.last_logs(logs), deployments.first_errors(logs)):
+    for frame in (deployments.last_logs(logs, 3), deployments.first_errors(logs, 3)):
         text = plan(frame)
         assert text.index("Final") < text.index("Exchange") < text.index("Partial")
 

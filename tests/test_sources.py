@@ -154,7 +154,8 @@ def test_alert_state_over_batches(spark, rows, tmp_path):
 def test_deployment_state_over_batches(spark, rows, tmp_path):
     source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     schema = "deployment_id bigint, approver string, action string, ts timestamp_ntz, seq bigint"
-    requests = rows("deployment_id bigint, environment string, auto_approve boolean", (1, "production", False), (2, "staging", False))
+    requests = rows("deployment_id bigint, environment string, auto_approve boolean, strategy string",
+                    (1, "production", False, None), (2, "staging", False, ""), (3, "nowhere", True, None))
 
     def step(*data):
         put(rows, source, *data, schema=schema)
@@ -163,9 +164,9 @@ def test_deployment_state_over_batches(spark, rows, tmp_path):
         run(states, jobs.batch_writer(sink), checkpoint, "update")
 
     step((1, "dev-lead", "approve", DAY, 1), (2, "dev-lead", "reject", DAY, 2))
-    step((1, "ops-lead", "approve", DAY, 3), (2, "dev-lead", "approve", DAY + dt.timedelta(1), 4))
+    step((1, "ops-lead", "approve", DAY, 3), (2, "dev-lead", "approve", DAY + dt.timedelta(1), 4), (3, "dev-lead", "approve", DAY, 5))
     seen = [(r["deployment_id"], r["status"]) for r in spark.read.parquet(sink).orderBy("batch", "deployment_id").collect()]
-    assert seen == [(1, "pending"), (2, "cancelled"), (1, "approved"), (2, "cancelled")]
+    assert seen == [(1, "pending"), (2, "cancelled"), (1, "approved"), (2, "cancelled"), (3, "invalid")]
 
 
 def test_notify_again_leaves_no_duplicates(spark, rows, tmp_path):
