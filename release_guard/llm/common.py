@@ -11,7 +11,7 @@ from ..session import ship_package
 
 
 # Bytes of an Arrow batch: texts are long, and every task holds several batches at once.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:

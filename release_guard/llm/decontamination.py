@@ -31,7 +31,7 @@ from .jaccard import MIX, mixed
 BITMAP_BITS = 22
 REMEMBERED = 300_000
 # Characters of text read together.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 PUNCTUATION = string.punctuation.replace("%", "").replace("$", "") + "«»„“”‘’…–—·¿¡¡"
 # Words that make a number a quantity.
 UNITS = frozenset(

@@ -38,9 +38,9 @@ from .components import components
 LEAST_BITS = 512
 HOT = 24
 STAR_ROUNDS = 3
-BLOCK = 1024
+BLOCK = 4096
 # Characters of text whose words are hashed together.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 # Odd multipliers of the hash functions, from the digits of the golden ratio and pi.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x243F6A8885A308D3)]
 

@@ -30,7 +30,8 @@ LONGEST_GRAM = 4
 WORD = re.compile(r"[^\W\d_]+")
 # Words whose scores a Python worker remembers; characters of text handled at once.
 REMEMBERED = 200_000
-BATCH_CHARS = 6 << 20
+BATCH_CHARS = 2 << 20
+BATCH_WORDS = 50_000
 
 # First and last code point of scripts; the rest, mostly Latin, is script 0.
 SCRIPTS = [
@@ -109,15 +110,15 @@ def learn(docs: DataFrame, per_language: int = 4000, text: str = "text", lang: s
             for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_language.setdefault(name, Counter()).update(WORD.findall(own.lower()))
             for name, words in by_language.items():
-                if not words:
-                    continue
-                found, starts, first = gram_buckets(list(words))
-                times = np.fromiter(words.values(), np.int64, len(words))
-                spans = np.diff(np.append(starts, found.shape[1]))
-                each = np.repeat(times, spans)
-                for n in range(1, LONGEST_GRAM):
-                    grams[name] += np.bincount(found[n], each, BUCKETS + 1).astype(np.int64)
-                letters[name] += np.bincount(scripts(first), times * (spans - 2), len(SCRIPT_NAMES)).astype(np.int64)
+                every, often = list(words), np.fromiter(words.values(), np.int64, len(words))
+                for start in range(0, len(every), BATCH_WORDS):
+                    times = often[start : start + BATCH_WORDS]
+                    found, starts, first = gram_buckets(every[start : start + BATCH_WORDS])
+                    spans = np.diff(np.append(starts, found.shape[1]))
+                    each = np.repeat(times, spans)
+                    for n in range(1, LONGEST_GRAM):
+                        grams[name] += np.bincount(found[n], each, BUCKETS + 1).astype(np.int64)
+                    letters[name] += np.bincount(scripts(first), times * (spans - 2), len(SCRIPT_NAMES)).astype(np.int64)
         for name in languages:
             used = np.flatnonzero(grams[name][:BUCKETS])
             used_scripts = np.flatnonzero(letters[name])
@@ -155,8 +156,8 @@ class Labeller:
         if len(self.known) + len(missing) > REMEMBERED:
             missing, self.known = list(words), {}
             self.scores, self.letters = self.scores[:0], self.letters[:0]
-        for start in range(0, len(missing), 50_000):
-            part = missing[start : start + 50_000]
+        for start in range(0, len(missing), BATCH_WORDS):
+            part = missing[start : start + BATCH_WORDS]
             found, starts, first = gram_buckets(part)
             total = sum(self.model.scores[found[n]] for n in range(1, LONGEST_GRAM))
             scores = np.add.reduceat(total, starts, axis=0)

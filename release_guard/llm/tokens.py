@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 # Pieces a Python worker remembers, and the longest of them.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 SHORT = 48
 
 _UNSAFE = re.compile(r"\s ")
@@ -100,8 +100,8 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> Iterator[list]:
         """For each text what is kept of its pieces, in order."""
         for text in texts:
-            for table in (self.known, self.parts):
-                if len(table) > REMEMBERED:
+            for table, most in ((self.known, REMEMBERED), (self.parts, REMEMBERED // 5)):
+                if len(table) > most:
                     table.clear()
             head, *rest = self.pieces(text)
             yield [self.parts[head], *map(self.known.__getitem__, rest)]
