@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import scratch_dir, ship_package
 
 
 # Bytes of an Arrow batch: texts are long, and every task holds several batches at once.
@@ -60,3 +61,13 @@ def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
     For tables of two or three numbers a row, so that the bound is one of some ten MB.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+@contextmanager
+def stored_for_now(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """A written table for the jobs inside the block, which write their results; it is emptied after them."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    yield spark.read.parquet(path)
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)

@@ -23,7 +23,7 @@ the whole shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import row_groups, small_side, text_key, text_or_empty
+from .common import row_groups, small_side, stored_for_now, text_key, text_or_empty
 from .components import components
 
 LEAST_BITS = 512
 HOT = 24
 STAR_ROUNDS = 3
 BLOCK = 4096
+# Parts in which keys are shuffled.
+KEY_PARTS = 3
 # Characters of text whose words are hashed together.
 GROUP_CHARS = 2 << 20
 # Odd multipliers of the hash functions, from the digits of the golden ratio and pi.
@@ -181,53 +183,54 @@ def lane_keys(own: np.ndarray, sizes: np.ndarray, scheme: np.ndarray, percent: i
     return mixed(mixed(parity[kept] + MIX[1]) ^ salt), np.bincount(holder, minlength=len(sizes))
 
 
-def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, n, set_id and sketch of every row."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary())]
-    )
+def join_keys(own: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all lanes that sets join on, set by set, and how many each has."""
+    # Sets so small that only equal ones link are one class already.
+    needed = next(k for k, (_, last, *_) in enumerate(schemes(percent)) if most_apart(last, percent) > 0)
+    firsts, lasts = (np.array([s[i] for s in schemes(percent)]) for i in (0, 1))
+    scheme = np.searchsorted(firsts, sizes, side="right") - 1
+    # The scheme below serves the pairs in which this set is the larger one.
+    below = np.where((scheme > 0) & (100 * lasts[scheme - 1] >= percent * sizes), scheme - 1, -1)
+    parts = [lane_keys(own, sizes, np.where(part >= needed, part, -1), percent) for part in (scheme, below)]
+    holder = np.concatenate([np.repeat(np.arange(len(sizes)), counts) for _, counts in parts])
+    found = np.concatenate([found for found, _ in parts])[np.argsort(holder, kind="stable")]
+    return found.view(np.int64), sum(counts for _, counts in parts)
+
+
+def digests(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n, set_id, sketch and the keys to join on, of every row."""
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(["doc_id", "text_key", "n", "set_id", "sketch", "keys"], kinds, strict=True)))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, own, sizes in shingle_sets(batch.column(2).to_pylist(), width):
                 sets = np.split(own, np.cumsum(sizes)[:-1])
+                found, counts = join_keys(own, sizes, percent)
                 columns = [c.slice(start, len(sizes)) for c in batch.columns[:2]]
                 columns += [pa.array(sizes), pa.array(map(set_id, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(found)))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(
-        digest, "doc_id long, text_key long, n long, set_id long, sketch binary"
+        digest, "doc_id long, text_key long, n long, set_id long, sketch binary, keys array<long>"
     )
 
 
-def keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """key and set_id for every lane a text joins on."""
-    # Sets so small that only equal ones link are one class already.
-    needed = next(k for k, (_, last, *_) in enumerate(schemes(percent)) if most_apart(last, percent) > 0)
-    firsts = np.array([s[0] for s in schemes(percent)])
-    lasts = np.array([s[1] for s in schemes(percent)])
+def shared_keys(digest: DataFrame) -> DataFrame:
+    """The keys that several rows have: key and set_id.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, own, sizes in shingle_sets(batch.column(0).to_pylist(), width):
-                ids = np.array([set_id(s) for s in np.split(own, np.cumsum(sizes)[:-1])], np.int64)
-                scheme = np.searchsorted(firsts, sizes, side="right") - 1
-                # The scheme below serves the pairs in which this set is the larger one.
-                below = np.where((scheme > 0) & (100 * lasts[scheme - 1] >= percent * sizes), scheme - 1, -1)
-                for part in (scheme, below):
-                    found, counts = lane_keys(own, sizes, np.where(part >= needed, part, -1), percent)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.view(np.int64)), pa.array(np.repeat(ids, counts))], names=["key", "set_id"]
-                    )
-
-    return docs.select("text").mapInArrow(emit, "key long, set_id long")
-
-
-def shared_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The keys that several rows have: key and set_id."""
-    every = keys(docs, width, percent)
-    several = every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    return every.join(several, "key").distinct()
+    Most keys have one row. They are shuffled one part of the keys after the other, each part
+    written down, as a part's shuffle files go before the next part begins.
+    """
+    every = digest.select(F.explode("keys").alias("key"), "set_id")
+    parts = []
+    for i in range(KEY_PARTS):
+        part = every.where(F.pmod("key", F.lit(KEY_PARTS)) == i)
+        several = part.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+        parts.append(stored(part.join(several, "key").distinct(), "lanes"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def close_enough(pairs: DataFrame, digest: DataFrame, percent: int) -> DataFrame:
@@ -248,19 +251,24 @@ def close_enough(pairs: DataFrame, digest: DataFrame, percent: int) -> DataFrame
     return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs a, b that link, by the exact sizes of intersection and union of their sets.
 
-    `texts` has set_id and text of all classes in `pairs`, each once.
+    `classes` tells which row of `docs` has the text of a set; only the texts of `pairs` are read.
     """
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "wanted")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    rows = classes.select("set_id", F.col("doc_id").alias("class_doc"), F.col("text_key").alias("class_key"))
+    wanted = stored(rows.join(ids, "set_id"), "wanted")
+    same = (F.col("text_key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_doc"))
+    texts = docs.join(small_side(wanted), same).select("set_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(text, width).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["set_id", "own"])
 
-    whole = texts.join(small_side(wanted), "set_id").mapInArrow(sets, "set_id long, own binary")
+    # A row can be there several times; its set is not.
+    whole = texts.mapInArrow(sets, "set_id long, own binary").dropDuplicates(["set_id"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,31 +378,27 @@ def _block_pairs(members: DataFrame, digest: DataFrame, percent: int) -> DataFra
     return left.groupBy(place).cogroup(right.groupBy(place)).applyInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_links(docs: DataFrame, digest: DataFrame, width: int, percent: int, hot: int = HOT) -> DataFrame:
+def jaccard_links(
+    docs: DataFrame, digest: DataFrame, shared: DataFrame, width: int, percent: int, hot: int = HOT
+) -> DataFrame:
     """a, b: links between set ids that connect all sets any link connects.
 
-    `docs` has doc_id, text and text_key; `digest` is `digests(docs)` with shingles, written down.
+    `docs` has doc_id, text and text_key; `digest` is `digests(docs)` without keys, of texts with
+    shingles, and `shared` their `shared_keys`, both written down.
     """
-    shared = stored(shared_keys(docs, width, percent), "lanes")
     counted = shared.groupBy("key").agg(F.count("*").alias("members"), F.min("set_id").alias("center")).where("members > 1")
     shared = stored(shared.join(counted, "key"), "shared-lanes")
-    # The classes that share a key: one row of each, and its text.
+    # The classes that share a key: one row of each.
     some = shared.select("set_id").distinct()
-    first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    firsts = digest.select("set_id", "doc_id", "text_key").join(some, "set_id").groupBy("set_id").agg(first)
-    firsts = small_side(stored(firsts.select("set_id", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("t")), "firsts"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
-    classes = digest.join(firsts, "set_id").where(is_first).drop("d", "t").dropDuplicates(["set_id"])
-    digest = stored(classes, "classes")
-    rows = small_side(digest.select("set_id", F.col("doc_id").alias("class_doc"), F.col("text_key").alias("class_key")))
-    same = (F.col("text_key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_doc"))
-    texts = stored(docs.join(rows, same).dropDuplicates(["set_id"]).select("set_id", "text"), "class-texts")
+    first = F.min_by(F.struct("doc_id", "text_key", "n", "sketch"), F.struct("doc_id", "text_key")).alias("first")
+    firsts = digest.join(some, "set_id").groupBy("set_id").agg(first)
+    digest = stored(firsts.select("set_id", "first.*"), "classes")
     hot_rows = stored(_hot_members(shared, digest, hot, percent).drop("members", "center"), "hot-lanes")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
 
     def add(candidates: DataFrame) -> DataFrame:
         near = stored(close_enough(candidates, digest, percent), "near-pairs")
-        return stored(links.unionByName(verified(near, texts, width, percent)).distinct(), "links")
+        return stored(links.unionByName(verified(near, docs, digest, width, percent)).distinct(), "links")
 
     links = add(shared.where("set_id <> center").select(*_ordered("set_id", "center")).distinct())
     labels = components(links)
@@ -419,9 +423,11 @@ def jaccard_links(docs: DataFrame, digest: DataFrame, width: int, percent: int,
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The digest of all rows, and doc_id, text_key, n and component of those with shingles."""
-    digest = stored(digests(docs, width), "digests")
+    with stored_for_now(digests(docs, width, percent), "keys") as with_keys:
+        digest = stored(with_keys.drop("keys"), "digests")
+        shared = shared_keys(with_keys)
     full = digest.where("n > 0")
-    labels = stored(components(jaccard_links(docs, full, width, percent)), "components")
+    labels = stored(components(jaccard_links(docs, full, shared, width, percent)), "components")
     component = F.coalesce("component", "set_id").alias("component")
     named = full.join(labels, full["set_id"] == labels["node"], "left")
     return digest, named.select("doc_id", "text_key", "n", component)
