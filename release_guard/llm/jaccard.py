@@ -42,7 +42,7 @@ BLOCK = 4096
 # Parts in which keys are shuffled.
 KEY_PARTS = 3
 # Characters of text whose words are hashed together.
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 1 << 20
 # Odd multipliers of the hash functions, from the digits of the golden ratio and pi.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x243F6A8885A308D3)]
 

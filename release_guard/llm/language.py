@@ -30,8 +30,8 @@ LONGEST_GRAM = 4
 WORD = re.compile(r"[^\W\d_]+")
 # Words whose scores a Python worker remembers; characters of text handled at once.
 REMEMBERED = 200_000
-BATCH_CHARS = 2 << 20
-BATCH_WORDS = 50_000
+BATCH_CHARS = 1 << 20
+BATCH_WORDS = 25_000
 
 # First and last code point of scripts; the rest, mostly Latin, is script 0.
 SCRIPTS = [
