@@ -3,8 +3,8 @@
 Texts become templates: numbers, quantities with a unit and names turn into typed
 placeholders, all other words into lower case without punctuation. Windows of template
 words of the benchmark items and of the documents are joined by hash. The values that
-stood at the placeholders, the slots, must then map consistently: one value of the item always to
-one value of the document. So a question asked again with other numbers or names is found, while
+stood at the placeholders, the slots, must then map consistently within one occurrence: one value of the item
+always to one value of the document. So a question asked again with other numbers or names is found, while
 chance hits of a template are not.
 
 A second reading of every text without names catches copies with other capitals. A bitmap
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -184,6 +184,40 @@ def template_windows(df: DataFrame, width: int, widths: list[int] | None = None,
     return df.select("id", "text_key", "text").mapInArrow(windows, DDL)
 
 
+def _covered(hits: DataFrame, pair: list[str], least_cover: float) -> DataFrame:
+    """The hits of the pairs whose hits cover enough of the item, wherever they lie: no other pair has an occurrence."""
+    share = F.size(F.collect_set("item_place")) / F.max("item_windows")
+    enough = hits.groupBy(*pair).agg(share.alias("share")).where(F.col("share") >= least_cover)
+    enough = enough.select(*[F.col(c).alias(f"enough {c}") for c in pair])
+    same = [F.col(c).eqNullSafe(F.col(f"enough {c}")) for c in pair]
+    return hits.join(enough, same, "left_semi")
+
+
+def occurrences(hits: DataFrame, pair: list[str]) -> DataFrame:
+    """The hits of each possible occurrence of an item in a document, which scope and number name.
+
+    Scope 0 is one alignment: all hits of one distance between document place and item place. Scope 1 is a band of
+    distances as wide as the item, for copies with words more or less; bands overlap by half, and each place of
+    the item takes the hit nearest to the distance with most hits, so repeated templates do not match
+    crosswise. Scope 2 is the whole document, for items whose parts lie far from each other.
+    """
+    rows = hits.withColumn("distance", F.col("place") - F.col("item_place"))
+    columns = [*pair, "scope", "number", "item_place", "item_windows", "item_slots", "slots"]
+    aligned = rows.withColumns({"scope": F.lit(0), "number": F.col("distance")})
+    half = F.ceil(F.col("item_windows") / 2)
+    band = F.floor(F.col("distance") / half)
+    bands = rows.withColumns({"scope": F.lit(1), "number": F.explode(F.array(band - 1, band))})
+    own = [*pair, "number"]
+    bands = bands.withColumn("n", F.count("*").over(Window.partitionBy(*own, "distance")))
+    middle = F.max_by("distance", F.struct("n", -F.col("distance"))).over(Window.partitionBy(*own))
+    bands = bands.withColumn("middle", middle)
+    off = F.struct(F.abs(F.col("distance") - F.col("middle")), "distance")
+    nearest = F.min_by(F.struct("item_windows", "item_slots", "slots"), off).alias("nearest")
+    bands = bands.groupBy(*own, "scope", "item_place").agg(nearest).select(*own, "scope", "item_place", "nearest.*")
+    whole = rows.withColumns({"scope": F.lit(2), "number": F.lit(0).cast("long")})
+    return aligned.select(columns).unionByName(bands.select(columns)).unionByName(whole.select(columns))
+
+
 def contaminated(
     documents: DataFrame, benchmark: DataFrame, width: int = 8, least_cover: float = 0.5, least_consistency: float = 0.8,
     id_column: str = "doc_id", item_column: str = "item_id", text: str = "text",
@@ -191,9 +225,9 @@ def contaminated(
     """Pairs of a document and a benchmark item it contains: doc_id, text_key, item_id, n_windows, cover, n_slots,
     consistency, changed.
 
-    `cover` is the share of the item's windows found in the document, `consistency` the share of the item's different
-    slot values that stand for one value of the document each (1 without slots), `changed` tells whether any slot has another
-    value. Items of fewer than `width` template words are one window; items of fewer than 3
+    `cover` is the share of the item's windows found in one occurrence, `consistency` the share of the item's different
+    slot values that stand for one value of the document there (1 without slots), `changed` tells whether any slot has another
+    value. The best of the `occurrences` of a pair is given. Items of fewer than `width` template words are one window; items of fewer than 3
     words, null and empty texts match nothing. Rows of a repeated id with different texts are judged each for itself;
     repeated rows give one. Items without an id take no part.
     """
@@ -214,15 +248,20 @@ def contaminated(
     ).dropDuplicates(["item_id", "item_key", "reading", "item_place"])
     hits = found.drop("windows").join(named, ["reading", "hash", "width"])
     pair = ["id", "text_key", "item_id", "item_key", "reading"]
+    # Repeated rows of a document give the same hits.
+    places = ["item_place", "item_windows", "item_slots", "place", "slots"]
+    hits = stored(hits.select(*pair, *places).dropDuplicates([*pair, "item_place", "place"]), "template-hits")
+    cells = occurrences(_covered(hits, pair, least_cover), pair)
+    scope = [*pair, "scope", "number"]
     # A slot of the item and what stands in its place; windows without slots give one row.
     slots = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
-    rows = hits.select(*pair, "item_place", "item_windows", slots.alias("slot"))
-    values = rows.groupBy(*pair, "slot.item").agg(
+    rows = cells.select(*scope, "item_place", "item_windows", slots.alias("slot"))
+    values = rows.groupBy(*scope, "slot.item").agg(
         F.min("slot.doc").alias("low"), F.max("slot.doc").alias("high"),
         F.collect_set("item_place").alias("places"), F.max("item_windows").alias("item_windows"),
     )
     present = F.col("item").isNotNull()
-    judged = values.groupBy(*pair).agg(
+    judged = values.groupBy(*scope).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"),
         F.max("item_windows").alias("item_windows"),
         F.count_if(present).alias("n_slots"),
@@ -232,8 +271,9 @@ def contaminated(
     cover = F.col("n_windows") / F.col("item_windows")
     steady = F.when(F.col("n_slots") == 0, 1.0).otherwise(F.col("n_steady") / F.col("n_slots"))
     good = judged.select(
-        F.col("id").alias("doc_id"), "text_key", "item_id", "reading", F.col("n_windows").cast("long").alias("n_windows"),
+        F.col("id").alias("doc_id"), "text_key", "item_id", "reading", "scope", F.col("n_windows").cast("long").alias("n_windows"),
         cover.alias("cover"), F.col("n_slots").cast("long").alias("n_slots"), steady.alias("consistency"), "changed",
     ).where((F.col("cover") >= least_cover) & (F.col("consistency") >= least_consistency))
-    best = F.max_by(F.struct("n_windows", "cover", "n_slots", "consistency", "changed"), F.struct("cover", "consistency", -F.col("reading")))
+    order = F.struct("cover", "consistency", ~F.col("changed"), -F.col("reading"), -F.col("scope"), "n_slots")
+    best = F.max_by(F.struct("n_windows", "cover", "n_slots", "consistency", "changed"), order)
     return good.groupBy("doc_id", "text_key", "item_id").agg(best.alias("best")).select("doc_id", "text_key", "item_id", "best.*")

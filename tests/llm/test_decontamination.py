@@ -77,3 +77,24 @@ def test_query_finds_every_whole_item(spark, sf_dir, documents):
         expected |= {(doc, i) for i, t in items if 2 * len(windows(t, 8) & own) >= len(windows(t, 8))}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op1_template_decontamination(spark, sf_dir).collect()}
     assert got == expected
+
+
+COUNTS = "we saw 3 red apples on the old table and then 4 red apples on the old table and then 5 red apples on the old table"
+
+
+def test_each_occurrence_is_judged_for_itself(tables):
+    other = ITEM.replace("40", "55").replace("60", "75").replace("120", "99").replace("Boston", "Paris").replace("Denver", "Rome")
+    third = ITEM.replace("40", "31").replace("60", "32").replace("120", "33").replace("Boston", "Oslo").replace("Denver", "Bern")
+    stray = "another leaves Rome at 7 mph; when the first train has gone 8 miles, how far is Lyon?"
+    texts = {
+        1: f"{FILLER}. {ITEM} {FILLER}. {other}",
+        2: f"{other} {FILLER}. {third}",
+        3: f"{ITEM} {' '.join([FILLER] * 20)} {stray}",
+        4: COUNTS,
+        5: f"{FILLER} {COUNTS.replace('and then 4', 'and just then 4')} {FILLER}",
+        6: COUNTS.replace("3", "13").replace("4", "14").replace("5", "15"),
+    }
+    got = found(tables, list(texts.items()), [(70, ITEM), (71, COUNTS)])
+    assert set(got) == {(1, 70), (2, 70), (3, 70), (4, 71), (5, 71), (6, 71)}
+    assert not got[1, 70]["changed"] and got[1, 70]["cover"] == 1.0 and not got[4, 71]["changed"]
+    assert got[2, 70]["changed"] and got[6, 71]["changed"] and got[6, 71]["consistency"] == 1.0
