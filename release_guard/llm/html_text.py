@@ -70,7 +70,8 @@ TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)>?",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Attributes one after the other, so that no name is found inside a value or another name.
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
 MASK = (1 << 64) - 1
 
@@ -78,7 +79,10 @@ MASK = (1 << 64) - 1
 @lru_cache(1 << 14)
 def traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """The label of an element in the style tree, whether it goes by its name, whether it is the article."""
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        # The first of several attributes of a name counts.
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     named = " ".join([found.get("class", ""), found.get("id", "")])
     named = re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()
     words = set(WORD.findall(named))
@@ -87,8 +91,8 @@ def traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     main = tag in ("article", "main") or role in MAIN_ROLES or found.get("itemprop", "").lower() in BODY_WORDS
     whole_page = tag in ("html", "body")
-    dropped = tag in DROPPED or hidden or (
-        not whole_page and (role in DROPPED_ROLES or bool(words & DROPPED_WORDS) and not (tag in TEXT_BLOCKS and main))
+    dropped = tag in DROPPED or (
+        not whole_page and (hidden or role in DROPPED_ROLES or bool(words & DROPPED_WORDS) and not (tag in TEXT_BLOCKS and main))
     )
     return label, dropped, main and not dropped
 

@@ -87,3 +87,17 @@ def test_given_pages(spark, sf_dir):
     for page in given:
         r = found[page["page_id"]]
         assert (r["url"], r["text"], r["n_chars"]) == (page["url"], plain(page["html"]), len(plain(page["html"])))
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ('<div style="overflow:hidden"><p>x</div><div data-hidden="false">y</div>', "x y"),
+        ('<body style="overflow-x:hidden"><p>x', "x"), ("<body hidden><p>x", "x"), ('<body aria-hidden="true"><p>x', "x"),
+        ('<div data-id="search" title="class=ad id=menu">x</div><p data-role=\'navigation\'>y', "x y"),
+        ('<div title="a"hidden>x</div><div title="a"" HIDDEN=until-found>x</div><div aria-hidden = \'TRUE\'>x</div><p>y', "y"),
+        ("<div class=a class=ad>x</div><p>y", "x y"),
+    ],
+)
+def test_attributes_by_their_whole_names(source, text):
+    assert main_text(parse(source), frozenset()) == text
