@@ -8,9 +8,11 @@ are alike. A branch of low importance is the same all over the site, such as a b
 is removed from each page.
 
 Entropy alone cannot tell menus, adverts and footers whose text changes from page to page
-from an article. Elements and class names that say what they are therefore have a fixed prior: such
-branches always go, and headings, paragraphs, lists and the like inside an article element always stay, for copies
-of one article on a host would otherwise remove each other. Entropy decides on all the rest.
+from an article. Elements and roles that say what they are therefore have a fixed prior: such
+branches always go. A class or id that does so removes a branch that is also alike all over the site,
+mostly links or a small part of the page's text; articles and what holds them stay. Headings, paragraphs, lists
+and the like inside an article element stay whatever their entropy, for copies of one article on a host would
+otherwise remove each other. Entropy decides on all the rest.
 """
 
 from __future__ import annotations
@@ -59,6 +61,17 @@ DROPPED_WORDS = frozenset(
     "respond share sharing social related recommended newsletter subscribe subscription widget pagination pager login "
     "signup search skip".split()
 )
+# Those that may as well name a part of an article.
+WEAK_WORDS = frozenset(
+    "related side header notice notices notification alert search share sharing social reply replies respond recommended "
+    "promotion overlay banner widget skip".split()
+)
+# What turns a class word into its opposite, as in has-sidebar.
+NEGATED = re.compile(r"(?<![a-z])(?:no|not|non|has|with|without)[-_\s]+[a-z]+")
+NO_WORD, WEAK, STRONG = range(3)
+# Shares of a page's text: a class word alone removes branches of at most a half in all, a weak one of a quarter
+# each, and links a branch of up to nine tenths of which they are a half.
+MOST_NAMED, MOST_WEAK, MOST_LINKS, LEAST_LINKS = 0.5, 0.25, 0.9, 0.5
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split()
 )
@@ -77,8 +90,8 @@ MASK = (1 << 64) - 1
 
 
 @lru_cache(1 << 14)
-def traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The label of an element in the style tree, whether it goes by its name, whether it is the article."""
+def traits(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
+    """The label of an element in the style tree, whether it goes by its name, whether it is the article, its class word."""
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
         # The first of several attributes of a name counts.
@@ -91,10 +104,10 @@ def traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     main = tag in ("article", "main") or role in MAIN_ROLES or found.get("itemprop", "").lower() in BODY_WORDS
     whole_page = tag in ("html", "body")
-    dropped = tag in DROPPED or (
-        not whole_page and (hidden or role in DROPPED_ROLES or bool(words & DROPPED_WORDS) and not (tag in TEXT_BLOCKS and main))
-    )
-    return label, dropped, main and not dropped
+    dropped = tag in DROPPED or (not whole_page and (hidden or role in DROPPED_ROLES))
+    meant = set(WORD.findall(NEGATED.sub(" ", named))) & DROPPED_WORDS
+    word = NO_WORD if whole_page or main or not meant else WEAK if meant <= WEAK_WORDS else STRONG
+    return label, dropped, main and not dropped, word
 
 
 @dataclass
@@ -106,6 +119,11 @@ class Page:
     tag: list[str] = field(default_factory=list)
     dropped: list[bool] = field(default_factory=list)
     main: list[bool] = field(default_factory=list)
+    own_main: list[bool] = field(default_factory=list)
+    word: list[int] = field(default_factory=list)
+    # Characters directly in the node, and those of them in links.
+    chars: list[int] = field(default_factory=list)
+    links: list[int] = field(default_factory=list)
     # (node, text); a None text is the end of a block or line.
     pieces: list[tuple[int, str | None]] = field(default_factory=list)
 
@@ -115,11 +133,14 @@ def parse(source: str) -> Page:
     page = Page()
     open_tags: list[str] = []
     open_nodes: list[int] = []
+    links = 0
 
     def enter(tag: str, attributes: str) -> None:
-        label, dropped, main = traits(tag, attributes)
+        nonlocal links
+        label, dropped, main, word = traits(tag, attributes)
         up = open_nodes[-1] if open_nodes else -1
-        if tag in INLINE and not dropped:
+        links += tag == "a"
+        if tag in INLINE and not dropped and not word:
             open_tags.append(tag)
             open_nodes.append(up)
             return
@@ -131,15 +152,27 @@ def parse(source: str) -> Page:
         gone = dropped or (tag == "header" and not (up >= 0 and page.main[up]))
         page.dropped.append(gone or (up >= 0 and page.dropped[up]))
         page.main.append(main or (up >= 0 and page.main[up]))
+        page.own_main.append(main)
+        page.word.append(word)
+        page.chars.append(0)
+        page.links.append(0)
         open_tags.append(tag)
         open_nodes.append(len(page.parent) - 1)
         if tag not in INLINE:
             page.pieces.append((up, None))
 
+    def say(text: str) -> None:
+        node, size = open_nodes[-1], len(text.strip())
+        page.pieces.append((node, text))
+        page.chars[node] += size
+        page.links[node] += size if links else 0
+
     def leave(depth: int) -> None:
+        nonlocal links
         while len(open_tags) > depth:
             tag = open_tags.pop()
             node = open_nodes.pop()
+            links -= tag == "a"
             if tag not in INLINE:
                 page.pieces.append((node, None))
 
@@ -149,7 +182,7 @@ def parse(source: str) -> Page:
         token = TOKEN.search(source, at)
         end = token.start() if token else len(source)
         if end > at:
-            page.pieces.append((open_nodes[-1], source[at:end]))
+            say(source[at:end])
         if not token:
             break
         at = token.end()
@@ -191,13 +224,59 @@ def parse(source: str) -> Page:
                 leave(cut)
             enter(tag, attributes)
         elif token[0] == "<":
-            page.pieces.append((open_nodes[-1], "<"))
+            say("<")
     return page
 
 
-def main_text(page: Page, low: frozenset[int]) -> str:
-    """The text of a page without dropped branches and without the nodes in `low`."""
+def named_branches(page: Page, low: frozenset[int]) -> set[int]:
+    """The nodes that go by a word of their class or id and by what they hold.
+
+    They are in `low`, or mostly links, or a small part of the page's text. An article stays, and what holds it; in an
+    article paragraphs and the like go for links or in `low` only, inline elements of them and weak words in `low` only.
+    """
     n = len(page.parent)
+    if not any(page.word):
+        return set()
+    chars = [0 if page.dropped[i] else page.chars[i] for i in range(n)]
+    links = [0 if page.dropped[i] else page.links[i] for i in range(n)]
+    holds = [page.own_main[i] and not page.dropped[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        up = page.parent[i]
+        if up >= 0:
+            chars[up] += chars[i]
+            links[up] += links[i]
+            holds[up] = holds[up] or holds[i]
+    total = chars[0]
+    found, small = set(), set()
+    for i in range(n):
+        up = page.parent[i]
+        inside = up >= 0 and page.main[up]
+        if not page.word[i] or page.dropped[i] or (holds[i] and not inside):
+            continue
+        if page.path[i] in low:
+            found.add(i)
+        elif inside and page.tag[i] in INLINE and page.tag[up] in TEXT_BLOCKS:
+            continue
+        elif links[i] and links[i] >= LEAST_LINKS * chars[i] and chars[i] <= MOST_LINKS * total:
+            found.add(i)
+        elif inside and (page.tag[i] in TEXT_BLOCKS or page.word[i] == WEAK):
+            continue
+        elif chars[i] <= (MOST_WEAK if page.word[i] == WEAK else MOST_NAMED) * total:
+            small.add(i)
+    # Together, each branch once.
+    under = [False] * n
+    together = 0
+    for i in range(n):
+        above = page.parent[i] >= 0 and under[page.parent[i]]
+        under[i] = above or i in small
+        together += chars[i] if i in small and not above else 0
+    return found | small if together <= MOST_NAMED * total else found
+
+
+def main_text(page: Page, low: frozenset[int], words: bool = True) -> str:
+    """The text of a page without dropped branches, without the nodes in `low` and, with `words`, those named by a class."""
+    n = len(page.parent)
+    named = named_branches(page, low) if words else set()
     gone = list(page.dropped)
     for i in range(n):
         up = page.parent[i]
@@ -207,6 +286,8 @@ def main_text(page: Page, low: frozenset[int]) -> str:
         # An article stays in a branch that is alike on all pages.
         if up >= 0 and gone[up] and (inside or not page.main[i]):
             gone[i] = True
+        if i in named:
+            gone[i] = True
     only = any(page.main[i] and not gone[i] for i in range(n))
     kept = [
         " " if text is None else html.unescape(text)
@@ -214,8 +295,10 @@ def main_text(page: Page, low: frozenset[int]) -> str:
         if text is None or not gone[node] and (page.main[node] or not only)
     ]
     text = " ".join("".join(kept).split())
+    if text or not (low or named):
+        return text
     # A page of nothing but such branches is a copy of other pages, not their frame.
-    return text if text or not low else main_text(page, frozenset())
+    return main_text(page, low, words=False) if named else main_text(page, frozenset())
 
 
 def node_facts(page: Page) -> dict[int, tuple[int, int]]:

@@ -101,3 +101,23 @@ def test_given_pages(spark, sf_dir):
 )
 def test_attributes_by_their_whole_names(source, text):
     assert main_text(parse(source), frozenset()) == text
+
+
+PROSE = "a long passage that belongs to the article and is not a part of the frame"
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        (f"<article class='post no-sidebar'><p>{PROSE}</article>", PROSE), (f"<main class='has-sidebar'><p>{PROSE}</main>", PROSE),
+        (f"<div id='content-sidebar-wrap'><article><p>{PROSE}</article><div class=sidebar>s</div></div>", PROSE),
+        (f"<div id='content-sidebar-wrap'><p>{PROSE}</div>", PROSE),
+        (f"<article><p>{PROSE}</p><section class='related-work'><p>others</p></section><p class=notice>n</p></article>", f"{PROSE} others n"),
+        (f"<article><p>{PROSE} <a class=related>link</a> on</p><ul class=share><li><a>f</a><li><a>t</a></ul></article>", f"{PROSE} link on"),
+        (f"<div class=menu><a>{PROSE}</a></div><p>{PROSE}</p>", PROSE), (f"<div class=ad>{PROSE[:30]}</div><p>{PROSE}</p>", PROSE),
+        (f"<div class=reply>{PROSE}</div><div class=reply>{PROSE}</div><p>x", f"{PROSE} {PROSE} x"),
+        (f"<main><article><p>{PROSE}</p></article><div id=comments><article class=comment>c</article></div></main>", PROSE),
+    ],
+)
+def test_class_words_do_not_decide_alone(source, text):
+    assert main_text(parse(source), frozenset()) == text
