@@ -7,7 +7,10 @@ stood at the placeholders, the slots, must then map consistently within one occu
 always to one value of the document. So a question asked again with other numbers or names is found, while
 chance hits of a template are not.
 
-A second reading of every text without names catches copies with other capitals. A bitmap
+A second reading of every text without names catches copies with other capitals, a third takes capitalised words
+at the start of a sentence for names too. Items that give no template window, such as plain
+arithmetic, are joined by literal windows of all words with their values. Characters of scripts that write no
+spaces are words of their own. A bitmap
 of fixed size, made from the benchmark's windows, lets a task drop nearly all windows of a
 document before the join, whatever the size of the benchmark.
 """
@@ -32,7 +35,7 @@ BITMAP_BITS = 22
 REMEMBERED = 300_000
 # Characters of text read together.
 GROUP_CHARS = 2 << 20
-PUNCTUATION = string.punctuation.replace("%", "").replace("$", "") + "«»„“”‘’…–—·¿¡¡"
+PUNCTUATION = string.punctuation.replace("%", "").replace("$", "") + "«»„“”‘’…–—·¿¡¡，。？！、；：（）「」『』《》〈〉【】〔〕・　"
 # Words that make a number a quantity.
 UNITS = frozenset(
     "% percent mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms "
@@ -42,10 +45,23 @@ UNITS = frozenset(
     "gbp dollar dollars cent cents euro euros mph kmh people persons times".split()
 )
 QUANTITY = re.compile(r"[+-]?([$€£]?)(\d[\d.,:/]*)([A-Za-z%]*)")
+# Thai, Lao, Burmese, Khmer, kana and Chinese characters; their punctuation also parts words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff！（），：；？\U00020000-\U0003ffff]")
+# Words of these alone count in literal windows.
+SIGNS = frozenset("+-*/=<>^×÷−±≤≥≠")
+READINGS = range(4)
+NAMES, NO_NAMES, ALL_NAMES, LITERAL = READINGS
 WORD, NUM, UNIT, QTY, CAPITAL, NOTHING = range(6)
+EMPTY = np.uint64(xxhash.xxh3_64_intdigest(""))
 CODES = {NUM: 0x1B873593CC9E2D51, QTY: 0x52DCE729DA3ED7A1, CAPITAL: 0x38B34AE5A1E38B93}
 
 
+def split_words(text: str) -> list[str]:
+    if not text.isascii() and UNSPACED.search(text):
+        text = UNSPACED.sub(r" \g<0> ", text)
+    return text.split()
+
+
 class TemplateWords:
     """What is known of each distinct word: its kind, its code, its plain form, whether it ends a sentence."""
 
@@ -65,6 +81,7 @@ class TemplateWords:
         kind = WORD
         if not bare:
             kind = NOTHING
+            low = word if SIGNS.issuperset(word) else ""
         elif bare[0].isdigit() or bare[0] in "$€£+-":
             found = QUANTITY.fullmatch(bare)
             if found:
@@ -73,7 +90,7 @@ class TemplateWords:
             kind = UNIT
         elif kind == WORD and len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
             kind = CAPITAL
-        return kind, low, word.rstrip("\"')]}»”’").endswith((".", "!", "?", ":"))
+        return kind, low, word.rstrip("\"')]}»”’").endswith((".", "!", "?", ":", "。", "！", "？", "："))
 
     def ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
@@ -91,8 +108,14 @@ class TemplateWords:
 class Reading:
     """The template words of several texts one after the other: their codes, texts, and which are slots."""
 
-    def __init__(self, ids: np.ndarray, of: np.ndarray, words: TemplateWords, names: bool):
-        self.ids, self.words = ids, words
+    def __init__(self, ids: np.ndarray, of: np.ndarray, words: TemplateWords, reading: int):
+        self.ids, self.words, self.literal = ids, words, reading == LITERAL
+        if self.literal:
+            self.more = np.zeros(len(ids), bool)
+            self.at = np.flatnonzero(words.codes[ids] != EMPTY)
+            self.of, self.codes = of[self.at], words.codes[ids[self.at]]
+            self.slot = np.zeros(len(self.at), bool)
+            return
         kind = words.kinds[ids]
         same = np.zeros(len(ids), bool)
         same[1:] = of[1:] == of[:-1]
@@ -101,9 +124,9 @@ class Reading:
         kind[np.flatnonzero(unit) - 1] = QTY
         inside = same.copy()
         inside[1:] &= ~words.ends[ids[:-1]]
-        name = (kind == CAPITAL) & inside & names
+        name = (kind == CAPITAL) & (inside | (reading == ALL_NAMES)) & (reading != NO_NAMES)
         again = np.zeros(len(ids), bool)
-        again[1:] = name[1:] & name[:-1]
+        again[1:] = name[1:] & name[:-1] & inside[1:]
         kind[(kind == CAPITAL) & ~name] = WORD
         self.more = unit | again
         self.at = np.flatnonzero((kind != NOTHING) & ~self.more)
@@ -115,13 +138,16 @@ class Reading:
             self.codes[kind == k] = code
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows, and which lie in one text and have enough plain words."""
+        """Hashes of all windows, and which lie in one text and, but for literal ones, have enough plain words."""
         n = max(0, len(self.codes) - width + 1)
         total = np.full(n, width, np.uint64)
         for i in range(width):
-            total = mixed(total * MIX[0] + self.codes[i : n + i])
-        plain = np.concatenate([[0], np.cumsum(~self.slot)])
-        good = (self.of[:n] == self.of[width - 1 :][:n]) & (2 * (plain[width:][:n] - plain[:n]) >= width)
+            total = total * MIX[0] + self.codes[i : n + i]
+        total = mixed(total)
+        good = self.of[:n] == self.of[width - 1 :][:n]
+        if not self.literal:
+            plain = np.concatenate([[0], np.cumsum(~self.slot)])
+            good &= 2 * (plain[width:][:n] - plain[:n]) >= width
         return total, good
 
     def values(self, place: int, width: int) -> list[str]:
@@ -142,11 +168,12 @@ FIELDS = [
 DDL = "id long, text_key long, reading int, hash long, place long, windows long, width int, slots array<string>"
 
 
-def template_windows(df: DataFrame, width: int, widths: list[int] | None = None, bitmap: bytes | None = None) -> DataFrame:
+def template_windows(df: DataFrame, width: int, widths: dict[int, list[int]] | None = None, bitmap: bytes | None = None) -> DataFrame:
     """The template windows of id, text_key and text: hash, place, windows of the text, and values at its slots.
 
-    Without `widths` a text shorter than `width` is one window of its own length. With a bitmap only
-    windows whose bit is set are returned. At least half of a window's words must be plain.
+    Without `widths`, those wanted in each reading, a text shorter than `width` is one window of its own length, and only
+    texts without any template window have literal ones. With a bitmap only windows whose bit is set are
+    returned. At least half of a template window's words must be plain. Windows of less than 3 words are literal and a whole text.
     """
     schema = pa.schema(FIELDS)
 
@@ -156,17 +183,19 @@ def template_windows(df: DataFrame, width: int, widths: list[int] | None = None,
         for batch in batches:
             docs, keys, texts = (column.to_pylist() for column in batch.columns)
             for start, end in row_groups(map(len, texts), GROUP_CHARS):
-                split = [text.split() for text in texts[start:end]]
+                split = [split_words(text) for text in texts[start:end]]
                 counts = np.fromiter(map(len, split), np.int64, len(split))
                 ids = words.ids([w for own in split for w in own])
                 of = np.repeat(np.arange(start, end), counts)
                 rows = []
-                for reading in (0, 1):
-                    found = Reading(ids, of, words, names=reading == 0)
+                matched: set[int] = set()
+                for reading in READINGS if widths is None else sorted(widths):
+                    found = Reading(ids, of, words, reading)
                     first = np.searchsorted(found.of, np.arange(start, end))
                     size = np.diff(np.append(first, len(found.of)))
-                    for w in widths or sorted(set(np.minimum(size, width).tolist())):
-                        if w < 3:
+                    own = np.minimum(size, width)
+                    for w in sorted(set(own.tolist())) if widths is None else widths[reading]:
+                        if w < (1 if found.literal else 3):
                             continue
                         hashes, good = found.windows(w)
                         n = np.bincount(found.of[: len(good)][good], minlength=end)
@@ -174,9 +203,14 @@ def template_windows(df: DataFrame, width: int, widths: list[int] | None = None,
                             good &= wanted[hashes >> np.uint64(64 - BITMAP_BITS)]
                         for at in np.flatnonzero(good).tolist():
                             doc = int(found.of[at])
-                            if widths or min(size[doc - start], width) == w:
-                                place, value = at - int(first[doc - start]), int(hashes[at].astype(np.int64))
-                                rows.append((docs[doc], keys[doc], reading, value, place, int(n[doc]), w, found.values(at, w)))
+                            if widths is None and (own[doc - start] != w or found.literal and doc in matched):
+                                continue
+                            if w < 3 and size[doc - start] != w:
+                                continue
+                            if not found.literal:
+                                matched.add(doc)
+                            place, value = at - int(first[doc - start]), int(hashes[at].astype(np.int64))
+                            rows.append((docs[doc], keys[doc], reading, value, place, int(n[doc]), w, found.values(at, w)))
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -227,14 +261,17 @@ def contaminated(
 
     `cover` is the share of the item's windows found in one occurrence, `consistency` the share of the item's different
     slot values that stand for one value of the document there (1 without slots), `changed` tells whether any slot has another
-    value. The best of the `occurrences` of a pair is given. Items of fewer than `width` template words are one window; items of fewer than 3
-    words, null and empty texts match nothing. Rows of a repeated id with different texts are judged each for itself;
+    value. The best of the `occurrences` of a pair is given. Items of fewer than `width` template words are one window. Items without a template
+    window match literally, those of one or two words only texts that are nothing else, as they occur everywhere by chance.
+    Null and empty texts and those of punctuation alone match nothing. Rows of a repeated id with different texts are judged each for itself;
     repeated rows give one. Items without an id take no part.
     """
     docs = documents.select(F.col(id_column).cast("long").alias("id"), text_key(text).alias("text_key"), text_or_empty(text).alias("text"))
     items = benchmark.select(F.col(item_column).cast("long").alias("id"), text_key(text).alias("text_key"), text_or_empty(text).alias("text"))
     own = stored(template_windows(items.where("id is not null"), width), "benchmark-windows")
-    widths = sorted(r["width"] for r in own.select("width").distinct().collect())
+    widths: dict[int, list[int]] = {}
+    for r in own.select("reading", "width").distinct().collect():
+        widths.setdefault(r["reading"], []).append(r["width"])
     # At most 2**BITMAP_BITS numbers.
     prefix = F.shiftrightunsigned(F.col("hash"), 64 - BITMAP_BITS).cast("int").alias("bit")
     set_bits = own.select(prefix).distinct().toArrow().column("bit").to_numpy()

@@ -98,3 +98,20 @@ def test_each_occurrence_is_judged_for_itself(tables):
     assert set(got) == {(1, 70), (2, 70), (3, 70), (4, 71), (5, 71), (6, 71)}
     assert not got[1, 70]["changed"] and got[1, 70]["cover"] == 1.0 and not got[4, 71]["changed"]
     assert got[2, 70]["changed"] and got[6, 71]["changed"] and got[6, 71]["consistency"] == 1.0
+
+
+def test_items_without_templates_and_names_at_the_start(tables):
+    items = [
+        (1, "What is 12 + 7 * 3?"), (2, "小明有5个苹果，他吃了2个，还剩几个？"), (3, "Tom has 5 apples and eats 2."), (4, "2 + 2 = ?"),
+        (5, "two words"), (6, "3 5 8 13 21 34 55 89 144 233"), (7, "ถ้ามีส้มสิบผล"), (8, "???"),
+    ]
+    texts = {
+        1: f"{FILLER}: what is 12 + 7 * 3 {FILLER}", 2: f"{FILLER}: what is 12 * 7 + 3 {FILLER}", 3: "what is 12 + 8 * 3?",
+        4: "从前小明有5个苹果，他吃了2个，还剩几个？他说。", 5: "小红有8个苹果，他吃了4个，还剩几个？", 6: "今天天气很好，我们去公园。",
+        7: f"{FILLER}. Anna has 7 apples and eats 3. {FILLER}", 8: "so 2 + 2 = 4", 9: "Two words!", 10: f"{FILLER} two words {FILLER}",
+        11: "1 2 3 5 8 13 21 34 55 89 144 233 377", 12: "และถ้ามีส้มสิบผลแล้ว", 13: "???", 14: "so 2 + 3 = 4",
+    }
+    got = found(tables, list(texts.items()), items)
+    assert {1, 4, 7, 8, 9, 11, 12} <= {d for d, _ in got} and not {2, 3, 6, 10, 13, 14} & {d for d, _ in got}
+    assert set(got) - {(5, 2)} == {(1, 1), (4, 2), (7, 3), (8, 4), (9, 5), (11, 6), (12, 7)}
+    assert got[7, 3]["changed"] and not got[4, 2]["changed"] and got[1, 1]["n_slots"] == 0
