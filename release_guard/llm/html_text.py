@@ -5,7 +5,9 @@ node of the merged tree gets two importances from the pages it occurs on: of
 its presentation, the entropy of the sequences of children it has, and of its content,
 the entropy of the texts below it. Both are 1 where every page differs and 0 where all
 are alike. A branch of low importance is the same all over the site, such as a banner or a notice, and
-is removed from each page.
+is removed from each page. Copies of a page count as one page. What is alike on n different pages goes if it
+is at most 1 - 1/n of the page's text, so that two pages with one story do not lose it. A host of one
+page has nothing to compare; there only the priors act.
 
 Entropy alone cannot tell menus, adverts and footers whose text changes from page to page
 from an article. Elements and roles that say what they are therefore have a fixed prior: such
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -228,7 +230,7 @@ def parse(source: str) -> Page:
     return page
 
 
-def named_branches(page: Page, low: frozenset[int]) -> set[int]:
+def named_branches(page: Page, low: Mapping[int, int] | frozenset[int]) -> set[int]:
     """The nodes that go by a word of their class or id and by what they hold.
 
     They are in `low`, or mostly links, or a small part of the page's text. An article stays, and what holds it; in an
@@ -273,9 +275,27 @@ def named_branches(page: Page, low: frozenset[int]) -> set[int]:
     return found | small if together <= MOST_NAMED * total else found
 
 
-def main_text(page: Page, low: frozenset[int], words: bool = True) -> str:
-    """The text of a page without dropped branches, without the nodes in `low` and, with `words`, those named by a class."""
+def alike_branches(page: Page, low: Mapping[int, int]) -> set[int]:
+    """The paths of `low`, which names their numbers of pages, that hold a share of the page's text they may take."""
     n = len(page.parent)
+    chars = [0 if page.dropped[i] else page.chars[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        if page.parent[i] >= 0:
+            chars[page.parent[i]] += chars[i]
+    by_path = dict.fromkeys(low, 0)
+    for i in range(n):
+        if page.path[i] in by_path:
+            by_path[page.path[i]] += chars[i]
+    return {path for path, size in by_path.items() if size * low[path] <= chars[0] * (low[path] - 1)}
+
+
+def main_text(page: Page, low: Mapping[int, int] | frozenset[int], words: bool = True) -> str:
+    """The text of a page without dropped branches, without the nodes in `low` and, with `words`, those named by a class.
+
+    `low` has the paths of low importance and on how many pages they are.
+    """
+    n = len(page.parent)
+    low = alike_branches(page, low) if isinstance(low, Mapping) else low
     named = named_branches(page, low) if words else set()
     gone = list(page.dropped)
     for i in range(n):
@@ -332,6 +352,9 @@ def _signed(x: int) -> int:
     return x - (1 << 63)
 
 
+ROOT = _signed(parse("").path[0])
+
+
 def page_nodes(pages: DataFrame) -> DataFrame:
     """host, page_key, node, style and content of each page's distinct paths."""
     schema = pa.schema([("host", pa.string()), *((n, pa.int64()) for n in ("page_key", "node", "style", "content"))])
@@ -353,14 +376,20 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 def style_tree(nodes: DataFrame) -> DataFrame:
     """host, node, pages, presentation and content importance of every node of the hosts' style trees.
 
-    The importance is the entropy over the pages of the node to the base of their number; a node on one
-    page has importance 1. Counts are combined before the shuffle, hosts are not collected.
+    The importance is the entropy over the different pages of the node to the base of their number; a node on one
+    page has importance 1. Copies of a page, alike in page_key, count as one. Counts are combined before the shuffle, hosts are not collected.
     """
 
+    # Every page has one root, so its rows count the copies, which weigh one page together.
+    copies = nodes.where(F.col("node") == ROOT).groupBy("page_key").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = stored(copies, "page-copies")
+    weighed = nodes.join(copies, "page_key", "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
+
     def entropy(kind: str) -> DataFrame:
-        each = nodes.groupBy("host", "node", kind).agg(F.count("*").alias("n"))
+        # The sum of the parts of a page is a whole number but for rounding.
+        each = weighed.groupBy("host", "node", kind).agg(F.round(F.sum("weight")).alias("n"))
         both = each.groupBy("host", "node").agg(
-            F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")
+            F.sum("n").cast("long").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")
         )
         value = 1 - F.col("n_log_n") / (F.col("pages") * F.log("pages"))
         return both.select("host", "node", "pages", F.when(F.col("pages") < 2, 1.0).otherwise(value).alias(kind))
@@ -372,12 +401,12 @@ def style_tree(nodes: DataFrame) -> DataFrame:
 
 def extract_text(
     pages: DataFrame, id_column: str = "page_id", url: str = "url", source: str = "html",
-    least_importance: float = 0.2, least_pages: int = 10,
+    least_importance: float = 0.2, least_pages: int = 2,
 ) -> DataFrame:
     """page_id, url and the main text of every page, with white space collapsed.
 
-    Branches whose presentation and content importance both lie below `least_importance` go, if the
-    node occurs on `least_pages` pages of the host at least. A page with an article or main element
+    Branches whose presentation and content importance both lie below `least_importance` go, if the node occurs
+    on `least_pages` different pages of the host at least and is no more than `alike_branches` allows of the page's text. A page with an article or main element
     gives the text inside, another page all that is left of its body. Null and empty pages have an empty text;
     a null address belongs to the host ''. Repeated rows are pages of their own.
     """
@@ -391,14 +420,15 @@ def extract_text(
         & (F.col("content") < least_importance)
     )
     # Written down, so that Spark knows the size and sends a small table to all tasks, a large one by shuffle.
-    lists = nodes.join(low.select("host", "node"), ["host", "node"]).groupBy("page_key").agg(F.collect_set("node").alias("low"))
+    lists = nodes.join(low.select("host", "node", "pages"), ["host", "node"])
+    lists = lists.groupBy("page_key").agg(F.collect_set(F.struct("node", "pages")).alias("low"))
     lists = stored(lists, "low-nodes")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found.append(main_text(parse(page), frozenset(x + (1 << 63) for x in low or ())))
+                found.append(main_text(parse(page), {x["node"] + (1 << 63): x["pages"] for x in low or ()}))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

@@ -121,3 +121,18 @@ PROSE = "a long passage that belongs to the article and is not a part of the fra
 )
 def test_class_words_do_not_decide_alone(source, text):
     assert main_text(parse(source), frozenset()) == text
+
+
+def test_small_hosts_lose_what_is_alike(pages):
+    notice = "<div class=box>Try our offer</div>"
+    story = "<div class=story><p>one long story that stands on two pages of a host</div>"
+    rows = [(i, "http://two.example/", f"<body>{notice}<div class=story><p>a longer story {i}</p></div>") for i in (1, 2)]
+    # Copies are one page, and do not outvote another one.
+    rows += [(i, "http://copies.example/", f"<body>{notice}<div class=story><p>same story</p></div>") for i in range(10, 40)]
+    rows += [(i, "http://three.example/", f"<body>{notice}<div class=story><p>a longer story {i // 20}</p></div>") for i in range(50, 80)]
+    rows += [(i, "http://near.example/", f"<body>{story}<div class=date>{i}</div>") for i in (90, 91)]
+    found = {r["page_id"]: r["text"] for r in extract_text(pages(rows)).collect()}
+    assert found[1] == "a longer story 1" and found[2] == "a longer story 2"
+    assert {found[i] for i in range(10, 40)} == {"Try our offer same story"}
+    assert {found[i] for i in range(50, 80)} == {"a longer story 2", "a longer story 3"}
+    assert found[90] == "one long story that stands on two pages of a host 90"
