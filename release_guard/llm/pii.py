@@ -33,6 +33,28 @@ class Kind:
     prior: float
 
 
+# The lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A country's code with as many characters as it prescribes, so that words after a number do not join it.
+
+    Codes of no known length take what follows, up to the start of a known one.
+    """
+    own = {length: "|".join(codes.split()) for length, codes in IBAN_LENGTHS.items()}
+    exact = "|".join(rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, codes in own.items())
+    known = rf"(?:{'|'.join(own.values())})[0-9]{{2}}"
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]|\x20(?!{known}(?:\x20?[A-Z0-9]){{11}})[A-Z0-9]){{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{exact}|{other})(?![A-Za-z0-9])"
+
+
 # The base patterns in their order, then those this operator adds.
 KINDS = [
     Kind(
@@ -52,7 +74,7 @@ KINDS = [
         r"(?i)\b(?:phone|tel|telephone|mobile|call|fax|telefon|telefono|appel)\b", 0.6,
     ),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "",
+        "iban", _iban_pattern(), "",
         r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b", 0.9,
     ),
 ]

@@ -99,3 +99,18 @@ def test_query(spark, sf_dir, documents):
 @pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000, "1." * 100_000, "a@" * 100_000, "x.y" * 60_000 + "@", "+1" * 100_000])
 def test_long_runs_take_linear_time(frame, text):
     assert find_personal_data(frame([(1, text)])).count() == 1
+
+
+def test_account_numbers_before_words_in_capitals(frame):
+    texts = {
+        1: "IBAN DE89 3704 0044 0532 0130 00 EUR 500", 2: "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX",
+        3: "DE89370400440532013000 GB82 WEST 1234 5698 7654 32 500 NO93 8601 1117 947 X", 4: "REF NR12 3456 7890 1234 DE89 3704 0044 0532 0130 00 EUR",
+        5: "DE89 3704 0044 0532 0130 01 EUR 500", 6: "MT84 MALT 0110 0001 2345 MTLC AST0 01S AB 12",
+    }
+    found = redacted(frame(list(texts.items()))).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {
+        1: "IBAN [IBAN] EUR 500", 2: "IBAN [IBAN] BIC COBADEFFXXX", 3: "[IBAN] [IBAN] 500 [IBAN] X",
+        4: "REF NR12 3456 7890 1234 [IBAN] EUR", 5: texts[5], 6: "[IBAN] AB 12",
+    }
+    own = {(r["doc_id"], r["start"], r["end"]) for r in spans(_prepared(frame(list(texts.items())), "doc_id", "text")).collect() if r["kind"] == "iban"}
+    assert {(1, 5, 32), (2, 5, 32), (4, 24, 51)} <= own and len(own) == 7
