@@ -86,7 +86,7 @@ QUERIES = {
     "all_patterns": lambda sp, sf: s.match_patterns(
         s.split_lines(_inputs(sp, sf)), s.all_patterns(rules.DEFAULT_PATTERNS, CUSTOM)
     ).groupBy("pattern_name").agg(F.count("*").alias("findings"), F.count_distinct("value").alias("distinct_values")),
-    "secret_diff": diff,
+    "secret_diff": lambda sp, sf: diff(sp, sf).drop("project_id"),
     "secret_diff_summary": lambda sp, sf: s.secret_diff_summary(diff(sp, sf)),
     "added_findings": lambda sp, sf: s.added_findings(scan_planted(sp, sf), scan_before(sp, sf)),
     "removed_findings": lambda sp, sf: s.removed_findings(scan_planted(sp, sf), scan_before(sp, sf)),

@@ -65,7 +65,7 @@ def _appended(sp, sf):
 def _baseline(sp, sf):
     path = scratch_dir(sp, "baseline")
     history.write_baseline(sec.scan_before(sp, sf), path)
-    return s.secret_diff(sec.scan_planted(sp, sf), history.read_baseline(sp, path))
+    return s.secret_diff(sec.scan_planted(sp, sf), history.read_baseline(sp, path)).drop("project_id")
 
 
 def _export(sp, sf):

@@ -16,6 +16,19 @@ from ..rules import SecretPattern
 from ..session import small_table
 
 DIFF_KEY = ["file", "line", "column", "pattern_name"]
+PROJECT = "project_id"
+
+
+def with_project(key: Sequence[str], *tables: DataFrame) -> list[str]:
+    """The key with the project in front, if all tables carry it: a path is one file per project."""
+    return [*([PROJECT] if all(PROJECT in t.columns for t in tables) else []), *key]
+
+
+def _without(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``other``; a null project is one project."""
+    names = with_project(key, df, other)
+    found = other.select(*[F.col(c).alias(f"other {c}") for c in names]).distinct()
+    return df.join(found, [F.col(c).eqNullSafe(F.col(f"other {c}")) for c in names], "left_anti")
 
 
 def pattern_table(spark, patterns: Sequence[SecretPattern]) -> DataFrame:
@@ -175,14 +188,14 @@ def apply_allowlist(findings: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def clean_files(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files without any finding; the contents stay out of the shuffle."""
-    dirty = findings.select("file").distinct()
-    return files.drop("content").join(dirty, "file", "left_anti")
+    """Files without any finding, by project and path; the contents stay out of the shuffle."""
+    return _without(files.drop("content"), findings, ["file"])
 
 
 def severity_rollup(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Number of findings and of files per severity."""
-    per_file = findings.groupBy(*by, "severity", "file").agg(F.count("*").alias("n"))
+    """Number of findings and of files per severity; one path in two projects is two files."""
+    file = [c for c in with_project(["file"], findings) if c not in by]
+    per_file = findings.groupBy(*by, "severity", *file).agg(F.count("*").alias("n"))
     return per_file.groupBy(*by, "severity").agg(
         F.sum("n").alias("findings"), F.count("*").alias("files")
     )
@@ -196,15 +209,17 @@ def severity_members(findings: DataFrame) -> DataFrame:
 
 
 def secret_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """What changed between two scans, one row per position and pattern, with today's severity if there is one.
+    """What changed between two scans, one row per project, position and pattern, with today's severity if there is one.
 
     Both scans are reduced to one row per key before they meet, in one shuffle.
     """
 
+    key = with_project(DIFF_KEY, current, baseline)
+
     def side(df: DataFrame, prefix: str, other: str) -> DataFrame:
         missing = F.lit(None).cast("string")
         return df.select(
-            *DIFF_KEY,
+            *key,
             F.col("severity").alias(f"{prefix}severity"),
             F.col("value").alias(f"{prefix}value"),
             missing.alias(f"{other}severity"),
@@ -212,7 +227,7 @@ def secret_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
         )
 
     both = side(current, "", "old_").unionByName(side(baseline, "old_", ""))
-    merged = both.groupBy(*DIFF_KEY).agg(
+    merged = both.groupBy(*key).agg(
         F.coalesce(F.max("severity"), F.max("old_severity")).alias("severity"),
         F.max("value").alias("value"),
         F.max("old_value").alias("old_value"),
@@ -245,12 +260,12 @@ def secret_diff_summary(diff: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def added_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings whose position and pattern are new."""
-    return current.join(baseline.select(*DIFF_KEY), DIFF_KEY, "left_anti")
+    return _without(current, baseline, DIFF_KEY)
 
 
 def removed_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings that are gone."""
-    return baseline.join(current.select(*DIFF_KEY), DIFF_KEY, "left_anti")
+    return _without(baseline, current, DIFF_KEY)
 
 
 def baseline_as_of(

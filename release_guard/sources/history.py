@@ -42,14 +42,16 @@ def append_events(events: DataFrame, path: str, now=None) -> None:
     stamped.write.mode("append").partitionBy("date").parquet(path)
 
 
-def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """The findings of an earlier scan."""
-    return spark.read.schema(FINDING_SCHEMA).json(path)
+def read_baseline(spark: SparkSession, path: str, project_type: str | None = "bigint") -> DataFrame:
+    """The findings of an earlier scan; ``project_type`` is None for one written without projects."""
+    project = f"project_id {project_type}, " if project_type else ""
+    return spark.read.schema(project + FINDING_SCHEMA).json(path)
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
     names = [part.split()[0] for part in FINDING_SCHEMA.split(", ")]
-    findings.select(*[n.strip() for n in names]).write.mode("overwrite").json(path)
+    project = ["project_id"] if "project_id" in findings.columns else []
+    findings.select(*project, *[n.strip() for n in names]).write.mode("overwrite").json(path)
 
 
 def export_table(df: DataFrame, path: str, format: str) -> None:

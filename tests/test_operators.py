@@ -89,6 +89,20 @@ def test_diff(rows):
     assert tuple(summary) == (3, 1, 1, 1, "critical")
 
 
+def test_one_path_in_two_projects(rows):
+    schema = "project_id bigint, " + FINDING
+    now = rows(schema, (1, "a.js", 1, 1, "p", "high", "v"), (2, "a.js", 1, 1, "p", "high", "v"), (None, "a.js", 1, 1, "p", "high", "v"))
+    before = rows(schema, (1, "a.js", 1, 1, "p", "high", "v"), (3, "a.js", 1, 1, "p", "high", "v"), (None, "a.js", 1, 1, "p", "high", "v"))
+    changes = secrets.secret_diff(now, before).fillna(0, "project_id")
+    assert tuples(changes, "project_id", "change") == [(0, "unchanged"), (1, "unchanged"), (2, "added"), (3, "removed")]
+    assert tuples(secrets.added_findings(now, before), "project_id") == [(2,)]
+    assert tuples(secrets.removed_findings(now, before), "project_id") == [(3,)]
+    files = rows("project_id bigint, file string, content string", (1, "a.js", "x"), (4, "a.js", "x"), (4, "b.js", "x"))
+    assert tuples(secrets.clean_files(files, now), "project_id", "file") == [(4, "a.js"), (4, "b.js")]
+    assert tuples(secrets.severity_rollup(now), "severity", "findings", "files") == [("high", 3, 3)]
+    assert tuples(secrets.severity_rollup(now.where("project_id = 1"), ["project_id"]), "project_id", "files") == [(1, 1)]
+
+
 @pytest.mark.parametrize("severity,risk", [("critical", "critical"), ("high", "high"), ("low", "medium")])
 def test_diff_risk(rows, severity, risk):
     now = rows(FINDING, ("a", 1, 1, "p", severity, "v"))
