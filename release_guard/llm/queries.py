@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import scratch_dir, stored
+from . import oracles
 from .common import table, text_or_empty
+from .conversations import damaged, repair
 from .decontamination import contaminated
+from .divergence import source_divergence
 from .html_text import extract_text
 from .jaccard import jaccard_components
 from .language import identify, learn
@@ -18,6 +21,7 @@ from .substrings import without_repeats
 from .token_files import document_index, write_token_files
 from .tokens import token_counts
 from .topk import top_k
+from .toxicity import calibrate, learn_lexicon, score_passages, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -106,6 +110,33 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all texts; words learned from three, the calibration from one of five parts of the labels."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("toxic in (0, 1) and doc_id is not null")
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    part = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(-1))
+    lexicon = learn_lexicon(documents.join(labels.where(part.isin(1, 2, 3)), "doc_id"))
+    scored = stored(score_passages(documents, lexicon), "passages")
+    calibration = calibrate(scored.join(labels.where(part == 4), "doc_id")) if lexicon else None
+    return toxicity(scored, calibration).select(
+        "doc_id",
+        (part == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source differ from those of its language and of each other source."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of all conversations after planted damage."""
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -117,7 +148,13 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_personal_data": op10_personal_data,
+    "op11_segment_toxicity": op11_segment_toxicity,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-# The vector search is the only one of these that SQL expresses in reasonable time.
-ORACLES: dict[str, str] = {}
+# The others need tokenizers, learned models or byte strings, or are too slow in SQL over whole tables.
+ORACLES = {
+    "op12_source_divergence": oracles.SOURCE_DIVERGENCE,
+    "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
+}
