@@ -21,7 +21,7 @@ from .substrings import without_repeats
 from .token_files import document_index, write_token_files
 from .tokens import token_counts
 from .topk import top_k
-from .toxicity import calibrate, learn_lexicon, score_passages, toxicity
+from .toxicity import calibrate, learn_lexicon, score_passages, score_texts
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -117,9 +117,11 @@ def op11_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(-1))
     lexicon = learn_lexicon(documents.join(labels.where(part.isin(1, 2, 3)), "doc_id"))
-    scored = stored(score_passages(documents, lexicon), "passages")
-    calibration = calibrate(scored.join(labels.where(part == 4), "doc_id")) if lexicon else None
-    return toxicity(scored, calibration).select(
+    calibration = None
+    if lexicon:
+        known = documents.join(labels.where(part == 4), "doc_id")
+        calibration = calibrate(stored(score_passages(known, lexicon).drop("text"), "passages"))
+    return score_texts(documents, lexicon, calibration).select(
         "doc_id",
         (part == 0).alias("held_out"),
         "score",

@@ -21,7 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import lgamma, log
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,11 @@ class Calibration:
     intercept: float
     slope: float
 
+    def score(self, words: int, scores: list[float]) -> float:
+        """Probability of label 1 for a text of so many words with passages of these scores."""
+        found = evidence(words, scores, self.scale, self.constant) if words else LOWEST
+        return 1 / (1 + exp(-self.intercept - self.slope * found))
+
 
 def learn_lexicon(
     labelled: DataFrame, text: str = "text", label: str = "toxic", strength: float = 10.0, drift: float = 1.0
@@ -161,42 +166,78 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in zip(first, end, left, right, strict=True)]
 
 
-def score_passages(df: DataFrame, lexicon: Lexicon | None, text: str = "text", least: float = 0.0) -> DataFrame:
-    """Add n_words and passages: all maximal segments with a score above `least`, as (start, end, score).
+class Scanner:
+    """Finds the segments of many texts and remembers the scores of their words."""
+
+    def __init__(self, lexicon: Lexicon | None) -> None:
+        self.lexicon = lexicon
+        self.known: dict[str, float] = {}
+
+    def scan(self, texts: list[str]) -> tuple[list[int], list[list[tuple[int, int, float]]]]:
+        """Words and maximal segments of each text."""
+        words = [WORD.findall(t.lower()) for t in texts]
+        counts = list(map(len, words))
+        if self.lexicon is None:
+            return counts, [[] for _ in words]
+        new = set().union(*words).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set().union(*words)
+        self.known.update((w, self.lexicon.score(w)) for w in new)
+        found = []
+        for own in words:
+            scores = np.fromiter(map(self.known.__getitem__, own), np.float64, len(own))
+            found.append(maximal_segments(scores) if (scores > 0).any() else [])
+        return counts, found
 
-    start and end are words, counted from 0, end exclusive; `passage_places` turns them into characters. A null or empty text, or one without
-    letters, has 0 words and no passages, as has any text without a lexicon. Columns of these names are replaced.
-    """
-    names = [f.name for f in df.schema.fields if f.name not in ("n_words", "passages")]
+
+def _scanned(df: DataFrame, lexicon: Lexicon | None, text: str, out: dict[str, str], columns) -> DataFrame:
+    """Add the columns `out`, made by `columns(words, segments)` from the words and segments of some texts."""
+    names = [f.name for f in df.schema.fields if f.name not in out]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        scanner = Scanner(lexicon)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in row_groups(map(len, texts), BATCH_CHARS):
-                words = [WORD.findall(t.lower()) for t in texts[a:b]]
-                found: list[list[dict]] = [[] for _ in words]
-                if lexicon is not None:
-                    new = set().union(*words).difference(known)
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = set().union(*words)
-                    known.update((w, lexicon.score(w)) for w in new)
-                    for i, own in enumerate(words):
-                        scores = np.fromiter(map(known.__getitem__, own), np.float64, len(own))
-                        if (scores > 0).any():
-                            found[i] = [
-                                {"start": s, "end": e, "score": v} for s, e, v in maximal_segments(scores) if v > least
-                            ]
-                columns = [c.slice(a, b - a) for c in batch.columns[:-1]]
-                columns += [pa.array(map(len, words), pa.int64()), pa.array(found, PASSAGES)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "passages"])
+                made = columns(*scanner.scan(texts[a:b]))
+                kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, *out])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names]
-    schema = ", ".join([*fields, "n_words long", f"passages {PASSAGE}"])
+    schema = ", ".join([*fields, *[f"{name} {kind}" for name, kind in out.items()]])
     return df.select(*[f"`{n}`" for n in names], text_or_empty(text).alias("text read")).mapInArrow(scan, schema)
 
 
+def score_passages(df: DataFrame, lexicon: Lexicon | None, text: str = "text", least: float = 0.0) -> DataFrame:
+    """Add n_words and passages: all maximal segments with a score above `least`, as (start, end, score).
+
+    start and end are words, counted from 0, end exclusive; `passage_places` turns them into characters. A null or
+    empty text, or one without letters, has 0 words and no passages, as has any text without a lexicon. Columns of these
+    names are replaced.
+    """
+
+    def columns(words: list[int], segments: list) -> list[pa.Array]:
+        kept = [[{"start": s, "end": e, "score": v} for s, e, v in own if v > least] for own in segments]
+        return [pa.array(words, pa.int64()), pa.array(kept, PASSAGES)]
+
+    return _scanned(df, lexicon, text, {"n_words": "long", "passages": PASSAGE}, columns)
+
+
+def score_texts(df: DataFrame, lexicon: Lexicon | None, calibration: Calibration | None, text: str = "text") -> DataFrame:
+    """Add score, the probability of label 1, from 0 to 1; narrow, nothing but the texts is read.
+
+    0 for all texts without a lexicon and a calibration. A column of this name is replaced.
+    """
+
+    def columns(words: list[int], segments: list) -> list[pa.Array]:
+        if calibration is None:
+            return [pa.array([0.0] * len(words))]
+        return [pa.array([calibration.score(n, [v for *_, v in own]) for n, own in zip(words, segments, strict=True)], pa.float64())]
+
+    return _scanned(df, lexicon, text, {"score": "double"}, columns)
+
+
 def passage_places(text: str, passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """First and end character of passages given in words; for text whose lower case keeps its length."""
     places = [m.span() for m in WORD.finditer(text.lower())]
@@ -285,15 +326,6 @@ def calibrate(scored: DataFrame, label: str = "toxic") -> Calibration:
     return Calibration(scale, constant, float(weights[0]), float(max(weights[1], 0.0) / 10))
 
 
-def toxicity(scored: DataFrame, calibration: Calibration | None) -> DataFrame:
-    """Turn n_words and passages into score, the probability of label 1; 0 for all without a calibration."""
-    if calibration is None:
-        return scored.drop("n_words", "passages").withColumn("score", F.lit(0.0))
-    weighed = add_evidence(scored, calibration.scale, calibration.constant)
-    odds = F.col("evidence") * calibration.slope + calibration.intercept
-    return weighed.withColumn("score", 1 / (1 + F.exp(-odds))).drop("n_words", "evidence")
-
-
 def significant(scored: DataFrame, calibration: Calibration, expected: float = 0.05) -> DataFrame:
     """Keep of the passages those of which clean text of this length would show fewer than `expected`."""
     space = F.lit(calibration.constant) * F.col("n_words")

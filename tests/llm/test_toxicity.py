@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from release_guard.llm import queries
 from release_guard.llm.toxicity import (
-    Calibration, calibrate, evidence, learn_lexicon, maximal_segments, passage_places, score_passages, significant, toxicity,
+    Calibration, calibrate, evidence, learn_lexicon, maximal_segments, passage_places, score_passages, score_texts, significant,
 )
 
 CLEAN = ["the sun is out and we walk", "a quiet day by the sea", "we read old books at home", "rain falls on the green hills"]
@@ -71,9 +71,9 @@ def test_passages_and_places(spark, labelled):
 
 def test_score_and_significance(spark, labelled):
     lexicon = learn_lexicon(labelled)
-    scored = score_passages(labelled.withColumn("score", F.lit(9)), lexicon)
+    scored = score_passages(labelled, lexicon)
     calibration = calibrate(scored)
-    found = toxicity(scored, calibration).collect()
+    found = score_texts(labelled.withColumn("score", F.lit(9)), lexicon, calibration).collect()
     assert all(0 <= r["score"] <= 1 and (r["score"] >= 0.5) == (r["toxic"] == 1) for r in found)
     kept = significant(scored, calibration).select("toxic", F.size("passages").alias("n")).collect()
     assert all((r["n"] > 0) == (r["toxic"] == 1) for r in kept)
@@ -110,7 +110,7 @@ def test_odd_rows(spark, frame, odd_rows, labelled):
     rows = [*odd_rows, (1, "stupid " * 100_000), (2, "x" * 200_000)]
     df = frame(rows).withColumn("passages", F.lit(1)).withColumn("evidence", F.lit(2)).withColumn("bin", F.lit(3))
     scored = score_passages(df, lexicon)
-    found = toxicity(scored, Calibration(1.0, 0.1, -2.0, 0.3)).collect()
+    found = score_texts(df.withColumn("score", F.lit("x")), lexicon, Calibration(1.0, 0.1, -2.0, 0.3)).collect()
     assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
     words = {r["doc_id"]: r["n_words"] for r in scored.collect()}
     assert (words[1000], words[1001], words[1]) == (0, 0, 100_000)
@@ -121,8 +121,9 @@ def test_no_labels(spark, labelled, frame):
     assert learn_lexicon(labelled.where("toxic = 0")) is None and learn_lexicon(labelled.limit(0)) is None
     odd = spark.createDataFrame([(None, 1), ("a b", None), ("a", 7)], "text string, toxic int")
     assert learn_lexicon(odd) is None
-    found = toxicity(score_passages(frame([(1, "you stupid")]), None), None).collect()
+    assert score_passages(frame([(1, "you stupid")]), None).first()["passages"] == []
+    found = score_texts(frame([(1, "you stupid")]), None, None).collect()
     assert [(r["doc_id"], r["score"]) for r in found] == [(1, 0.0)]
     lexicon = learn_lexicon(labelled)
     empty = calibrate(score_passages(labelled.limit(0), lexicon))
-    assert 0 <= toxicity(score_passages(frame([(1, "stupid")]), lexicon), empty).first()["score"] <= 1
+    assert 0 <= score_texts(frame([(1, "stupid")]), lexicon, empty).first()["score"] <= 1
