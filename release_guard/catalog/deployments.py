@@ -26,8 +26,9 @@ def _wanted(sp, sf):
 
 
 def _environments(sp, sf):
-    current = d.environment_table(sp).drop("required_approvers")
-    return d.upsert_environments(current, frame(sp, sf, "fx_env_updates"))
+    """The environments after all changes, approvers as text."""
+    changed = d.upsert_environments(d.environment_table(sp), frame(sp, sf, "fx_env_updates"))
+    return changed.withColumn("required_approvers", F.array_join("required_approvers", ","))
 
 
 QUERIES = {
@@ -100,14 +101,25 @@ ORACLES = {
  date_diff('millisecond', created_at, completed_at) as duration_ms from fx_deployments""",
     "deployment_by_id": f"""{with_views('fx_deployments', 'fx_vulns')} select * from fx_deployments
  where seq in (select project_id * 7 from fx_vulns)""",
-    "upsert_environments": f"""{with_views('fx_env_updates')}, old(name, type, deployment_strategy, auto_approve) as (
- values ('development', 'development', 'recreate', true), ('staging', 'staging', 'blue-green', false),
- ('production', 'production', 'canary', false))
- select name, coalesce(u.type, o.type) as type,
- coalesce(u.deployment_strategy, o.deployment_strategy) as deployment_strategy,
- coalesce(u.auto_approve, o.auto_approve) as auto_approve,
- case when o.type is null and u.op = 'update' then concat('Environment ''', name, ''' not found') end as error
- from old o full join fx_env_updates u using (name)""",
+    "upsert_environments": f"""{with_views('fx_env_updates')},
+ every as (select name, seq as added_by, type, deployment_strategy, auto_approve, required_approvers from fx_env_updates
+ where op = 'add' union all values ('development', null, 'development', 'recreate', true, cast([] as varchar[])),
+ ('staging', null, 'staging', 'blue-green', false, ['dev-lead']),
+ ('production', null, 'production', 'canary', false, ['dev-lead', 'ops-lead'])),
+ ranked as (select *, row_number() over (partition by name order by added_by nulls first) as place from every),
+ changes as (select u.*, r.name is not null and (r.added_by is null or u.seq > r.added_by) as there
+ from fx_env_updates u left join ranked r on r.name = u.name and r.place = 1 where u.op = 'update'),
+ given as (select name, arg_max(type, seq) filter (type is not null) as t,
+ arg_max(deployment_strategy, seq) filter (deployment_strategy is not null) as d,
+ arg_max(auto_approve, seq) filter (auto_approve is not null) as a,
+ arg_max(required_approvers, seq) filter (required_approvers is not null) as r from changes where there group by name)
+ select name, added_by, case when place = 1 then coalesce(t, type) else type end as type,
+ case when place = 1 then coalesce(d, deployment_strategy) else deployment_strategy end as deployment_strategy,
+ case when place = 1 then coalesce(a, auto_approve) else auto_approve end as auto_approve,
+ array_to_string(case when place = 1 then coalesce(r, required_approvers) else required_approvers end, ',') as required_approvers,
+ null as error from ranked left join given using (name)
+ union all select name, seq, type, deployment_strategy, auto_approve, array_to_string(required_approvers, ','),
+ concat('Environment ''', name, ''' not found') from changes where not there""",
     "first_errors": f"""{LOGS} select deployment_id, concat(string_agg(message, chr(10) order by rn) filter (rn <= 3),
  case when max(rn) > 3 then concat(chr(10), '...') else '' end) as errors from (select *,
  row_number() over (partition by deployment_id order by ts, seq, message) as rn from fx_deploy_logs

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..fixtures import frame, with_views
 from ..functions.scoring import cvss_or_null
+from ..operators import delivery
 from ..operators import secrets as s
 from ..operators import test_runs as t
 from ..session import scratch_dir
 from ..sources import files, history
 from ..sources.manifests import AUDIT_SCHEMA, explode_manifest, parse_audit_json
 from . import secrets as sec
+from . import test_runs as tests
 from . import vulnerabilities as vul
 
 INCLUDE, EXCLUDE, MAX_SIZE = ["src*/**"], ["src1*/*.ts", "**/*7.js"], 3000
@@ -93,6 +95,43 @@ def _test_report(sp, sf):
     )
 
 
+def _appended_once(sp, sf):
+    """Two batches, the first written again a day later."""
+    path = scratch_dir(sp, "batches")
+    stamp = F.lit(STAMP).cast("timestamp_ntz")
+    events = frame(sp, sf, "fx_events")
+    scans = events.filter(F.col("type") == "scan")
+    history.append_batch(scans, path, "b1", stamp)
+    history.append_batch(events.filter(F.col("type") != "scan"), path, "b2", stamp)
+    history.append_batch(scans, path, "b1", stamp + F.expr("interval 1 day"))
+    return sp.read.parquet(path)
+
+
+def _test_report_json(sp, sf):
+    path = scratch_dir(sp, "report")
+    suites = t.suite_summary(frame(sp, sf, "fx_tests"))
+    history.export_test_report(suites, path, "json")
+    return sp.read.schema(suites.schema).json(path)
+
+
+def _deliveries(sp, sf):
+    """Four rounds of sending, an hour apart, the second one run twice; one URL never answers."""
+    path = scratch_dir(sp, "attempts")
+    events = frame(sp, sf, "fx_publishes").withColumn("event_id", F.col("seq"))
+    outbox = history.webhook_outbox(events, URLS).join(events.select("event_id", "event", "package", "version", "ts"),
+                                                       ["event", "package", "version", "ts"])
+    number = F.element_at(F.array(*[F.lit(i) for i in range(len(URLS))]), F.array_position(F.array(*[F.lit(u) for u in URLS]), F.col("url")).cast("int"))
+
+    def send(rows):
+        answers = (F.col("event_id") + F.col("attempt") * 2 + number) % 4 == 0
+        return rows.withColumn("ok", answers & (number != 2))
+
+    start = F.lit(STAMP).cast("timestamp_ntz")
+    for name, hours in [("r1", 0), ("r2", 1), ("r2", 1), ("r3", 2), ("r4", 3)]:
+        delivery.deliver_round(outbox, path, name, start + F.expr(f"interval {hours} hours"), send, most_tries=4)
+    return delivery.delivery_state(outbox, delivery.read_attempts(sp, path), most_tries=4)
+
+
 QUERIES = {
     "read_files": lambda sp, sf: files.read_files(
         sp, frame(sp, sf, "fx_files"), INCLUDE, EXCLUDE, MAX_SIZE
@@ -106,6 +145,10 @@ QUERIES = {
     "read_event_history": _event_history,
     "append_events": _appended,
     "read_baseline": _baseline,
+    "append_batch": _appended_once,
+    "export_test_report_json": _test_report_json,
+    "delivery_state": _deliveries,
+    "delivery_rate": lambda sp, sf: delivery.delivery_rate(_deliveries(sp, sf)),
     "export_table": _export,
     "export_table_json": _export_json,
     "export_test_report": _test_report,
@@ -120,8 +163,14 @@ LOG = f"""{with_views('fx_commits')}, log as (select seq, string_split(case when
  from fx_commits)"""
 LOG_COLUMNS = """coalesce(f[1], '') as hash, coalesce(f[2], '') as subject, coalesce(f[3], '') as author,
  coalesce(f[4], '') as commit_date"""
-PAYLOAD = """concat('{"event":"', event, '","package":"', package, '","version":"', version,
- '","data":"', replace(data, '"', '\\"'), '"}') as payload"""
+PAYLOAD = """concat('{"event":"', event, '","package":"', package, '","version":"', version, '","timestamp":"',
+ strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), 'Z","data":', data, '}') as payload"""
+# The first try of four that succeeds, an hour between two tries; the third URL never answers.
+DELIVERIES = f"""{with_views('fx_publishes')}, urls(url, number) as (values {', '.join(f"('{u}', {i})" for i, u in enumerate(URLS))}),
+ firsts as (select seq as event_id, url, number, list_filter([1, 2, 3, 4], lambda k: number <> 2 and (seq + k * 2 + number) % 4 = 0)[1] as k
+ from fx_publishes, urls),
+ states as (select event_id, url, cast(coalesce(k, 4) as bigint) as tries, case when k is null then 'failed' else 'delivered' end as status,
+ timestamp '{STAMP}' + to_hours(k - 1) as delivered_at, cast(null as timestamp) as next_try_at from firsts)"""
 EVENTS = with_views("fx_events")
 MANIFEST = with_views("fx_manifest_json")
 PROD = """prod as (select project_id, unnest(json_keys(manifest_json, '$.dependencies')) as name,
@@ -163,6 +212,14 @@ ORACLES = {
     "read_event_history": f"{EVENTS} select * from fx_events",
     "append_events": f"""{EVENTS} select * replace (timestamp '{STAMP}' as ts), date '{STAMP[:10]}' as date
  from fx_events""",
+    "append_batch": f"""{EVENTS} select * replace (case when type = 'scan' then timestamp '{STAMP}' + interval 1 day
+ else timestamp '{STAMP}' end as ts), case when type = 'scan' then 'b1' else 'b2' end as batch from fx_events""",
+    "export_test_report_json": tests.ORACLES["suite_summary"],
+    "delivery_state": f"{DELIVERIES} select * from states",
+    "delivery_rate": f"""{DELIVERIES} select url, count(*) as deliveries, count(*) filter (status = 'delivered') as delivered,
+ count(*) filter (status = 'failed') as failed, count(*) filter (status = 'waiting') as waiting,
+ count(*) filter (status = 'new') as new, avg(case when status in ('delivered', 'failed') then
+ case when status = 'delivered' then 1 else 0 end end) as success_rate, cast(sum(tries) as bigint) as tries from states group by url""",
     "read_baseline": f"{sec.DIFF} select * from diff",
     "export_table": f"{with_views('fx_metrics')} select * from fx_metrics",
     "export_table_json": f"{EVENTS} select * from fx_events",

@@ -13,13 +13,15 @@ from ..fixtures import VIEWS, derive, frame, table, with_views
 from ..operators import deployments as d
 from ..operators import monitoring as m
 from ..session import configure, scratch_dir
-from ..streaming import jobs, state
+from ..sources.files import read_lines
+from ..streaming import jobs, lifecycle, state
 from . import deployments as dep
 from . import monitoring as mon
 from . import secrets as sec
 
 URLS = ["https://hooks.example/a", "https://hooks.example/b"]
 DELAY = "1 minute"
+TTL = 6 * 3600
 
 
 def stream(sp, sf, view: str) -> DataFrame:
@@ -73,7 +75,36 @@ def _alerts(sp, sf):
     return jobs.alert_stream(stream(sp, sf, "fx_metrics"), m.threshold_table(sp, mon.THRESHOLDS))
 
 
+def _scan_folder(sp, sf):
+    """A folder of files of any size as a stream."""
+    lines = read_lines(configure(sp), sec.project_folder(sp, sf, "incoming"), include=["**/*.txt"], stream=True)
+    return sec.by_project(_written(sp, lines, "scan-folder", writer=jobs.scan_folder_batch)).drop("batch")
+
+
+def _deployment_lifecycles(sp, sf):
+    states = lifecycle.deployment_lifecycle(
+        stream(sp, sf, "fx_request_events"), stream(sp, sf, "fx_approval_actions"), d.environment_table(sp)
+    )
+    return _newest_batch(_written(sp, states, "deployment-life", "update", jobs.batch_writer), ["deployment_id"])
+
+
+def _alert_lifecycles(sp, sf):
+    states = lifecycle.alert_lifecycle(_alerts(sp, sf), stream(sp, sf, "fx_alert_actions"))
+    newest = _newest_batch(_written(sp, states, "alert-life", "update", jobs.batch_writer), ["alert_id"])
+    return _zoneless(newest, "acknowledged_at", "resolved_at")
+
+
+def _audit_cache(sp, sf):
+    """Which audits are still valid when the stream has come to its end."""
+    states = lifecycle.audit_cache(stream(sp, sf, "fx_snapshots"), TTL)
+    return _zoneless(_newest_batch(_written(sp, states, "audit-cache", "update", jobs.batch_writer), ["cache_key"]), "fetched_at")
+
+
 QUERIES = {
+    "deployment_lifecycle": _deployment_lifecycles,
+    "alert_lifecycle": _alert_lifecycles,
+    "audit_cache": _audit_cache,
+    "scan_folder_stream": _scan_folder,
     "read_metrics_stream": lambda sp, sf: _written(sp, stream(sp, sf, "fx_metrics"), "metrics"),
     "metrics_with_retention": lambda sp, sf: _zoneless(
         _written(sp, jobs.metrics_with_retention(stream(sp, sf, "fx_metrics")), "retained"), "ts"
@@ -93,8 +124,16 @@ QUERIES = {
 }
 
 METRICS = with_views("fx_metrics")
+STAMP = "concat(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), 'Z')"
 
 ORACLES = {
+    "deployment_lifecycle": dep.ORACLES["deployment_state"],
+    "alert_lifecycle": f"""{mon.STATES} select alert_id, acknowledged, acknowledged_by, acknowledged_at, resolved, resolved_at from states""",
+    "audit_cache": f"""{with_views('fx_snapshots')}, newest as (select cache_key, max((fetched_at, snapshot_id)) as n
+ from fx_snapshots group by cache_key)
+ select cache_key, n[2] as snapshot_id, n[1] as fetched_at,
+ (epoch_us(n[1]) + 999) // 1000 + {TTL} * 1000 > (select epoch_ms(max(fetched_at)) from fx_snapshots) as valid from newest""",
+    "scan_folder_stream": sec.ORACLES["scan_folder"],
     "read_metrics_stream": f"{METRICS} select * from fx_metrics",
     "metrics_with_retention": f"{METRICS} select * from fx_metrics",
     "alert_stream": f"{mon.ALERTS} select * from alerts",
@@ -104,8 +143,9 @@ ORACLES = {
  where window_start + interval '30 seconds' <= (select max(ts) from fx_metrics) - interval '{DELAY}'""",
     "scan_stream": f"{sec.PLANTED} select * from found",
     "notify_stream": f"""{mon.ALERTS} select 'scan' as event, 'monitoring' as package, '1.0.0' as version, ts,
- concat('{{"event":"scan","package":"monitoring","version":"1.0.0","data":"', replace(concat('{{"alert_id":', alert_id,
- ',"severity":"', severity, '","type":"', type, '","message":"', message, '"}}'), '"', '\\"'), '"}}') as payload,
+ concat('{{"event":"scan","package":"monitoring","version":"1.0.0","timestamp":"', {STAMP}, '","data":{{"alert":{{"id":', alert_id,
+ ',"timestamp":"', {STAMP}, '","resolved":false,"acknowledged":false,"source":"', source, '","severity":"', severity,
+ '","type":"', type, '","message":"', message, '","value":', value, ',"threshold":', threshold, '}}}}}}') as payload,
  unnest([{', '.join("'" + u + "'" for u in URLS)}]) as url from alerts""",
     "alert_state_stream": f"""{mon.STATES} select alert_id, acknowledged, acknowledged_by, acknowledged_at, resolved,
  resolved_at from states where alert_id in (select alert_id from fx_alert_actions)""",

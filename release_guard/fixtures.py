@@ -56,6 +56,18 @@ VIEWS: dict[str, View] = {
         "file": _CONV_FILE,
         "content": f"concat(text, chr(10), {_PLANTED_TAIL})",
     }),
+    "fx_project_patterns": View("supplier", {
+        "project_id": "s_suppkey % 60",
+        "seq": "s_suppkey",
+        "name": "concat('Own ', cast(s_suppkey % 6 as varchar(20)), case when s_suppkey % 3 = 0 then ' b' else '' end)",
+        "regex": """case s_suppkey % 6 when 0 then '[A-Za-z0-9._]+@[A-Za-z0-9-]+[.][a-z]{2,}'
+ when 1 then concat('[', chr(cast(97 + s_suppkey % 26 as int)), 'xyz][a-z]{11,}')
+ when 2 then '^[A-Z][a-z]{7,}' when 3 then '(?i)key=akia[0-9a-z]{4}'
+ when 4 then concat(chr(92), 'b(?:1|2)[0-9]{0,2}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}', chr(92), 'b')
+ else cast(null as varchar(20)) end""",
+        "severity": "case s_suppkey % 4 when 0 then 'high' when 1 then 'medium' else 'low' end",
+        "entropy": "case when s_suppkey % 2 = 0 then cast(1.5 as double) end",
+    }),
     "fx_planted_before": View("conversations", {
         "project_id": "conv_id % 60",
         "file": _CONV_FILE,
@@ -297,14 +309,34 @@ VIEWS: dict[str, View] = {
         "is_passing": "s_acctbal > 0",
     }),
     "fx_projects": View("supplier", {"project_id": "s_suppkey"}),
-    "fx_env_updates": View("nation", {
-        "name": """case n_nationkey when 0 then 'staging' when 1 then 'production' when 2 then 'qa-eu'
- else concat('env-', lower(n_name)) end""",
-        "type": "case when n_nationkey < 2 then cast(null as varchar(20)) else 'test' end",
-        "deployment_strategy": "case when n_nationkey = 1 then cast(null as varchar(20)) else 'rolling' end",
-        "auto_approve": "case when n_nationkey = 1 then true end",
-        "op": "case when n_nationkey < 2 or n_nationkey % 5 = 3 then 'update' else 'add' end",
+    "fx_env_updates": View("customer", {
+        "seq": "c_custkey",
+        "op": "case when c_custkey % 4 = 1 then 'add' else 'update' end",
+        "name": """case c_custkey % 7 when 0 then 'staging' when 1 then 'production' when 2 then 'qa-eu'
+ else concat('env-', cast(c_nationkey as varchar(20))) end""",
+        "type": "case when c_custkey % 5 < 2 then concat('test-', cast(c_custkey as varchar(20))) end",
+        "deployment_strategy": "case c_custkey % 3 when 0 then 'rolling' when 1 then 'canary' end",
+        "auto_approve": "case c_custkey % 6 when 0 then true when 1 then false end",
+        "required_approvers": """case c_custkey % 8 when 0 then split('qa-lead,ops-lead', ',')
+ when 1 then split(concat('lead-', cast(c_custkey as varchar(20))), ',') end""",
+    }),
+    "fx_cutoffs": View("events", {
+        "project_id": "user_id",
+        "cut_id": "event_id",
+        "since": "case event_id % 3 when 0 then ts when 1 then ts - interval '7' hour else ts - interval '40' day end",
     }),
+    "fx_scan_runs": View("events", {
+        "project_id": "user_id % 7",
+        "scan_id": "cast(extract(day from ts) as bigint)",
+        "scan_ts": "date_trunc('day', ts)",
+    }, distinct=True),
+    "fx_scan_findings": View("events", {
+        "project_id": "user_id % 7",
+        "scan_id": "cast(extract(day from ts) as bigint)",
+        "file": "concat('src/', event_type, '.ts')",
+        "pattern_name": "case when event_id % 2 = 0 then 'AWS Access Key' else 'GitHub Token' end",
+        "value": f"concat('key-', {_text('user_id % 3')})",
+    }, where="event_id % 5 <> 0 and event_type <> 'error'"),
     "fx_labelled_metrics": View("events", {
         "seq": "event_id",
         "name": "event_type",
@@ -313,6 +345,9 @@ VIEWS: dict[str, View] = {
     }),
 }
 
+# The same requests with the time they were made.
+VIEWS["fx_request_events"] = View("orders", {**VIEWS["fx_requests"].columns, "ts": "o_orderdate"})
+
 
 def _lineage(name: str) -> list[str]:
     base = VIEWS[name].base

@@ -26,6 +26,10 @@ def sql_string(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# Hits whose places are summed up one after the other; the sums of such pieces are summed up in turn.
+PIECE = 256
+
+
 def located_matches(column: str, regex: str) -> Column:
     """All matches of a regex in a column with their 1-based position, in order.
 
@@ -33,21 +37,31 @@ def located_matches(column: str, regex: str) -> Column:
     ``regexp_extract_all`` returns, so summing the lengths of both gives exact
     positions for any pattern, look-around and word boundaries included.
     """
-    pattern = sql_string(regex)
-    return F.expr(
-        f"""
-        aggregate(
-          zip_with(
-            slice(split({column}, {pattern}, -1), 1, size(regexp_extract_all({column}, {pattern}, 0))),
-            regexp_extract_all({column}, {pattern}, 0),
-            (gap, value) -> struct(length(gap) as gap, value)),
-          struct(1 as next, cast(array() as {HIT_TYPE}) as hits),
-          (found, step) -> struct(
-            found.next + step.gap + length(step.value) as next,
-            array_append(found.hits, struct(found.next + step.gap as column, step.value as value)) as hits),
-          found -> found.hits)
-        """
-    )
+    return F.expr(located_matches_sql(column, sql_string(regex)))
+
+
+def located_matches_sql(column: str, pattern: str) -> str:
+    """``located_matches`` as SQL, for a pattern that is an expression.
+
+    Appending to an array copies it, so positions are summed within pieces of bounded length and then
+    over the pieces. A one-element array names a value that is used more than once.
+    """
+    return f"""
+        flatten(transform(array(regexp_extract_all({column}, {pattern}, 0)), vals ->
+          transform(array(zip_with(slice(split({column}, {pattern}, -1), 1, size(vals)), vals,
+            (gap, value) -> struct(length(gap) as gap, value))), steps ->
+          transform(array(transform(sequence(0, greatest(size(steps) - 1, 0) div {PIECE}), piece ->
+            aggregate(slice(steps, cast(piece * {PIECE} + 1 as int), {PIECE}),
+              struct(0 as next, cast(array() as {HIT_TYPE}) as hits),
+              (found, step) -> struct(
+                found.next + step.gap + length(step.value) as next,
+                array_append(found.hits, struct(found.next + step.gap as column, step.value as value)) as hits)))), pieces ->
+          flatten(zip_with(pieces,
+            aggregate(pieces, struct(1 as next, cast(array() as array<int>) as starts),
+              (found, piece) -> struct(found.next + piece.next as next, array_append(found.starts, found.next) as starts),
+              found -> found.starts),
+            (piece, start) -> transform(piece.hits, hit -> struct(hit.column + start as column, hit.value as value)))))[0])[0]))
+    """
 
 
 def number_text(value: Column) -> Column:

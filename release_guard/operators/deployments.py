@@ -28,20 +28,33 @@ def strategy_table(spark) -> DataFrame:
 
 
 def upsert_environments(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Overwrite the given fields of known environments, add the new ones.
+    """The environments after changes applied in the order of ``seq``.
 
-    ``updates`` has the columns of ``current`` plus ``op``: ``add`` or
-    ``update``. Updating an unknown name gives a row with an error.
+    ``updates`` has the columns of ``current`` plus ``seq`` and ``op``. ``add`` always adds one, also beside one of the
+    same name; ``update`` overwrites the given fields of the first environment of its name, and gives a row with an error
+    if there is none at that moment. ``added_by`` is the ``seq`` that added a row, or that failed; null for
+    those of ``current``, whose names differ. Every field takes its last given value by one aggregation per name.
     """
     fields = [c for c in current.columns if c != "name"]
-    old = current.select("name", *[F.col(f).alias(f"old_{f}") for f in fields], F.lit(True).alias("known"))
-    merged = old.join(updates, "name", "full_outer")
-    unknown = F.col("known").isNull() & (F.col("op") == "update")
-    return merged.select(
-        "name",
-        *[F.coalesce(f, f"old_{f}").alias(f) for f in fields],
-        F.when(unknown, F.concat(F.lit("Environment '"), "name", F.lit("' not found"))).alias("error"),
-    )
+    kept = [F.col(f) for f in fields]
+    adds = updates.where("op = 'add'").select("name", F.col("seq").alias("added_by"), *kept)
+    every = adds.unionByName(current.select("name", F.lit(None).cast(updates.schema["seq"].dataType).alias("added_by"), *kept))
+    # A null sorts before all numbers: what was there is first.
+    first = every.groupBy("name").agg(F.min(F.struct(F.col("added_by").isNotNull().alias("late"), "added_by")).alias("first"))
+    changes = updates.where("op = 'update'").join(first, "name", "left")
+    there = F.col("first").isNotNull() & (~F.col("first.late") | (F.col("seq") > F.col("first.added_by")))
+    given = changes.where(there).groupBy("name").agg(
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"new_{f}") for f in fields]
+    )
+    is_first = F.col("added_by").eqNullSafe(F.col("first.added_by"))
+    merged = every.join(first, "name").join(given, "name", "left").select(
+        "name", "added_by", *[F.when(is_first, F.coalesce(f"new_{f}", f)).otherwise(F.col(f)).alias(f) for f in fields],
+        F.lit(None).cast("string").alias("error"),
+    )
+    missing = changes.where(~there).select(
+        "name", F.col("seq").alias("added_by"), *kept, F.concat(F.lit("Environment '"), "name", F.lit("' not found")).alias("error")
+    )
+    return merged.unionByName(missing)
 
 
 def validate_requests(

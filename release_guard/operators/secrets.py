@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.matching import HIT_NAMES, HIT_SCHEMA, Matcher, hit_batches
 from ..functions.prefilter import may_match, portable
 from ..functions.scoring import diff_risk, severity_rank
-from ..functions.text import explode_once, located_matches, matches_any_glob, shannon_entropy
+from ..functions.text import located_matches, located_matches_sql, matches_any_glob
 from ..rules import SecretPattern
 from ..session import small_table
+from .pieces import running
 
 DIFF_KEY = ["file", "line", "column", "pattern_name"]
 PROJECT = "project_id"
@@ -100,57 +103,39 @@ def suspect_files(files: DataFrame, patterns: Sequence[SecretPattern]) -> DataFr
     return files.filter(may_match(F.col("content"), wanted))
 
 
-def _named_hits(patterns: Sequence[SecretPattern]) -> Column:
-    """The hits in one line, an array per pattern in the order of the patterns."""
-    return F.array(*[located_matches("text", p.regex) for p in patterns])
+def located_elsewhere(patterns: Sequence[SecretPattern]) -> Column | None:
+    """Hits of the patterns that only the JVM can read, as (no, column, value); None if there are none."""
 
+    def of(no: int, pattern: SecretPattern) -> Column:
+        hits = located_matches("text", pattern.regex)
+        return F.transform(hits, lambda h: F.struct(F.lit(no).alias("no"), h["column"], h["value"]))
 
-def _token_hits() -> Column:
-    """Long tokens of a line that do not overlap a hit of a named pattern."""
+    arrays = [of(no, p) for no, p in enumerate(patterns) if not portable(p.regex)]
+    return F.concat(*arrays) if arrays else None
 
-    def overlaps(token: Column) -> Column:
-        end = token["column"] + F.length(token["value"])
-        return F.exists(
-            F.flatten("named"),
-            lambda n: (n["column"] < end)
-            & (token["column"] < n["column"] + F.length(n["value"])),
-        )
-
-    return F.filter(located_matches("text", rules.TOKEN_REGEX), lambda t: ~overlaps(t))
 
+def _find(lines: DataFrame, matcher: Matcher) -> DataFrame:
+    """One row per hit of the lines, narrow: a first test of whole batches, then the lines that pass it.
 
-TOKENS = SecretPattern(rules.TOKEN_PATTERN_NAME, rules.TOKEN_REGEX, rules.TOKEN_SEVERITY)
+    The column ``text`` gives way to the hit with an excerpt of the line around it.
+    """
+    rest = [c for c in lines.columns if c not in ("text", *HIT_NAMES)]
+    located = located_elsewhere(matcher.patterns)
+    more = [] if located is None else [located.alias("located")]
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields if f.name in rest]
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return hit_batches(batches, lambda batch: [(matcher, None)], rest)
 
-def _as_findings(lines: DataFrame, hits: str, patterns: Sequence[SecretPattern]) -> DataFrame:
-    """One row per hit; ``hits`` holds an array per pattern."""
-    rest = [c for c in lines.columns if c not in ("text", "named", hits)]
-    per_pattern = lines.select(*rest, "text", F.posexplode_outer(hits).alias("no", "found")).filter(
-        F.size("found") > 0
-    )
-    per_hit = per_pattern.select(*rest, "text", "no", explode_once(F.col("found")).alias("hit"))
-
-    def of_pattern(values: list, kind: str) -> Column:
-        return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("no"))
-
-    return per_hit.select(
-        *rest,
-        F.col("hit.column").alias("column"),
-        F.col("hit.value").alias("value"),
-        of_pattern([p.name for p in patterns], "string").alias("pattern_name"),
-        of_pattern([p.severity for p in patterns], "string").alias("severity"),
-        of_pattern([p.entropy for p in patterns], "double").alias("pattern_entropy"),
-        F.round(shannon_entropy(F.col("hit.value")), 6).alias("entropy"),
-        F.col("text").alias("context"),
-    )
+    read = lines.select(*[f"`{c}`" for c in rest], F.make_valid_utf8("text").alias("text"), *more)
+    return read.mapInArrow(find, ", ".join([*types, HIT_SCHEMA]))
 
 
 def match_patterns(
     lines: DataFrame, patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS)
 ) -> DataFrame:
     """Findings of the named patterns; most lines fail the first test."""
-    gated = lines.filter(may_match(F.col("text"), regexes(patterns)))
-    return _as_findings(gated.withColumn("hits", _named_hits(patterns)), "hits", patterns)
+    return _find(lines, Matcher(tuple(patterns)))
 
 
 def high_entropy_tokens(
@@ -159,20 +144,127 @@ def high_entropy_tokens(
     patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS),
 ) -> DataFrame:
     """Long random-looking tokens that no named pattern explains."""
-    gated = lines.filter(may_match(F.col("text"), [rules.TOKEN_REGEX]))
-    located = gated.withColumn("named", _named_hits(patterns)).withColumn(
-        "hits", F.array(_token_hits())
-    )
-    return entropy_filter(_as_findings(located, "hits", [TOKENS]), threshold)
+    return _find(lines, Matcher(tuple(patterns), named=False, tokens=True, threshold=threshold))
+
+
+def all_hits(
+    lines: DataFrame, patterns: Sequence[SecretPattern], threshold: float = rules.ENTROPY_THRESHOLD
+) -> DataFrame:
+    """Hits of named patterns and long tokens in one pass over the lines, without those of too low entropy."""
+    return _find(lines, Matcher(tuple(patterns), tokens=True, threshold=threshold))
+
+
+PATTERN_FIELDS = ["name", "regex", "severity", "entropy"]
+
 
+def pattern_sets(patterns: DataFrame, by: str = PROJECT) -> DataFrame:
+    """One row per project with all its patterns, from rows ``(project, seq, name, regex, severity, entropy)``.
 
-def all_hits(lines: DataFrame, patterns: Sequence[SecretPattern]) -> DataFrame:
-    """Hits of named patterns and long tokens in one pass over the lines."""
-    gated = lines.filter(may_match(F.col("text"), regexes(patterns, tokens=True)))
-    located = gated.withColumn("named", _named_hits(patterns)).withColumn(
-        "hits", F.concat("named", F.array(_token_hits()))
+    The lists are configuration, a few patterns per project; they are ordered by ``seq``, and rows without a regex are left out.
+    """
+    rows = patterns.where(F.col("regex").isNotNull()).select(
+        by, F.struct(F.col("seq").cast("long").alias("seq"), *[F.col(c) for c in PATTERN_FIELDS]).alias("row")
     )
-    return _as_findings(located, "hits", [*patterns, TOKENS])
+    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list("row")).alias("patterns"))
+    return listed.select(by, F.transform("patterns", lambda p: F.struct(*[p[c].alias(c) for c in PATTERN_FIELDS])).alias("patterns"))
+
+
+def as_set(patterns: Sequence[SecretPattern]) -> Column:
+    """A list of patterns as a value of the column ``patterns``."""
+    fields = [F.struct(*[F.lit(getattr(p, c)).cast("double" if c == "entropy" else "string").alias(c) for c in PATTERN_FIELDS]) for p in patterns]
+    return F.array(*fields) if fields else F.expr("cast(array() as array<struct<name:string,regex:string,severity:string,entropy:double>>)")
+
+
+class _Matchers:
+    """The compiled pattern sets a task has met."""
+
+    KEPT = 1000
+
+    def __init__(self, **kinds) -> None:
+        self.kinds, self.known = kinds, {}
+
+    def of(self, listed: list[dict] | None) -> Matcher:
+        key = tuple((p["name"], p["regex"], p["severity"], p["entropy"]) for p in listed or [])
+        if key not in self.known:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            patterns = tuple(SecretPattern(name, regex, severity, "", entropy) for name, regex, severity, entropy in key)
+            self.known[key] = Matcher(patterns, **self.kinds)
+        return self.known[key]
+
+    def groups(self, batch: pa.RecordBatch) -> list[tuple[Matcher, pa.Array]]:
+        """The rows of a batch by their pattern set."""
+        of: dict[str, tuple[list, list[int]]] = {}
+        for i, listed in enumerate(batch.column("patterns").to_pylist()):
+            of.setdefault(repr(listed), (listed, []))[1].append(i)
+        return [(self.of(listed), pa.array(rows, pa.int64())) for listed, rows in of.values()]
+
+
+# Hits of the patterns of a row that are not portable, each with a regex of its own.
+_LOCATED_BY_ROW = f"""
+flatten(transform(slow, p -> transform({located_matches_sql('text', 'p.regex')},
+  h -> struct(p.no as no, h.column as column, h.value as value))))
+"""
+
+
+def _slow_patterns(sets: Column) -> Column:
+    """The patterns of each set that only the JVM can read."""
+
+    @F.arrow_udf("array<struct<no:int,regex:string>>")
+    def pick(sets: pa.Array) -> pa.Array:
+        known: dict[str, bool] = {}
+        made = []
+        for listed in sets.to_pylist():
+            slow = []
+            for no, p in enumerate(listed or []):
+                if p["regex"] not in known:
+                    known[p["regex"]] = portable(p["regex"])
+                if not known[p["regex"]]:
+                    slow.append({"no": no, "regex": p["regex"]})
+            made.append(slow)
+        return pa.array(made, pa.list_(pa.struct([("no", pa.int32()), ("regex", pa.string())])))
+
+    return pick(sets)
+
+
+def _may_hold(texts: Column, sets: Column, tokens: bool) -> Column:
+    """Whether a file may hold a hit of its own patterns or a long token."""
+
+    @F.arrow_udf("boolean")
+    def test(texts: pa.Array, sets: pa.Array) -> pa.Array:
+        matchers = _Matchers(tokens=tokens)
+        found = np.ones(len(texts), bool)
+        batch = pa.RecordBatch.from_arrays([texts, sets], names=["text", "patterns"])
+        for matcher, rows in matchers.groups(batch):
+            if None not in matcher.regexes:
+                found[rows.to_numpy()] = matcher.suspects(texts.take(rows)).to_numpy(zero_copy_only=False)
+        return pa.array(found)
+
+    return test(texts, sets)
+
+
+def scan_with_sets(
+    files: DataFrame, tokens: bool = True, threshold: float = rules.ENTROPY_THRESHOLD
+) -> DataFrame:
+    """Findings of files ``(file, content, patterns, ...)`` that bring their own patterns.
+
+    A set is compiled once per task. Files that can match nothing are dropped before they are cut into
+    lines. Rows with null or no patterns are searched for tokens alone. Regexes that
+    only the JVM can read, such as those with look-around, are located there.
+    """
+    listed = files.withColumn("patterns", F.coalesce("patterns", as_set([])))
+    gated = listed.filter(_may_hold(F.make_valid_utf8("content"), F.col("patterns"), tokens))
+    lines = split_lines(gated.withColumn("slow", _slow_patterns(F.col("patterns"))))
+    rest = [c for c in lines.columns if c not in ("text", "patterns", "slow", *HIT_NAMES)]
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields if f.name in rest]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = _Matchers(tokens=tokens, threshold=threshold)
+        return hit_batches(batches, matchers.groups, rest)
+
+    text = F.make_valid_utf8("text").alias("text")
+    read = lines.select(*[f"`{c}`" for c in rest], text, "patterns", F.expr(_LOCATED_BY_ROW).alias("located"))
+    return read.mapInArrow(find, ", ".join([*types, HIT_SCHEMA]))
 
 
 def entropy_filter(findings: DataFrame, threshold: float = rules.ENTROPY_THRESHOLD) -> DataFrame:
@@ -281,6 +373,65 @@ def baseline_as_of(
     return chosen.groupBy("project_id").agg(newest.alias("scan")).select("project_id", "scan.*")
 
 
+def baselines_as_of(scans: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """For every cut-off ``(project_id, since, ...)`` the newest scan of its project not after it.
+
+    An as-of join: scans and cut-offs lie in one order and each cut-off takes the last scan before it, so a project may
+    have any number of both and spreads over tasks. Of scans at one time the one with the greatest id counts;
+    a cut-off without an earlier scan, or without a time, has nulls.
+    """
+    scan = F.struct("scan_id", "scan_ts", "version")
+    cut = F.struct(*[F.col(c) for c in cutoffs.columns])
+    absent_scan = F.lit(None).cast(scans.select(scan.alias("s")).schema["s"].dataType)
+    absent_cut = F.lit(None).cast(cutoffs.select(cut.alias("c")).schema["c"].dataType)
+    at_scan = scans.where("scan_ts is not null").select(
+        "project_id", F.col("scan_ts").alias("at"), F.lit(0).alias("kind"), F.col("scan_id").alias("tie"),
+        scan.alias("scan"), absent_cut.alias("cut"),
+    )
+    at_cut = cutoffs.select(
+        "project_id", F.col("since").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(scans.schema["scan_id"].dataType).alias("tie"),
+        absent_scan.alias("scan"), cut.alias("cut"),
+    )
+    carried = running(at_scan.unionByName(at_cut), ["project_id"], ["at", "kind", "tie"], ["scan"])
+    return carried.where("kind = 1").select("cut.*", "scan.*")
+
+
+def finding_lifetimes(
+    scans: DataFrame, findings: DataFrame, key: Sequence[str] = ("file", "pattern_name", "value")
+) -> DataFrame:
+    """When each finding came, went and came back: one row per unbroken run of scans that hold it.
+
+    ``scans(project_id, scan_id, scan_ts)`` are all scans, also those without findings; ``findings`` has
+    project_id, scan_id and the key. ``fixed_at`` is the time of the first scan without it, null while it is
+    open; ``occurrence`` counts the runs of a finding, from 1. A finding counts once per scan.
+    """
+    every = scans.select("project_id", "scan_id", "scan_ts").distinct()
+    numbered = running(every, ["project_id"], ["scan_ts", "scan_id"])
+    held = findings.select("project_id", "scan_id", *key).distinct().join(numbered, ["project_id", "scan_id"])
+    same = Window.partitionBy("project_id", *key)
+    runs = held.withColumn("run", F.col("n") - F.row_number().over(same.orderBy("n")))
+    lives = runs.groupBy("project_id", *key, "run").agg(
+        F.min("scan_ts").alias("introduced_at"), F.max("scan_ts").alias("last_seen_at"),
+        F.count("*").alias("scans"), (F.max("n") + 1).alias("n"),
+    )
+    after = numbered.select("project_id", "n", F.col("scan_ts").alias("fixed_at"))
+    occurrence = F.row_number().over(same.orderBy("run"))
+    return lives.withColumn("occurrence", occurrence).join(after, ["project_id", "n"], "left").select(
+        "project_id", *key, "occurrence", F.when(F.col("occurrence") == 1, "introduced").otherwise("reintroduced").alias("event"),
+        "introduced_at", "last_seen_at", "fixed_at", "scans",
+    )
+
+
+def added_copies(current: DataFrame, baseline: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Whole rows that ``current`` holds more often than ``baseline``, as often as they are more.
+
+    Beside ``added_findings``, which knows a finding by its place: here a secret that was there once and
+    is there three times now is two rows.
+    """
+    names = list(columns or current.columns)
+    return current.select(*names).exceptAll(baseline.select(*names))
+
+
 def false_positive_rate(findings: DataFrame, allowed: DataFrame) -> DataFrame:
     """Share of findings per pattern that the allow list suppresses."""
     marks = allowed.select("value").distinct().withColumn("is_allowed", F.lit(True))

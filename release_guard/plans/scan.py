@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.matching import Matcher
 from ..operators import secrets as s
 from ..rules import SecretPattern
+from ..sources.files import number_lines, read_lines
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -31,8 +33,7 @@ def secret_scan(
     if pre_scan is not None:
         files = files.transform(pre_scan)
     lines = s.split_lines(s.suspect_files(files, patterns))
-    findings = s.entropy_filter(s.all_hits(lines, patterns), threshold)
-    findings = findings.drop("pattern_entropy")
+    findings = s.all_hits(lines, patterns, threshold).drop("pattern_entropy")
     if allowed is not None:
         findings = s.apply_allowlist(findings, allowed)
     if post_scan is not None:
@@ -40,6 +41,54 @@ def secret_scan(
     return findings
 
 
+def scan_lines(
+    lines: DataFrame,
+    patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS),
+    allowed: DataFrame | None = None,
+    threshold: float = rules.ENTROPY_THRESHOLD,
+) -> DataFrame:
+    """Findings in the lines of ``read_lines``: files of any size, by byte ranges.
+
+    The text is read once; only lines that may hold a finding are written, numbered and matched.
+    """
+    matcher = Matcher(tuple(patterns), tokens=True, threshold=threshold)
+    findings = s.all_hits(number_lines(lines, matcher), patterns, threshold).drop("pattern_entropy")
+    return findings if allowed is None else s.apply_allowlist(findings, allowed)
+
+
+def scan_folder(
+    spark: SparkSession,
+    root: str,
+    patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS),
+    allowed: DataFrame | None = None,
+    threshold: float = rules.ENTROPY_THRESHOLD,
+    include: Sequence[str] = tuple(rules.DEFAULT_INCLUDE),
+    exclude: Sequence[str] = tuple(rules.DEFAULT_EXCLUDE),
+    max_size: int | None = None,
+) -> DataFrame:
+    """Findings in the files below a folder, whatever their size."""
+    return scan_lines(read_lines(spark, root, include, exclude, max_size), patterns, allowed, threshold)
+
+
+def project_scan(
+    files: DataFrame,
+    patterns: DataFrame,
+    default: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS),
+    allowed: DataFrame | None = None,
+    threshold: float = rules.ENTROPY_THRESHOLD,
+) -> DataFrame:
+    """Findings where every project has patterns of its own beside the built-in ones.
+
+    ``patterns(project_id, seq, name, regex, severity, entropy)``; a project with none is searched for the
+    built-in ones alone. The lists are joined to the files, and a task compiles each list once.
+    """
+    sets = s.pattern_sets(patterns).select(F.col("project_id").alias("set of"), F.col("patterns").alias("own"))
+    joined = files.join(sets, F.col("project_id").eqNullSafe(F.col("set of")), "left").drop("set of")
+    every = joined.withColumn("patterns", F.concat(s.as_set(default), F.coalesce("own", s.as_set([])))).drop("own")
+    findings = s.scan_with_sets(every, threshold=threshold).drop("pattern_entropy")
+    return findings if allowed is None else s.apply_allowlist(findings, allowed)
+
+
 def run_publish(
     packages: DataFrame, pre_publish: Hook, post_publish: Hook | None = None
 ) -> DataFrame:

@@ -47,6 +47,9 @@ TOKEN_PATTERN_NAME = "High Entropy String"
 TOKEN_SEVERITY = "low"
 ENTROPY_THRESHOLD = 3.5
 
+# Characters of a line that a finding shows: so many before the hit, and so many from its start on.
+CONTEXT_BEFORE, CONTEXT_AFTER = 200, 400
+
 DEFAULT_INCLUDE = ["**/*"]
 DEFAULT_EXCLUDE = ["node_modules/**"]
 

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows can be long lines or whole files; an Arrow batch holds about this many bytes of them.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # Streaming state on local disk, so that it may outgrow executor memory.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

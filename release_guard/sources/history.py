@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Spark's own default writes milliseconds only.
@@ -42,6 +43,18 @@ def append_events(events: DataFrame, path: str, now=None) -> None:
     stamped.write.mode("append").partitionBy("date").parquet(path)
 
 
+def append_batch(events: DataFrame, path: str, batch_id: str, now=None) -> None:
+    """Append events, stamped as in ``append_events``, as one batch with an id of the caller.
+
+    Each batch has a folder of its own and replaces it, so one that is written again, on another day too, adds
+    nothing. The history reads back with its column ``batch``.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
+        raise ValueError(f"a batch id is letters, digits, dots and dashes: {batch_id!r}")
+    stamp = F.current_timestamp() if now is None else now
+    events.withColumn("ts", stamp).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def read_baseline(spark: SparkSession, path: str, project_type: str | None = "bigint") -> DataFrame:
     """The findings of an earlier scan; ``project_type`` is None for one written without projects."""
     project = f"project_id {project_type}, " if project_type else ""
@@ -95,13 +108,25 @@ def read_test_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "testsuite").schema(XML_SUITE_SCHEMA).load(path)
 
 
-def _payload():
-    return F.to_json(F.struct("event", "package", "version", "data"))
+def _payload() -> Column:
+    """A webhook event ``_stamped`` as JSON: kind, package, version, time and the data as an object.
+
+    Data that is no JSON becomes a JSON string, absent data an empty object.
+    """
+    head = F.to_json(F.struct("event", "package", "version", "timestamp"))
+    quoted = F.to_json(F.struct(F.col("data").alias("d")))
+    text = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+    data = F.when(F.col("data").isNull(), "{}").when(F.try_parse_json("data").isNotNull(), F.col("data")).otherwise(text)
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"data":'), data, F.lit("}"))
+
+
+def _stamped(events: DataFrame) -> DataFrame:
+    return events.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def webhook_outbox(events: DataFrame, urls: Sequence[str]) -> DataFrame:
     """One payload per event and webhook; the URLs come from configuration."""
-    return events.select(
+    return _stamped(events).select(
         "event", "package", "version", "ts", _payload().alias("payload"),
         F.explode(F.array(*[F.lit(u) for u in urls])).alias("url"),
     )
@@ -114,7 +139,7 @@ def subscription_join(events: DataFrame, webhooks: DataFrame) -> DataFrame:
     is on equal kinds.
     """
     kinds = webhooks.select("url", F.explode(F.array_distinct("events")).alias("event"))
-    return events.join(kinds, "event").select(
+    return _stamped(events).join(kinds, "event").select(
         "event", "package", "version", "ts", _payload().alias("payload"), "url"
     )
 

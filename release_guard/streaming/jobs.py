@@ -10,7 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from .. import rules
 from ..operators.monitoring import threshold_join
-from ..plans.scan import secret_scan
+from ..plans.scan import scan_lines, secret_scan
 from ..rules import SecretPattern
 from ..sources.history import webhook_outbox
 
@@ -80,15 +80,31 @@ def scan_stream(
     return secret_scan(files, patterns)
 
 
+def scan_folder_batch(
+    path: str, patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS)
+) -> Callable[[DataFrame, int], None]:
+    """Writer for a stream of ``read_lines``: the findings in the new files of each micro-batch, files of any size.
+
+    A file lands in one micro-batch whole, so its lines are numbered there.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scan_lines(batch, patterns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def alert_events(alerts: DataFrame) -> DataFrame:
-    """Alerts in the shape of webhook events."""
-    data = F.to_json(F.struct("alert_id", "severity", "type", "message"))
+    """Alerts in the shape of webhook events; the data holds the whole alert."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")
+    rest = [c for c in alerts.columns if c not in ("alert_id", "ts", "resolved", "acknowledged")]
+    fields = [F.col("alert_id").alias("id"), stamp, F.lit(False).alias("resolved"), F.lit(False).alias("acknowledged"), *rest]
     return alerts.select(
         F.lit("scan").alias("event"),
         F.lit("monitoring").alias("package"),
         F.lit("1.0.0").alias("version"),
         "ts",
-        data.alias("data"),
+        F.to_json(F.struct(F.struct(*fields).alias("alert"))).alias("data"),
     )
 
 

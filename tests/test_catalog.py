@@ -15,7 +15,7 @@ from release_guard import catalog
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 # The smallest document table holds no secret.
 MAY_BE_EMPTY = ["scan_documents"]
-STREAMS = [n for n in QUERIES if n.endswith("_stream") or n == "metrics_with_retention"]
+STREAMS = [n for n in QUERIES if n.endswith(("_stream", "_lifecycle")) or n in ("metrics_with_retention", "audit_cache")]
 
 
 @pytest.fixture(scope="module")
