@@ -45,8 +45,7 @@ def _warnings(sp, sf):
 
 
 def _diff_by_project(sp, sf):
-    project = F.regexp_extract("file", "^conv/([0-9]+)/", 1).cast("bigint") % 60
-    return s.secret_diff_summary(sec.diff(sp, sf).withColumn("project_id", project), ["project_id"])
+    return s.secret_diff_summary(sec.diff(sp, sf), ["project_id"])
 
 
 def _hooked(sp, sf):
@@ -91,8 +90,11 @@ VULN_CTES = f"v as (select * replace ({vul.MAP} as severity) from fx_vulns), {vu
 
 ORACLES = {
     "publish_gate": f"""{WORK} select *, git_status and secret_scan and ci_status as all_passed from (
- select project_id, is_clean as git_status, coalesce(secrets, 0) = 0 as secret_scan, is_passing as ci_status
- from fx_projects join fx_git using (project_id) join fx_ci using (project_id) left join c using (project_id))""",
+ select project_id, coalesce(is_clean, false) as git_status, coalesce(secrets, 0) = 0 as secret_scan,
+ coalesce(is_passing, false) as ci_status
+ from (select project_id from fx_projects union select project_id from found union select project_id from fx_git
+ union select project_id from fx_ci) left join fx_git using (project_id) left join fx_ci using (project_id)
+ left join c using (project_id))""",
     "publish_warnings": f"""{with_views('fx_files', 'fx_planted', 'fx_manifest', 'fx_small_commits')}, {sec.INPUTS},
  {sec.scan_sql('inputs', 'found')},
  src as (select * from fx_small_commits), {ver.PARSED}, {ver.BUMPS},
@@ -111,7 +113,8 @@ ORACLES = {
  case when coalesce(secrets, 0) = 0 then coalesce(incompatible, 0) end as incompatible,
  case when coalesce(secrets, 0) = 0 then coalesce(critical, 0) end as critical,
  case when coalesce(secrets, 0) = 0 then coalesce(high, 0) end as high
- from fx_projects left join c using (project_id) left join bad using (project_id) left join s using (project_id))""",
+ from (select project_id from fx_projects union select project_id from c union select project_id from p
+ union select project_id from s) left join c using (project_id) left join bad using (project_id) left join s using (project_id))""",
     "unpublish_impact": f"""{with_views('fx_manifest', 'fx_downloads')}, d as (select name,
  count(distinct project_id) as dependents from fx_manifest group by name), l as (select name,
  cast(sum(downloads) as bigint) as downloads from fx_downloads group by name),

@@ -8,8 +8,11 @@ from .. import rules
 from ..fixtures import frame, with_views
 from ..functions.scoring import severity_to_priority
 from ..operators import issues as i
+from ..operators import vulnerabilities as v
+from ..sources.manifests import parse_audit_json
 from . import licenses as lic
 from . import secrets as sec
+from . import sources as src
 from . import vulnerabilities as vul
 
 TRACKER = "linear"
@@ -65,6 +68,12 @@ QUERIES = {
     "secret_issues": lambda sp, sf: _labels(i.secret_issues(sec.scan_planted(sp, sf), TRACKER)),
     "audit_priority": lambda sp, sf: _labels(i.dependency_issues(vul.vulns(sp, sf), "jira")),
     "dependency_issue_lists": lambda sp, sf: i.dependency_issue_lists(vul.vulns(sp, sf), width=16),
+    "issue_recommendations": lambda sp, sf: i.issue_recommendations(
+        v.vuln_recommendations(vul.vulns(sp, sf)), i.dependency_issues(vul.vulns(sp, sf), "jira")
+    ),
+    "audit_issue_lists": lambda sp, sf: i.dependency_issue_lists(
+        parse_audit_json(frame(sp, sf, "fx_audit_json").select("project_id", "audit_json"), vul.AUDIT_TIME), width=16
+    ),
     "license_issues": lambda sp, sf: _labels(i.license_issues(lic.packages(sp, sf), TRACKER)),
     "license_issue_lists": lambda sp, sf: i.license_issue_lists(lic.packages(sp, sf), width=100),
 }
@@ -117,6 +126,15 @@ ORACLES = {
  case when fixed_in is not null then concat('  Fixed in: ', fixed_in, chr(10)) else '' end) as item
  from v where severity in ('critical', 'high'))
  select project_id, cast(floor(seq / 16) as bigint) as page,
+ concat('**Vulnerabilities Found:**', chr(10), string_agg(item, '' order by seq, item)) as text from t group by all""",
+    "issue_recommendations": f"""{vul.VULNS}, {vul.SUMMARY}, {vul.PACKAGES}, {vul.recommendations_sql(None)}
+ select project_id, rec_no, page, concat('• ', text, chr(10)) as text from r
+ where project_id in (select project_id from s where critical > 0 or high > 0)""",
+    "audit_issue_lists": f"""with v as ({src.ORACLES['parse_audit_json']}), t as (select project_id, seq, concat('• ', package, '@',
+ version, ' - ', upper(severity), ': ', title, chr(10),
+ case when coalesce(fixed_in, '') <> '' then concat('  Fixed in: ', fixed_in, chr(10)) else '' end) as item
+ from v where severity in ('critical', 'high'))
+ select project_id, cast(floor(seq / 16) as bigint) as page,
  concat('**Vulnerabilities Found:**', chr(10), string_agg(item, '' order by seq, item)) as text from t group by all""",
     "license_issues": f"""{lic.PACKAGES}, {lic.SUMMARY}, t as (select *,
  concat(incompatible, ' packages have incompatible licenses') as text from s where incompatible > 0)

@@ -203,10 +203,14 @@ ORACLES = {
     "cvss_or_null": f"""{with_views('fx_audit_json')} select project_id, package,
  case when contains(audit_json, '"score":7.5') then cast(7.5 as double) end as score from fx_audit_json""",
     "explode_manifest": f"""{MANIFEST}, {PROD}, {DEV}, d as ({_versions('dev', 'devDependencies')}),
- p as (select * from ({_versions('prod', 'dependencies')}) where (project_id, name) not in (select (project_id, name) from d))
+ p as ({_versions('prod', 'dependencies')}),
+ merged as (select p.project_id, p.name, coalesce(d.version_range, p.version_range) as version_range,
+ case when d.name is null then 'prod' else 'dev' end as dep_scope, 1 as part, p.pos
+ from p left join d on d.project_id = p.project_id and d.name = p.name
+ union all select project_id, name, version_range, dep_scope, 2, pos from d
+ where (project_id, name) not in (select (project_id, name) from p))
  select project_id, name, version_range, dep_scope,
- cast(row_number() over (partition by project_id order by dep_scope desc, pos) - 1 as bigint) as seq
- from (select * from p union all select * from d)""",
+ cast(row_number() over (partition by project_id order by part, pos) - 1 as bigint) as seq from merged""",
     "explode_manifest_prod": f"""{MANIFEST}, {PROD} select * exclude (pos), cast(pos - 1 as bigint) as seq
  from ({_versions('prod', 'dependencies')})""",
     "read_event_history": f"{EVENTS} select * from fx_events",

@@ -135,19 +135,22 @@ def dependency_issues(
     )
 
 
+def vulnerability_title(vulns: DataFrame) -> Column:
+    """The title of a vulnerability; where there is none, the one an audit gives it."""
+    default = F.concat(F.lit("Vulnerability in "), F.col("package"))
+    return F.coalesce(F.nullif(F.col("title"), F.lit("")), default) if "title" in vulns.columns else default
+
+
 def dependency_issue_lists(
     vulns: DataFrame, by: Sequence[str] = ("project_id",), width: int = 1000
 ) -> DataFrame:
     """The vulnerability list that goes into a dependency issue, in pages."""
     serious = vulns.filter(F.col("severity").isin("critical", "high"))
-    title = F.concat(F.lit("Vulnerability in "), F.col("package"))
+    fixed_in = F.nullif(F.col("fixed_in"), F.lit(""))
     item = F.concat(
         F.lit("• "), F.col("package"), F.lit("@"), F.col("version"), F.lit(" - "),
-        F.upper("severity"), F.lit(": "), title, F.lit("\n"),
-        F.when(
-            F.col("fixed_in").isNotNull(),
-            F.concat(F.lit("  Fixed in: "), F.col("fixed_in"), F.lit("\n")),
-        ).otherwise(""),
+        F.upper("severity"), F.lit(": "), vulnerability_title(vulns), F.lit("\n"),
+        F.when(fixed_in.isNotNull(), F.concat(F.lit("  Fixed in: "), fixed_in, F.lit("\n"))).otherwise(""),
     )
     return ordered_pages(serious, by, "seq", item, width).select(
         *by, "page",
@@ -155,6 +158,18 @@ def dependency_issue_lists(
     )
 
 
+def issue_recommendations(recommendations: DataFrame, issues: DataFrame, by: Sequence[str] = ("project_id",)) -> DataFrame:
+    """The recommendations that go into the issues, one bullet per row in the order of ``rec_no`` and ``page``.
+
+    ``recommendations(..., rec_no, page, text)`` of a dependency or licence audit; only of projects with an issue.
+    """
+    chosen = recommendations.join(issues.select(*by).distinct(), list(by), "left_semi")
+    page = F.col("page") if "page" in recommendations.columns else F.lit(0)
+    return chosen.select(
+        *by, "rec_no", page.cast("long").alias("page"), F.concat(F.lit("• "), F.col("text"), F.lit("\n")).alias("text")
+    )
+
+
 def license_issues(
     licenses: DataFrame, tracker: str, by: Sequence[str] = ("project_id",),
     tool: str = rules.TOOL_NAME,

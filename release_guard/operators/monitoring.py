@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.scoring import alert_message, alert_severity, health_status
 from ..session import small_table
 from .ordering import last_n
+from .pieces import running
 
 
 def threshold_table(spark, thresholds: dict[str, float] | None = None) -> DataFrame:
@@ -59,24 +60,48 @@ def retain_recent(
     return metrics.filter(F.col("ts") > now - F.make_dt_interval(days=F.lit(days)))
 
 
-def cap_rows(
-    metrics: DataFrame, max_points: int, bucket: str = "minute"
-) -> DataFrame:
-    """The newest rows up to the capacity of the store.
+def _reaching(counts: DataFrame, wanted: Column) -> DataFrame:
+    """The newest bucket with which the rows from the newest on reach ``wanted``, and the rows after it; no row if none does.
 
-    A count per time bucket tells how far back the newest rows reach. Only rows
-    from there on enter the top-k, so its last task does not get the capacity
-    times the number of tasks.
+    ``counts(bucket, n)`` has few rows: the years of a history, the days of a year or the minutes of a day.
     """
-    from_newest = Window.orderBy(F.desc("bucket"))
-    counts = metrics.groupBy(F.date_trunc(bucket, F.col("ts")).alias("bucket")).agg(
-        F.count("*").alias("n")
-    )
-    reached = counts.select("bucket", F.sum("n").over(from_newest).alias("total")).filter(
-        F.col("total") >= max_points
+    listed = F.sort_array(F.collect_list(F.struct("bucket", "n")), asc=False)
+    start = F.struct(
+        F.lit(None).cast("timestamp_ntz").alias("bucket"), F.lit(0).cast("long").alias("after"), F.lit(0).cast("long").alias("total")
     )
-    start = reached.agg(F.max("bucket")).scalar()
-    recent = metrics.filter((F.date_trunc(bucket, F.col("ts")) >= start) | start.isNull())
+
+    def step(state: Column, item: Column) -> Column:
+        total = state["total"] + item["n"]
+        done = state["bucket"].isNotNull()
+        here = F.struct(
+            F.when(total >= F.col("wanted"), item["bucket"].cast("timestamp_ntz")).alias("bucket"), state["total"].alias("after"), total.alias("total")
+        )
+        return F.when(done, state).otherwise(here)
+
+    gathered = counts.withColumn("wanted", wanted).agg(listed.alias("listed"), F.max("wanted").alias("wanted"))
+    found = gathered.select(F.aggregate("listed", start, step).alias("cut"))
+    return found.where("cut.bucket is not null").select("cut.bucket", "cut.after")
+
+
+def cap_rows(metrics: DataFrame, max_points: int) -> DataFrame:
+    """The newest rows up to the capacity of the store.
+
+    Rows are counted per minute. The years, then the days of the year in which the capacity is reached, then the minutes of
+    that day tell from where on rows are wanted, so nothing goes through the whole history in one task. Only
+    rows from that minute on enter the top-k. Rows without a time are the oldest.
+    """
+    if max_points <= 0:
+        return metrics.limit(0)
+    minutes = metrics.groupBy(F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n"))
+    wanted: Column = F.lit(max_points)
+    inside = minutes.where("minute is not null")
+    for unit in ("year", "day", "minute"):
+        bucket = F.date_trunc(unit, F.col("minute")).cast("timestamp_ntz")
+        cut = _reaching(inside.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")), wanted)
+        start, after = cut.select("bucket").scalar(), cut.select("after").scalar()
+        inside = inside.where(bucket == start)
+        wanted = wanted - after
+    recent = metrics.filter((F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz") >= start) | start.isNull())
     return recent.orderBy(F.desc("ts"), F.desc("seq")).limit(max_points)
 
 
@@ -120,49 +145,16 @@ def alert_state(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def performance_state(
-    updates: DataFrame, key: str = "source", bucket: str = "hour"
-) -> DataFrame:
+def performance_state(updates: DataFrame, key: str = "source") -> DataFrame:
     """Running state of the performance figures after every partial update.
 
-    A missing figure keeps its last value, starting from fixed values. The
-    running window works inside one time bucket of a key; the state at the end
-    of each bucket is carried into the next by a second window over one row per
-    bucket. So a key with very many updates is spread over its buckets.
+    A missing figure keeps its last value, starting from fixed values. The updates are gone through in
+    pieces of equal size, so a host with very many of them, in one hour too, is spread over tasks.
     """
     fields = list(rules.PERFORMANCE_START)
-    bucketed = updates.withColumn("bucket", F.date_trunc(bucket, F.col("ts")))
-    order = F.struct("ts", "seq")
-
-    def final(name: str) -> Column:
-        present = F.col(name).isNotNull()
-        return F.max_by(name, F.when(present, order)).alias(name)
-
-    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        bucketed.groupBy(key, "bucket")
-        .agg(*[final(f) for f in fields])
-        .select(
-            key, "bucket", *[F.last(f, ignorenulls=True).over(earlier).alias(f"carry_{f}") for f in fields]
-        )
-    )
-    running = (
-        Window.partitionBy(key, "bucket")
-        .orderBy("ts", "seq")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = bucketed.select(
-        key, "bucket", "seq", "ts",
-        *[F.last(f, ignorenulls=True).over(running).alias(f) for f in fields],
-    )
-    return local.join(carried, [key, "bucket"]).select(
-        key,
-        "seq",
-        "ts",
-        *[
-            F.coalesce(f, f"carry_{f}", F.lit(start)).alias(f)
-            for f, start in rules.PERFORMANCE_START.items()
-        ],
+    carried = running(updates.select(key, "seq", "ts", *fields), [key], ["ts", "seq"], fields)
+    return carried.select(
+        key, "seq", "ts", *[F.coalesce(f, F.lit(start)).alias(f) for f, start in rules.PERFORMANCE_START.items()]
     )
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.scoring import overall_risk_level, overall_risk_points
 from ..operators.analytics import dependents_count
-from ..operators.licenses import license_summary
-from ..operators.vulnerabilities import vuln_summary
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
@@ -20,23 +18,39 @@ def _or_zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def _facts(*parts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """One narrow row per fact, all kinds in one table: the project and the figures this fact adds.
+
+    Only these columns enter the shuffle, combined per project before it; a project is known by any of its facts.
+    """
+    names = list(dict.fromkeys(name for _, figures in parts for name in figures))
+    tables = [
+        df.select("project_id", *[figures.get(n, F.lit(None)).alias(n) for n in names]) for df, figures in parts
+    ]
+    whole = tables[0]
+    for part in tables[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _flag(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("long")
+
+
 def publish_gate(projects: DataFrame, findings: DataFrame, git: DataFrame, ci: DataFrame) -> DataFrame:
     """May a project be published: every check has to pass.
 
-    ``git(project_id, is_clean)`` and ``ci(project_id, is_passing)`` give the
-    state of the other two checks; a project they do not name fails them.
+    ``git(project_id, is_clean)`` and ``ci(project_id, is_passing)`` give the state of the other two checks; a project
+    they do not name fails them. Projects are those of ``projects`` and all that any of the facts names.
     """
-    checks = (
-        projects.select("project_id")
-        .join(_count(findings, "secrets"), "project_id", "left")
-        .join(git.groupBy("project_id").agg(F.bool_and("is_clean").alias("git_ok")), "project_id", "left")
-        .join(ci.groupBy("project_id").agg(F.bool_and("is_passing").alias("ci_ok")), "project_id", "left")
-    )
-    checked = checks.select(
-        "project_id",
-        F.coalesce("git_ok", F.lit(False)).alias("git_status"),
-        (_or_zero("secrets") == 0).alias("secret_scan"),
-        F.coalesce("ci_ok", F.lit(False)).alias("ci_status"),
+    facts = _facts(
+        (projects, {"secrets": F.lit(0).cast("long")}), (findings, {"secrets": F.lit(1).cast("long")}),
+        (git, {"git": F.col("is_clean")}), (ci, {"ci": F.col("is_passing")}),
+    )
+    checked = facts.groupBy("project_id").agg(
+        F.coalesce(F.bool_and("git"), F.lit(False)).alias("git_status"),
+        (F.coalesce(F.sum("secrets"), F.lit(0)) == 0).alias("secret_scan"),
+        F.coalesce(F.bool_and("ci"), F.lit(False)).alias("ci_status"),
     )
     return checked.withColumn(
         "all_passed", F.col("git_status") & F.col("secret_scan") & F.col("ci_status")
@@ -69,16 +83,16 @@ def publish_warnings(
 def security_workflow(
     projects: DataFrame, findings: DataFrame, licenses: DataFrame, vulns: DataFrame
 ) -> DataFrame:
-    """Secrets, then licences and vulnerabilities, one row per project.
+    """Secrets, then licences and vulnerabilities, one row per project of ``projects`` or of any fact.
 
     Where secrets were found the workflow stops: the later columns are null.
     """
-    joined = (
-        projects.select("project_id")
-        .join(_count(findings, "secrets"), "project_id", "left")
-        .join(license_summary(licenses).select("project_id", "incompatible"), "project_id", "left")
-        .join(vuln_summary(vulns).select("project_id", "critical", "high"), "project_id", "left")
-    )
+    facts = _facts(
+        (projects, {"secrets": F.lit(0).cast("long")}), (findings, {"secrets": F.lit(1).cast("long")}),
+        (licenses, {"incompatible": _flag(~F.col("compatible"))}),
+        (vulns, {"critical": _flag(F.col("severity") == "critical"), "high": _flag(F.col("severity") == "high")}),
+    )
+    joined = facts.groupBy("project_id").agg(*[F.sum(c).alias(c) for c in ("secrets", "incompatible", "critical", "high")])
     secrets = _or_zero("secrets")
     later = {c: F.when(secrets == 0, _or_zero(c)) for c in ("incompatible", "critical", "high")}
     issues = (later["incompatible"] > 0) | (later["critical"] > 0) | (later["high"] > 0)
@@ -118,14 +132,14 @@ def unpublish_impact(deps: DataFrame, downloads: DataFrame) -> DataFrame:
 def overall_risk(
     findings: DataFrame, diff_summary: DataFrame, licenses: DataFrame, vulns: DataFrame
 ) -> DataFrame:
-    """Points and level over secrets, secret changes, licences and vulnerabilities."""
-    diff = diff_summary.select("project_id", F.col("risk_level").alias("diff_risk"))
-    joined = (
-        vuln_summary(vulns).drop("risk_level", "total", "low")
-        .join(_count(findings, "secrets"), "project_id", "full_outer")
-        .join(diff, "project_id", "full_outer")
-        .join(license_summary(licenses).select("project_id", "incompatible"), "project_id", "full_outer")
-    )
+    """Points and level over secrets, secret changes, licences and vulnerabilities, for every project any of them names."""
+    facts = _facts(
+        (findings, {"secrets": F.lit(1).cast("long")}), (diff_summary, {"diff_risk": F.col("risk_level")}),
+        (licenses, {"incompatible": _flag(~F.col("compatible"))}),
+        (vulns, {c: _flag(F.col("severity") == c) for c in ("critical", "high", "moderate")}),
+    )
+    counts = ("secrets", "incompatible", "critical", "high", "moderate")
+    joined = facts.groupBy("project_id").agg(*[F.sum(c).alias(c) for c in counts], F.max("diff_risk").alias("diff_risk"))
     points = overall_risk_points(
         _or_zero("secrets"), F.coalesce("diff_risk", F.lit("low")), _or_zero("incompatible"),
         _or_zero("critical"), _or_zero("high"), _or_zero("moderate"),

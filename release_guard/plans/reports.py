@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.scoring import score_band
-from ..functions.text import explode_once, label_map
+from ..functions.text import explode_once, label_map, number_text
 from ..operators.analytics import event_report
+from ..operators.issues import vulnerability_title
 from ..operators.licenses import (
     incompatible_packages,
     license_audit_recommendations,
@@ -40,15 +41,17 @@ class Section:
     title: str
     lines: list[Column]
     item: Column = field(default_factory=lambda: F.lit(0))
+    part: Column = field(default_factory=lambda: F.lit(0))
 
 
-def _rows(df: DataFrame, key: str, *sections: Section) -> DataFrame:
-    """One report row per non-null line of every input row, all sections in one pass."""
+def _rows(df: DataFrame, key: str, *sections: Section, parts: bool = False) -> DataFrame:
+    """One report row per non-null line of every input row, all sections in one pass; with ``parts``, items have an order inside."""
     lines = [
         F.struct(
             F.lit(s.no).alias("section_no"),
             F.lit(s.title).alias("section"),
             s.item.cast("bigint").alias("item"),
+            *([s.part.cast("bigint").alias("part")] if parts else []),
             F.lit(i).alias("line_no"),
             text.alias("text"),
         )
@@ -66,16 +69,20 @@ def _bullets(pairs: list[tuple[str, str]]) -> list[Column]:
     ]
 
 
-def _recommendations(recs: DataFrame, no: int) -> DataFrame:
+def _recommendations(recs: DataFrame, no: int, parts: bool = False) -> DataFrame:
     order = F.col("rec_no") * 1_000_000 + F.col("page")
     return _rows(
         recs, "project_id",
-        Section(no, "Recommendations", [F.concat(F.lit("- "), F.col("text"))], order),
+        Section(no, "Recommendations", [F.concat(F.lit("- "), F.col("text"))], order), parts=parts,
     )
 
 
 def vulnerability_report(vulns: DataFrame, report_time: str) -> DataFrame:
-    """Heading, summary, score, recommendations and vulnerabilities by package."""
+    """Heading, summary, score, recommendations, and the vulnerabilities below their packages.
+
+    ``part`` is the order inside an item: below the heading of a package, 0, its vulnerabilities in their order. Title,
+    description and cvss are taken from the columns of these names; without them, the texts that an audit without them gives.
+    """
     scores = security_scores(vuln_summary(vulns))
     score = F.concat(
         F.lit("**"), F.col("score").cast("string"), F.lit("/100** "), score_band(F.col("score"))
@@ -87,32 +94,36 @@ def vulnerability_report(vulns: DataFrame, report_time: str) -> DataFrame:
             ("Total Vulnerabilities", "total"), ("Critical", "critical"), ("High", "high"),
             ("Moderate", "moderate"), ("Low", "low"),
         ])),
-        Section(2, "Security Score", [score]),
+        Section(2, "Security Score", [score]), parts=True,
     )
+    groups = group_by_package(vulns)
     packages = _rows(
-        group_by_package(vulns), "project_id",
+        groups, "project_id",
         Section(
             4, "Vulnerabilities by Package",
             [F.concat(F.lit("### "), F.col("package"), F.lit("@"), F.col("version"))],
             F.col("first_seq"),
         ),
+        parts=True,
     )
-    found = F.concat(
-        F.lit("- **"), F.upper("severity"), F.lit(":** Vulnerability in "), F.col("package")
-    )
+    fixed_in = F.nullif(F.col("fixed_in"), F.lit(""))
+    lines = [
+        F.concat(F.lit("- **"), F.upper("severity"), F.lit(":** "), vulnerability_title(vulns)),
+        F.concat(F.lit("  - "), _given(vulns, "description", F.lit(rules.NO_DESCRIPTION))),
+        F.concat(F.lit("  - **Fixed in:** "), fixed_in),
+    ]
+    if "cvss" in vulns.columns:
+        lines.append(F.concat(F.lit("  - **CVSS:** "), number_text(F.col("cvss.score")), F.lit(" ("), F.col("cvss.vector"), F.lit(")")))
+    placed = vulns.join(groups.select("project_id", "package", "first_seq"), ["project_id", "package"])
     detail = _rows(
-        vulns, "project_id",
-        Section(
-            5, "Vulnerabilities",
-            [
-                found,
-                F.lit(f"  - {rules.NO_DESCRIPTION}"),
-                F.concat(F.lit("  - **Fixed in:** "), F.col("fixed_in")),
-            ],
-            F.col("seq"),
-        ),
+        placed, "project_id",
+        Section(4, "Vulnerabilities by Package", lines, F.col("first_seq"), F.col("seq") + 1), parts=True,
     )
-    return _union([totals, _recommendations(vuln_recommendations(vulns), 3), packages, detail])
+    return _union([totals, _recommendations(vuln_recommendations(vulns), 3, parts=True), packages, detail])
+
+
+def _given(df: DataFrame, name: str, default: Column) -> Column:
+    return F.coalesce(F.nullif(F.col(name), F.lit("")), default) if name in df.columns else default
 
 
 def license_report(licenses: DataFrame, project_license: str, report_time: str) -> DataFrame:

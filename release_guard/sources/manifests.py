@@ -18,9 +18,10 @@ AUDIT_SCHEMA = (
 
 
 def explode_manifest(df: DataFrame, include_dev: bool = False, column: str = "manifest_json") -> DataFrame:
-    """One row per dependency of a manifest; a dev entry replaces a prod entry of its name.
+    """One row per dependency of a manifest, in the order of the file.
 
-    The outer form of ``posexplode`` keeps Spark from reading the JSON twice.
+    A dev entry replaces a prod entry of its name in that entry's place; the other dev entries follow. The outer
+    form of ``posexplode`` keeps Spark from reading the JSON twice.
     """
     rest = [c for c in df.columns if c != column]
     empty = F.create_map().cast("map<string,string>")
@@ -28,16 +29,19 @@ def explode_manifest(df: DataFrame, include_dev: bool = False, column: str = "ma
     prod = F.coalesce("m.dependencies", empty)
     dev = F.coalesce("m.devDependencies", empty) if include_dev else empty
 
-    def entry(scope: str):
-        return lambda name, version: F.struct(
-            name.alias("name"), version.alias("version_range"), F.lit(scope).alias("dep_scope")
-        )
+    def entry(name, version, scope):
+        return F.struct(name.alias("name"), version.alias("version_range"), scope.alias("dep_scope"))
 
-    def listed(mapping, scope: str):
-        return F.transform(F.map_entries(mapping), lambda e: entry(scope)(e["key"], e["value"]))
+    def kept(e):
+        replaced = F.map_contains_key(dev, e["key"])
+        version = F.when(replaced, F.try_element_at(dev, e["key"])).otherwise(e["value"])
+        return entry(e["key"], version, F.when(replaced, "dev").otherwise("prod"))
 
-    prod_only = F.map_filter(prod, lambda k, _: ~F.map_contains_key(dev, k))
-    entries = F.concat(listed(prod_only, "prod"), listed(dev, "dev"))
+    dev_only = F.map_filter(dev, lambda k, _: ~F.map_contains_key(prod, k))
+    entries = F.concat(
+        F.transform(F.map_entries(prod), kept),
+        F.transform(F.map_entries(dev_only), lambda e: entry(e["key"], e["value"], F.lit("dev"))),
+    )
     rows = parsed.select(*rest, F.posexplode_outer(entries).alias("seq", "d"))
     return rows.filter(F.col("d").isNotNull()).select(
         *rest, F.col("seq").cast("bigint").alias("seq"), "d.*"
