@@ -40,6 +40,8 @@ BATCH_CHARS = 1 << 20
 # Candidate values for lambda.
 GRID = [round(0.05 * 1.08**i, 6) for i in range(64)]
 STEP = 0.25
+# Of the passages of a text these count: the best one, and others with a score above this.
+RELEVANT = 2.0
 LOWEST, HIGHEST = -20.0, 60.0
 PASSAGE = "array<struct<start:long,end:long,score:double>>"
 PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -88,6 +90,12 @@ class Calibration:
         return 1 / (1 + exp(-self.intercept - self.slope * found))
 
 
+def relevant(scores: list[float], least: float = RELEVANT) -> list[bool]:
+    """Which passages of a text count."""
+    best = max(scores, default=0.0)
+    return [score > least or score == best for score in scores]
+
+
 def learn_lexicon(
     labelled: DataFrame, text: str = "text", label: str = "toxic", strength: float = 10.0, drift: float = 1.0
 ) -> Lexicon | None:
@@ -209,8 +217,8 @@ def _scanned(df: DataFrame, lexicon: Lexicon | None, text: str, out: dict[str, s
     return df.select(*[f"`{n}`" for n in names], text_or_empty(text).alias("text read")).mapInArrow(scan, schema)
 
 
-def score_passages(df: DataFrame, lexicon: Lexicon | None, text: str = "text", least: float = 0.0) -> DataFrame:
-    """Add n_words and passages: all maximal segments with a score above `least`, as (start, end, score).
+def score_passages(df: DataFrame, lexicon: Lexicon | None, text: str = "text", least: float = RELEVANT) -> DataFrame:
+    """Add n_words and passages: the best maximal segment and all others with a score above `least`, as (start, end, score).
 
     start and end are words, counted from 0, end exclusive; `passage_places` turns them into characters. A null or
     empty text, or one without letters, has 0 words and no passages, as has any text without a lexicon. Columns of these
@@ -218,7 +226,11 @@ def score_passages(df: DataFrame, lexicon: Lexicon | None, text: str = "text", l
     """
 
     def columns(words: list[int], segments: list) -> list[pa.Array]:
-        kept = [[{"start": s, "end": e, "score": v} for s, e, v in own if v > least] for own in segments]
+        counts = [relevant([v for *_, v in own], least) for own in segments]
+        kept = [
+            [{"start": s, "end": e, "score": v} for (s, e, v), counted in zip(own, marks, strict=True) if counted]
+            for own, marks in zip(segments, counts, strict=True)
+        ]
         return [pa.array(words, pa.int64()), pa.array(kept, PASSAGES)]
 
     return _scanned(df, lexicon, text, {"n_words": "long", "passages": PASSAGE}, columns)
@@ -247,9 +259,11 @@ def passage_places(text: str, passages: list[tuple[int, int]]) -> list[tuple[int
 def evidence(words: int, scores: list[float], scale: float, constant: float) -> float:
     """Minus the logarithm of the chance to find passages like these in clean text of so many words.
 
-    The least chance over the r best passages together, for every r, with a factor of 2 for each passage more.
+    The least chance over the r best passages together, for every r, with a factor of 2 for each passage more. Only
+    ``relevant`` passages count.
     """
     space = log(constant * max(words, 1))
+    scores = [score for score, counted in zip(scores, relevant(scores), strict=True) if counted]
     best = total = -space
     for r, score in enumerate(sorted(scores, reverse=True), 1):
         total = scale * score - space if r == 1 else total + scale * score - space
