@@ -30,7 +30,7 @@ LOWER[0x41:0x5B] += 0x20
 # Digits compared before the rest of a word is compared as a whole.
 DIGITS = 5
 # Terms times sources of a block, and sources whose distances one task works out.
-CELLS = 1 << 20
+CELLS = 1 << 18
 ROWS = 512
 ONE = 1_000_000_000
 PRIOR = 5
