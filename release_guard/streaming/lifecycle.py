@@ -5,7 +5,8 @@ finished leaves the store when the watermark passes its end by ``keep``; rows th
 nobody announced wait as long and leave too, so the store holds what is open, not what ever was. Run them in
 output mode ``update``; every micro-batch emits the keys it changed.
 
-Order does not matter: first and last actions are chosen by (ts, seq), not by arrival.
+Order does not matter: first and last actions are chosen by (ts, seq), not by arrival. Of two streams the one
+that lags sets the watermark, so none of its rows is late because the other is ahead.
 """
 
 from __future__ import annotations
