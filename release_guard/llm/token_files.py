@@ -26,6 +26,8 @@ from .tokens import text_ids
 
 # Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
+# Pieces and parts of pieces the encoder remembers here, where a task holds little else.
+REMEMBERED = 1_000_000, 400_000
 RANK_BITS = 512
 
 SEGMENT = pa.schema(
@@ -122,7 +124,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            ids = text_ids(tokenizer, batch.column(2).to_pylist())
+            ids = text_ids(tokenizer, batch.column(2).to_pylist(), *REMEMBERED)
             for doc, tokens in zip(batch.column(1).to_pylist(), ids, strict=True):
                 docs.append(doc)
                 held.append(tokens + end)

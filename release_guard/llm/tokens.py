@@ -52,9 +52,12 @@ class Remembered(dict):
 
 
 class PieceEncoder:
-    """Encodes texts with one tokenizer file; `read` and `join` tell what is kept of a part and of several."""
+    """Encodes texts with one tokenizer file; `read` and `join` tell what is kept of a part and of several.
 
-    def __init__(self, path: str, read: Callable, join: Callable):
+    It remembers `remembered` pieces and `parts` parts of pieces, some 200 bytes each; more of them cost memory and save time.
+    """
+
+    def __init__(self, path: str, read: Callable, join: Callable, remembered: int = REMEMBERED, parts: int = REMEMBERED // 5):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,6 +66,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.read, self.join = read, join
+        self.most, self.most_parts = remembered, parts
         # Of pieces behind the first one of a text, without the space in front; and of parts as they stand.
         self.known = Remembered(self._piece)
         self.parts = Remembered(self._part)
@@ -100,7 +104,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> Iterator[list]:
         """For each text what is kept of its pieces, in order."""
         for text in texts:
-            for table, most in ((self.known, REMEMBERED), (self.parts, REMEMBERED // 5)):
+            for table, most in ((self.known, self.most), (self.parts, self.most_parts)):
                 if len(table) > most:
                     table.clear()
             head, *rest = self.pieces(text)
@@ -118,13 +122,13 @@ def counter(path: str) -> PieceEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path, id_bytes, b"".join)
+def encoder(path: str, remembered: int = REMEMBERED, parts: int = REMEMBERED // 5) -> PieceEncoder:
+    return PieceEncoder(path, id_bytes, b"".join, remembered, parts)
 
 
-def text_ids(path: str, texts: list[str]) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers."""
-    for kept in encoder(path).encode(texts):
+def text_ids(path: str, texts: list[str], *remembered: int) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit numbers; see PieceEncoder for what is remembered."""
+    for kept in encoder(path, *remembered).encode(texts):
         yield b"".join(kept)
 
 
