@@ -38,6 +38,8 @@ from .components import components
 LEAST_BITS = 512
 HOT = 24
 STAR_ROUNDS = 3
+# Members through which a component meets the center of a key in each round.
+STAR_MEMBERS = 2
 BLOCK = 4096
 # Parts in which keys are shuffled.
 KEY_PARTS = 3
@@ -403,11 +405,15 @@ def jaccard_links(
     links = add(shared.where("set_id <> center").select(*_ordered("set_id", "center")).distinct())
     labels = components(links)
     for turn in range(STAR_ROUNDS):
-        # Other centers for the members of hot keys that still belong to several components.
+        # Other centers for the members of hot keys that still belong to several components. A component meets the
+        # center of a key through a few of its members there, so rows are counted by components, not by members.
         members = _unresolved(_with_component(hot_rows, labels))
-        order = F.xxhash64("set_id", F.lit(turn))
-        centers = members.groupBy("key").agg(F.min_by(F.struct("set_id", "component"), order).alias("c"))
-        stars = members.join(centers, "key").where("component <> c.component")
+        orders = [F.xxhash64("set_id", F.lit(turn * STAR_MEMBERS + i)) for i in range(STAR_MEMBERS)]
+        picked = F.array_distinct(F.array(*[F.min_by("set_id", order) for order in orders]))
+        some = members.groupBy("key", "component").agg(picked.alias("some"))
+        some = stored(some.select("key", "component", F.explode("some").alias("set_id")), "star-members")
+        centers = some.groupBy("key").agg(F.min_by(F.struct("set_id", "component"), orders[0]).alias("c"))
+        stars = some.join(centers, "key").where("component <> c.component")
         stars = stored(stars.select(*_ordered("set_id", "c.set_id")).distinct(), "stars")
         if stars.isEmpty():
             break
