@@ -13,12 +13,15 @@ from ..session import scratch_dir, ship_package
 
 # Bytes of an Arrow batch: texts are long, and every task holds several batches at once.
 ARROW_BYTES = 8 << 20
+# Bytes of a Parquet row group: a task that writes holds one in memory.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the jobs of this subpackage need of a session: the package on the workers, small Arrow batches."""
+    """What the jobs of this subpackage need of a session: the package on the workers, small Arrow batches and row groups."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
