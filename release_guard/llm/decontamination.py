@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from .common import row_groups, text_key, text_or_empty
 from .jaccard import MIX, mixed
 
 BITMAP_BITS = 22
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 # Characters of text read together.
 GROUP_CHARS = 2 << 20
 PUNCTUATION = string.punctuation.replace("%", "").replace("$", "") + "«»„“”‘’…–—·¿¡¡，。？！、；：（）「」『』《》〈〉【】〔〕・　"
@@ -62,6 +62,18 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+class Numbers(dict):
+    """Numbers words in the order they are met; `read` is called with each new one."""
+
+    def __init__(self, read: Callable[[str], None]):
+        self.read = read
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.read(word)
+        return number
+
+
 class TemplateWords:
     """What is known of each distinct word: its kind, its code, its plain form, whether it ends a sentence."""
 
@@ -69,8 +81,9 @@ class TemplateWords:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers(self._meet)
         self.plain: list[str] = []
+        self.new: tuple[list[int], list[int], list[bool]] = ([], [], [])
         self.kinds, self.codes, self.ends = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
 
     def _read(self, word: str) -> tuple[int, str, bool]:
@@ -92,17 +105,24 @@ class TemplateWords:
             kind = CAPITAL
         return kind, low, word.rstrip("\"')]}»”’").endswith((".", "!", "?", ":", "。", "！", "？", "："))
 
+    def _meet(self, word: str) -> None:
+        kind, low, end = self._read(word)
+        self.plain.append(low)
+        kinds, codes, ends = self.new
+        kinds.append(kind)
+        codes.append(xxhash.xxh3_64_intdigest(low))
+        ends.append(end)
+
     def ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.forget()
-        missing = list(set(words).difference(self.known))
-        read = [self._read(w) for w in missing]
-        self.known.update(zip(missing, range(len(self.plain), len(self.plain) + len(missing)), strict=True))
-        self.plain += [low for _, low, _ in read]
-        self.kinds = np.concatenate([self.kinds, np.array([k for k, _, _ in read], np.int8)])
-        self.codes = np.concatenate([self.codes, np.array([xxhash.xxh3_64_intdigest(low) for _, low, _ in read], np.uint64)])
-        self.ends = np.concatenate([self.ends, np.array([end for *_, end in read], bool)])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        kinds, codes, ends = self.new
+        self.kinds = np.concatenate([self.kinds, np.array(kinds, np.int8)])
+        self.codes = np.concatenate([self.codes, np.array(codes, np.uint64)])
+        self.ends = np.concatenate([self.ends, np.array(ends, bool)])
+        self.new = ([], [], [])
+        return found
 
 
 class Reading:
