@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -42,13 +43,15 @@ INLINE = frozenset(
 TEXT_BLOCKS = frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption table thead tbody tfoot tr td th caption".split()
 )
-# A start tag closes open elements of these names, up to a container.
+# A start tag closes open elements of these names, and, unless it is inline, paragraphs, up to a container.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"},
     "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th"},
     "option": {"option"},
 }
+CLOSES = {tag: frozenset(ends) | {"p"} for tag, ends in CLOSES.items()}
+P_CLOSED, NOTHING_CLOSED = frozenset({"p"}), frozenset()
 SCOPES = frozenset("html body div section article main aside nav header footer form ul ol dl table td th blockquote".split())
 
 # Priors: what names itself as something other than the article.
@@ -68,9 +71,16 @@ WEAK_WORDS = frozenset(
     "related side header notice notices notification alert search share sharing social reply replies respond recommended "
     "promotion overlay banner widget skip".split()
 )
+# What readers write is never part of the article, however long it is; paragraphs, headings and the like of an article may be about it.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
+# Names of page parts; inside an article they remove what is mostly links or alike on the site.
+FRAME_WORDS = frozenset(
+    "menu nav navbar navigation navi breadcrumb breadcrumbs sidebar aside footer foot masthead topbar toolbar pagination pager".split()
+)
 # What turns a class word into its opposite, as in has-sidebar.
 NEGATED = re.compile(r"(?<![a-z])(?:no|not|non|has|with|without)[-_\s]+[a-z]+")
-NO_WORD, WEAK, STRONG = range(3)
+NO_WORD, WEAK, FRAME, STRONG, COMMENT = range(5)
 # Shares of a page's text: a class word alone removes branches of at most a half in all, a weak one of a quarter
 # each, and links a branch of up to nine tenths of which they are a half.
 MOST_NAMED, MOST_WEAK, MOST_LINKS, LEAST_LINKS = 0.5, 0.25, 0.9, 0.5
@@ -108,7 +118,12 @@ def traits(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
     whole_page = tag in ("html", "body")
     dropped = tag in DROPPED or (not whole_page and (hidden or role in DROPPED_ROLES))
     meant = set(WORD.findall(NEGATED.sub(" ", named))) & DROPPED_WORDS
-    word = NO_WORD if whole_page or main or not meant else WEAK if meant <= WEAK_WORDS else STRONG
+    if whole_page or main or not meant:
+        word = NO_WORD
+    elif meant & COMMENT_WORDS:
+        word = COMMENT
+    else:
+        word = WEAK if meant <= WEAK_WORDS else FRAME if meant <= WEAK_WORDS | FRAME_WORDS else STRONG
     return label, dropped, main and not dropped, word
 
 
@@ -131,10 +146,13 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """Read a page of any quality; nothing in it is an error."""
+    """Read a page of any quality; nothing in it is an error. The time grows with its length, however deep its elements lie."""
     page = Page()
     open_tags: list[str] = []
     open_nodes: list[int] = []
+    # The depths at which each tag is open, and those of containers, ascending; the root, at depth 0, is in neither.
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
     links = 0
 
     def enter(tag: str, attributes: str) -> None:
@@ -142,6 +160,10 @@ def parse(source: str) -> Page:
         label, dropped, main, word = traits(tag, attributes)
         up = open_nodes[-1] if open_nodes else -1
         links += tag == "a"
+        if open_tags:
+            places.setdefault(tag, []).append(len(open_tags))
+            if tag in SCOPES:
+                scopes.append(len(open_tags))
         if tag in INLINE and not dropped and not word:
             open_tags.append(tag)
             open_nodes.append(up)
@@ -175,6 +197,10 @@ def parse(source: str) -> Page:
             tag = open_tags.pop()
             node = open_nodes.pop()
             links -= tag == "a"
+            if open_tags:
+                places[tag].pop()
+                if tag in SCOPES:
+                    scopes.pop()
             if tag not in INLINE:
                 page.pieces.append((node, None))
 
@@ -192,12 +218,10 @@ def parse(source: str) -> Page:
             tag = token[1].lower()
             if tag in ("html", "body"):
                 continue
-            for depth in range(len(open_tags) - 1, 0, -1):
-                if open_tags[depth] == tag:
-                    leave(depth)
-                    break
-                if tag in INLINE and open_tags[depth] in SCOPES:
-                    break
+            own = places.get(tag)
+            # The end of an inline element does not reach out of the container it stands in.
+            if own and not (tag in INLINE and scopes and scopes[-1] > own[-1]):
+                leave(own[-1])
         elif token[2]:
             tag, attributes = token[2].lower(), token[3].strip()
             if tag == "html":
@@ -213,17 +237,18 @@ def parse(source: str) -> Page:
                     page.pieces.append((open_nodes[-1], None))
                 continue
             if tag == "body" or (tag not in INLINE and tag != "head"):
-                if "head" in open_tags:
-                    leave(open_tags.index("head"))
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag not in INLINE else set())
-            cut = None
-            for depth in range(len(open_tags) - 1, 0, -1):
-                if open_tags[depth] in ends:
-                    cut = depth
-                elif open_tags[depth] in SCOPES and open_tags[depth] not in ends:
-                    break
-            if cut is not None:
-                leave(cut)
+                if places.get("head"):
+                    leave(places["head"][0])
+            ends = CLOSES.get(tag, NOTHING_CLOSED if tag in INLINE else P_CLOSED)
+            if ends:
+                # The outermost of the elements that end here, up to the nearest container that does not.
+                if ends.isdisjoint(SCOPES):
+                    wall = scopes[-1] if scopes else 0
+                else:
+                    wall = max((places[s][-1] for s in SCOPES if s not in ends and places.get(s)), default=0)
+                inside = [own[i] for e in ends if (own := places.get(e)) and (i := bisect_right(own, wall)) < len(own)]
+                if inside:
+                    leave(min(inside))
             enter(tag, attributes)
         elif token[0] == "<":
             say("<")
@@ -233,8 +258,9 @@ def parse(source: str) -> Page:
 def named_branches(page: Page, low: Mapping[int, int] | frozenset[int]) -> set[int]:
     """The nodes that go by a word of their class or id and by what they hold.
 
-    They are in `low`, or mostly links, or a small part of the page's text. An article stays, and what holds it; in an
-    article paragraphs and the like go for links or in `low` only, inline elements of them and weak words in `low` only.
+    They are in `low`, or mostly links, or a small part of the page's text; readers' comments go at any length. An article
+    stays, and what holds it; in an article paragraphs and the like, and what is named as a frame or by a weak
+    word, go for links or in `low` only, inline elements of paragraphs in `low` only.
     """
     n = len(page.parent)
     if not any(page.word):
@@ -257,11 +283,13 @@ def named_branches(page: Page, low: Mapping[int, int] | frozenset[int]) -> set[i
             continue
         if page.path[i] in low:
             found.add(i)
+        elif page.word[i] == COMMENT and not (inside and (page.tag[i] in LEAVES or page.tag[i] in INLINE)):
+            found.add(i)
         elif inside and page.tag[i] in INLINE and page.tag[up] in TEXT_BLOCKS:
             continue
         elif links[i] and links[i] >= LEAST_LINKS * chars[i] and chars[i] <= MOST_LINKS * total:
             found.add(i)
-        elif inside and (page.tag[i] in TEXT_BLOCKS or page.word[i] == WEAK):
+        elif inside and (page.tag[i] in TEXT_BLOCKS or page.word[i] in (WEAK, FRAME)):
             continue
         elif chars[i] <= (MOST_WEAK if page.word[i] == WEAK else MOST_NAMED) * total:
             small.add(i)

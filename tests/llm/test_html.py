@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+import time
 
 import pytest
 
 from release_guard.llm import queries
-from release_guard.llm.html_text import extract_text, main_text, page_nodes, parse, style_tree, host
+from release_guard.llm.html_text import CLOSES, INLINE, SCOPES, extract_text, host, main_text, page_nodes, parse, style_tree
 
 PAGES = "page_id long, url string, html string, host string, text string, source string, low int"
 
@@ -41,6 +43,67 @@ def test_pages(source, text):
     assert main_text(parse(source), frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    "source", ["<b>" * 300_000, "<b>" * 150_000 + "</i>" * 150_000, "<head>" + "<span>" * 150_000, "<table><tr><td>" * 60_000, "<ul><li>" * 100_000]
+)
+def test_a_megabyte_of_nested_tags_takes_seconds(source):
+    start = time.process_time()
+    assert main_text(parse(source), frozenset()) == ""
+    assert time.process_time() - start < 15
+
+
+def by_walking(open_tags, tag, start):
+    """What a tag closes, found by walking over the open elements: the depth that stays open, or None."""
+    cut = None
+    ends = ({tag} if not start else CLOSES.get(tag, set() if tag in INLINE else {"p"}))
+    for depth in range(len(open_tags) - 1, 0, -1):
+        if open_tags[depth] in ends:
+            cut = depth
+            if not start:
+                break
+        elif open_tags[depth] in SCOPES and open_tags[depth] not in ends and (start or tag in INLINE):
+            break
+    return cut
+
+
+def test_elements_close_as_by_walking():
+    rng = random.Random(1)
+    names = "div p b i a span ul li dl dt dd table tr td th tbody thead section blockquote option h2".split()
+    for _ in range(3000):
+        tags = [(rng.choice(names), rng.random() < 0.6) for _ in range(rng.randint(1, 25))]
+        open_tags, wanted = ["html"], []
+        for i, (tag, start) in enumerate(tags):
+            cut = by_walking(open_tags, tag, start)
+            open_tags = open_tags if cut is None else open_tags[:cut]
+            open_tags = [*open_tags, tag] if start else open_tags
+            blocks = [t for t in open_tags if t not in INLINE]
+            wanted.append((f"w{i}", blocks))
+        page = parse("".join(f"<{'' if start else '/'}{tag}>w{i}" for i, (tag, start) in enumerate(tags)))
+        found = []
+        for node, text in page.pieces:
+            if text:
+                up, chain = node, []
+                while up >= 0:
+                    chain.append(page.tag[up])
+                    up = page.parent[up]
+                found.append((text, chain[::-1]))
+        assert found == wanted, tags
+
+
+def test_comments_go_at_any_length():
+    long = f"<p>{PROSE}</p>" * 30
+    assert main_text(parse(f"<main><p>{PROSE}</p><div class=comments>{long}</div></main>"), frozenset()) == PROSE
+    assert main_text(parse(f"<article><p>{PROSE}</p><ol class='commentlist'><li>{long}</ol></article>"), frozenset()) == PROSE
+    assert main_text(parse(f"<p>{PROSE}</p><section id=disqus_thread>{long}</section>"), frozenset()) == PROSE
+    # A paragraph of the article that is named by the word stays.
+    assert main_text(parse(f"<article><p>{PROSE}</p><p class=comment>x</p></article>"), frozenset()) == f"{PROSE} x"
+
+
+def test_a_paragraph_of_the_story_in_a_menu_stays():
+    page = f"<article><p>{PROSE}</p><div class=menu><p>part of it</p></div><div class=menu><a>one</a> <a>two</a></div></article>"
+    assert main_text(parse(page), frozenset()) == f"{PROSE} part of it"
+
+
 def test_deep_and_long_pages():
     assert main_text(parse("<div>" * 5000 + "x"), frozenset()) == "x"
     assert len(main_text(parse("<p>word</p>" * 20_000), frozenset())) == 99_999
