@@ -114,8 +114,31 @@ def parts(data: bytes, length: int, size: int) -> Iterator[tuple[int, np.ndarray
         yield start, whole[start : start + size + length - 1]
 
 
+def repeated_here(bucket: np.ndarray, run: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which runs must be compared with other texts, and what the others cover, as (first window, number).
+
+    Of equal runs of a text two are enough to settle all of them, here and elsewhere, so the third and later ones need no
+    comparison. In periodic text, where every window may be a run of its own, nearly all are such, and as
+    they adjoin they make few stretches.
+    """
+    order = np.lexsort((bucket, run))
+    new = np.ones(len(order), bool)
+    new[1:] = (run[order][1:] != run[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    compared = np.ones(len(order), bool)
+    compared[order] = np.arange(len(order)) - start < 2
+    begin, end = first[~compared], first[~compared] + windows[~compared]
+    if not len(begin):
+        return compared, []
+    cut = np.flatnonzero(begin[1:] > end[:-1]) + 1
+    return compared, list(zip(begin[np.append(0, cut)].tolist(), (end[np.append(cut - 1, len(end) - 1)] - begin[np.append(0, cut)]).tolist(), strict=True))
+
+
 def _runs(docs: DataFrame, length: int, gram: int, part_size: int) -> DataFrame:
-    """bucket, run, doc, first window, number of windows and distance of the pick of every run."""
+    """bucket, run, doc, first window, number of windows and distance of the pick of every run.
+
+    A distance of -1 marks a stretch of windows that are repeated within their text, under the bucket of their text.
+    """
     names = ["bucket", "run", "doc", "first", "windows", "lead"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +149,14 @@ def _runs(docs: DataFrame, length: int, gram: int, part_size: int) -> DataFrame:
                 data = text.as_buffer().to_pybytes()
                 for start, part in parts(data, length, part_size):
                     bucket, run, first, windows, lead = Windows(part, length, gram).runs()
-                    where = np.full(len(run), doc), first + start, windows, lead
-                    held.append((bucket.view(np.int64), run.view(np.int64), *where))
-                    size += len(run)
+                    compared, stretches = repeated_here(bucket, run, first, windows)
+                    own = tuple(x[compared] for x in (bucket.view(np.int64), run.view(np.int64), first + start, windows, lead))
+                    held.append((*own[:2], np.full(len(own[0]), doc), *own[2:]))
+                    if stretches:
+                        n = len(stretches)
+                        begin, count = (np.array(x, np.int64) for x in zip(*stretches, strict=True))
+                        held.append((np.full(n, doc), np.zeros(n, np.int64), np.full(n, doc), begin + start, count, np.full(n, -1)))
+                    size += len(own[0])
                 if size > 100_000:
                     yield _batch(names, held)
                     held, size = [], 0
@@ -246,11 +274,13 @@ def without_repeats(
     docs = docs.withColumn("doc", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text"))
     runs = _runs(docs.where(F.octet_length("text") >= length), length, gram, part_size)
 
-    several = runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    several = runs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("lead").alias("least"))
+    several = several.where("n > 1 or least < 0").select("bucket")
     runs = stored(runs.join(several, "bucket"), "runs")
-    settled, opened = _refined(runs, ["bucket"], "run")
+    settled, opened = _refined(runs.where("lead >= 0"), ["bucket"], "run")
     columns = ["doc", "bucket", "first", "windows", "lead"]
-    marked = settled.select(*columns, F.lit(True).alias("settled")).unionByName(
+    settled = settled.select(*columns).unionByName(runs.where("lead < 0").select(*columns))
+    marked = settled.withColumn("settled", F.lit(True)).unionByName(
         opened.select(*columns, F.lit(False).alias("settled"))
     )
     # The runs of one text; their number is bounded by its length.

@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from release_guard.llm import queries, topk
-from release_guard.llm.substrings import PART, without_repeats
+from release_guard.llm.substrings import PART, _runs, without_repeats
 
 
 def best(rows, wanted, k):
@@ -111,6 +112,29 @@ def test_short_strings(frame, length, gram, part):
     compare(frame, rows, length, gram, part)
 
 
+def test_periodic_texts(frame):
+    rng = random.Random(7)
+    line = "".join(rng.choices("abcdefgh ", k=61)) + "\n"
+    long = "".join(rng.choices("xyz", k=300))
+    rows = [
+        (1, "a" * 5000), (2, "a" * 199), (3, "a" * 200), (4, "b" * 201), (5, "ab" * 900 + "x" + "ab" * 400), (6, line * 60), (7, "z" + line * 7 + "z"),
+        (8, long * 5), (9, long[7:] + long[:9]), (10, "c" * 400 + "d" * 400 + "c" * 250), (11, " " * 3000), (12, " " * 210 + "e" + " " * 205), (13, "f" * 260),
+    ]
+    compare(frame, rows, 200, 50)
+    compare(frame, rows, 40, 20, 64)
+    compare(frame, rows[:1], 200, 50)
+
+
+def test_periodic_text_makes_few_rows(spark):
+    for unit in ("a", " ", "ab\n", "a line of a log that comes again and again, without any end\n"):
+        df = spark.range(1).select(F.lit(1).cast("long").alias("doc"), F.repeat(F.lit(unit), 1_000_000 // len(unit)).alias("text"))
+        df = df.select("doc", F.col("text").cast("binary").alias("text"))
+        rows = _runs(df, 200, 50, PART)
+        assert rows.count() <= 4 * (2 * len(unit) + 2)
+        (whole,) = without_repeats(df.select(F.col("doc").alias("doc_id"), F.col("text").cast("string").alias("text"))).collect()
+        assert whole["n_bytes"] == whole["n_removed"] and whole["n_spans"] == 1
+
+
 def test_whole_documents(frame, documents, odd_rows):
     compare(frame, documents + odd_rows, 200, 50)
 
