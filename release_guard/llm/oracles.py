@@ -105,3 +105,36 @@ select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as
 from convs left join counts using (conv)
 join (select *, row_number() over (partition by conv order by cost, audit) as best from ends) using (conv) where best = 1
 """
+
+TOP_K = """
+with vectors as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from vectors q join vectors c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5
+"""
+
+JACCARD_COMPONENTS = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from words
+), shingles as (
+  select doc_id, len(s) as n, unnest(s) as shingle from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached as (
+  select doc_id, doc_id as other from sets union select r.doc_id, l.b from reached r join links l on r.other = l.a
+)
+select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id
+from sets s join (select doc_id, min(other) as component_id from reached group by doc_id) c using (doc_id)
+"""

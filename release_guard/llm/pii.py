@@ -77,6 +77,23 @@ KINDS = [
         "iban", _iban_pattern(), "",
         r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b", 0.9,
     ),
+    # Numbers that are nothing by themselves: only a word nearby lifts them over the least score.
+    Kind(
+        "tel", r"(?<![0-9A-Za-z+.,/-])(?:\([0-9]{2,5}\)[\x20-]?|[0-9]{2,5}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9A-Za-z]|[.,/-][0-9])", "",
+        r"(?i)\b(?:phone|tel|telephone|mobile|cell|call|fax|telefon|handy|telefono|teléfono|appel|téléphone)\b", 0.4,
+    ),
+    Kind(
+        "taxid", r"(?<![0-9A-Za-z.,-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.,-][0-9])", "-",
+        r"(?i)\b(?:ssn|social\x20security|tax|taxpayer|itin|steuer|steuernummer|seguridad\x20social)\b", 0.4,
+    ),
+    Kind(
+        "passport", r"(?<![0-9A-Za-z])[A-Z]{1,2}[0-9]{6,8}(?![0-9A-Za-z])", "",
+        r"(?i)\b(?:passport|reisepass|ausweis|pasaporte|passeport)\b", 0.3,
+    ),
+    Kind(
+        "account", r"(?<![0-9A-Za-z.,+/-])[0-9]{7,12}(?![0-9A-Za-z]|[.,/-][0-9])", "",
+        r"(?i)\b(?:account|acct|bank|konto|kontonummer|cuenta|compte)\b", 0.35,
+    ),
 ]
 BASE = ["email", "ip", "card", "phone"]
 
@@ -119,9 +136,26 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return F.when(F.length(F.regexp_replace(match, " ", "")).between(15, 34), mod97(match)).otherwise(False)
+    if kind == "tel":
+        return F.length(digits).between(7, 13)
+    if kind == "taxid":
+        # No part is all zeros, and some first parts were never given out.
+        return ~F.regexp_like(match, F.lit("^(?:000|666|9[0-8])|-00-|-0000$"))
     return F.lit(True)
 
 
+# The least score of a span of an added kind, and what a word nearby and digits beside a match change.
+LEAST_SCORE, WORD_NEARBY, INSIDE_DIGITS = 0.5, 0.2, 0.3
+
+
+def score_of(kind: Kind, before: Column, after: Column) -> Column:
+    """The kind's prior, more with a word nearby that speaks for it, less inside a longer run of digits."""
+    near = F.regexp_like(F.concat_ws(" ", before, after), F.lit(kind.words))
+    inside = F.regexp_like(before, F.lit("[0-9]$")) | F.regexp_like(after, F.lit("^[0-9]"))
+    score = F.lit(kind.prior) + F.when(near, WORD_NEARBY).otherwise(0.0) - F.when(inside, INSIDE_DIGITS).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
+
+
 def _matches(kind: Kind, text: Column) -> Column:
     """The matches of a kind's pattern in a text."""
     any_at_all = F.contains(text, F.lit(kind.needs)) if kind.needs else F.regexp_like(text, F.lit("[0-9][ -]?[0-9]"))
@@ -171,23 +205,19 @@ def proposals(docs: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.col("end") - F.length("match")).drop("at", "gap")
 
 
-def spans(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def spans(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """doc_id, text_key, kind, start, end, match and score of all confirmed spans.
 
-    The score is the kind's prior, plus 0.2 with a word nearby that speaks for it, minus
-    0.3 for a match inside a longer run of digits. Spans of the added kinds need `least_score`; base kinds always stay.
+    The score is that of `score_of`. Spans of the added kinds need `least_score`, which numbers that are nothing by themselves
+    reach only with a word nearby; base kinds always stay. Spans of different kinds may overlap.
     """
     rows = proposals(docs)
-    nearby = F.concat_ws(" ", "before", "after")
-    good, prior, helped = F.lit(False), F.lit(0.0), F.lit(False)
+    good, score = F.lit(False), F.lit(0.0)
     for kind in KINDS:
         own = F.col("kind") == kind.name
         good = F.when(own, confirmed(kind.name, F.col("match"))).otherwise(good)
-        prior = F.when(own, F.lit(kind.prior)).otherwise(prior)
-        helped = F.when(own, F.regexp_like(nearby, F.lit(kind.words))).otherwise(helped)
-    inside = F.regexp_like("before", F.lit("[0-9]$")) | F.regexp_like("after", F.lit("^[0-9]"))
-    score = prior + F.when(helped, 0.2).otherwise(0.0) - F.when(inside, 0.3).otherwise(0.0)
-    rows = rows.where(good).withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2))
+        score = F.when(own, score_of(kind, F.col("before"), F.col("after"))).otherwise(score)
+    rows = rows.where(good).withColumn("score", score)
     rows = rows.where(F.col("kind").isin(BASE) | (F.col("score") >= least_score))
     return rows.select("doc_id", "text_key", "kind", "start", "end", "match", "score")
 
@@ -219,20 +249,35 @@ def find_personal_data(df: DataFrame, id_column: str = "doc_id", text: str = "te
     )
 
 
-def _placeholder(kind: str, match: Column) -> Column:
-    return F.when(confirmed(kind, match), f"[{kind.upper()}]").otherwise(match)
+def _placeholder(kind: Kind, least_score: float, match: Column, before: Column, after: Column) -> Column:
+    sure = confirmed(kind.name, match)
+    if kind.name not in BASE:
+        sure = sure & (score_of(kind, F.right(before, F.lit(NEARBY)), F.left(after, F.lit(NEARBY))) >= least_score)
+    return F.when(sure, f"[{kind.name.upper()}]").otherwise(match)
+
+
+def _shown(kind: Kind, least_score: float, sides: Column, match: Column) -> Column:
+    """A gap and what stands for the match behind it; the last gap has none."""
+    after = F.coalesce(sides["after"], F.lit(""))
+    shown = F.when(match.isNotNull(), _placeholder(kind, least_score, match, sides["before"], after)).otherwise("")
+    return F.concat(sides["before"], shown)
 
 
-def redacted(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with every confirmed match replaced by a placeholder such as [EMAIL], kind after kind.
+def redacted(df: DataFrame, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows with every span replaced by a placeholder such as [EMAIL], kind after kind.
 
-    A later kind is searched in what earlier ones left, so overlapping matches are
-    replaced once. Added kinds are replaced first, as they are longer. Null texts stay null. No shuffle.
+    A later kind is searched in what earlier ones left, so overlapping matches are replaced once. Account numbers with
+    a country come first, as they are longer, then the base kinds, then those that need a word nearby.
+    Null texts stay null. No shuffle.
     """
-    for kind in [*[k for k in KINDS if k.name not in BASE], *[k for k in KINDS if k.name in BASE]]:
+    ibans = [k for k in KINDS if k.name == "iban"]
+    base = [k for k in KINDS if k.name in BASE]
+    for kind in [*ibans, *base, *[k for k in KINDS if k not in ibans and k not in base]]:
         own = F.col(text)
         matches, gaps = _matches(kind, F.coalesce(own, F.lit(""))), F.split(own, kind.pattern, -1)
-        shown = F.transform(matches, partial(_placeholder, kind.name))
-        whole = F.array_join(F.zip_with(gaps, shown, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+        sides = F.arrays_zip(gaps.alias("before"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
+        whole = F.array_join(
+            F.zip_with(sides, matches, partial(_shown, kind, least_score)), ""
+        )
         df = df.withColumn(text, F.when(F.size(matches) > 0, whole).otherwise(own))
     return df

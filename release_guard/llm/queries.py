@@ -107,6 +107,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(counted, BASE),
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
 
 
@@ -159,6 +160,8 @@ QUERIES = {
 
 # The others need tokenizers, learned models or byte strings, or are too slow in SQL over whole tables.
 ORACLES = {
+    "op3_threshold_top_k": oracles.TOP_K,
+    "op9_parity_sketch_join": oracles.JACCARD_COMPONENTS,
     "op12_source_divergence": oracles.SOURCE_DIVERGENCE,
     "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }

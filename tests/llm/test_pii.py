@@ -76,6 +76,27 @@ def test_added_kinds_and_scores(frame):
     assert found["card", "4111 1111 1111 1111"] == 0.9
 
 
+CONTEXT = {
+    1: ("call me by phone 030 1234 5678 today", "call me by phone [TEL] today", "tel"), 2: ("order 030 1234 5678 today", None, None),
+    3: ("her SSN is 123-45-6789.", "her SSN is [TAXID].", "taxid"), 4: ("part 123-45-6789 fits", None, None), 5: ("SSN 000-45-6789 or 123-00-6789", None, None),
+    6: ("Reisepass C12345678 verloren", "Reisepass [PASSPORT] verloren", "passport"), 7: ("model C12345678", None, None),
+    8: ("konto 1234567890 bei der Bank", "konto [ACCOUNT] bei der Bank", "account"), 9: ("1234567890 people", None, None),
+    10: ("tel (555) 555-8013, room 12", "tel [TEL], room 12", "tel"), 11: ("account 12345678901234 is long", None, None),
+    12: ("phone" + " " * 60 + "030 1234 5678", None, None), 13: ("account 1234567.50 or 2024-01-02", None, None),
+}
+
+
+def test_numbers_that_need_a_word_nearby(frame):
+    table = frame([(i, text) for i, (text, _, _) in CONTEXT.items()])
+    shown = {r["doc_id"]: r["text"] for r in redacted(table).collect()}
+    assert shown == {i: text if wanted is None else wanted for i, (text, wanted, _) in CONTEXT.items()}
+    found = spans(_prepared(table, "doc_id", "text")).collect()
+    assert {(r["doc_id"], r["kind"]) for r in found} == {(i, kind) for i, (_, _, kind) in CONTEXT.items() if kind}
+    # With a lower limit they all come out, with the score that says why they did not.
+    loose = {(r["doc_id"], r["kind"]): r["score"] for r in spans(_prepared(table, "doc_id", "text"), least_score=0.0).collect()}
+    assert loose[2, "tel"] == 0.4 and loose[4, "taxid"] == 0.4 and loose[1, "tel"] == 0.6 and loose[9, "account"] == 0.35
+
+
 def test_redacted(frame):
     rows = [(1, "write a@b.co or 1.2.3.4, IBAN GB82WEST12345698765432."), (2, None), (3, "999.1.1.1 stays"), (4, ""), (1, "+49 30 1234567")]
     found = redacted(frame(rows)).collect()
