@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import ship_package, stored
 
 
 def running(
@@ -84,6 +84,7 @@ def running(
         if last_key is not None:
             yield mark("last", last_key, carried, seen)
 
+    ship_package(df.sparkSession)
     placed = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
     gone = stored(placed.mapInArrow(go, schema), "pieces")
     earlier = Window.partitionBy(*key).orderBy("piece", "mark").rowsBetween(Window.unboundedPreceding, -1)

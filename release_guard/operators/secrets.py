@@ -15,7 +15,7 @@ from ..functions.prefilter import may_match, portable
 from ..functions.scoring import diff_risk, severity_rank
 from ..functions.text import located_matches, located_matches_sql, matches_any_glob
 from ..rules import SecretPattern
-from ..session import small_table
+from ..session import ship_package, small_table
 from .pieces import running
 
 DIFF_KEY = ["file", "line", "column", "pattern_name"]
@@ -119,6 +119,7 @@ def _find(lines: DataFrame, matcher: Matcher) -> DataFrame:
 
     The column ``text`` gives way to the hit with an excerpt of the line around it.
     """
+    ship_package(lines.sparkSession)
     rest = [c for c in lines.columns if c not in ("text", *HIT_NAMES)]
     located = located_elsewhere(matcher.patterns)
     more = [] if located is None else [located.alias("located")]
@@ -252,6 +253,7 @@ def scan_with_sets(
     lines. Rows with null or no patterns are searched for tokens alone. Regexes that
     only the JVM can read, such as those with look-around, are located there.
     """
+    ship_package(files.sparkSession)
     listed = files.withColumn("patterns", F.coalesce("patterns", as_set([])))
     gated = listed.filter(_may_hold(F.make_valid_utf8("content"), F.col("patterns"), tokens))
     lines = split_lines(gated.withColumn("slow", _slow_patterns(F.col("patterns"))))

@@ -14,7 +14,7 @@ from .. import rules
 from ..functions.matching import Matcher
 from ..functions.text import matches_any_glob
 from ..operators.secrets import scanned_files
-from ..session import stored
+from ..session import ship_package, stored
 
 
 def read_files(
@@ -130,6 +130,7 @@ def _counted(lines: DataFrame, matcher: Matcher | None) -> DataFrame:
         if key is not None:
             yield marker(*key, rows, octets)
 
+    ship_package(lines.sparkSession)
     schema = "file string, size long, block long, row long, text string, lines long, octets long"
     return lines.mapInArrow(count, schema)
 

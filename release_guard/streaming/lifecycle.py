@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.deployments import strategy_table, validate_requests
+from ..session import ship_package
 
 # How long a finished key, or an action without its subject, is kept, in milliseconds of event time.
 KEEP_MS = 24 * 3600 * 1000
@@ -277,6 +278,7 @@ def _instant(column: str) -> Column:
 
 
 def _run(rows: DataFrame, key: str, processor: _Lifecycle, schema: str) -> DataFrame:
+    ship_package(rows.sparkSession)
     return rows.groupBy(key).transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode="update", timeMode="eventTime"
     )
