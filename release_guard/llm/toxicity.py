@@ -57,7 +57,7 @@ def buckets(word: str) -> list[int]:
 
 @dataclass
 class Lexicon:
-    """Score of each bucket's words; `rates` holds toxic and all documents per bucket."""
+    """Toxic and all documents per bucket, the share of toxic words, and how they become the score of a word."""
 
     toxic: np.ndarray
     total: np.ndarray
