@@ -12,9 +12,9 @@ from ..session import scratch_dir, ship_package
 
 
 # Bytes of an Arrow batch: texts are long, and every task holds several batches at once.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 # Bytes of a Parquet row group: a task that writes holds one in memory.
-ROW_GROUP_BYTES = 16 << 20
+ROW_GROUP_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
