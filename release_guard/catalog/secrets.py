@@ -89,7 +89,7 @@ QUERIES = {
         3.9,
     ).drop("pattern_entropy"),
     "shannon_entropy": pattern_entropy,
-    "secret_scan": lambda sp, sf: secret_scan(_inputs(sp, sf), allowed=_allowed(sp, sf)),
+    "secret_scan": lambda sp, sf: secret_scan(_inputs(sp, sf), allowed=_allowed(sp, sf), whole_lines=True),
     "scan_documents": lambda sp, sf: secret_scan(_files(sp, sf).select("file", "content")),
     "apply_allowlist": lambda sp, sf: s.apply_allowlist(scan_planted(sp, sf), _allowed(sp, sf)),
     "clean_files": lambda sp, sf: s.clean_files(
@@ -159,21 +159,22 @@ def named_sql(lines: str, patterns=tuple(rules.DEFAULT_PATTERNS)) -> str:
 ENTROPY = "round(list_entropy(string_split(value, '')), 6)"
 CONTEXT = f"""substr(text, greatest("column" - {rules.CONTEXT_BEFORE}, 1),
  least("column" - 1, {rules.CONTEXT_BEFORE}) + {rules.CONTEXT_AFTER}) as context"""
+WHOLE_LINE = "text as context"
 
 
-def scan_sql(source: str, name: str) -> str:
+def scan_sql(source: str, name: str, context: str = CONTEXT) -> str:
     """CTEs that end in ``name``: the findings of a whole scan over a file table."""
-    return f"{lines_sql(source, name + '_lines')},\n{found_sql(name, named_sql(name + '_lines'))}"
+    return f"{lines_sql(source, name + '_lines')},\n{found_sql(name, named_sql(name + '_lines'), context=context)}"
 
 
-def found_sql(name: str, named: str, key: str = "file") -> str:
+def found_sql(name: str, named: str, key: str = "file", context: str = CONTEXT) -> str:
     """CTEs that end in ``name``: the findings in ``<name>_lines`` of the hits ``named`` and of tokens."""
     token = hits_sql(f"{name}_lines", rules.TOKEN_REGEX, rules.TOKEN_PATTERN_NAME, rules.TOKEN_SEVERITY, None)
     return f"""{name}_named as ({named}),
 {name}_tokens as (select t.* from ({token}) t where not exists (
  select 1 from {name}_named n where n.{key} = t.{key} and n.line = t.line
  and n."column" < t."column" + length(t.value) and t."column" < n."column" + length(n.value))),
-{name} as (select * exclude (pattern_entropy, text), {CONTEXT} from (
+{name} as (select * exclude (pattern_entropy, text), {context} from (
  select *, {ENTROPY} as entropy from (select * from {name}_named union all by name select * from {name}_tokens))
  where entropy >= coalesce(pattern_entropy, {rules.ENTROPY_THRESHOLD}))"""
 
@@ -224,7 +225,7 @@ ORACLES = {
  where entropy >= 3.9""",
     "shannon_entropy": f"""{with_views('fx_planted')}
  select file, round(list_entropy(string_split(content, '')), 6) as entropy from fx_planted""",
-    "secret_scan": f"""{ALL}, {scan_sql('inputs', 'all_found')}, {scan_sql('fx_planted', 'found')}, {ALLOWED}
+    "secret_scan": f"""{ALL}, {scan_sql('inputs', 'all_found', WHOLE_LINE)}, {scan_sql('fx_planted', 'found')}, {ALLOWED}
  select * from all_found where value not in (select value from allowed)""",
     "scan_documents": f"""{with_views('fx_files')}, {scan_sql('(select file, content from fx_files)', 'found')}
  select * from found""",

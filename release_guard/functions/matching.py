@@ -1,8 +1,8 @@
 """All hits of many regexes in lines of any length, in Arrow batches.
 
 A line is read once per regex and its hits are found in order, so time and memory grow with the line alone: no array
-of hits is built per line, and a hit carries an excerpt instead of the line. Only regexes whose syntax
-all engines read alike come here (``portable``); hits of others are located in the JVM and passed in.
+of hits is built per line, and a hit carries an excerpt of the line or, where asked, the line, in batches of a few MB. Only regexes
+whose syntax all engines read alike come here (``portable``); hits of others are located in the JVM and passed in.
 """
 
 from __future__ import annotations
@@ -62,13 +62,15 @@ def entropy_of(value: str) -> float:
 class Matcher:
     """The patterns of one scan; ``tokens`` also looks for long tokens that no named hit overlaps.
 
-    Hits below their own limit, or else ``threshold``, are left out if a threshold is given.
+    Hits below their own limit, or else ``threshold``, are left out if a threshold is given. ``whole_lines`` gives the
+    line itself as the context of a hit.
     """
 
     patterns: tuple[SecretPattern, ...]
     named: bool = True
     tokens: bool = False
     threshold: float | None = None
+    whole_lines: bool = False
     regexes: list[re.Pattern[str] | None] = field(init=False)
     gate: str | None = field(init=False)
 
@@ -119,7 +121,7 @@ class Matcher:
         entropy = entropy_of(value)
         limit = pattern.entropy if pattern.entropy is not None else self.threshold
         if self.threshold is None or entropy >= limit:
-            context = text[max(0, start - rules.CONTEXT_BEFORE) : start + rules.CONTEXT_AFTER]
+            context = text if self.whole_lines else text[max(0, start - rules.CONTEXT_BEFORE) : start + rules.CONTEXT_AFTER]
             yield start + 1, value, pattern.name, pattern.severity, pattern.entropy, entropy, context
 
 

@@ -117,7 +117,7 @@ def located_elsewhere(patterns: Sequence[SecretPattern]) -> Column | None:
 def _find(lines: DataFrame, matcher: Matcher) -> DataFrame:
     """One row per hit of the lines, narrow: a first test of whole batches, then the lines that pass it.
 
-    The column ``text`` gives way to the hit with an excerpt of the line around it.
+    The column ``text`` gives way to the hit with an excerpt of the line around it, or with the line, as the matcher says.
     """
     ship_package(lines.sparkSession)
     rest = [c for c in lines.columns if c not in ("text", *HIT_NAMES)]
@@ -133,10 +133,10 @@ def _find(lines: DataFrame, matcher: Matcher) -> DataFrame:
 
 
 def match_patterns(
-    lines: DataFrame, patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS)
+    lines: DataFrame, patterns: Sequence[SecretPattern] = tuple(rules.DEFAULT_PATTERNS), whole_lines: bool = False
 ) -> DataFrame:
     """Findings of the named patterns; most lines fail the first test."""
-    return _find(lines, Matcher(tuple(patterns)))
+    return _find(lines, Matcher(tuple(patterns), whole_lines=whole_lines))
 
 
 def high_entropy_tokens(
@@ -149,10 +149,11 @@ def high_entropy_tokens(
 
 
 def all_hits(
-    lines: DataFrame, patterns: Sequence[SecretPattern], threshold: float = rules.ENTROPY_THRESHOLD
-) -> DataFrame:
+    lines: DataFrame, patterns: Sequence[SecretPattern], threshold: float = rules.ENTROPY_THRESHOLD,
+    whole_lines: bool = False,
+) -> DataFrame:
     """Hits of named patterns and long tokens in one pass over the lines, without those of too low entropy."""
-    return _find(lines, Matcher(tuple(patterns), tokens=True, threshold=threshold))
+    return _find(lines, Matcher(tuple(patterns), tokens=True, threshold=threshold, whole_lines=whole_lines))
 
 
 PATTERN_FIELDS = ["name", "regex", "severity", "entropy"]

@@ -23,8 +23,9 @@ def secret_scan(
     threshold: float = rules.ENTROPY_THRESHOLD,
     pre_scan: Hook | None = None,
     post_scan: Hook | None = None,
+    whole_lines: bool = False,
 ) -> DataFrame:
-    """Findings of a scan over ``files(file, content, ...)``.
+    """Findings of a scan over ``files(file, content, ...)``; their context is an excerpt or, with ``whole_lines``, the line.
 
     Files that can match nothing are dropped before they are cut into lines. All
     steps are narrow; only a large allow list can bring a shuffle, and then of
@@ -33,7 +34,7 @@ def secret_scan(
     if pre_scan is not None:
         files = files.transform(pre_scan)
     lines = s.split_lines(s.suspect_files(files, patterns))
-    findings = s.all_hits(lines, patterns, threshold).drop("pattern_entropy")
+    findings = s.all_hits(lines, patterns, threshold, whole_lines).drop("pattern_entropy")
     if allowed is not None:
         findings = s.apply_allowlist(findings, allowed)
     if post_scan is not None:

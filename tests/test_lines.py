@@ -191,3 +191,26 @@ def test_every_project_has_its_own_patterns(spark, rows):
     assert {r["pattern_name"] for r in found} >= {"one", "two", "odd", "AWS Access Key", rules.TOKEN_PATTERN_NAME}
     none = project_scan(files, rows(PATTERN_ROWS), default=[])
     assert {r["pattern_name"] for r in none.collect()} == {rules.TOKEN_PATTERN_NAME}
+
+
+def test_whole_lines_as_context(rows):
+    """The context is the line however long it is and wherever the hit, also of a line with many hits."""
+    line = "p" * 700 + f' {KEY} mail me@example.org ' + "q" * 900 + f' token = "abcdefgh12"'
+    files = rows("project_id long, file string, content string", (1, "a.txt", f"first\n{line}\r\nlast"), (2, "b.txt", "nothing"))
+    found = secret_scan(files, whole_lines=True).collect()
+    assert len(found) >= 2 and {r["context"] for r in found} == {line} and {r["line"] for r in found} == {2}
+    short = secret_scan(files).drop("context").collect()
+    assert sorted(secret_scan(files, whole_lines=True).drop("context").collect()) == sorted(short)
+    mail = [SecretPattern("E-mail", r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[a-z]{2,}", "low", "", 2.0)]
+    assert [r["context"] for r in s.match_patterns(s.split_lines(files), mail, whole_lines=True).collect()] == [line]
+
+
+def test_registered_scans_give_whole_lines(spark, tmp_path):
+    from release_guard.catalog import secrets as queries
+
+    line = "w" * 500 + f" {KEY} to 10.20.30.40 " + "v" * 800
+    spark.createDataFrame([(1, line, "src1", len(line))], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", line)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("secret_scan",):
+        found = queries.QUERIES[name](spark, str(tmp_path)).select("context").distinct().collect()
+        assert line in {r["context"] for r in found}, name
