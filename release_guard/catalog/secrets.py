@@ -90,7 +90,7 @@ QUERIES = {
     ).drop("pattern_entropy"),
     "shannon_entropy": pattern_entropy,
     "secret_scan": lambda sp, sf: secret_scan(_inputs(sp, sf), allowed=_allowed(sp, sf), whole_lines=True),
-    "scan_documents": lambda sp, sf: secret_scan(_files(sp, sf).select("file", "content")),
+    "scan_documents": lambda sp, sf: secret_scan(_files(sp, sf).select("file", "content"), whole_lines=True),
     "apply_allowlist": lambda sp, sf: s.apply_allowlist(scan_planted(sp, sf), _allowed(sp, sf)),
     "clean_files": lambda sp, sf: s.clean_files(
         _inputs(sp, sf), scan_inputs(sp, sf)
@@ -227,7 +227,7 @@ ORACLES = {
  select file, round(list_entropy(string_split(content, '')), 6) as entropy from fx_planted""",
     "secret_scan": f"""{ALL}, {scan_sql('inputs', 'all_found', WHOLE_LINE)}, {scan_sql('fx_planted', 'found')}, {ALLOWED}
  select * from all_found where value not in (select value from allowed)""",
-    "scan_documents": f"""{with_views('fx_files')}, {scan_sql('(select file, content from fx_files)', 'found')}
+    "scan_documents": f"""{with_views('fx_files')}, {scan_sql('(select file, content from fx_files)', 'found', WHOLE_LINE)}
  select * from found""",
     "apply_allowlist": f"{PLANTED}, {ALLOWED} select * from found where value not in (select value from allowed)",
     "clean_files": f"""{FOUND_ALL} select project_id, file from inputs
