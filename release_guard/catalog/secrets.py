@@ -100,7 +100,7 @@ QUERIES = {
         "severity", "file", "line", "column", "pattern_name"
     ),
     "user_patterns": lambda sp, sf: s.match_patterns(
-        s.split_lines(_files(sp, sf).select("file", "content")), CUSTOM
+        s.split_lines(_files(sp, sf).select("file", "content")), CUSTOM, whole_lines=True
     ),
     "all_patterns": lambda sp, sf: s.match_patterns(
         s.split_lines(_inputs(sp, sf)), s.all_patterns(rules.DEFAULT_PATTERNS, CUSTOM)
@@ -236,7 +236,7 @@ ORACLES = {
  from found group by severity""",
     "severity_members": f"""{FOUND_ALL} select severity, file, line, "column", pattern_name from found""",
     "user_patterns": f"""{with_views('fx_files')}, {lines_sql('(select file, content from fx_files)', 'l')},
- h as ({named_sql('l', CUSTOM)}) select * exclude (text), {CONTEXT}, {ENTROPY} as entropy from h""",
+ h as ({named_sql('l', CUSTOM)}) select * exclude (text), {WHOLE_LINE}, {ENTROPY} as entropy from h""",
     "all_patterns": f"""{ALL}, {lines_sql('inputs', 'l')},
  h as ({named_sql('l', [*rules.DEFAULT_PATTERNS, *CUSTOM])})
  select pattern_name, count(*) as findings, count(distinct value) as distinct_values from h group by pattern_name""",

@@ -211,6 +211,6 @@ def test_registered_scans_give_whole_lines(spark, tmp_path):
     line = "w" * 500 + f" {KEY} to 10.20.30.40 " + "v" * 800
     spark.createDataFrame([(1, line, "src1", len(line))], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 0, "user", line)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    for name in ("secret_scan", "scan_documents"):
+    for name in ("secret_scan", "scan_documents", "user_patterns"):
         found = queries.QUERIES[name](spark, str(tmp_path)).select("context").distinct().collect()
         assert line in {r["context"] for r in found}, name
