@@ -12,6 +12,7 @@ that lags sets the watermark, so none of its rows is late because the other is a
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -24,6 +25,8 @@ from ..session import ship_package
 
 # How long a finished key, or an action without its subject, is kept, in milliseconds of event time.
 KEEP_MS = 24 * 3600 * 1000
+# Into how many buckets the keys of a stream fall; a checkpoint is tied to it.
+BUCKETS = 1 << 14
 EPOCH = dt.datetime(1970, 1, 1)
 
 
@@ -33,43 +36,69 @@ def _millis(at: dt.datetime) -> int:
 
 
 class _Lifecycle(StatefulProcessor):
-    """One record per key; subclasses fold rows into it and say what it shows and when it ends."""
+    """One record per key; subclasses fold rows into it and say what it shows and when it ends.
+
+    A call to the store takes a millisecond or more, so the records of a bucket of keys are one value of it with one timer, and
+    the calls grow with the buckets, not with the keys. A batch writes the buckets it touches.
+    """
 
     SCHEMA = ""
     SHOWN: list[str] = []
 
-    def __init__(self, keep_ms: int) -> None:
-        self.keep_ms = keep_ms
+    def __init__(self, keep_ms: int, key: str) -> None:
+        self.keep_ms, self.key = keep_ms, key
         self.names = [part.split()[0] for part in self.SCHEMA.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.record = handle.getValueState("record", f"{self.SCHEMA}, timer long")
+        self.bucket = handle.getValueState("bucket", "records binary, timer long")
+
+    def _held(self) -> tuple[dict[Any, tuple], int | None]:
+        """The records of the bucket by key, each with its own time to leave at the end, and the bucket's timer."""
+        held = self.bucket.get()
+        return ({}, None) if held is None else (pickle.loads(bytes(held[0])), held[1])
+
+    def _keep(self, records: dict[Any, tuple], timer: int | None) -> None:
+        """Store the records; the bucket's timer is that of the record that leaves first."""
+        first = min((r[-1] for r in records.values() if r[-1] is not None), default=None)
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if records:
+            self.bucket.update((pickle.dumps(records, 5), first))
+        else:
+            self.bucket.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.record.get()
-        state = dict(zip(self.names, held, strict=False)) if held is not None else self.empty()
-        timer = held[len(self.names)] if held is not None else None
+        records, timer = self._held()
+        touched: dict[Any, dict[str, Any]] = {}
         for row in rows:
-            self.fold(state, row)
-        end = self.end(state)
-        wanted = None if end is None else end + self.keep_ms
-        if wanted is not None:
+            one = row[self.key]
+            if one not in touched:
+                held = records.get(one)
+                touched[one] = self.empty() if held is None else dict(zip(self.names, held, strict=False))
+            self.fold(touched[one], row)
+        passed = timerValues.getCurrentWatermarkInMs()
+        for one, state in touched.items():
+            end = self.end(state)
             # What the watermark has passed already leaves with the next batch.
-            wanted = max(wanted, timerValues.getCurrentWatermarkInMs() + 1)
-        if timer != wanted:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            if wanted is not None:
-                self.handle.registerTimer(wanted)
-        self.record.update((*[state[n] for n in self.names], wanted))
-        yield from self._rows(self.show(key, state))
+            wanted = None if end is None else max(end + self.keep_ms, passed + 1)
+            records[one] = (*[state[n] for n in self.names], wanted)
+        self._keep(records, timer)
+        for one, state in touched.items():
+            yield from self._rows(self.show((one,), state))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self.record.get()
-        self.record.clear()
-        if held is not None:
-            yield from self._rows(self.leave(key, dict(zip(self.names, held, strict=False))))
+        records, _ = self._held()
+        passed = timerValues.getCurrentWatermarkInMs()
+        gone = [one for one, record in records.items() if record[-1] is not None and record[-1] <= passed]
+        left = [(one, dict(zip(self.names, records.pop(one), strict=False))) for one in gone]
+        # Spark takes the expired timer away by itself.
+        self._keep(records, None)
+        for one, state in left:
+            yield from self._rows(self.leave((one,), state))
 
     def _rows(self, shown: tuple | None) -> Iterator[Row]:
         if shown is not None:
@@ -179,7 +208,7 @@ def deployment_lifecycle(
     )
     both = asked.withWatermark("ts", delay).union(done.withWatermark("ts", delay))
     key = requests.schema["deployment_id"].dataType.simpleString()
-    return _run(both, "deployment_id", _Deployment(keep_ms),
+    return _run(both, "deployment_id", _Deployment(keep_ms, "deployment_id"),
                 f"deployment_id {key}, environment string, open_approvals long, status string, error string")
 
 
@@ -227,7 +256,7 @@ def alert_lifecycle(
     done = actions.select("alert_id", "action", "actor", _instant("ts"), F.col("seq").cast("long").alias("seq"))
     both = raised.withWatermark("ts", delay).union(done.withWatermark("ts", delay))
     key = alerts.schema["alert_id"].dataType.simpleString()
-    states = _run(both, "alert_id", _Alert(keep_ms),
+    states = _run(both, "alert_id", _Alert(keep_ms, "alert_id"),
                   f"alert_id {key}, acknowledged boolean, acknowledged_by string, at long, resolved boolean, done long")
     return states.select(
         "alert_id", "acknowledged", "acknowledged_by", F.timestamp_micros("at").alias("acknowledged_at"),
@@ -268,7 +297,7 @@ def audit_cache(snapshots: DataFrame, ttl_seconds: int, delay: str = "0 seconds"
     """
     read = snapshots.select("cache_key", F.col("snapshot_id").cast("long").alias("snapshot_id"), _instant("fetched_at"))
     key = snapshots.schema["cache_key"].dataType.simpleString()
-    states = _run(read.withWatermark("fetched_at", delay), "cache_key", _CachedAudit(ttl_seconds * 1000),
+    states = _run(read.withWatermark("fetched_at", delay), "cache_key", _CachedAudit(ttl_seconds * 1000, "cache_key"),
                   f"cache_key {key}, snapshot_id long, at long, valid boolean")
     return states.select("cache_key", "snapshot_id", F.timestamp_micros("at").alias("fetched_at"), "valid")
 
@@ -279,6 +308,7 @@ def _instant(column: str) -> Column:
 
 def _run(rows: DataFrame, key: str, processor: _Lifecycle, schema: str) -> DataFrame:
     ship_package(rows.sparkSession)
-    return rows.groupBy(key).transformWithState(
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return bucketed.groupBy("bucket").transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode="update", timeMode="eventTime"
     )

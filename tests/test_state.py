@@ -162,3 +162,59 @@ def test_notifications_hold_the_whole_alert(rows):
     alert = json.loads(events.first()["data"])["alert"]
     assert alert == {"id": 7, "timestamp": "2024-01-01T00:00:00.000Z", "resolved": False, "acknowledged": False, "source": "h1",
                      "severity": "warning", "type": "cpu_high", "message": "CPU usage is high: 99.5%", "value": 99.5, "threshold": 80.0}
+
+
+class CountedStore:
+    """A store of one bucket that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def second(n):
+    return DAY + dt.timedelta(seconds=n)
+
+
+def test_store_calls_of_deployments_grow_with_buckets(spark):
+    store, life = CountedStore(), lifecycle._Deployment(1000, "deployment_id")
+    life.init(store)
+    ask = {"action": "request", "seq": 0, "approver": None, "environment": "qa", "error": None, "required": []}
+    shown = list(life.handleInputRows((0,), iter([{**ask, "deployment_id": i, "ts": second(i)} for i in range(500)]), Watermark(0)))
+    assert [r[0] for r in shown] == list(range(500)) and {r[3] for r in shown} == {"approved"} and store.calls <= 4
+    late = {**ask, "action": "reject", "deployment_id": 499, "ts": second(600), "approver": "x"}
+    assert [tuple(r)[3] for r in life.handleInputRows((0,), iter([late]), Watermark(0))] == ["cancelled"]
+    # All but the one that went on leave together, and the timer is that of the one that is left.
+    end = lifecycle._millis(second(499)) + 1000
+    assert list(life.handleExpiredTimer((0,), Watermark(end), None)) == []
+    assert max(store.timers) == lifecycle._millis(second(600)) + 1000 and list(life._held()[0]) == [499]
+    list(life.handleExpiredTimer((0,), Watermark(max(store.timers)), None))
+    assert store.value is None
