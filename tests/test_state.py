@@ -218,3 +218,13 @@ def test_store_calls_of_deployments_grow_with_buckets(spark):
     assert max(store.timers) == lifecycle._millis(second(600)) + 1000 and list(life._held()[0]) == [499]
     list(life.handleExpiredTimer((0,), Watermark(max(store.timers)), None))
     assert store.value is None
+
+
+def test_store_calls_of_alerts_grow_with_buckets(spark):
+    store, life = CountedStore(), lifecycle._Alert(1000, "alert_id")
+    life.init(store)
+    rows = [{"alert_id": i, "action": kind, "actor": "a", "ts": second(i), "seq": i} for i in range(400) for kind in ("alert", "resolve")]
+    shown = list(life.handleInputRows((0,), iter(rows), Watermark(0)))
+    assert len(shown) == 400 and all(r[4] for r in shown) and store.calls <= 4
+    again = list(life.handleInputRows((0,), iter([{**rows[0], "action": "acknowledge"}]), Watermark(0)))
+    assert [(r[0], r[1], r[4]) for r in again] == [(0, True, True)]
