@@ -77,8 +77,12 @@ def export_table(df: DataFrame, path: str, format: str) -> None:
     writer.format(format).save(path)
 
 
+# Suites in an XML file: one task reads a file whole, so none may grow with the table.
+XML_SUITES = 200_000
+
+
 def export_test_report(suites: DataFrame, path: str, format: str) -> None:
-    """Write suites as JSON rows or as JUnit-style XML."""
+    """Write suites as JSON rows or as JUnit-style XML, the latter in files of at most ``XML_SUITES``."""
     if format == "json":
         suites.write.mode("overwrite").json(path)
     elif format == "xml":
@@ -93,7 +97,7 @@ def export_test_report(suites: DataFrame, path: str, format: str) -> None:
         )
         attributes.write.format("xml").mode("overwrite").option("rootTag", "testsuites").option(
             "rowTag", "testsuite"
-        ).save(path)
+        ).option("maxRecordsPerFile", str(XML_SUITES)).save(path)
     else:
         raise ValueError(f"unknown format {format!r}")
 

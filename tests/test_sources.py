@@ -176,3 +176,16 @@ def test_notify_again_leaves_no_duplicates(spark, rows, tmp_path):
     write(alerts, 0)
     write(alerts, 0)
     assert tuples(spark.read.parquet(str(tmp_path / "outbox")), "url") == [("u1",), ("u2",)]
+
+
+def test_xml_reports_are_cut_into_files(spark, rows, tmp_path, monkeypatch):
+    from release_guard.operators.test_runs import suite_summary
+
+    monkeypatch.setattr(history, "XML_SUITES", 7)
+    data = [(i, "jest", "local", "passed", 1.0) for i in range(50)]
+    results = rows("run_id long, framework string, environment string, status string, duration_ms double", *data)
+    path = str(tmp_path / "xml")
+    history.export_test_report(suite_summary(results).coalesce(1), path, "xml")
+    sizes = [f.read_text().count("<testsuite ") for f in (tmp_path / "xml").glob("part-*")]
+    assert sum(sizes) == 50 and max(sizes) <= 7
+    assert sorted(r["_id"] for r in history.read_test_report(spark, path).collect()) == list(range(50))
