@@ -38,7 +38,7 @@ def _millis(at: dt.datetime) -> int:
 class _Lifecycle(StatefulProcessor):
     """One record per key; subclasses fold rows into it and say what it shows and when it ends.
 
-    A call to the store takes a millisecond or more, so the records of a bucket of keys are one value of it with one timer, and
+    Every call to the store leaves the Python worker, so the records of a bucket of keys are one value of it with one timer, and
     the calls grow with the buckets, not with the keys. A batch writes the buckets it touches.
     """
 
