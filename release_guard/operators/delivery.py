@@ -28,7 +28,9 @@ def delivery_state(
     and those after the first success do not count. status is ``new``, ``waiting``, ``delivered`` or ``failed``; ``next_try_at``
     is null unless the delivery is new, and then its own time, or waiting. Repeated outbox rows are one delivery.
     """
-    once = attempts.groupBy(*DELIVERY, "attempt").agg(F.min("ts").alias("ts"), F.bool_or("ok").alias("ok"))
+    # Dealt out by delivery once; both steps, and the join, find their rows together.
+    dealt = attempts.repartition(*DELIVERY)
+    once = dealt.groupBy(*DELIVERY, "attempt").agg(F.min("ts").alias("ts"), F.bool_or("ok").alias("ok"))
     success = F.min(F.when(F.col("ok"), F.struct("attempt", "ts")))
     folded = once.groupBy(*DELIVERY).agg(
         success.alias("success"), F.max(F.when(~F.col("ok"), F.struct("attempt", "ts"))).alias("failure"),

@@ -128,10 +128,10 @@ def _stamped(events: DataFrame) -> DataFrame:
     return events.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
-def webhook_outbox(events: DataFrame, urls: Sequence[str]) -> DataFrame:
-    """One payload per event and webhook; the URLs come from configuration."""
+def webhook_outbox(events: DataFrame, urls: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One payload per event and webhook; the URLs come from configuration. ``keep`` names columns of the events that stay in front."""
     return _stamped(events).select(
-        "event", "package", "version", "ts", _payload().alias("payload"),
+        *keep, "event", "package", "version", "ts", _payload().alias("payload"),
         F.explode(F.array(*[F.lit(u) for u in urls])).alias("url"),
     )
 

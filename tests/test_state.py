@@ -8,6 +8,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from release_guard import catalog
+from release_guard.catalog import sources
 from release_guard.operators import delivery, deployments, monitoring
 from release_guard.sources import history
 from release_guard.streaming import jobs, lifecycle
@@ -127,6 +129,18 @@ def test_a_failing_url_does_not_hold_the_others(spark, rows, tmp_path):
     assert rate == {"good": (2, 0, 1.0, 2), "slow": (2, 0, 1.0, 4), "bad": (2, 2, 0.0, 6)}
 
 
+def test_events_alike_make_one_outbox_row_each_per_url(spark, rows, tmp_path, monkeypatch):
+    schema = "event_id bigint, user_id bigint, event_type string, value double, ts timestamp_ntz, props string"
+    alike = [(30 * i, 1, "click", 1.0, DAY, "{}") for i in range(20)]
+    rows(schema, *alike, (7, None, "click", 1.0, DAY, "{}"), (8, 1, "click", 1.0, None, "{}")).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = []
+    send = delivery.deliver_round
+    monkeypatch.setattr(delivery, "deliver_round", lambda outbox, *a, **b: (sizes.append(outbox.count()), send(outbox, *a, **b))[1])
+    found = catalog.queries()["delivery_state"](spark, str(tmp_path)).collect()
+    assert set(sizes) == {20 * len(sources.URLS)}
+    assert sorted((r["event_id"], r["url"]) for r in found) == sorted((e[0], u) for e in alike for u in sources.URLS)
+
+
 def test_attempts_after_a_success_do_not_count(rows):
     outbox = rows(OUTBOX, (1, "u", DAY, ""))
     attempts = rows("event_id bigint, url string, attempt bigint, ts timestamp_ntz, ok boolean",
