@@ -72,13 +72,20 @@ class Matcher:
     threshold: float | None = None
     whole_lines: bool = False
     regexes: list[re.Pattern[str] | None] = field(init=False)
+    # Per pattern the first one of the same regex, which alone is searched for, and those that have followers.
+    first: list[int] = field(init=False)
+    shared: set[int] = field(init=False)
     gate: str | None = field(init=False)
 
     def __post_init__(self) -> None:
-        self.regexes = [compiled(p.regex) if portable(p.regex) else None for p in self.patterns]
+        place = {regex: no for no, regex in reversed(list(enumerate(p.regex for p in self.patterns)))}
+        known = {regex: compiled(regex) if portable(regex) else None for regex in place}
+        self.regexes = [known[p.regex] for p in self.patterns]
+        self.first = [place[p.regex] for p in self.patterns]
+        self.shared = {first for no, first in enumerate(self.first) if first != no}
         wanted = [p.regex for p, r in zip(self.patterns, self.regexes, strict=True) if r is not None and self.named]
         wanted += [rules.TOKEN_REGEX] if self.tokens else []
-        self.gate = _either(wanted) if wanted else None
+        self.gate = _either(list(dict.fromkeys(wanted))) if wanted else None
         self.token = compiled(rules.TOKEN_REGEX)
         self.token_pattern = SecretPattern(rules.TOKEN_PATTERN_NAME, rules.TOKEN_REGEX, rules.TOKEN_SEVERITY)
 
@@ -98,13 +105,20 @@ class Matcher:
         elsewhere: dict[int, list[tuple[int, str]]] = {}
         for hit in located or ():
             elsewhere.setdefault(hit["no"], []).append((hit["column"] - 1, hit["value"]))
-        for no, (pattern, regex) in enumerate(zip(self.patterns, self.regexes, strict=True)):
-            found = elsewhere.get(no, []) if regex is None else ((m.start(), m[0]) for m in regex.finditer(text))
-            for start, value in found:
-                if self.tokens:
+        kept: dict[int, list[tuple[int, str, float]]] = {}
+        for no, (pattern, regex, first) in enumerate(zip(self.patterns, self.regexes, self.first, strict=True)):
+            if first == no:
+                found = elsewhere.get(no, []) if regex is None else ((m.start(), m[0]) for m in regex.finditer(text))
+                found = ((start, value, entropy_of(value)) for start, value in found)
+                if no in self.shared:
+                    found = kept[no] = list(found)
+            else:
+                found = kept[first]
+            for start, value, entropy in found:
+                if self.tokens and first == no:
                     spans.append((start, start + len(value)))
                 if self.named:
-                    yield from self._hit(text, start, value, pattern)
+                    yield from self._hit(text, start, value, pattern, entropy)
         if self.tokens:
             spans.sort()
             starts = [s for s, _ in spans]
@@ -115,10 +129,9 @@ class Matcher:
             for m in self.token.finditer(text):
                 before = bisect_left(starts, m.end())
                 if not before or reach[before - 1] <= m.start():
-                    yield from self._hit(text, m.start(), m[0], self.token_pattern)
+                    yield from self._hit(text, m.start(), m[0], self.token_pattern, entropy_of(m[0]))
 
-    def _hit(self, text: str, start: int, value: str, pattern: SecretPattern) -> Iterator[tuple]:
-        entropy = entropy_of(value)
+    def _hit(self, text: str, start: int, value: str, pattern: SecretPattern, entropy: float) -> Iterator[tuple]:
         limit = pattern.entropy if pattern.entropy is not None else self.threshold
         if self.threshold is None or entropy >= limit:
             context = text if self.whole_lines else text[max(0, start - rules.CONTEXT_BEFORE) : start + rules.CONTEXT_AFTER]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -177,29 +177,44 @@ def as_set(patterns: Sequence[SecretPattern]) -> Column:
     return F.array(*fields) if fields else F.expr("cast(array() as array<struct<name:string,regex:string,severity:string,entropy:double>>)")
 
 
+# The column that tells pattern sets apart.
+SET_KEY = "patterns_key"
+
+
+def set_key(patterns: Column) -> Column:
+    """Equal for equal lists of patterns."""
+    return F.sha2(F.to_json(patterns), 256)
+
+
 class _Matchers:
-    """The compiled pattern sets a task has met."""
+    """The compiled pattern sets a task has met, by their key; the one used longest ago goes first."""
 
     KEPT = 1000
 
     def __init__(self, **kinds) -> None:
         self.kinds, self.known = kinds, {}
 
-    def of(self, listed: list[dict] | None) -> Matcher:
-        key = tuple((p["name"], p["regex"], p["severity"], p["entropy"]) for p in listed or [])
-        if key not in self.known:
+    def of(self, key: str, listed: Callable[[], list[dict] | None]) -> Matcher:
+        matcher = self.known.pop(key, None)
+        if matcher is None:
             if len(self.known) >= self.KEPT:
-                self.known.clear()
-            patterns = tuple(SecretPattern(name, regex, severity, "", entropy) for name, regex, severity, entropy in key)
-            self.known[key] = Matcher(patterns, **self.kinds)
-        return self.known[key]
+                del self.known[next(iter(self.known))]
+            matcher = Matcher(tuple(SecretPattern(p["name"], p["regex"], p["severity"], "", p["entropy"]) for p in listed() or []), **self.kinds)
+        self.known[key] = matcher
+        return matcher
 
     def groups(self, batch: pa.RecordBatch) -> list[tuple[Matcher, pa.Array]]:
-        """The rows of a batch by their pattern set."""
-        of: dict[str, tuple[list, list[int]]] = {}
-        for i, listed in enumerate(batch.column("patterns").to_pylist()):
-            of.setdefault(repr(listed), (listed, []))[1].append(i)
-        return [(self.of(listed), pa.array(rows, pa.int64())) for listed, rows in of.values()]
+        """The rows of a batch by their pattern set; the list itself is read where its key is new."""
+        lists = batch.column("patterns")
+        of: dict[str, tuple[Matcher, list[int]]] = {}
+        for i, key in enumerate(batch.column(SET_KEY).to_pylist()):
+            if key not in of:
+                of[key] = (self.of(key, lists[i].as_py), [])
+            of[key][1].append(i)
+        # The set of the last row is the one that the next batch may go on with.
+        if len(batch):
+            self.of(key, lists[i].as_py)
+        return [(matcher, pa.array(rows, pa.int64())) for matcher, rows in of.values()]
 
 
 # Hits of the patterns of a row that are not portable, each with a regex of its own.
@@ -209,40 +224,41 @@ flatten(transform(slow, p -> transform({located_matches_sql('text', 'p.regex')},
 """
 
 
-def _slow_patterns(sets: Column) -> Column:
-    """The patterns of each set that only the JVM can read."""
+def _slow_patterns(keys: Column, sets: Column) -> Column:
+    """The patterns of each set that only the JVM can read, one of each regex."""
+    known: dict[str, list[dict]] = {}
 
     @F.arrow_udf("array<struct<no:int,regex:string>>")
-    def pick(sets: pa.Array) -> pa.Array:
-        known: dict[str, bool] = {}
+    def pick(keys: pa.Array, sets: pa.Array) -> pa.Array:
         made = []
-        for listed in sets.to_pylist():
-            slow = []
-            for no, p in enumerate(listed or []):
-                if p["regex"] not in known:
-                    known[p["regex"]] = portable(p["regex"])
-                if not known[p["regex"]]:
-                    slow.append({"no": no, "regex": p["regex"]})
-            made.append(slow)
+        for key, listed in zip(keys.to_pylist(), sets, strict=True):
+            if key not in known:
+                if len(known) >= _Matchers.KEPT:
+                    known.clear()
+                first: dict[str, int] = {}
+                for no, p in enumerate(listed.as_py() or []):
+                    first.setdefault(p["regex"], no)
+                known[key] = [{"no": no, "regex": regex} for regex, no in first.items() if not portable(regex)]
+            made.append(known[key])
         return pa.array(made, pa.list_(pa.struct([("no", pa.int32()), ("regex", pa.string())])))
 
-    return pick(sets)
+    return pick(keys, sets)
 
 
-def _may_hold(texts: Column, sets: Column, tokens: bool) -> Column:
+def _may_hold(texts: Column, keys: Column, sets: Column, tokens: bool) -> Column:
     """Whether a file may hold a hit of its own patterns or a long token."""
+    matchers = _Matchers(tokens=tokens)
 
     @F.arrow_udf("boolean")
-    def test(texts: pa.Array, sets: pa.Array) -> pa.Array:
-        matchers = _Matchers(tokens=tokens)
+    def test(texts: pa.Array, keys: pa.Array, sets: pa.Array) -> pa.Array:
         found = np.ones(len(texts), bool)
-        batch = pa.RecordBatch.from_arrays([texts, sets], names=["text", "patterns"])
+        batch = pa.RecordBatch.from_arrays([texts, keys, sets], names=["text", SET_KEY, "patterns"])
         for matcher, rows in matchers.groups(batch):
             if None not in matcher.regexes:
                 found[rows.to_numpy()] = matcher.suspects(texts.take(rows)).to_numpy(zero_copy_only=False)
         return pa.array(found)
 
-    return test(texts, sets)
+    return test(texts, keys, sets)
 
 
 def scan_with_sets(
@@ -250,15 +266,17 @@ def scan_with_sets(
 ) -> DataFrame:
     """Findings of files ``(file, content, patterns, ...)`` that bring their own patterns.
 
-    A set is compiled once per task. Files that can match nothing are dropped before they are cut into
-    lines. Rows with null or no patterns are searched for tokens alone. Regexes that
+    A set is compiled once per task and goes with the first line of a file; ``patterns_key``, if there, is its ``set_key``. Files
+    that can match nothing are dropped before they are cut into lines. Rows with null or no patterns are searched for tokens alone. Regexes that
     only the JVM can read, such as those with look-around, are located there.
     """
     ship_package(files.sparkSession)
     listed = files.withColumn("patterns", F.coalesce("patterns", as_set([])))
-    gated = listed.filter(_may_hold(F.make_valid_utf8("content"), F.col("patterns"), tokens))
-    lines = split_lines(gated.withColumn("slow", _slow_patterns(F.col("patterns"))))
-    rest = [c for c in lines.columns if c not in ("text", "patterns", "slow", *HIT_NAMES)]
+    if SET_KEY not in listed.columns:
+        listed = listed.withColumn(SET_KEY, set_key(F.col("patterns")))
+    gated = listed.filter(_may_hold(F.make_valid_utf8("content"), F.col(SET_KEY), F.col("patterns"), tokens))
+    lines = split_lines(gated.withColumn("slow", _slow_patterns(F.col(SET_KEY), F.col("patterns"))))
+    rest = [c for c in lines.columns if c not in ("text", "patterns", SET_KEY, "slow", *HIT_NAMES)]
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields if f.name in rest]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +284,8 @@ def scan_with_sets(
         return hit_batches(batches, matchers.groups, rest)
 
     text = F.make_valid_utf8("text").alias("text")
-    read = lines.select(*[f"`{c}`" for c in rest], text, "patterns", F.expr(_LOCATED_BY_ROW).alias("located"))
+    once = F.when(F.col("line") == 1, F.col("patterns")).alias("patterns")
+    read = lines.select(*[f"`{c}`" for c in rest], text, SET_KEY, once, F.expr(_LOCATED_BY_ROW).alias("located"))
     return read.mapInArrow(find, ", ".join([*types, HIT_SCHEMA]))
 
 

@@ -11,6 +11,7 @@ from .. import rules
 from ..functions.matching import Matcher
 from ..operators import secrets as s
 from ..rules import SecretPattern
+from ..session import small_side, stored
 from ..sources.files import number_lines, read_lines
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -81,13 +82,23 @@ def project_scan(
     """Findings where every project has patterns of its own beside the built-in ones.
 
     ``patterns(project_id, seq, name, regex, severity, entropy)``; a project with none is searched for the
-    built-in ones alone. The lists are joined to the files, and a task compiles each list once.
+    built-in ones alone. The lists are joined to the files, and a task compiles each list once. Lists and allowed values
+    that are short in all go to every task, so that neither files nor findings are shuffled.
     """
-    sets = s.pattern_sets(patterns).select(F.col("project_id").alias("set of"), F.col("patterns").alias("own"))
-    joined = files.join(sets, F.col("project_id").eqNullSafe(F.col("set of")), "left").drop("set of")
-    every = joined.withColumn("patterns", F.concat(s.as_set(default), F.coalesce("own", s.as_set([])))).drop("own")
+    builtin = s.as_set(default)
+    own = s.pattern_sets(patterns).select(F.col("project_id").alias("set of"), F.concat(builtin, "patterns").alias("own"))
+    sets = stored(own.withColumn("own key", s.set_key(F.col("own"))), "pattern-sets")
+    joined = files.join(
+        small_side(sets, F.length(F.to_json("own"))), F.col("project_id").eqNullSafe(F.col("set of")), "left"
+    )
+    every = joined.withColumns({
+        "patterns": F.coalesce("own", builtin), s.SET_KEY: F.coalesce("own key", s.set_key(builtin))
+    }).drop("set of", "own", "own key")
     findings = s.scan_with_sets(every, threshold=threshold).drop("pattern_entropy")
-    return findings if allowed is None else s.apply_allowlist(findings, allowed)
+    if allowed is None:
+        return findings
+    values = stored(allowed.select("value").distinct(), "allowed")
+    return s.apply_allowlist(findings, small_side(values, F.octet_length("value")))
 
 
 def run_publish(

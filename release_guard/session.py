@@ -10,7 +10,8 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings every job relies on; all are plain Spark options.
 SETTINGS = {
@@ -113,3 +114,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
+
+
+# Up to how many bytes of text a written table is sent to all executors.
+SMALL_BYTES = 32 << 20
+
+
+def small_side(df: DataFrame, size: Column) -> DataFrame:
+    """Mark a written table for broadcast if the ``size`` of its rows, in bytes, sums up to little; a larger one is joined by shuffle."""
+    total = df.agg(F.sum(size + 32)).first()[0] or 0
+    return F.broadcast(df) if total <= SMALL_BYTES else df

@@ -193,6 +193,23 @@ def test_every_project_has_its_own_patterns(spark, rows):
     assert {r["pattern_name"] for r in none.collect()} == {rules.TOKEN_PATTERN_NAME}
 
 
+def test_short_pattern_lists_and_allow_lists_leave_files_and_findings_in_place(spark, rows):
+    """Joins without a shuffle of files or findings; a regex that many patterns share is looked for once and found for each."""
+    listed = [(1, i, f"own {i}", regex, "low", 0.0) for i, regex in enumerate([r"a+b", r"\bx+\b"] * 20)]
+    files = rows("project_id long, file string, content string", (1, "f", "aab\nxx aab"), (2, "g", "aab"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = project_scan(files, rows(PATTERN_ROWS, *listed), allowed=rows("value string", ("zz",)))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert sorted((r["line"], r["pattern_name"]) for r in found.collect()) == sorted(
+            [(line, f"own {i}") for i in range(0, 40, 2) for line in (1, 2)] + [(2, f"own {i}") for i in range(1, 40, 2)])
+        assert project_scan(files, rows(PATTERN_ROWS, *listed), allowed=rows("value string", ("aab",))).count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_whole_lines_as_context(rows):
     """The context is the line however long it is and wherever the hit, also of a line with many hits."""
     line = "p" * 700 + f' {KEY} mail me@example.org ' + "q" * 900 + f' token = "abcdefgh12"'
