@@ -20,6 +20,8 @@ class View:
     columns: dict[str, str]
     where: str | None = None
     distinct: bool = False
+    # Rows that are costly to work on are dealt out first: a table in few row groups is read by as few tasks.
+    spread: bool = False
 
 
 def _text(expr: str) -> str:
@@ -152,7 +154,7 @@ VIEWS: dict[str, View] = {
  '","fixedIn":"', coalesce(fixed_in, ''), '","cvss":{"score":', case when seq % 2 = 0 then '7.5' else '"n/a"' end,
  ',"vector":"AV:N"},"cwe":["CWE-79"]}', case when seq % 3 = 0 then
  ',"shared-lib":{"id":"A-1","title":"Prototype pollution","severity":"HIGH"}' else '' end, '}}') end""",
-    }),
+    }, spread=True),
     "fx_events": View("events", {
         "seq": "event_id",
         "type": """case event_type when 'click' then 'scan' when 'view' then 'audit' when 'signup' then 'login'
@@ -354,6 +356,10 @@ def _lineage(name: str) -> list[str]:
     return (_lineage(base) if base in VIEWS else []) + [name]
 
 
+# Into how many tasks per core the rows of a ``spread`` view are dealt.
+TASKS_PER_CORE = 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -370,6 +376,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     chain = _lineage(name)
     rows = table(spark, sf_dir, VIEWS[chain[0]].base)
+    if VIEWS[name].spread:
+        rows = rows.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     for step in chain:
         rows = derive(rows, VIEWS[step])
     return rows

@@ -7,8 +7,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from release_guard import catalog
+from release_guard.catalog import issues, reports
 from release_guard.operators import analytics, deployments, licenses, monitoring, secrets, vulnerabilities
+from release_guard.plans import audits
 from release_guard.plans.scan import run_publish, secret_scan
+from release_guard.sources import manifests
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -81,3 +85,18 @@ def test_publish_hooks(rows):
     packages = rows("project_id bigint, size bigint", (1, 10), (2, 99))
     out = run_publish(packages, lambda p: p.withColumn("passed", F.col("size") < 50), lambda p: p.withColumn("sent", F.lit(True)))
     assert [tuple(r) for r in out.collect()] == [(1, 10, True)]
+
+
+@pytest.mark.parametrize("name", ["audit_report", "dependency_audit_recommendations", "audit_issue_lists"])
+def test_audit_documents_are_parsed_by_many_tasks_though_one_row_group_holds_them(spark, rows, tmp_path, monkeypatch, name):
+    schema = "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_returnflag string"
+    rows(schema, *[(i, i % 7, 1, "R") for i in range(400)]).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows("s_suppkey bigint", (1,)).write.parquet(str(tmp_path / "supplier.parquet"))
+    parsed = []
+    parse = manifests.parse_audit_json
+    for module in (reports, audits, issues):
+        monkeypatch.setattr(module, "parse_audit_json", lambda docs, *a: (parsed.append(docs), parse(docs, *a))[1])
+    catalog.queries()[name](spark, str(tmp_path))
+    (docs,) = parsed
+    assert docs.count() == 400
+    assert docs.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
