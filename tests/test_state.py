@@ -149,6 +149,28 @@ def test_attempts_after_a_success_do_not_count(rows):
     assert (row["tries"], row["status"], row["delivered_at"], row["next_try_at"]) == (2, "delivered", DAY + HOUR, None)
 
 
+def test_outbox_and_log_are_shuffled_once_and_not_joined(spark, rows, tmp_path, capsys):
+    path = str(tmp_path / "log")
+    # A row without an id is never sent, of repeated rows one is.
+    outbox = rows(OUTBOX, (1, "u", DAY + HOUR, "late"), (1, "u", DAY, "early"), (2, "v", DAY, None), (None, "u", DAY, "lost"), (3, None, DAY, "lost"))
+    seen = []
+
+    def send(due):
+        due.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+        seen.append(sorted(due.collect()))
+        assert due.columns == ["event_id", "url", "ts", "payload", "attempt"]
+        return due.withColumn("ok", F.col("event_id") == 1)
+
+    delivery.deliver_round(outbox, path, "a", F.lit(DAY + HOUR).cast("timestamp_ntz"), send)
+    (one, two) = seen[0]
+    assert tuple(one) in {(1, "u", DAY, "early", 1), (1, "u", DAY + HOUR, "late", 1)} and tuple(two) == (2, "v", DAY, None, 1)
+    found = delivery.delivery_state(outbox, delivery.read_attempts(spark, path)).collect()
+    assert sorted(((r["event_id"] or 0, r["url"] or "", r["tries"], r["status"]) for r in found)) == [
+        (0, "u", 0, "new"), (1, "u", 1, "delivered"), (2, "v", 1, "waiting"), (3, "", 0, "new")]
+
+
 def test_a_batch_counts_once(spark, rows, tmp_path):
     path = str(tmp_path / "events")
     events = rows("seq bigint, ts timestamp_ntz", (1, DAY), (2, DAY))
