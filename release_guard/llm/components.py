@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: every node hands its larger, then its smaller
     neighbours to the smallest one, until each node hangs on the smallest node of its
-    component. The number of rounds grows with the logarithm of the diameter.
+    component. The number of rounds grows with the logarithm of the diameter; edges that
+    hang on smallest nodes already, as an earlier result does, add none.
     Each round is written to the shared folder. Loops and repeated edges are
     ignored; an empty table gives an empty one.
     """
@@ -38,6 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
             both.join(_smallest(both), "u")
             .where("v > u and v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            # Dealt out by node once, for the repeats, the smallest neighbours and the join.
+            .repartition("u")
             .distinct()
         )
         small = large.join(_smallest(large), "u")
@@ -48,6 +51,6 @@ def components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(edges)
         if state == before:
             break
-    stars = edges.groupBy("a").agg(F.min("b").alias("component"))
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return stars.withColumnRenamed("a", "node").unionByName(roots).distinct()
+    # Nothing changes any more only if every edge leads from a node to its smallest one.
+    roots = edges.select("b").distinct()
+    return edges.toDF("node", "component").unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))

@@ -382,8 +382,8 @@ def _block_pairs(members: DataFrame, digest: DataFrame, percent: int) -> DataFra
 
 def jaccard_links(
     docs: DataFrame, digest: DataFrame, shared: DataFrame, width: int, percent: int, hot: int = HOT
-) -> DataFrame:
-    """a, b: links between set ids that connect all sets any link connects.
+) -> tuple[DataFrame, DataFrame]:
+    """a, b: links between set ids that connect all sets any link connects; and edges that connect the same sets in fewer steps.
 
     `docs` has doc_id, text and text_key; `digest` is `digests(docs)` without keys, of texts with
     shingles, and `shared` their `shared_keys`, both written down.
@@ -396,13 +396,12 @@ def jaccard_links(
     firsts = digest.join(some, "set_id").groupBy("set_id").agg(first)
     digest = stored(firsts.select("set_id", "first.*"), "classes")
     hot_rows = stored(_hot_members(shared, digest, hot, percent).drop("members", "center"), "hot-lanes")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
 
-    def add(candidates: DataFrame) -> DataFrame:
+    def linked(candidates: DataFrame) -> DataFrame:
         near = stored(close_enough(candidates, digest, percent), "near-pairs")
-        return stored(links.unionByName(verified(near, docs, digest, width, percent)).distinct(), "links")
+        return stored(verified(near, docs, digest, width, percent), "links")
 
-    links = add(shared.where("set_id <> center").select(*_ordered("set_id", "center")).distinct())
+    links = linked(shared.where("set_id <> center").select(*_ordered("set_id", "center")).distinct())
     labels = components(links)
     for turn in range(STAR_ROUNDS):
         # Other centers for the members of hot keys that still belong to several components. A component meets the
@@ -417,14 +416,18 @@ def jaccard_links(
         stars = stored(stars.select(*_ordered("set_id", "c.set_id")).distinct(), "stars")
         if stars.isEmpty():
             break
-        links = add(stars)
-        labels = components(links)
+        # Stars lie between components, so their links are new; without any the components stay.
+        found = linked(stars)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(labels.toDF("a", "b").unionByName(found))
     cold = _unresolved(_with_component(shared.where(F.col("members") <= hot).drop("members", "center"), labels))
     rest = stored(_unresolved(_with_component(hot_rows, labels)), "hot-rest")
     pairs = _cold_pairs(cold)
     if not rest.isEmpty():
         pairs = pairs.unionByName(_block_pairs(rest, digest, percent)).distinct()
-    return add(pairs)
+    found = linked(pairs)
+    return links.unionByName(found), labels.toDF("a", "b").unionByName(found)
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -433,7 +436,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
         digest = stored(with_keys.drop("keys"), "digests")
         shared = shared_keys(with_keys)
     full = digest.where("n > 0")
-    labels = stored(components(jaccard_links(docs, full, shared, width, percent)), "components")
+    _, edges = jaccard_links(docs, full, shared, width, percent)
+    labels = stored(components(edges), "components")
     component = F.coalesce("component", "set_id").alias("component")
     named = full.join(labels, full["set_id"] == labels["node"], "left")
     return digest, named.select("doc_id", "text_key", "n", component)

@@ -129,3 +129,25 @@ def test_components_of_a_path_and_a_star(spark):
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 150: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_go_on_from_those_found_before(frame, monkeypatch):
+    from release_guard.llm import components as module
+
+    rounds, keep = [], module.stored
+
+    def counted(df, label):
+        rounds[-1] += 1
+        return keep(df, label)
+
+    def called(edges):
+        rounds.append(0)
+        return components(edges)
+
+    monkeypatch.setattr(module, "stored", counted)
+    monkeypatch.setattr(jaccard, "components", called)
+    # A path: every text links with the next ones only.
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 160])) for i in range(40)]
+    assert set(map(tuple, jaccard_components(frame(rows), 4, 85).select("doc_id", "component_id").collect())) == {(i, 0) for i in range(40)}
+    assert rounds[-1] < rounds[0], rounds
