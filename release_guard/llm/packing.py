@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .common import text_or_empty
-from .tokens import text_ids
+from .tokens import REMEMBERED, text_ids
 
 BLOCK_ROWS = 1 << 16
 
@@ -37,14 +37,15 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
 
 def encode_pieces(
     df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_column: str = "doc_id", text: str = "text",
-    keep_ids: bool = False,
+    keep_ids: bool = False, remembered: tuple[int, int] = (REMEMBERED, REMEMBERED // 5),
 ) -> DataFrame:
     """Every whole text as ids with `end_id` behind, cut into pieces of at most `capacity` ids.
 
     Returns doc_id, piece (from 0), start (ids of the document before it), length, ids_crc32 and
     block, which bounds the rows that are ranked together; `keep_ids` adds the ids
     as little-endian unsigned 32-bit numbers. A null text is empty and gives one piece with the end id
-    alone; rows of a repeated id are documents of their own.
+    alone; rows of a repeated id are documents of their own. `remembered` tells how many pieces and parts
+    of pieces a worker keeps, see PieceEncoder.
     """
     end = np.asarray([end_id], "<u4").tobytes()
     fields = [
@@ -57,7 +58,7 @@ def encode_pieces(
         for batch in batches:
             docs, blocks, texts = (column.to_pylist() for column in batch.columns)
             rows: list[tuple] = []
-            for doc, block, ids in zip(docs, blocks, text_ids(tokenizer, texts), strict=True):
+            for doc, block, ids in zip(docs, blocks, text_ids(tokenizer, texts, *remembered), strict=True):
                 data = ids + end
                 cuts = np.cumsum([0, *piece_lengths(len(data) // 4, capacity)]).tolist()
                 for i, (a, b) in enumerate(pairwise(cuts)):

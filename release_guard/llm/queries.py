@@ -18,7 +18,7 @@ from .language import identify, learn
 from .packing import encode_pieces, pack
 from .pii import BASE, find_personal_data
 from .substrings import without_repeats
-from .token_files import document_index, write_token_files
+from .token_files import REMEMBERED, document_index, write_token_files
 from .tokens import token_counts
 from .topk import top_k
 from .toxicity import calibrate, learn_lexicon, score_passages, score_texts
@@ -81,7 +81,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts packed into sequences of 2048 ids."""
     pieces = encode_pieces(
-        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, capacity=2048
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, capacity=2048, remembered=REMEMBERED
     )
     return pack(pieces, 2048)
 

@@ -141,3 +141,11 @@ def test_pack_repeated_rows_and_empty_tables(frame, odd_rows):
     assert len(places_used) == len(found)
     assert Counter((r["doc_id"], r["piece"]) for r in found)[(1005, 0)] == 3
     assert pack(encode_pieces(frame([]), BYTE, 0, 64), 64).count() == 0
+
+
+def test_what_a_worker_remembers_changes_no_id(frame):
+    texts = ["one two, three.\nfour  five", "one two, three.", None, "Ünïted 12 x-ray; one", ""] * 3
+    rows = list(enumerate(texts))
+    whole = sorted(map(tuple, encode_pieces(frame(rows), BYTE, 0, 4, keep_ids=True).drop("block").collect()))
+    few = encode_pieces(frame(rows), BYTE, 0, 4, keep_ids=True, remembered=(1, 1)).drop("block")
+    assert sorted(map(tuple, few.collect())) == whole
