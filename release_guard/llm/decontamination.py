@@ -32,7 +32,8 @@ from .common import row_groups, text_key, text_or_empty
 from .jaccard import MIX, mixed
 
 BITMAP_BITS = 22
-REMEMBERED = 500_000
+# Distinct words a task remembers, some 300 bytes each.
+REMEMBERED = 150_000
 # Characters of text read together.
 GROUP_CHARS = 2 << 20
 PUNCTUATION = string.punctuation.replace("%", "").replace("$", "") + "«»„“”‘’…–—·¿¡¡，。？！、；：（）「」『』《》〈〉【】〔〕・　"
