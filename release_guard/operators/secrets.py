@@ -15,7 +15,7 @@ from ..functions.prefilter import may_match, portable
 from ..functions.scoring import diff_risk, severity_rank
 from ..functions.text import located_matches, located_matches_sql, matches_any_glob
 from ..rules import SecretPattern
-from ..session import ship_package, small_table
+from ..session import ship_package, small_table, stored
 from .pieces import running
 
 DIFF_KEY = ["file", "line", "column", "pattern_name"]
@@ -187,12 +187,15 @@ def set_key(patterns: Column) -> Column:
 
 
 class _Matchers:
-    """The compiled pattern sets a task has met, by their key; the one used longest ago goes first."""
+    """The compiled pattern sets a task has met, by their key; the one used longest ago goes first.
+
+    A list comes with the rows of its key, or from ``sets``, which knows all lists.
+    """
 
     KEPT = 1000
 
-    def __init__(self, **kinds) -> None:
-        self.kinds, self.known = kinds, {}
+    def __init__(self, sets: _Sets | None = None, **kinds) -> None:
+        self.sets, self.kinds, self.known = sets, kinds, {}
 
     def of(self, key: str, listed: Callable[[], list[dict] | None]) -> Matcher:
         matcher = self.known.pop(key, None)
@@ -205,60 +208,81 @@ class _Matchers:
 
     def groups(self, batch: pa.RecordBatch) -> list[tuple[Matcher, pa.Array]]:
         """The rows of a batch by their pattern set; the list itself is read where its key is new."""
-        lists = batch.column("patterns")
+        lists = None if self.sets else batch.column("patterns")
+
+        def met(key: str, i: int) -> Matcher:
+            return self.of(key, lists[i].as_py if lists is not None else lambda: self.sets.of(key))
+
         of: dict[str, tuple[Matcher, list[int]]] = {}
         for i, key in enumerate(batch.column(SET_KEY).to_pylist()):
             if key not in of:
-                of[key] = (self.of(key, lists[i].as_py), [])
+                of[key] = (met(key, i), [])
             of[key][1].append(i)
         # The set of the last row is the one that the next batch may go on with.
         if len(batch):
-            self.of(key, lists[i].as_py)
+            met(key, i)
         return [(matcher, pa.array(rows, pa.int64())) for matcher, rows in of.values()]
 
 
+class _Sets:
+    """What to search for with each set, read from a table ``(patterns_key, no, regex, least)`` in the order of its keys.
+
+    Its patterns have their number as their name, no severity, and the least limit of those that share the regex.
+    """
+
+    def __init__(self, table: bytes) -> None:
+        self.rows = pa.ipc.open_stream(table).read_all().combine_chunks()
+        self.places: dict[str, tuple[int, int]] = {}
+        for i, key in enumerate(self.rows.column(SET_KEY).to_pylist()):
+            self.places[key] = (self.places.get(key, (i, 0))[0], i + 1)
+
+    def of(self, key: str) -> list[dict]:
+        start, end = self.places.get(key, (0, 0))
+        return [
+            {"name": row["no"], "regex": row["regex"], "severity": None, "entropy": row["least"]}
+            for row in self.rows.slice(start, end - start).to_pylist()
+        ]
+
+
 # Hits of the patterns of a row that are not portable, each with a regex of its own.
 _LOCATED_BY_ROW = f"""
 flatten(transform(slow, p -> transform({located_matches_sql('text', 'p.regex')},
   h -> struct(p.no as no, h.column as column, h.value as value))))
 """
+_SLOW = pa.list_(pa.struct([("no", pa.int32()), ("regex", pa.string())]))
 
 
-def _slow_patterns(keys: Column, sets: Column) -> Column:
-    """The patterns of each set that only the JVM can read, one of each regex."""
-    known: dict[str, list[dict]] = {}
+def _types(df: DataFrame, names: Sequence[str]) -> list[str]:
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names]
 
-    @F.arrow_udf("array<struct<no:int,regex:string>>")
-    def pick(keys: pa.Array, sets: pa.Array) -> pa.Array:
-        made = []
-        for key, listed in zip(keys.to_pylist(), sets, strict=True):
-            if key not in known:
-                if len(known) >= _Matchers.KEPT:
-                    known.clear()
-                first: dict[str, int] = {}
-                for no, p in enumerate(listed.as_py() or []):
-                    first.setdefault(p["regex"], no)
-                known[key] = [{"no": no, "regex": regex} for regex, no in first.items() if not portable(regex)]
-            made.append(known[key])
-        return pa.array(made, pa.list_(pa.struct([("no", pa.int32()), ("regex", pa.string())])))
 
-    return pick(keys, sets)
+def _suspect_rows(files: DataFrame, matchers_of: Callable[[], _Matchers], slow: bool) -> DataFrame:
+    """Files that may hold a hit of their own patterns or a long token; with ``slow`` also their patterns that only the JVM can read, one of each regex.
 
+    Rows pass in batches of bounded size. A Python function in a filter would have Spark keep the rows of a batch, however long, on disk.
+    """
 
-def _may_hold(texts: Column, keys: Column, sets: Column, tokens: bool) -> Column:
-    """Whether a file may hold a hit of its own patterns or a long token."""
-    matchers = _Matchers(tokens=tokens)
-
-    @F.arrow_udf("boolean")
-    def test(texts: pa.Array, keys: pa.Array, sets: pa.Array) -> pa.Array:
-        found = np.ones(len(texts), bool)
-        batch = pa.RecordBatch.from_arrays([texts, keys, sets], names=["text", SET_KEY, "patterns"])
-        for matcher, rows in matchers.groups(batch):
-            if None not in matcher.regexes:
-                found[rows.to_numpy()] = matcher.suspects(texts.take(rows)).to_numpy(zero_copy_only=False)
-        return pa.array(found)
-
-    return test(texts, keys, sets)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = matchers_of()
+        for batch in batches:
+            found = np.ones(len(batch), bool)
+            located: list[list[dict]] = [[]] * len(batch)
+            texts = batch.column("content")
+            for matcher, rows in matchers.groups(batch):
+                if None not in matcher.regexes:
+                    found[rows.to_numpy()] = matcher.suspects(texts.take(rows)).to_numpy(zero_copy_only=False)
+                elif slow:
+                    own = [{"no": no, "regex": matcher.patterns[no].regex} for no, r in enumerate(matcher.regexes) if r is None and matcher.first[no] == no]
+                    for i in rows.to_pylist():
+                        located[i] = own
+            more = [pa.array([located[i] for i in np.flatnonzero(found)], _SLOW)] if slow else []
+            kept = batch.filter(pa.array(found))
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*kept.schema.names, *["slow"] * slow])
+
+    read = files.withColumn("content", F.make_valid_utf8("content"))
+    more = ["slow array<struct<no:int,regex:string>>"] * slow
+    return read.mapInArrow(keep, ", ".join([*_types(read, read.columns), *more]))
 
 
 def scan_with_sets(
@@ -271,13 +295,11 @@ def scan_with_sets(
     only the JVM can read, such as those with look-around, are located there.
     """
     ship_package(files.sparkSession)
-    listed = files.withColumn("patterns", F.coalesce("patterns", as_set([])))
+    listed = files.drop("slow").withColumn("patterns", F.coalesce("patterns", as_set([])))
     if SET_KEY not in listed.columns:
         listed = listed.withColumn(SET_KEY, set_key(F.col("patterns")))
-    gated = listed.filter(_may_hold(F.make_valid_utf8("content"), F.col(SET_KEY), F.col("patterns"), tokens))
-    lines = split_lines(gated.withColumn("slow", _slow_patterns(F.col(SET_KEY), F.col("patterns"))))
+    lines = split_lines(_suspect_rows(listed, lambda: _Matchers(tokens=tokens), slow=True))
     rest = [c for c in lines.columns if c not in ("text", "patterns", SET_KEY, "slow", *HIT_NAMES)]
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields if f.name in rest]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = _Matchers(tokens=tokens, threshold=threshold)
@@ -286,7 +308,77 @@ def scan_with_sets(
     text = F.make_valid_utf8("text").alias("text")
     once = F.when(F.col("line") == 1, F.col("patterns")).alias("patterns")
     read = lines.select(*[f"`{c}`" for c in rest], text, SET_KEY, once, F.expr(_LOCATED_BY_ROW).alias("located"))
-    return read.mapInArrow(find, ", ".join([*types, HIT_SCHEMA]))
+    return read.mapInArrow(find, ", ".join([*_types(lines, rest), HIT_SCHEMA]))
+
+
+def pattern_rows(sets: DataFrame) -> DataFrame:
+    """Sets ``(patterns_key, patterns)`` as one row per pattern, sets of one key as one.
+
+    ``no`` is the place of the first pattern of the same regex, as text; ``slow`` says that only the JVM can read the regex.
+    """
+
+    @F.arrow_udf("boolean")
+    def unread(regexes: pa.Array) -> pa.Array:
+        known = {regex: not portable(regex) for regex in regexes.unique().to_pylist()}
+        return pa.array([known[regex] for regex in regexes.to_pylist()], pa.bool_())
+
+    ship_package(sets.sparkSession)
+    rows = sets.dropDuplicates([SET_KEY]).select(SET_KEY, F.posexplode("patterns").alias("pos", "p")).select(SET_KEY, "pos", "p.*")
+    first = F.min("pos").over(Window.partitionBy(SET_KEY, "regex"))
+    return rows.select(SET_KEY, first.cast("string").alias("no"), *PATTERN_FIELDS, unread("regex").alias("slow"))
+
+
+def hits_by_key(
+    files: DataFrame, listed: DataFrame, tokens: bool = True, threshold: float = rules.ENTROPY_THRESHOLD
+) -> DataFrame:
+    """Hits in files ``(file, content, patterns_key, ...)``, each regex of a set searched for once; ``named_hits`` makes findings of them.
+
+    ``listed``, the ``pattern_rows`` of all sets as a written table, goes to every task, so no row of a file carries its list; a
+    key without rows is searched for tokens alone. Hits below all limits of their regex are left out.
+    """
+    spark = files.sparkSession
+    ship_package(spark)
+    least = F.min(F.coalesce("entropy", F.lit(threshold).cast("double")))
+    searched = listed.groupBy(SET_KEY, "no").agg(F.first("regex").alias("regex"), least.alias("least"), F.first("slow").alias("slow"))
+    table = searched.orderBy(SET_KEY, F.col("no").cast("int")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    gated = _suspect_rows(files, lambda: _Matchers(_Sets(sent.value), tokens=tokens), slow=False)
+    lines = split_lines(gated)
+    rest = [c for c in lines.columns if c not in ("text", *HIT_NAMES)]
+    more = []
+    if any(table.column("slow").to_pylist()):
+        # The number of a hit located by the JVM is its regex's place among those of the set that are searched for.
+        places = F.array_sort(F.collect_list(F.struct(F.col("no").cast("int").alias("place"), "regex", "slow")))
+        every = F.transform(places, lambda p, no: F.struct(no.alias("no"), p["regex"].alias("regex"), p["slow"].alias("slow")))
+        slow = F.filter(every, lambda p: p["slow"]).alias("slow")
+        lists = stored(searched.groupBy(F.col(SET_KEY).alias("slow of")).agg(slow).where(F.size("slow") > 0), "slow-patterns")
+        lines = lines.join(F.broadcast(lists), F.col(SET_KEY) == F.col("slow of"), "left")
+        more = [F.expr(_LOCATED_BY_ROW).alias("located")]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = _Matchers(_Sets(sent.value), tokens=tokens, threshold=threshold)
+        return hit_batches(batches, matchers.groups, rest)
+
+    read = lines.select(*[f"`{c}`" for c in rest], F.make_valid_utf8("text").alias("text"), *more)
+    return read.mapInArrow(find, ", ".join([*_types(lines, rest), HIT_SCHEMA]))
+
+
+def named_hits(hits: DataFrame, listed: DataFrame, threshold: float = rules.ENTROPY_THRESHOLD) -> DataFrame:
+    """Findings of the hits of ``hits_by_key``: one for each pattern of the regex, without those below the limit of theirs."""
+    own = listed.select(*[F.col(c).alias(f"own {c}") for c in (SET_KEY, "no", "name", "severity", "entropy")])
+    number = F.col("own no")
+    joined = hits.join(
+        F.broadcast(own), (F.col(SET_KEY) == F.col(f"own {SET_KEY}")) & (F.col("pattern_name") == number), "left"
+    )
+    if threshold is not None:
+        joined = joined.where(number.isNull() | (F.col("entropy") >= F.coalesce("own entropy", F.lit(threshold))))
+    filled = {"pattern_name": "own name", "severity": "own severity", "pattern_entropy": "own entropy"}
+    return joined.select(
+        *[F.when(number.isNotNull(), F.col(filled[c])).otherwise(F.col(c)).alias(c) if c in filled else F.col(f"`{c}`") for c in hits.columns if c != SET_KEY]
+    )
 
 
 def entropy_filter(findings: DataFrame, threshold: float = rules.ENTROPY_THRESHOLD) -> DataFrame:

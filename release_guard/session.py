@@ -120,7 +120,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 SMALL_BYTES = 32 << 20
 
 
+def is_small(df: DataFrame, size: Column) -> bool:
+    """Whether the ``size`` of the rows of a written table, in bytes, sums up to little."""
+    return (df.agg(F.sum(size + 32)).first()[0] or 0) <= SMALL_BYTES
+
+
 def small_side(df: DataFrame, size: Column) -> DataFrame:
-    """Mark a written table for broadcast if the ``size`` of its rows, in bytes, sums up to little; a larger one is joined by shuffle."""
-    total = df.agg(F.sum(size + 32)).first()[0] or 0
-    return F.broadcast(df) if total <= SMALL_BYTES else df
+    """Mark a written table for broadcast if it is small by ``is_small``; a larger one is joined by shuffle."""
+    return F.broadcast(df) if is_small(df, size) else df

@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from release_guard import rules
+from release_guard import rules, session
 from release_guard.functions import matching
 from release_guard.functions.matching import Matcher, compiled, entropy_of
 from release_guard.functions.text import located_matches, shannon_entropy
@@ -210,6 +210,37 @@ def test_short_pattern_lists_and_allow_lists_leave_files_and_findings_in_place(s
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_files_wait_for_no_function_with_their_pattern_list(spark, rows, monkeypatch, short):
+    """No function in a filter or column, for which Spark keeps rows with long lists on disk; patterns of one regex keep their own limits."""
+    if not short:
+        monkeypatch.setattr(session, "SMALL_BYTES", -1)
+    listed = [
+        SecretPattern("low", r"[a-d]+;", "low", "", 1.0), SecretPattern("high", r"[a-d]+;", "high", "", 2.2), SecretPattern("high", r"[a-d]+;", "high", "", 2.2),
+        SecretPattern("word", r"\ba+\b", "low", "", 0.0), SecretPattern(None, r"\ba+\b", None, "", 0.0), SecretPattern("never", r"\ba+\b", "low", "", 9.0),
+        SecretPattern("other", r"z+", "low", "", None), SecretPattern("nan", r"z+", "low", "", float("nan")), SecretPattern("same", r"z+", "low", "", 0.0),
+        SecretPattern("key again", rules.DEFAULT_PATTERNS[0].regex, "low", "", 0.0), *[SecretPattern(f"no {i}", f"q{i}q", "low", "", 0.0) for i in range(300)],
+    ]
+    table = [(p, i, x.name, x.regex, x.severity, x.entropy) for p in (1, 2, None) for i, x in enumerate(listed)]
+    text = f"aab; abcd; aa\r\n{KEY} zzz q7q {HEX}\naa aab;"
+    files = rows("project_id long, file string, content string", *[(p, f"{p}/f", text) for p in (1, 2, None, 4)], (1, "null", None))
+    allowed = rows("value string", ("q7q",), ("aab;",))
+    found = project_scan(files, rows(PATTERN_ROWS, *table), allowed=allowed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    assert not short or "patterns#" not in plan
+    every = [secret_scan(files.where(F.col("project_id").eqNullSafe(F.lit(p))), [*rules.DEFAULT_PATTERNS, *own]) for p, own in ((1, listed), (2, listed), (None, listed), (4, []))]
+    wanted = [r for one in every for r in s.apply_allowlist(one, allowed).select(found.columns).collect()]
+    assert sort(found.collect()) == sort(wanted)
+    names = [r["pattern_name"] for r in wanted if r["project_id"] == 1]
+    assert names.count(None) == 2 and names.count("word") == 2 and names.count("key again") == names.count("AWS Access Key") == 1 and "never" not in names
+    # Hits below the limit of one pattern stay for others.
+    few = project_scan(files, rows(PATTERN_ROWS, *table))
+    assert few.where("project_id = 1 and value = 'aab;'").select("pattern_name").collect() == [("low",)] * 2
+    every_one = project_scan(files, rows(PATTERN_ROWS, *table), threshold=None).where("project_id = 1 and value = 'aab;'")
+    assert sorted(r[0] for r in every_one.select("pattern_name").collect()) == ["high"] * 4 + ["low"] * 2
+
+
 def test_whole_lines_as_context(rows):
     """The context is the line however long it is and wherever the hit, also of a line with many hits."""
     line = "p" * 700 + f' {KEY} mail me@example.org ' + "q" * 900 + f' token = "abcdefgh12"'
